@@ -142,3 +142,188 @@ def register(name: str, sql: str) -> None:
 
 register("pass_at_k_metrics", _pass_at_k_metrics())
 register("exec_results", _exec_results())
+
+
+# ---------------------------------------------------------------------------
+# failure text
+# ---------------------------------------------------------------------------
+def _failure_text_expr(task_l, tb_l, se_l, code_l) -> str:
+    return f"""concat_ws({NL},
+        'Task: ' || left(coalesce(task, ''), {task_l}),
+        'Error Type: ' || coalesce(nullif(error_type, ''), 'Unknown'),
+        CASE WHEN coalesce(traceback, '') <> '' THEN 'Traceback: ' || left(traceback, {tb_l}) END,
+        CASE WHEN coalesce(stderr, '') <> '' THEN 'Stderr: ' || left(stderr, {se_l}) END,
+        'Code Snippet: ' || left(coalesce(code, ''), {code_l}))"""
+
+
+FAILURE_TEXT_INPUTS = f"""
+ft AS (
+  SELECT doc_id, text AS task, text,
+    'def solve():' || {NL} || '    return ' || source AS student_code,
+    CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN NULL
+         ELSE 'def solve():' || {NL} || '    return ''' || lang || '''' END AS repaired_code,
+    CASE WHEN lang = 'en' THEN 'TypeError' WHEN lang = 'de' THEN NULL WHEN lang = 'fr' THEN '' ELSE 'ValueError' END AS error_type,
+    CASE WHEN n_chars % 2 = 0 THEN '' ELSE 'Error while reading ' || text END AS stderr,
+    CASE WHEN lang IN ('en', 'fr') THEN 'Traceback (most recent call last):' || {NL} || text ELSE '' END AS traceback
+  FROM documents
+),
+ft2 AS (SELECT *, coalesce(nullif(repaired_code, ''), student_code) AS code FROM ft)"""
+
+EMBED_PREFIX = "Represent this programming traceback and source code failure for clustering error categories: "
+
+register("failure_text", f"""
+WITH {FAILURE_TEXT_INPUTS.strip()}
+SELECT doc_id, code AS failing_code,
+  {_failure_text_expr(200, 500, 300, 300)} AS failure_text,
+  {_failure_text_expr(10, 9, 5, 12)} AS failure_text_short,
+  length('{EMBED_PREFIX}' || text) AS embed_input_chars,
+  left('{EMBED_PREFIX}' || text, 120) AS embed_input_head,
+  left(sha256(text), 16) AS text_fingerprint
+FROM ft2
+""")
+
+# ---------------------------------------------------------------------------
+# failure store
+# ---------------------------------------------------------------------------
+CLUSTER_LIST = "['Syntax', 'Runtime', 'Logic', 'EdgeCases', 'AlgorithmDesign', 'Efficiency']"
+
+STORE = f"""
+batch AS (
+  SELECT CAST(user_id AS VARCHAR) || '/' || strftime(ts, '%Y-%m-%d') AS record_id,
+    'task ' || CAST(user_id AS VARCHAR) AS task,
+    'def solve(x):' || {NL} || '    return x * ' || printf('%.2f', value) AS code,
+    'Traceback (most recent call last):' || {NL} || 'Error ' || props AS traceback,
+    ({CLUSTER_LIST})[event_id % 6 + 1] AS failure_cluster,
+    event_id % (SELECT count(*) FROM embeddings) AS vid,
+    ts AS created_at, event_id AS seq
+  FROM events WHERE event_type = 'error'
+),
+batch_e AS (
+  SELECT b.*, CASE WHEN len(e.embedding) > 0 THEN e.embedding END AS embedding
+  FROM batch b LEFT JOIN embeddings e ON e.vec_id = b.vid
+),
+store AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY seq DESC) AS rn FROM batch_e) WHERE rn = 1
+)"""
+
+register("failure_store", f"""
+WITH {STORE.strip()}
+SELECT record_id, task, code, traceback, failure_cluster,
+  strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS created_at, seq, coalesce(len(embedding), 0) AS emb_dim
+FROM store
+""")
+
+register("failure_counts", f"""
+WITH {STORE.strip()},
+dim AS (SELECT unnest({CLUSTER_LIST}) AS cluster_name),
+cnt AS (SELECT failure_cluster AS cluster_name, count(*) AS n FROM store GROUP BY 1),
+j AS (SELECT d.cluster_name, coalesce(c.n, 0) AS total_failures FROM dim d LEFT JOIN cnt c USING (cluster_name)),
+tot AS (SELECT sum(total_failures) AS t FROM j)
+SELECT cluster_name, total_failures,
+  round(CAST(total_failures AS DOUBLE) / CASE WHEN t > 0 THEN t ELSE 1 END, 6) AS failure_rate,
+  'stable' AS recent_trend,
+  (SELECT count(*) FROM store) AS store_total,
+  (SELECT count(*) FROM store WHERE embedding IS NOT NULL) AS with_embedding
+FROM j, tot
+""")
+
+register("recent_failures_by_cluster", f"""
+WITH {STORE.strip()}
+SELECT failure_cluster, rank, record_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS created_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY failure_cluster ORDER BY created_at DESC, record_id ASC) AS rank FROM store)
+WHERE rank <= 100
+""")
+
+register("recent_failures", f"""
+WITH {STORE.strip()}
+SELECT record_id, failure_cluster, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS created_at
+FROM store ORDER BY created_at DESC, record_id ASC LIMIT 1000
+""")
+
+# ---------------------------------------------------------------------------
+# vectors and clustering
+# ---------------------------------------------------------------------------
+VEC = """
+vec AS (SELECT vec_id, vec_id AS seq, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+vnorm AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS nrm FROM vec),
+unit AS (SELECT vec_id, seq, label, CASE WHEN nrm > 0 THEN list_transform(e, lambda x: x / nrm) ELSE e END AS u FROM vnorm),
+anch_c AS (
+  SELECT g AS cluster_idx, i, avg(x) AS x FROM (
+    SELECT label % 6 AS g, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM unit) GROUP BY g, i
+),
+anch_l AS (SELECT cluster_idx, list(x ORDER BY i) AS c FROM anch_c GROUP BY cluster_idx),
+anchors AS (
+  SELECT cluster_idx, (%CLUSTERS%)[cluster_idx + 1] AS cluster_name,
+    list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS c
+  FROM anch_l
+),
+scores AS (
+  SELECT u.vec_id, u.seq, u.u, a.cluster_idx, a.cluster_name, a.c, list_sum(list_transform(list_zip(u.u, a.c), lambda p: p[1] * p[2])) AS sim
+  FROM unit u, anchors a
+),
+assigned AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cluster_idx ASC) AS rn FROM scores) WHERE rn = 1
+)""".replace("%CLUSTERS%", CLUSTER_LIST)
+
+register("cluster_assign", f"""
+WITH {VEC.strip()}
+SELECT vec_id, cluster_idx, cluster_name, round(sim, 6) AS similarity FROM assigned
+""")
+
+register("cluster_stats", f"""
+WITH {VEC.strip()},
+dim AS (SELECT unnest({CLUSTER_LIST}) AS cluster_name),
+cnt AS (SELECT cluster_name, count(*) AS n FROM assigned GROUP BY 1),
+j AS (SELECT d.cluster_name, coalesce(c.n, 0) AS total_failures FROM dim d LEFT JOIN cnt c USING (cluster_name)),
+tot AS (SELECT sum(total_failures) AS t FROM j)
+SELECT cluster_name, total_failures,
+  round(CAST(total_failures AS DOUBLE) / CASE WHEN t > 0 THEN t ELSE 1 END, 6) AS failure_rate, 'stable' AS recent_trend
+FROM j, tot
+""")
+
+register("kmeans_step", f"""
+WITH {VEC.strip()},
+m AS (
+  SELECT cluster_idx, i, avg(x) AS x, count(*) AS n FROM (
+    SELECT cluster_idx, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM assigned) GROUP BY cluster_idx, i
+),
+old AS (SELECT cluster_idx, cluster_name, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM anchors)
+SELECT o.cluster_idx, o.cluster_name, coalesce(m.n, 0) AS n_assigned, o.i - 1 AS dim,
+  round(coalesce(m.x, o.x), 6) AS value
+FROM old o LEFT JOIN m ON m.cluster_idx = o.cluster_idx AND m.i = o.i
+""")
+
+register("centroid_ema", f"""
+WITH {VEC.strip()},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_idx ORDER BY seq DESC) - 1 AS r FROM assigned),
+cnt AS (SELECT cluster_idx, count(*) AS m FROM assigned GROUP BY 1),
+s AS (
+  SELECT cluster_idx, i, sum(0.1 * pow(0.9, r) * x) AS sx FROM (
+    SELECT cluster_idx, r, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM ranked) GROUP BY cluster_idx, i
+),
+old AS (SELECT cluster_idx, cluster_name, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM anchors),
+moved AS (
+  SELECT o.cluster_idx, o.cluster_name, o.i, coalesce(cnt.m, 0) AS m,
+    CASE WHEN s.sx IS NULL THEN o.x ELSE pow(0.9, coalesce(cnt.m, 0)) * o.x + s.sx END AS x
+  FROM old o LEFT JOIN cnt ON cnt.cluster_idx = o.cluster_idx LEFT JOIN s ON s.cluster_idx = o.cluster_idx AND s.i = o.i
+),
+nrm AS (SELECT cluster_idx, sqrt(sum(x * x)) AS nn FROM moved GROUP BY 1)
+SELECT moved.cluster_idx, cluster_name, m AS n_assigned, i - 1 AS dim,
+  round(CASE WHEN nn > 0 THEN x / nn ELSE x END, 6) AS value
+FROM moved JOIN nrm USING (cluster_idx)
+""")
+
+register("similar_vectors", """
+WITH vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+qc AS (
+  SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM vec) GROUP BY label, i
+),
+q AS (SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY i) AS qv FROM qc GROUP BY label),
+qn AS (SELECT query_id, list_transform(qv, lambda x: x / (sqrt(list_sum(list_transform(qv, lambda y: y * y))) + 1e-8)) AS qv FROM q),
+en AS (SELECT vec_id, list_transform(e, lambda x: x / (sqrt(list_sum(list_transform(e, lambda y: y * y))) + 1e-8)) AS ev FROM vec),
+sc AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(qv, ev), lambda p: p[1] * p[2])) AS sim FROM qn, en),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id ASC) AS rank FROM sc)
+SELECT query_id, vec_id, rank, round(sim, 6) AS similarity FROM rk WHERE rank <= 5
+""")

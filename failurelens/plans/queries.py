@@ -45,3 +45,112 @@ def exec_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.select("task_id", "sample_id", "passed", "failed", "total", "stderr", "stdout", "returncode",
                       "timeout", "error_type", "traceback", r6("execution_time_ms").alias("execution_time_ms"),
                       "success")
+
+
+# --- failure text: P1-P3, P31 -------------------------------------------------
+@query("failure_text")
+def failure_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.functions import text as tx
+    d = fixtures.failure_text_inputs(spark, sf_dir)
+    code = tx.failing_code("repaired_code", "student_code")
+    return d.select(
+        "doc_id",
+        code.alias("failing_code"),
+        tx.failure_text("task", code, "error_type", "stderr", "traceback").alias("failure_text"),
+        tx.failure_text("task", code, "error_type", "stderr", "traceback",
+                        task_limit=10, traceback_limit=9, stderr_limit=5, code_limit=12).alias("failure_text_short"),
+        F.length(tx.embed_input("text")).alias("embed_input_chars"),
+        F.substring(tx.embed_input("text"), 1, 120).alias("embed_input_head"),
+        tx.fingerprint("text").alias("text_fingerprint"),
+    )
+
+
+# --- failure store: K1, K2, W3, S7, A1, A2, T1, T2, F1, F2 ----------------------
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import store
+    return store.upsert(None, fixtures.failure_batch_with_embeddings(spark, sf_dir))
+
+
+@query("failure_store")
+def failure_store_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.functions.text import iso_utc
+    s = _store(spark, sf_dir)
+    return s.select("record_id", "task", "code", "traceback", "failure_cluster",
+                    iso_utc("created_at").alias("created_at"), "seq",
+                    F.coalesce(F.size("embedding"), F.lit(0)).alias("emb_dim"))
+
+
+@query("failure_counts")
+def failure_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import cluster, store
+    s = _store(spark, sf_dir)
+    stats = cluster.cluster_stats(s, cluster_col="failure_cluster")
+    tot = store.total_count(s).scalar()
+    emb = store.all_embeddings(s).select(F.count(F.lit(1))).scalar()
+    return stats.select("cluster_name", "total_failures", r6("failure_rate").alias("failure_rate"), "recent_trend",
+                        tot.alias("store_total"), emb.alias("with_embedding"))
+
+
+@query("recent_failures_by_cluster")
+def recent_by_cluster_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.functions.text import iso_utc
+    from failurelens.operators import store
+    s = _store(spark, sf_dir)
+    return store.recent_per_cluster(s, 100).select(
+        "failure_cluster", "rank", "record_id", iso_utc("created_at").alias("created_at"))
+
+
+@query("recent_failures")
+def recent_failures_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.functions.text import iso_utc
+    from failurelens.operators import store
+    s = _store(spark, sf_dir)
+    return store.recent(s, 1000).select("record_id", "failure_cluster", iso_utc("created_at").alias("created_at"))
+
+
+# --- vectors: P27, P28, J4, T3, J3, T5, M7, A4, A5, M9 step, M8 minibatch ----------
+@query("similar_vectors")
+def similar_vectors_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators.similarity import top_k_similar
+    store = fixtures.vectors(spark, sf_dir)
+    q = fixtures.label_query_vectors(spark, sf_dir)
+    out = top_k_similar(store, q, k=5, id_col="vec_id", vec_col="embedding")
+    return out.select("query_id", "vec_id", "rank", r6("similarity").alias("similarity"))
+
+
+@query("cluster_assign")
+def cluster_assign_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import cluster
+    v = fixtures.vectors(spark, sf_dir)
+    c = fixtures.label_anchor_centroids(spark, sf_dir)
+    a = cluster.assign(v, c, "embedding")
+    return a.select("vec_id", "cluster_idx", "cluster_name", r6("similarity").alias("similarity"))
+
+
+@query("cluster_stats")
+def cluster_stats_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import cluster
+    a = cluster.assign(fixtures.vectors(spark, sf_dir), fixtures.label_anchor_centroids(spark, sf_dir))
+    s = cluster.cluster_stats(a)
+    return s.select("cluster_name", "total_failures", r6("failure_rate").alias("failure_rate"), "recent_trend")
+
+
+def _explode_centroids(c: DataFrame) -> DataFrame:
+    return c.select("cluster_idx", "cluster_name", "n_assigned", F.posexplode("centroid").alias("dim", "v")) \
+        .select("cluster_idx", "cluster_name", F.col("n_assigned").cast("bigint").alias("n_assigned"),
+                "dim", r6("v").alias("value"))
+
+
+@query("kmeans_step")
+def kmeans_step_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import cluster
+    step = cluster.lloyd_step(fixtures.vectors(spark, sf_dir), fixtures.label_anchor_centroids(spark, sf_dir))
+    return _explode_centroids(step)
+
+
+@query("centroid_ema")
+def centroid_ema_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import cluster
+    upd = cluster.ema_update(fixtures.vectors(spark, sf_dir), fixtures.label_anchor_centroids(spark, sf_dir),
+                             alpha=0.1, order_col="seq")
+    return _explode_centroids(upd)

@@ -84,10 +84,70 @@ def failure_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("record_id"),
         F.concat(F.lit("task "), F.col("user_id").cast("string")).alias("task"),
-        F.concat(F.lit("def solve(x):" + NL + "    return x * "), F.col("value").cast("string")).alias("code"),
+        F.concat(F.lit("def solve(x):" + NL + "    return x * "), F.format_string("%.2f", F.col("value"))).alias("code"),
         F.concat(F.lit("Traceback (most recent call last):" + NL + "Error "), F.col("props")).alias("traceback"),
         cluster_name_of(F.col("event_id") % 6).alias("failure_cluster"),
         F.col("event_id").alias("vec_key"),
         F.col("ts").alias("created_at"),
         F.col("event_id").alias("seq"),
     )
+
+
+def failure_batch_with_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """failure_batch plus an embedding: vector ``event_id mod (#vectors)`` of ``embeddings``."""
+    emb = table(spark, sf_dir, "embeddings")
+    n_vec = emb.select(F.count(F.lit(1))).scalar()
+    fb = failure_batch(spark, sf_dir).withColumn("_vid", F.pmod(F.col("vec_key"), n_vec))
+    return (fb.join(emb.select(F.col("vec_id").alias("_vid"), "embedding"), on="_vid", how="left")
+            .drop("_vid", "vec_key"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings -> (seq, vec_id, label, embedding); arrival order = vec_id."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("seq"), "vec_id", "label", "embedding")
+
+
+def label_anchor_centroids(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
+    """Anchored start centroids from data: cluster j = unit mean of the unit
+    vectors whose ``label mod k == j`` (one partial aggregate, k rows out)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from failurelens.functions.vectors import l2_normalize
+    v = vectors(spark, sf_dir)
+    g = (v.select((F.col("label") % k).cast("int").alias("cluster_idx"),
+                  array_to_vector(l2_normalize("embedding")).alias("_u"))
+         .groupBy("cluster_idx").agg(Summarizer.mean(F.col("_u")).alias("_m")))
+    return g.select("cluster_idx", cluster_name_of(F.col("cluster_idx")).alias("cluster_name"),
+                    l2_normalize(vector_to_array("_m")).alias("centroid"))
+
+
+def label_query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query vector per label: the component-wise mean embedding."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = vectors(spark, sf_dir)
+    g = (v.select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("_x"))
+         .groupBy("label").agg(Summarizer.mean(F.col("_x")).alias("_m")))
+    return g.select(F.col("label").cast("bigint").alias("query_id"), vector_to_array("_m").alias("query_vec"))
+
+
+def failure_text_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> (task, student/repaired code, error type, stderr, traceback) per doc."""
+    d = table(spark, sf_dir, "documents")
+    r = F.col("doc_id") % 3
+    return d.select(
+        "doc_id",
+        F.col("text").alias("task"),
+        F.concat(F.lit("def solve():" + NL + "    return "), F.col("source")).alias("student_code"),
+        F.when(r == 0, F.lit("")).when(r == 1, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("def solve():" + NL + "    return '"), F.col("lang"), F.lit("'"))).alias("repaired_code"),
+        F.when(F.col("lang") == "en", F.lit("TypeError")).when(F.col("lang") == "de", F.lit(None).cast("string"))
+        .when(F.col("lang") == "fr", F.lit("")).otherwise(F.lit("ValueError")).alias("error_type"),
+        F.when(F.col("n_chars") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("Error while reading "), F.col("text")))
+        .alias("stderr"),
+        F.when(F.col("lang").isin("en", "fr"), F.concat(F.lit("Traceback (most recent call last):" + NL), F.col("text")))
+        .otherwise(F.lit("")).alias("traceback"),
+        F.col("text"),
+    )
