@@ -17,11 +17,11 @@ DISTILL_SYSTEM = ("You are a Python programmer who learns from mistakes. Given a
                   "an algorithmic plan, and a previous failed attempt with its error analysis, "
                   "write a corrected solution.")
 DISTILL_USER_TEMPLATE = (
-    "## Problem\n{problem}\n\n"
-    "## Plan\n{plan}\n\n"
-    "## Previous Failed Attempt\n```python\n{failed_code}\n```\n\n"
-    "## What Went Wrong\n{repair_reasoning}\n\n"
-    "## Task\nWrite the corrected Python function."
+    "## Problem\n\n{problem}\n\n"
+    "## Plan\n\n{plan}\n\n"
+    "## Previous Failed Attempt\n\n```python\n{failed_code}\n```\n\n"
+    "## What Went Wrong\n\n{repair_reasoning}\n\n"
+    "## Task\n\nWrite the corrected Python function."
 )
 DISTILL_ASSISTANT_TEMPLATE = "```python\n{repaired_code}\n```"
 NO_PLAN_PLACEHOLDER = "No plan available."
@@ -86,20 +86,35 @@ def canonical_cluster(label, mode: str = "lenient") -> Column:
     return F.coalesce(F.try_element_at(mapping, key), F.lit(UNKNOWN_CLUSTER))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Expressions built in Python are trees: a sub-expression used three times
+    is evaluated three times. Binding it through a one-element ``transform``
+    evaluates it once per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def extract_code_block(text) -> Column:
     """First fenced code block; an unclosed fence runs to the end.
 
-    No fence, or an empty block, returns the whole text. Lines split on '\\n'.
+    No fence, or an empty block, returns the whole text. Lines split on '\\n';
+    the lines and the fence flags are computed once per row.
     """
     t = _c(text)
-    lines = F.split(t, "\n", -1)
-    is_fence = F.transform(lines, lambda l: l.rlike(r"(?U)^\s*```"))
-    first = F.array_position(is_fence, True)
-    rest = F.slice(is_fence, (first + 1).cast("int"), F.greatest(F.size(is_fence) - first, F.lit(0)).cast("int"))
-    second = F.array_position(rest, True)
-    n_body = F.when(second > 0, second - 1).otherwise(F.size(lines) - first)
-    body = F.slice(lines, (first + 1).cast("int"), F.greatest(n_body, F.lit(0)).cast("int"))
-    return F.when((first > 0) & (F.size(body) > 0), F.array_join(body, "\n")).otherwise(t)
+
+    def on_lines(lines: Column) -> Column:
+        def on_first(first: Column) -> Column:
+            rest = F.slice(lines, (first + 1).cast("int"), F.greatest(F.size(lines) - first, F.lit(0)).cast("int"))
+
+            def on_rest(r: Column) -> Column:
+                second = F.array_position(F.transform(r, lambda l: l.rlike(r"(?U)^\s*```")), True)
+                body = F.when(second > 0, F.slice(r, 1, F.greatest(second - 1, F.lit(0)).cast("int"))).otherwise(r)
+                return F.when((first > 0) & (F.size(body) > 0), F.array_join(body, "\n")).otherwise(t)
+            return let(rest, on_rest)
+        return let(F.array_position(F.transform(lines, lambda l: l.rlike(r"(?U)^\s*```")), True), on_first)
+    return let(F.split(t, "\n", -1), on_lines)
 
 
 def plan_text(strategy, complexity, edge_cases, observations) -> Column:

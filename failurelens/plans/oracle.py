@@ -327,3 +327,381 @@ sc AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(qv, ev), lambda
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id ASC) AS rank FROM sc)
 SELECT query_id, vec_id, rank, round(sim, 6) AS similarity FROM rk WHERE rank <= 5
 """)
+
+
+# ---------------------------------------------------------------------------
+# replay buffer and curriculum
+# ---------------------------------------------------------------------------
+BUFFER = f"""
+ex AS (
+  SELECT event_id AS seq, 'Problem for user ' || CAST(user_id AS VARCHAR) AS problem,
+    CASE WHEN event_id % 5 = 0 THEN '' ELSE 'Use approach ' || props END AS plan,
+    'def f(x):' || {NL} || '    return x + ' || printf('%.2f', value) AS failed_code,
+    'Root cause: ' || event_type AS repair_reasoning,
+    'def f(x):' || {NL} || '    return x - ' || printf('%.2f', value) AS repaired_code,
+    CASE lower(trim(CASE event_type WHEN 'click' THEN 'Syntax' WHEN 'error' THEN 'Runtime' WHEN 'view' THEN 'Logic'
+                                    WHEN 'purchase' THEN 'EdgeCases' WHEN 'signup' THEN ' efficiency ' END))
+      WHEN 'syntax' THEN 'Syntax' WHEN 'runtime' THEN 'Runtime' WHEN 'logic' THEN 'Logic' WHEN 'edgecases' THEN 'EdgeCases'
+      WHEN 'algorithmdesign' THEN 'AlgorithmDesign' WHEN 'efficiency' THEN 'Efficiency' ELSE 'Unknown' END AS failure_cluster,
+    't' || CAST(event_id AS VARCHAR) AS trajectory_id
+  FROM events
+),
+buf AS (SELECT * FROM ex ORDER BY seq DESC LIMIT 10000)"""
+
+STORE_RATES = f"""
+{STORE.strip()},
+sdim AS (SELECT unnest({CLUSTER_LIST}) AS cluster_name),
+scnt AS (SELECT failure_cluster AS cluster_name, count(*) AS n FROM store GROUP BY 1),
+sj AS (SELECT d.cluster_name, coalesce(c.n, 0) AS n FROM sdim d LEFT JOIN scnt c USING (cluster_name)),
+rates AS (SELECT cluster_name, CAST(n AS DOUBLE) / CASE WHEN (SELECT sum(n) FROM sj) > 0 THEN (SELECT sum(n) FROM sj) ELSE 1 END AS rate FROM sj)"""
+
+WEIGHTED = f"""
+{BUFFER.strip()},
+{STORE_RATES.strip()},
+w AS (SELECT b.*, 1.0 + coalesce(r.rate, 0.0) * 5.0 AS raw_weight FROM buf b LEFT JOIN rates r ON r.cluster_name = b.failure_cluster),
+wn AS (SELECT *, raw_weight / (SELECT sum(raw_weight) FROM w) AS weight FROM w),
+u AS (SELECT *, (CAST(('0x' || substr(md5(CAST(seq AS VARCHAR) || '|42'), 1, 12)) AS BIGINT) + 1.0) / 281474976710657.0 AS uu FROM wn),
+wsample AS (SELECT * FROM u ORDER BY -ln(uu) / raw_weight ASC, seq ASC LIMIT 1000)"""
+
+register("buffer_fifo", f"""
+WITH {BUFFER.strip()}
+SELECT seq, failure_cluster, problem, plan, trajectory_id FROM buf
+""")
+
+register("buffer_distribution", f"""
+WITH {BUFFER.strip()}
+SELECT failure_cluster, count(*) AS n FROM buf GROUP BY 1
+""")
+
+register("curriculum_weights", f"""
+WITH {WEIGHTED.strip()}
+SELECT seq, failure_cluster, round(raw_weight, 6) AS raw_weight, round(weight, 12) AS weight FROM wn
+""")
+
+register("curriculum_sample_uniform", f"""
+WITH {BUFFER.strip()},
+u AS (SELECT *, (CAST(('0x' || substr(md5(CAST(seq AS VARCHAR) || '|42'), 1, 12)) AS BIGINT) + 1.0) / 281474976710657.0 AS uu FROM buf)
+SELECT seq, failure_cluster FROM u ORDER BY uu ASC, seq ASC LIMIT 1000
+""")
+
+register("curriculum_sample_weighted", f"""
+WITH {WEIGHTED.strip()}
+SELECT seq, failure_cluster, round(raw_weight, 6) AS raw_weight FROM wsample
+""")
+
+DISTILL_SYSTEM_SQL = ("'You are a Python programmer who learns from mistakes. Given a coding problem, "
+                      "an algorithmic plan, and a previous failed attempt with its error analysis, "
+                      "write a corrected solution.'")
+
+register("chat_dataset", f"""
+WITH {WEIGHTED.strip()}
+SELECT seq, failure_cluster, {DISTILL_SYSTEM_SQL} AS system_msg,
+  '## Problem' || {NL} || {NL} || problem || {NL} || {NL} ||
+  '## Plan' || {NL} || {NL} || coalesce(nullif(plan, ''), 'No plan available.') || {NL} || {NL} ||
+  '## Previous Failed Attempt' || {NL} || {NL} || '```python' || {NL} || failed_code || {NL} || '```' || {NL} || {NL} ||
+  '## What Went Wrong' || {NL} || {NL} || repair_reasoning || {NL} || {NL} ||
+  '## Task' || {NL} || {NL} || 'Write the corrected Python function.' AS user_msg,
+  '```python' || {NL} || repaired_code || {NL} || '```' AS assistant_msg,
+  'system,user,assistant' AS roles
+FROM wsample
+""")
+
+register("cluster_labels", """
+WITH e AS (SELECT DISTINCT event_type FROM events),
+l AS (SELECT event_type, CASE event_type WHEN 'click' THEN 'Syntax' WHEN 'error' THEN 'Runtime' WHEN 'view' THEN 'Logic'
+                                         WHEN 'purchase' THEN 'EdgeCases' WHEN 'signup' THEN ' efficiency ' END AS raw_label FROM e),
+m AS (SELECT * FROM (VALUES ('syntax', 'Syntax'), ('runtime', 'Runtime'), ('logic', 'Logic'), ('edgecases', 'EdgeCases'),
+                            ('algorithmdesign', 'AlgorithmDesign'), ('efficiency', 'Efficiency'), ('unknown', 'Unknown')) t(k, v))
+SELECT event_type, raw_label,
+  coalesce((SELECT v FROM m WHERE k = lower(trim(raw_label))), 'Unknown') AS lenient,
+  CASE WHEN raw_label IN ('Syntax', 'Runtime', 'Logic', 'EdgeCases', 'AlgorithmDesign', 'Efficiency', 'Unknown') THEN raw_label ELSE 'Unknown' END AS strict,
+  coalesce((SELECT v FROM m WHERE k = lower(trim(upper(event_type)))), 'Unknown') AS upper_lenient
+FROM l
+""")
+
+# ---------------------------------------------------------------------------
+# routing
+# ---------------------------------------------------------------------------
+LABELS = f"""
+{EXEC_LOG.strip()},
+att AS (
+  SELECT *, sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (PARTITION BY task_id ORDER BY sample_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS attempt,
+         coalesce(error_type = 'AssertionError', false) AS repair_verified
+  FROM scored
+),
+labels AS (
+  SELECT task_id, sample_id, attempt, success, repair_verified,
+    CASE WHEN success THEN 'success_store' ELSE 'failure_analysis' END AS after_execution,
+    CASE WHEN repair_verified THEN 're_execute' WHEN attempt < 3 THEN 'expert_repair' ELSE 'distillation' END AS after_repair,
+    CASE WHEN success THEN 'distillation' WHEN attempt < 3 THEN 'failure_analysis' ELSE 'distillation' END AS after_re_execution
+  FROM att
+)"""
+
+register("routing_labels", f"""
+WITH {LABELS.strip()}
+SELECT * FROM labels
+""")
+
+# Topology of each preset run, written out edge by edge.
+TOPOLOGY_VALUES = """
+('run0', 'after_execution', 'success_store', 'success_store'),
+('run0', 'after_execution', 'failure_analysis', 'success_store'),
+('run1', 'after_execution', 'success_store', 'success_store'),
+('run1', 'after_execution', 'failure_analysis', 'failure_analysis'),
+('run1', 'after_repair', 're_execute', 're_execute'),
+('run1', 'after_repair', 'expert_repair', 'expert_repair'),
+('run1', 'after_repair', 'distillation', 'success_store'),
+('run1', 'after_re_execution', 'distillation', 'success_store'),
+('run1', 'after_re_execution', 'failure_analysis', 'failure_analysis'),
+('run2', 'after_execution', 'success_store', 'success_store'),
+('run2', 'after_execution', 'failure_analysis', 'failure_analysis'),
+('run2', 'after_repair', 're_execute', 're_execute'),
+('run2', 'after_repair', 'expert_repair', 'expert_repair'),
+('run2', 'after_repair', 'distillation', 'distillation'),
+('run2', 'after_re_execution', 'distillation', 'distillation'),
+('run2', 'after_re_execution', 'failure_analysis', 'failure_analysis'),
+('run3', 'after_execution', 'success_store', 'success_store'),
+('run3', 'after_execution', 'failure_analysis', 'failure_analysis'),
+('run4', 'after_execution', 'success_store', 'success_store'),
+('run4', 'after_execution', 'failure_analysis', 'failure_analysis'),
+('run4', 'after_repair', 're_execute', 're_execute'),
+('run4', 'after_repair', 'expert_repair', 'expert_repair'),
+('run4', 'after_repair', 'distillation', 'distillation'),
+('run4', 'after_re_execution', 'distillation', 'distillation'),
+('run4', 'after_re_execution', 'failure_analysis', 'failure_analysis')
+"""
+
+register("ablation_funnel", f"""
+WITH {LABELS.strip()},
+topo AS (SELECT * FROM (VALUES {TOPOLOGY_VALUES}) t(run_name, edge, label, target)),
+long AS (
+  SELECT 'after_execution' AS edge, after_execution AS label FROM labels
+  UNION ALL SELECT 'after_repair', after_repair FROM labels
+  UNION ALL SELECT 'after_re_execution', after_re_execution FROM labels
+)
+SELECT t.run_name, t.edge, t.target, count(*) AS n
+FROM long l JOIN topo t ON t.edge = l.edge AND t.label = l.label
+GROUP BY t.run_name, t.edge, t.target
+""")
+
+# ---------------------------------------------------------------------------
+# trajectories
+# ---------------------------------------------------------------------------
+STEPS = """
+steps AS (
+  SELECT CAST(conv_id AS VARCHAR) AS trajectory_id, turn AS seq, role AS agent,
+    CASE WHEN role = 'assistant' THEN 'generate_repair' WHEN role = 'user' THEN 'analyse_failure' ELSE 'set_context' END AS action,
+    text AS output
+  FROM conversations
+),
+stats AS (
+  SELECT trajectory_id, count(*) AS num_steps, CAST(count(*) FILTER (WHERE action = 'generate_repair') AS INTEGER) AS num_attempts,
+    arg_min(agent, seq) AS first_agent, arg_max(agent, seq) AS last_agent, arg_max(output, seq) AS last_output,
+    arg_min(output, seq) AS first_output
+  FROM steps GROUP BY trajectory_id
+)"""
+
+register("trajectory_summary", f"""
+WITH {STEPS.strip()}
+SELECT trajectory_id, num_steps, num_attempts, first_agent, last_agent, length(last_output) AS last_output_chars FROM stats
+""")
+
+register("training_examples", f"""
+WITH {STEPS.strip()},
+x AS (SELECT *, sha256(trajectory_id) AS h, last_agent = 'assistant' AS verified FROM stats)
+SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS example_id,
+  trajectory_id,
+  CASE WHEN length(first_output) % 2 = 0 THEN 'Logic' ELSE 'Unknown' END AS failure_cluster,
+  'Root cause: ' || first_agent || {NL} || 'Category: Logic' || {NL} || 'Fix: rewrite after ' || CAST(num_steps AS VARCHAR) || ' steps'
+    || {NL} || 'Critic verdict: ' || CASE WHEN verified THEN 'Valid' ELSE 'Invalid' END AS repair_reasoning,
+  CASE WHEN verified THEN length(last_output) ELSE 0 END AS repaired_chars,
+  verified
+FROM x
+""")
+
+# ---------------------------------------------------------------------------
+# reports
+# ---------------------------------------------------------------------------
+ROUND_METRICS = """
+j AS (SELECT l.*, d.lang, d.source, d.n_chars FROM labels l JOIN documents d USING (doc_id)),
+g AS (
+  SELECT lang AS run_name, CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) AS round,
+    avg(quality) AS m_pass1, avg(toxic) AS m_toxic, CAST(count(*) AS DOUBLE) AS m_n,
+    avg(CASE WHEN toxic = 1 THEN quality END) AS m_pass1_toxic
+  FROM j GROUP BY 1, 2
+),
+rm AS (
+  SELECT * FROM (
+    SELECT run_name, round, 'labels/pass@1' AS metric, m_pass1 AS value FROM g
+    UNION ALL SELECT run_name, round, 'labels/toxic_rate', m_toxic FROM g
+    UNION ALL SELECT run_name, round, 'labels/num_problems', m_n FROM g
+    UNION ALL SELECT run_name, round, 'toxic/pass@1', m_pass1_toxic FROM g) WHERE value IS NOT NULL
+)"""
+
+register("round_metrics", f"""
+WITH {ROUND_METRICS.strip()}
+SELECT run_name, round, metric, round(value, 6) AS value FROM rm
+""")
+
+
+def _cell(v: str) -> str:
+    return f"coalesce(CASE WHEN {v} IS NOT NULL THEN printf('%.4f', round({v}, 4)) END, 'N/A')"
+
+
+register("run_comparison", f"""
+WITH j AS (SELECT l.*, d.lang, d.n_chars FROM labels l JOIN documents d USING (doc_id)),
+g AS (
+  SELECT lang AS run_name, avg(quality) AS m_pass1, avg(toxic) AS m_toxic, CAST(count(*) AS DOUBLE) AS m_n,
+    avg(CASE WHEN n_chars > 20000 THEN quality END) AS m_long
+  FROM j GROUP BY 1
+),
+rm AS (
+  SELECT * FROM (
+    SELECT run_name, 'labels/pass@1' AS metric, m_pass1 AS value FROM g
+    UNION ALL SELECT run_name, 'labels/toxic_rate', m_toxic FROM g
+    UNION ALL SELECT run_name, 'labels/num_problems', m_n FROM g
+    UNION ALL SELECT run_name, 'long_docs/pass@1', m_long FROM g) WHERE value IS NOT NULL
+),
+p AS (
+  SELECT metric,
+    max(CASE WHEN run_name = 'de' THEN value END) AS v_de, max(CASE WHEN run_name = 'en' THEN value END) AS v_en,
+    max(CASE WHEN run_name = 'es' THEN value END) AS v_es, max(CASE WHEN run_name = 'fr' THEN value END) AS v_fr
+  FROM rm GROUP BY metric
+)
+SELECT metric, {_cell('v_de')} AS de, {_cell('v_en')} AS en, {_cell('v_es')} AS es, {_cell('v_fr')} AS fr FROM p
+""")
+
+register("round_deltas", f"""
+WITH {ROUND_METRICS.strip()},
+f AS (SELECT * FROM rm WHERE metric IN ('labels/pass@1', 'toxic/pass@1')),
+l AS (SELECT *, lag(round) OVER w AS pr, lag(value) OVER w AS pv FROM f WINDOW w AS (PARTITION BY run_name, metric ORDER BY round))
+SELECT run_name, round, metric, round(value, 6) AS value,
+  round(CASE WHEN pr = round - 1 AND pv IS NOT NULL AND value IS NOT NULL THEN value - pv END, 6) AS delta
+FROM l
+""")
+
+register("experiment_summary", f"""
+WITH {ROUND_METRICS.strip()},
+pr AS (
+  SELECT run_name, round,
+    list_sort(list(metric || ': ' || printf('%.4f', round(value, 4))) FILTER (WHERE contains(metric, 'pass@1'))) AS ms
+  FROM rm GROUP BY run_name, round
+)
+SELECT run_name, round, CASE WHEN len(ms) > 0 THEN array_to_string(ms, ', ') ELSE 'None' END AS key_metrics,
+  count(*) OVER (PARTITION BY run_name) AS total_rounds
+FROM pr
+""")
+
+register("step_totals", f"""
+WITH {EXEC_LOG.strip()}
+SELECT benchmark, sum(passed) AS tests_passed, sum(failed) AS tests_failed, sum(total) AS tests_total,
+  round(avg(execution_time_ms), 6) AS avg_execution_time_ms, count(*) FILTER (WHERE success) AS task_success,
+  count(*) AS executions
+FROM scored GROUP BY benchmark
+""")
+
+# ---------------------------------------------------------------------------
+# responses
+# ---------------------------------------------------------------------------
+def _code_block(t: str) -> str:
+    """DuckDB: first fenced block of text ``t`` (unclosed runs to end; none or empty -> t)."""
+    lines = f"string_split({t}, chr(10))"
+    fences = f"list_transform({lines}, lambda l: regexp_matches(l, '^\\s*```'))"
+    first = f"coalesce(list_position({fences}, true), 0)"
+    second = f"coalesce(list_position(({fences})[{first} + 1:], true), 0)"
+    body = (f"CASE WHEN {second} > 0 THEN ({lines})[{first} + 1:{first} + {second} - 1] "
+            f"ELSE ({lines})[{first} + 1:] END")
+    return f"(CASE WHEN {first} > 0 AND len({body}) > 0 THEN array_to_string({body}, chr(10)) ELSE {t} END)"
+
+
+JSON_RESP = f"""
+ev AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events),
+d AS (
+  SELECT event_id, k,
+    '{{"algorithm_strategy": "' || event_type || '", "complexity_estimate": "O(n^' || CAST(k % 3 + 1 AS VARCHAR)
+    || ')", "edge_cases": ["user ' || CAST(user_id AS VARCHAR) || '", "empty"], "key_observations": "k=' || CAST(k AS VARCHAR)
+    || '", "is_valid": ' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END
+    || ', "confidence": 0.' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') || '}}' AS doc
+  FROM ev
+),
+r AS (
+  SELECT event_id,
+    CASE WHEN event_id % 7 = 0 THEN '[' || CAST(k AS VARCHAR) || ']'
+         WHEN event_id % 3 = 0 THEN doc || ' trailing words'
+         WHEN event_id % 3 = 1 THEN 'Here you go:' || chr(10) || '```json' || chr(10) || doc || chr(10) || '```'
+         ELSE doc END AS response
+  FROM d
+),
+c AS (SELECT event_id, response, {_code_block('response')} AS block FROM r),
+p AS (
+  SELECT event_id, response,
+    CASE WHEN json_valid(response) AND json_type(response) = 'OBJECT' THEN response
+         WHEN json_valid(block) AND json_type(block) = 'OBJECT' THEN block END AS js
+  FROM c
+)"""
+
+register("json_responses", f"""
+WITH {JSON_RESP.strip()}
+SELECT event_id, js IS NOT NULL AS parsed,
+  CASE WHEN js IS NULL THEN response ELSE coalesce(json_extract_string(js, '$.algorithm_strategy'), '') END AS algorithm_strategy,
+  CASE WHEN js IS NULL THEN 'Unknown' ELSE coalesce(json_extract_string(js, '$.complexity_estimate'), 'Unknown') END AS complexity_estimate,
+  CASE WHEN js IS NULL THEN '' ELSE coalesce(array_to_string(json_extract_string(js, '$.edge_cases[*]'), ', '), '') END AS edge_cases,
+  CASE WHEN js IS NULL THEN '' ELSE coalesce(json_extract_string(js, '$.key_observations'), '') END AS key_observations,
+  CASE WHEN js IS NULL THEN false ELSE coalesce(CAST(json_extract(js, '$.is_valid') AS BOOLEAN), false) END AS is_valid,
+  round(CASE WHEN js IS NULL THEN 0.0 ELSE coalesce(CAST(json_extract(js, '$.confidence') AS DOUBLE), 0.0) END, 6) AS confidence,
+  CASE WHEN js IS NULL THEN 'Could not parse critic response'
+       ELSE coalesce(array_to_string(json_extract_string(js, '$.issues_found[*]'), '; '), '') END AS issues_found
+FROM p
+""")
+
+register("code_blocks", f"""
+WITH r AS (
+  SELECT doc_id,
+    CASE WHEN doc_id % 4 = 0 THEN 'Here is the fix:' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'Hope it helps.'
+         WHEN doc_id % 4 = 1 THEN text
+         WHEN doc_id % 4 = 2 THEN '```' || chr(10) || text
+         ELSE '  ```' || chr(10) || '```' || chr(10) || text END AS response
+  FROM documents
+)
+SELECT doc_id, {_code_block('response')} AS code,
+  'Could not parse structured response' AS debug_root_cause,
+  length(left(response, 500)) AS debug_explanation_chars
+FROM r
+""")
+
+# ---------------------------------------------------------------------------
+# problems and scripts
+# ---------------------------------------------------------------------------
+WRAPPED = ("'import sys' || chr(10) || chr(10) || '# code under test' || chr(10) || prompt || chr(10) || chr(10) "
+           "|| '# tests' || chr(10) || 'passed = failed = total = 0' || chr(10) || 'def check(candidate):' || chr(10) "
+           "|| '    global passed, failed, total' || chr(10) || '    try:' || chr(10) "
+           "|| array_to_string(list_transform(string_split(regexp_replace(test, '^\\s+|\\s+$', '', 'g'), chr(10)), "
+           "lambda l: '        ' || l), chr(10)) || chr(10) "
+           "|| '        passed += 1' || chr(10) || '    except Exception as e:' || chr(10) || '        failed += 1' || chr(10) "
+           "|| '        print(f\"FAIL: {e}\", file=sys.stderr)' || chr(10) || '    total += 1' || chr(10) "
+           "|| 'check(' || entry_point || ')' || chr(10) "
+           "|| 'print(f\"RESULTS: passed={passed} failed={failed} total={total}\")'")
+
+BENCH = ("'import sys' || chr(10) || chr(10) || '# code under test' || chr(10) || prompt || chr(10) || chr(10) "
+         "|| '# benchmark test' || chr(10) || test || chr(10) || chr(10) || 'passed = failed = total = 0' || chr(10) "
+         "|| 'try:' || chr(10) || '    check(' || entry_point || ')' || chr(10) || '    passed += 1' || chr(10) "
+         "|| 'except AssertionError as e:' || chr(10) || '    failed += 1' || chr(10) "
+         "|| '    print(f\"ASSERTION FAIL: {e}\", file=sys.stderr)' || chr(10) || 'except Exception as e:' || chr(10) "
+         "|| '    failed += 1' || chr(10) || '    print(f\"ERROR: {type(e).__name__}: {e}\", file=sys.stderr)' || chr(10) "
+         "|| 'total += 1' || chr(10) || 'print(f\"RESULTS: passed={passed} failed={failed} total={total}\")'")
+
+register("problems", """
+WITH p AS (
+  SELECT item_id AS ordinal, 'Bench/' || CAST(item_id AS VARCHAR) AS task_id, text AS prompt,
+    'solve_' || CAST(item_id AS VARCHAR) AS entry_point,
+    'def check(candidate):' || chr(10) || '    assert candidate(' || CAST(item_id AS VARCHAR) || ') is not None' AS test
+  FROM benchmark
+)
+SELECT ordinal, task_id, entry_point, length(prompt) AS prompt_chars, test AS test_code,
+  'def ' || entry_point || '(x):' || chr(10) || '    return x' || chr(10) || chr(10)
+    || 'assert ' || entry_point || '(1) == 1' || chr(10) || 'assert ' || entry_point || '(2) == 2' AS mbpp_script,
+  left(sha256(""" + WRAPPED + """), 16) AS wrapped_fp,
+  left(sha256(""" + BENCH + """), 16) AS benchmark_fp
+FROM p
+""")

@@ -154,3 +154,209 @@ def centroid_ema_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     upd = cluster.ema_update(fixtures.vectors(spark, sf_dir), fixtures.label_anchor_centroids(spark, sf_dir),
                              alpha=0.1, order_col="seq")
     return _explode_centroids(upd)
+
+
+# --- replay buffer and curriculum: W2, U1, A3, J1, M1-M4, P24, P13 ----------------
+BUFFER_CAPACITY = 10_000
+SAMPLE_N = 1_000
+
+
+def _buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import buffer
+    return buffer.fifo(fixtures.training_examples(spark, sf_dir), BUFFER_CAPACITY)
+
+
+def _store_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import cluster
+    return cluster.failure_rates(cluster.cluster_stats(_store(spark, sf_dir), cluster_col="failure_cluster"))
+
+
+@query("buffer_fifo")
+def buffer_fifo_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _buffer(spark, sf_dir).select("seq", "failure_cluster", "problem", "plan", "trajectory_id")
+
+
+@query("buffer_distribution")
+def buffer_distribution_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import buffer
+    return buffer.distribution(_buffer(spark, sf_dir))
+
+
+@query("curriculum_weights")
+def curriculum_weights_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import buffer
+    w = buffer.with_weights(_buffer(spark, sf_dir), _store_rates(spark, sf_dir), amplification=5.0)
+    return w.select("seq", "failure_cluster", r6("raw_weight").alias("raw_weight"),
+                    F.round("weight", 12).alias("weight"))
+
+
+@query("curriculum_sample_uniform")
+def sample_uniform_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import buffer
+    return buffer.sample_uniform(_buffer(spark, sf_dir), SAMPLE_N, seed=42).select("seq", "failure_cluster")
+
+
+@query("curriculum_sample_weighted")
+def sample_weighted_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import buffer
+    s = buffer.sample_weighted(_buffer(spark, sf_dir), SAMPLE_N, _store_rates(spark, sf_dir), seed=42)
+    return s.select("seq", "failure_cluster", r6("raw_weight").alias("raw_weight"))
+
+
+@query("chat_dataset")
+def chat_dataset_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import buffer
+    d = buffer.round_dataset(_buffer(spark, sf_dir), SAMPLE_N, _store_rates(spark, sf_dir), seed=42)
+    return d.select("seq", "failure_cluster",
+                    F.col("messages")[0]["content"].alias("system_msg"),
+                    F.col("messages")[1]["content"].alias("user_msg"),
+                    F.col("messages")[2]["content"].alias("assistant_msg"),
+                    F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"))
+
+
+@query("cluster_labels")
+def cluster_labels_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.functions.text import canonical_cluster
+    e = fixtures.table(spark, sf_dir, "events").select("event_type").distinct()
+    raw = fixtures._event_label()
+    lab = e.select("event_type", raw.alias("raw_label"))
+    return lab.select("event_type", "raw_label", canonical_cluster("raw_label", "lenient").alias("lenient"),
+                      canonical_cluster("raw_label", "strict").alias("strict"),
+                      canonical_cluster(F.upper("event_type"), "lenient").alias("upper_lenient"))
+
+
+# --- routing: W1, C1-C4, J8 -----------------------------------------------------------
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import routing
+    res = parse_exec_log(fixtures.exec_log(spark, sf_dir))
+    att = routing.with_attempts(res)
+    verified = F.coalesce(F.col("error_type") == "AssertionError", F.lit(False))
+    return att.select("task_id", "sample_id", "attempt", "success", verified.alias("repair_verified"),
+                      routing.after_execution().alias("after_execution"),
+                      routing.after_repair(verified, "attempt").alias("after_repair"),
+                      routing.after_re_execution("success", "attempt").alias("after_re_execution"))
+
+
+@query("routing_labels")
+def routing_labels_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labels(spark, sf_dir)
+
+
+@query("ablation_funnel")
+def ablation_funnel_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import routing
+    return routing.funnel(_labels(spark, sf_dir), spark)
+
+
+# --- trajectories: A9, P21, P23, P25 ----------------------------------------------------
+@query("trajectory_summary")
+def trajectory_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import trajectories as tr
+    s = tr.trajectory_stats(fixtures.trajectory_steps(spark, sf_dir))
+    return s.select("trajectory_id", "num_steps", "num_attempts", "first_agent", "last_agent",
+                    F.length("last_output").alias("last_output_chars"))
+
+
+@query("training_examples")
+def training_examples_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.functions.text import repair_reasoning_text
+    from failurelens.operators import trajectories as tr
+    steps = fixtures.trajectory_steps(spark, sf_dir)
+    stats = tr.trajectory_stats(steps)
+    verified = F.col("last_agent") == "assistant"
+    finals = stats.select(
+        "trajectory_id",
+        F.when(verified, F.col("last_output")).otherwise(F.lit("")).alias("repaired_code"),
+        repair_reasoning_text(F.col("first_agent"), F.lit("Logic"), F.concat(F.lit("rewrite after "),
+                              F.col("num_steps").cast("string"), F.lit(" steps")), verified).alias("repair_reasoning"),
+        verified.alias("verified"))
+    first = steps.groupBy("trajectory_id").agg(F.min_by("output", "seq").alias("task"))
+    ctx = first.select("trajectory_id", "task", F.lit("").alias("plan"), F.col("task").alias("failed_code"),
+                       F.when(F.length("task") % 2 == 0, F.lit("Logic")).otherwise(F.lit("logic")).alias("failure_cluster"),
+                       F.col("trajectory_id").alias("source_task_id"))
+    ex = tr.to_training_examples(finals, ctx)
+    return ex.select(tr.deterministic_id("trajectory_id").alias("example_id"), "trajectory_id", "failure_cluster",
+                     "repair_reasoning", F.length("repaired_code").alias("repaired_chars"), "verified")
+
+
+# --- reports: K8-K11, J7, W4, A10, A11, P29, F7, T6, U2 ---------------------------------------
+@query("round_metrics")
+def round_metrics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixtures.round_metrics(spark, sf_dir)
+    return m.select("run_name", "round", "metric", r6("value").alias("value"))
+
+
+RUNS = ["de", "en", "es", "fr"]
+
+
+@query("run_comparison")
+def run_comparison_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import reports
+    return reports.compare_runs(fixtures.run_metrics(spark, sf_dir), RUNS)
+
+
+@query("round_deltas")
+def round_deltas_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import reports
+    d = reports.round_deltas(fixtures.round_metrics(spark, sf_dir), ["labels/pass@1", "toxic/pass@1"])
+    return d.select("run_name", "round", "metric", r6("value").alias("value"), r6("delta").alias("delta"))
+
+
+@query("experiment_summary")
+def experiment_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import reports
+    return reports.experiment_summary(fixtures.round_metrics(spark, sf_dir))
+
+
+@query("step_totals")
+def step_totals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import reports
+    res = parse_exec_log(fixtures.exec_log(spark, sf_dir))
+    t = reports.step_totals(res, ["benchmark"])
+    return t.select("benchmark", "tests_passed", "tests_failed", "tests_total",
+                    r6("avg_execution_time_ms").alias("avg_execution_time_ms"), "task_success", "executions")
+
+
+# --- responses: P14-P19 -----------------------------------------------------------------
+@query("json_responses")
+def json_responses_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.functions import responses as rs
+    r = rs.with_parsed(fixtures.json_responses(spark, sf_dir), "response", "_v")
+    p = r.select("event_id", "response", F.col("_v").isNotNull().alias("parsed"),
+                 rs.planner_output("response", "_v").alias("plan"), rs.critic_output("response", "_v").alias("critic"))
+    return p.select("event_id", "parsed",
+                    F.col("plan.algorithm_strategy").alias("algorithm_strategy"),
+                    F.col("plan.complexity_estimate").alias("complexity_estimate"),
+                    F.array_join("plan.edge_cases", ", ").alias("edge_cases"),
+                    F.col("plan.key_observations").alias("key_observations"),
+                    F.col("critic.is_valid").alias("is_valid"),
+                    r6("critic.confidence").alias("confidence"),
+                    F.array_join("critic.issues_found", "; ").alias("issues_found"))
+
+
+@query("code_blocks")
+def code_blocks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.functions import responses as rs
+    r = rs.with_parsed(fixtures.code_responses(spark, sf_dir), "response", "_v")
+    d = rs.debugger_output("response", "_v")
+    return r.select("doc_id", rs.coder_output("response").alias("code"),
+                    d["analysis"]["root_cause"].alias("debug_root_cause"),
+                    F.length(d["analysis"]["detailed_explanation"]).alias("debug_explanation_chars"))
+
+
+# --- problems: S1-S3, T4, P10-P12 ---------------------------------------------------------
+@query("problems")
+def problems_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.functions import execlog as ex
+    from failurelens.functions.text import fingerprint
+    p = fixtures.problems(spark, sf_dir)
+    cases = F.array(F.struct(F.col("test").alias("test_code")))
+    return p.select(
+        "ordinal", "task_id", "entry_point",
+        F.length("prompt").alias("prompt_chars"),
+        ex.test_code_from_cases(cases).alias("test_code"),
+        ex.mbpp_script(F.concat(F.lit("def "), F.col("entry_point"), F.lit("(x):\n    return x")), "test_list")
+        .alias("mbpp_script"),
+        fingerprint(ex.wrapped_script(F.col("prompt"), F.col("test"), F.col("entry_point"))).alias("wrapped_fp"),
+        fingerprint(ex.benchmark_script(F.col("prompt"), F.col("test"), F.col("entry_point"))).alias("benchmark_fp"),
+    )

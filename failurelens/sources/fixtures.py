@@ -151,3 +151,116 @@ def failure_text_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("")).alias("traceback"),
         F.col("text"),
     )
+
+
+def _event_label() -> Column:
+    m = F.create_map(*[v for k, lab in EVENT_TYPE_LABELS.items() for v in (F.lit(k), F.lit(lab))])
+    return F.try_element_at(m, F.col("event_type"))
+
+
+def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> buffer rows: seq = event_id, cluster label from the event type (lenient parse)."""
+    from failurelens.functions.text import canonical_cluster
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("Problem for user "), F.col("user_id").cast("string")).alias("problem"),
+        F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("Use approach "), F.col("props")))
+        .alias("plan"),
+        F.concat(F.lit("def f(x):" + NL + "    return x + "), F.format_string("%.2f", F.col("value"))).alias("failed_code"),
+        F.concat(F.lit("Root cause: "), F.col("event_type")).alias("repair_reasoning"),
+        F.concat(F.lit("def f(x):" + NL + "    return x - "), F.format_string("%.2f", F.col("value"))).alias("repaired_code"),
+        canonical_cluster(_event_label(), "lenient").alias("failure_cluster"),
+        F.lit(1.0).alias("weight"),
+        F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("trajectory_id"),
+        F.col("user_id").cast("string").alias("source_task_id"),
+    )
+
+
+def trajectory_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations -> repair steps: trajectory = conversation, seq = turn, agent = role."""
+    c = table(spark, sf_dir, "conversations")
+    action = (F.when(F.col("role") == "assistant", F.lit("generate_repair"))
+              .when(F.col("role") == "user", F.lit("analyse_failure")).otherwise(F.lit("set_context")))
+    return c.select(F.col("conv_id").cast("string").alias("trajectory_id"), F.col("turn").alias("seq"),
+                    F.col("role").alias("agent"), action.alias("action"),
+                    F.col("text").alias("reasoning"), F.col("text").alias("output"))
+
+
+def round_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels x documents -> long metric rows (run = language, round = source number)."""
+    lab = table(spark, sf_dir, "labels")
+    doc = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    j = lab.join(doc, on="doc_id", how="inner")
+    g = j.groupBy(F.col("lang").alias("run_name"),
+                  F.regexp_extract("source", "([0-9]+)", 1).cast("int").alias("round")).agg(
+        F.avg("quality").alias("m_pass1"),
+        F.avg("toxic").alias("m_toxic"),
+        F.count(F.lit(1)).cast("double").alias("m_n"),
+        F.avg(F.when(F.col("toxic") == 1, F.col("quality"))).alias("m_pass1_toxic"),
+    )
+    from failurelens.operators.reports import to_long
+    long = to_long(g, ["run_name", "round"], {"m_pass1": "labels/pass@1", "m_toxic": "labels/toxic_rate",
+                                              "m_n": "labels/num_problems", "m_pass1_toxic": "toxic/pass@1"})
+    return long.where(F.col("value").isNotNull())
+
+
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels x documents -> one metric set per run (language) over all rounds."""
+    lab = table(spark, sf_dir, "labels")
+    doc = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    j = lab.join(doc, on="doc_id", how="inner")
+    g = j.groupBy(F.col("lang").alias("run_name")).agg(
+        F.avg("quality").alias("m_pass1"), F.avg("toxic").alias("m_toxic"),
+        F.count(F.lit(1)).cast("double").alias("m_n"),
+        F.avg(F.when(F.col("n_chars") > 20000, F.col("quality"))).alias("m_long"),
+    )
+    from failurelens.operators.reports import to_long
+    long = to_long(g, ["run_name"], {"m_pass1": "labels/pass@1", "m_toxic": "labels/toxic_rate",
+                                     "m_n": "labels/num_problems", "m_long": "long_docs/pass@1"})
+    return long.where(F.col("value").isNotNull())
+
+
+def json_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> model responses: JSON objects, fenced JSON, damaged JSON and lists."""
+    e = table(spark, sf_dir, "events")
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    doc = F.concat(
+        F.lit('{"algorithm_strategy": "'), F.col("event_type"),
+        F.lit('", "complexity_estimate": "O(n^'), (k % 3 + 1).cast("string"),
+        F.lit(')", "edge_cases": ["user '), F.col("user_id").cast("string"), F.lit('", "empty"], "key_observations": "k='),
+        k.cast("string"), F.lit('", "is_valid": '), F.when(k % 2 == 0, F.lit("true")).otherwise(F.lit("false")),
+        F.lit(', "confidence": 0.'), F.lpad((k % 100).cast("string"), 2, "0"), F.lit("}"))
+    r = F.col("event_id") % 3
+    resp = (F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("["), k.cast("string"), F.lit("]")))
+            .when(r == 0, F.concat(doc, F.lit(" trailing words")))
+            .when(r == 1, F.concat(F.lit("Here you go:" + NL + "```json" + NL), doc, F.lit(NL + "```")))
+            .otherwise(doc))
+    return e.select("event_id", resp.alias("response"))
+
+
+def code_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> coder responses: fenced, plain, unclosed fence, empty first block."""
+    d = table(spark, sf_dir, "documents")
+    r = F.col("doc_id") % 4
+    resp = (F.when(r == 0, F.concat(F.lit("Here is the fix:" + NL + "```python" + NL), F.col("text"),
+                                    F.lit(NL + "```" + NL + "Hope it helps.")))
+            .when(r == 1, F.col("text"))
+            .when(r == 2, F.concat(F.lit("```" + NL), F.col("text")))
+            .otherwise(F.concat(F.lit("  ```" + NL + "```" + NL), F.col("text"))))
+    return d.select("doc_id", resp.alias("response"))
+
+
+def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """benchmark -> problem table (ordinal = item_id)."""
+    b = table(spark, sf_dir, "benchmark")
+    iid = F.col("item_id").cast("string")
+    return b.select(
+        F.col("item_id").alias("ordinal"),
+        F.concat(F.lit("Bench/"), iid).alias("task_id"),
+        F.col("text").alias("prompt"),
+        F.concat(F.lit("solve_"), iid).alias("entry_point"),
+        F.concat(F.lit("def check(candidate):" + NL + "    assert candidate("), iid, F.lit(") is not None")).alias("test"),
+        F.array(F.concat(F.lit("assert solve_"), iid, F.lit("(1) == 1")),
+                F.concat(F.lit("assert solve_"), iid, F.lit("(2) == 2"))).alias("test_list"),
+    )
