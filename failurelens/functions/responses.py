@@ -47,7 +47,8 @@ def strict_json_object(text) -> Column:
 def parse_response_json(text) -> Column:
     """Whole text as JSON, else its first code block as JSON, else null."""
     t = _c(text)
-    return F.coalesce(strict_json_object(t), strict_json_object(extract_code_block(t)))
+    fenced = F.instr(t, "```") > 0
+    return F.coalesce(strict_json_object(t), F.when(fenced, strict_json_object(extract_code_block(t))))
 
 
 def with_parsed(df, text_col: str = "response", out_col: str = "parsed"):

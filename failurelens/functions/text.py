@@ -114,7 +114,8 @@ def extract_code_block(text) -> Column:
                 return F.when((first > 0) & (F.size(body) > 0), F.array_join(body, "\n")).otherwise(t)
             return let(rest, on_rest)
         return let(F.array_position(F.transform(lines, lambda l: l.rlike(r"(?U)^\s*```")), True), on_first)
-    return let(F.split(t, "\n", -1), on_lines)
+    # no fence anywhere -> the text itself, without splitting it into lines
+    return F.when(F.instr(t, FENCE) > 0, let(F.split(t, "\n", -1), on_lines)).otherwise(t)
 
 
 def plan_text(strategy, complexity, edge_cases, observations) -> Column:

@@ -9,9 +9,10 @@ except through partial aggregates.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,8 +96,15 @@ def cluster_stats(assigned: DataFrame, names: Sequence[str] = CLUSTER_NAMES,
     are not. Counts are a partial aggregate; the k-row result is joined to the
     cluster dimension.
     """
-    spark = assigned.sparkSession
     counts = assigned.groupBy(F.col(cluster_col).alias("cluster_name")).agg(F.count(F.lit(1)).alias("n"))
+    return cluster_stats_from_counts(counts, "cluster_name", "n", names)
+
+
+def cluster_stats_from_counts(counts: DataFrame, cluster_col: str = "cluster_name", count_col: str = "n",
+                              names: Sequence[str] = CLUSTER_NAMES) -> DataFrame:
+    """``cluster_stats`` from an already aggregated (cluster, count) table."""
+    spark = counts.sparkSession
+    counts = counts.select(F.col(cluster_col).alias("cluster_name"), F.col(count_col).alias("n"))
     dim = cluster_dimension(spark, names)
     j = dim.join(F.broadcast(counts), on="cluster_name", how="left") \
         .withColumn("total_failures", F.coalesce(F.col("n"), F.lit(0)).cast("bigint"))
@@ -223,12 +231,15 @@ def heuristic_init(df: DataFrame, k: int, names: Sequence[str], vec_col: str = "
 
 
 def evenly_spaced_positions(spark: SparkSession, n: int, k: int) -> DataFrame:
-    """``(cluster_idx, pos)`` with pos = int(i * ((n - 1) / (k - 1))) in double; k = 1 -> 0."""
+    """``(cluster_idx, pos)`` with pos = int(i * ((n - 1) / (k - 1))) in double, the last
+    index pinned to n - 1 (floor of linspace); k = 1 -> 0."""
     idx = spark.range(k).select(F.col("id").cast("int").alias("cluster_idx"))
     if k == 1:
         return idx.select("cluster_idx", F.lit(0).cast("bigint").alias("pos"))
     step = F.lit(float(n - 1)) / F.lit(float(k - 1))
-    return idx.select("cluster_idx", F.floor(F.col("cluster_idx").cast("double") * step).cast("bigint").alias("pos"))
+    pos = F.when(F.col("cluster_idx") == k - 1, F.lit(n - 1)) \
+        .otherwise(F.floor(F.col("cluster_idx").cast("double") * step))
+    return idx.select("cluster_idx", pos.cast("bigint").alias("pos"))
 
 
 # ---------------------------------------------------------------------------
@@ -295,20 +306,20 @@ def ordered_ema_update(df: DataFrame, centroids: DataFrame, alpha: float = 0.1,
                                             T.StructField("n_assigned", T.LongType())])
 
     def fold(it):
-        import pandas as pd
         states: dict = {}
         for pdf in it:
-            for row in pdf.itertuples(index=False):
-                key = tuple(getattr(row, kc) for kc in keys)
+            key_vals = [pdf[kc].to_numpy() for kc in keys]
+            vecs = pdf["vec_"].to_numpy()
+            for r in range(len(pdf)):
+                key = tuple(kv[r] for kv in key_vals)
                 st = states.get(key)
                 if st is None:
                     st = states[key] = ([c.copy() for _, _, c in bc.value], [0] * len(bc.value))
-                x = np.asarray(getattr(row, "_v"), dtype=np.float64)
+                x = np.asarray(vecs[r], dtype=np.float64)
                 nx = np.linalg.norm(x)
                 if nx > 0:
                     x = x / nx
-                mat = np.stack(st[0])
-                j = int(np.argmax(mat @ x))
+                j = int(np.argmax(np.stack(st[0]) @ x))
                 st[0][j] = (1 - alpha) * st[0][j] + alpha * x
                 st[1][j] += 1
         rows = []
@@ -321,7 +332,7 @@ def ordered_ema_update(df: DataFrame, centroids: DataFrame, alpha: float = 0.1,
     if not keys:
         raise ValueError("ordered mode folds one centroid set per key: pass key_cols (e.g. a run column); "
                          "use ema_update for the distributed update")
-    src = df.select(*keys, F.col(order_col), F.col(vec_col).cast("array<double>").alias("_v"))
+    src = df.select(*keys, F.col(order_col), F.col(vec_col).cast("array<double>").alias("vec_"))
     return src.repartition(*keys).sortWithinPartitions(*keys, order_col).mapInPandas(fold, out_schema)
 
 
@@ -348,11 +359,10 @@ def model_encoder(df: DataFrame, text_col: str, load_model: Callable[[], Callabl
     """User-supplied encoder in an iterator Pandas UDF: the model loads once per
     Python worker and encodes Arrow batches (size via
     ``spark.sql.execution.arrow.maxRecordsPerBatch``); outputs are unit-normalised."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf(T.ArrayType(T.FloatType()))
-    def enc(batches):
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         key = id(load_model)
         if key not in _MODEL_CACHE:
             _MODEL_CACHE[key] = load_model()

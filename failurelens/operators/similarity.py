@@ -50,7 +50,8 @@ def _local_top_k(qids: np.ndarray, qmat: np.ndarray, k: int, id_type: str):
 
 def top_k_similar(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "record_id",
                   vec_col: str = "embedding", query_id_col: str = "query_id",
-                  query_vec_col: str = "query_vec", max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                  query_vec_col: str = "query_vec", max_broadcast: int = MAX_BROADCAST_QUERIES,
+                  _level: int = 0) -> DataFrame:
     """Top ``k`` store rows per query by cosine with 1e-8 on each norm.
 
     Result: ``(query_id, <id_col>, similarity, rank)``, ties broken by id.
@@ -65,10 +66,13 @@ def top_k_similar(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str
                                T.StructField("rank", T.IntegerType())])
         return spark.createDataFrame([], schema)
     if nq > max_broadcast:
-        n_chunks = -(-nq // max_broadcast)
-        chunked = queries.withColumn("_chunk", F.pmod(F.xxhash64(F.col(query_id_col)), F.lit(n_chunks)))
+        # hash-split into about twice the needed chunks; a chunk still above the
+        # bound is split again with a different salt, so the recursion ends
+        n_chunks = 2 * -(-nq // max_broadcast)
+        chunked = queries.withColumn(
+            "_chunk", F.pmod(F.xxhash64(F.col(query_id_col), F.lit(_level)), F.lit(n_chunks)))
         parts = [top_k_similar(store, chunked.where(F.col("_chunk") == i).drop("_chunk"), k, id_col, vec_col,
-                               query_id_col, query_vec_col, max_broadcast) for i in range(n_chunks)]
+                               query_id_col, query_vec_col, max_broadcast, _level + 1) for i in range(n_chunks)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

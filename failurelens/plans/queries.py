@@ -82,13 +82,21 @@ def failure_store_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("failure_counts")
 def failure_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from failurelens.operators import cluster, store
+    from pyspark.sql import Window
+
+    from failurelens.operators import cluster
     s = _store(spark, sf_dir)
-    stats = cluster.cluster_stats(s, cluster_col="failure_cluster")
-    tot = store.total_count(s).scalar()
-    emb = store.all_embeddings(s).select(F.count(F.lit(1))).scalar()
-    return stats.select("cluster_name", "total_failures", r6("failure_rate").alias("failure_rate"), "recent_trend",
-                        tot.alias("store_total"), emb.alias("with_embedding"))
+    # one pass over the store: per-cluster counts (partial aggregate), then
+    # totals over the handful of cluster rows
+    per = s.groupBy("failure_cluster").agg(F.count(F.lit(1)).alias("n"),
+                                           F.count_if(F.col("embedding").isNotNull()).alias("n_emb"))
+    stats = cluster.cluster_stats_from_counts(per, "failure_cluster", "n")
+    allw = Window.partitionBy()
+    return (stats.join(F.broadcast(per.select(F.col("failure_cluster").alias("cluster_name"), "n_emb")),
+                       on="cluster_name", how="left")
+            .select("cluster_name", "total_failures", r6("failure_rate").alias("failure_rate"), "recent_trend",
+                    F.sum("total_failures").over(allw).alias("store_total"),
+                    F.coalesce(F.sum("n_emb").over(allw), F.lit(0)).alias("with_embedding")))
 
 
 @query("recent_failures_by_cluster")
