@@ -118,54 +118,132 @@ def search_similar(store: DataFrame, query: Sequence[float], top_k: int = 5,
 
 
 # ---------------------------------------------------------------------------
-# Versioned Parquet persistence
+# Log-structured Parquet persistence
 # ---------------------------------------------------------------------------
-_VERSION = re.compile(r"^v(\d{8})$")
+_BATCH = re.compile(r"^batch_id=(\d+)$")
+_SNAP = re.compile(r"^upto=(\d+)$")
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _committed(spark: SparkSession, path: str, pattern: re.Pattern) -> list[int]:
+    jvm, p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        m = pattern.match(st.getPath().getName())
+        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(m.group(1)))
+    return sorted(out)
 
 
 class FailureStore:
-    """A directory of versions ``v00000001/`` ...; the newest committed one is current."""
+    """Upsertable failure store as an append-only log of batches plus snapshots.
+
+    * ``store_batch`` writes only the new batch (``batches/batch_id=N/``,
+      partitioned by cluster): O(batch) per write, and a replayed batch id
+      overwrites exactly its own directory.
+    * ``read(version)`` resolves INSERT OR REPLACE lazily: latest row per
+      ``record_id`` over the newest snapshot at or below ``version`` plus the
+      batches after it, ordered by (batch id, seq); one partial aggregate.
+    * ``compact(version)`` materialises that state as ``snapshots/upto=N/`` so
+      later reads start from it.
+    Nothing is overwritten while it can be read, and no table format is needed.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.batches_path = os.path.join(path, "batches")
+        self.snapshots_path = os.path.join(path, "snapshots")
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(conf)
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            m = _VERSION.match(st.getPath().getName())
-            if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(m.group(1)))
-        return sorted(out)
+    def _schema(self) -> T.StructType:
+        return T.StructType(FAILURE_RECORD.fields + [T.StructField("seq", T.LongType())])
+
+    def batch_ids(self) -> list[int]:
+        return _committed(self.spark, self.batches_path, _BATCH)
 
     def current_version(self) -> int | None:
-        v = self._versions()
-        return v[-1] if v else None
+        ids = self.batch_ids()
+        return ids[-1] if ids else None
+
+    def store_batch(self, batch: DataFrame, version: int | None = None) -> int:
+        """Append ``batch`` as batch ``version`` (default: next id) and return the id."""
+        bid = version if version is not None else (self.current_version() or 0) + 1
+        rows = clean_records(batch)
+        if "seq" not in rows.columns:
+            rows = rows.withColumn("seq", F.monotonically_increasing_id())
+        cols = [c for c in STORE_COLUMNS if c in rows.columns] + ["seq"]
+        (rows.select(*cols).write.mode("overwrite").partitionBy("failure_cluster")
+         .parquet(os.path.join(self.batches_path, f"batch_id={bid:010d}")))
+        return bid
+
+    def _batch_frame(self, ids: list[int]) -> DataFrame | None:
+        """All committed batches in ``ids`` as one scan; ``batch_id`` is a
+        partition column, so the id filter prunes directories (in-flight or
+        uncommitted batches are never listed)."""
+        if not ids:
+            return None
+        schema = T.StructType([f for f in self._schema().fields if f.name != "failure_cluster"]
+                              + [T.StructField("batch_id", T.LongType()),
+                                 T.StructField("failure_cluster", T.StringType())])
+        df = self.spark.read.schema(schema).parquet(self.batches_path)
+        return df.where(F.col("batch_id").isin(ids)).withColumnRenamed("batch_id", "_batch")
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        v = self.current_version() if version is None else version
-        if v is None or v not in self._versions():
+        upto = self.current_version() if version is None else version
+        if upto is None:
+            return None
+        snaps = [s for s in _committed(self.spark, self.snapshots_path, _SNAP) if s <= upto]
+        base = None
+        if snaps:
+            base = (self.spark.read.schema(self._schema())
+                    .parquet(os.path.join(self.snapshots_path, f"upto={snaps[-1]:010d}"))
+                    .withColumn("_batch", F.lit(-1).cast("bigint")))
+        newer = self._batch_frame([i for i in self.batch_ids() if i <= upto and (not snaps or i > snaps[-1])])
+        if base is None and newer is None:
             return None
-        schema = T.StructType(FAILURE_RECORD.fields + [T.StructField("seq", T.LongType())])
-        return self.spark.read.schema(schema).parquet(
-            os.path.join(self.path, f"v{v:08d}"))
+        staged = newer if base is None else (base if newer is None else base.unionByName(newer))
+        return latest_per_key(staged, ["record_id"], ["_batch", "seq"]).drop("_batch")
+
+    def compact(self, version: int | None = None) -> int | None:
+        """Write the resolved state up to ``version`` as a snapshot."""
+        upto = self.current_version() if version is None else version
+        state = self.read(upto)
+        if state is None:
+            return None
+        (state.write.mode("overwrite").partitionBy("failure_cluster")
+         .parquet(os.path.join(self.snapshots_path, f"upto={upto:010d}")))
+        return upto
 
-    def store_batch(self, batch: DataFrame, version: int | None = None) -> int:
-        """Upsert ``batch`` and commit it as the next version.
-
-        With ``version`` given (a micro-batch id), the batch is applied on top of
-        ``version - 1`` and written to ``version``: a replayed batch rewrites its
-        own output and never the version it reads.
-        """
-        nxt = version if version is not None else (self.current_version() or 0) + 1
-        cur = self.read(nxt - 1) if nxt > 1 else None
-        merged = upsert(cur, batch)
-        cols = [c for c in STORE_COLUMNS if c in merged.columns] + ["seq"]
-        (merged.select(*cols).write.mode("overwrite").partitionBy("failure_cluster")
-         .parquet(os.path.join(self.path, f"v{nxt:08d}")))
-        return nxt
+
+class VersionedTable:
+    """Small tables (centroids, bounded buffers) kept as whole versions ``v=N``.
+
+    Version N is written from version N-1, so replaying step N rewrites only
+    its own output.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def versions(self) -> list[int]:
+        return _committed(self.spark, self.path, re.compile(r"^v=(\d+)$"))
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        vs = self.versions()
+        v = (vs[-1] if vs else None) if version is None else version
+        if v is None or v not in vs:
+            return None
+        r = self.spark.read
+        if self.schema is not None:
+            r = r.schema(self.schema)
+        return r.parquet(os.path.join(self.path, f"v={v:010d}"))
+
+    def write(self, df: DataFrame, version: int) -> int:
+        df.write.mode("overwrite").parquet(os.path.join(self.path, f"v={version:010d}"))
+        return version

@@ -85,3 +85,16 @@ def test_many_query_top_k_matches_brute_force(spark):
     # chunked path (query set above the broadcast bound) gives the same answer
     got2 = top_k_similar(st, q, k=3, max_broadcast=2).collect()
     assert sorted((r.query_id, r.record_id) for r in got2) == sorted((r.query_id, r.record_id) for r in got)
+
+
+def test_compaction_keeps_state(spark, tmp_dir):
+    fs = store.FailureStore(spark, tmp_dir)
+    fs.store_batch(_records(spark, [_rec("r1", "Logic", None, T0, "a"), _rec("r2", "Logic", None, T0, "b")]))
+    fs.store_batch(_records(spark, [_rec("r1", "Syntax", None, T0, "c")]))
+    before = sorted((r.record_id, r.task, r.failure_cluster) for r in fs.read().collect())
+    assert fs.compact() == 2
+    fs.store_batch(_records(spark, [_rec("r3", "Logic", None, T0, "d")]))
+    after = sorted((r.record_id, r.task, r.failure_cluster) for r in fs.read().collect())
+    assert before == [("r1", "c", "Syntax"), ("r2", "b", "Logic")]
+    assert after == before + [("r3", "d", "Logic")]
+    assert sorted(r.record_id for r in fs.read(1).collect()) == ["r1", "r2"]
