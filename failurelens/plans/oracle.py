@@ -705,3 +705,31 @@ SELECT ordinal, task_id, entry_point, length(prompt) AS prompt_chars, test AS te
   left(sha256(""" + BENCH + """), 16) AS benchmark_fp
 FROM p
 """)
+
+
+# ---------------------------------------------------------------------------
+# prompt requests (planner + coder user messages over benchmark items)
+# ---------------------------------------------------------------------------
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _prompt_sql() -> str:
+    from failurelens.functions.prompts import CODER_SYSTEM, PLANNER_SYSTEM
+    nl2 = "chr(10) || chr(10)"
+    planner_user = (f"'## Coding Problem' || {nl2} || text || {nl2} || '---' || {nl2} || "
+                    "'Analyze this problem and provide your algorithmic plan as JSON.'")
+    coder_user = (f"'## Problem' || {nl2} || text || {nl2} || '## Algorithmic Plan' || {nl2} || "
+                  "coalesce(CASE WHEN item_id % 2 = 0 THEN 'Strategy: loop over solve_' || CAST(item_id AS VARCHAR) END, "
+                  f"'No plan provided.') || {nl2} || '---' || {nl2} || "
+                  "'Write a complete Python function that solves this problem. "
+                  "Output ONLY the function in a ```python code block.'")
+    return f"""
+SELECT 'Bench/' || CAST(item_id AS VARCHAR) AS request_id, 'planner' AS role, {_sql_str(PLANNER_SYSTEM)} AS system_prompt,
+  {planner_user} AS user_prompt FROM benchmark
+UNION ALL
+SELECT 'Bench/' || CAST(item_id AS VARCHAR), 'coder', {_sql_str(CODER_SYSTEM)}, {coder_user} FROM benchmark
+"""
+
+
+register("prompt_requests", _prompt_sql())

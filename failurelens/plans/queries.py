@@ -368,3 +368,15 @@ def problems_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint(ex.wrapped_script(F.col("prompt"), F.col("test"), F.col("entry_point"))).alias("wrapped_fp"),
         fingerprint(ex.benchmark_script(F.col("prompt"), F.col("test"), F.col("entry_point"))).alias("benchmark_fp"),
     )
+
+
+# --- prompt requests: P22, E1 ----------------------------------------------------------
+@query("prompt_requests")
+def prompt_requests_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.functions.prompts import CODER, PLANNER, request_table
+    p = fixtures.problems(spark, sf_dir)
+    plan = F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("Strategy: loop over "), F.col("entry_point")))
+    reqs = request_table(p, PLANNER, "task_id", task="prompt").unionByName(
+        request_table(p.withColumn("plan_text", plan), CODER, "task_id", task="prompt", plan="plan_text"))
+    return reqs.select("request_id", "role", F.col("messages")[0]["content"].alias("system_prompt"),
+                       F.col("messages")[1]["content"].alias("user_prompt"))
