@@ -1,6 +1,6 @@
 """Routing labels as columns, attempt counters, and ablation topologies.
 
-The reference decides the next stage of one task at a time; here the same
+A per-task pipeline decides the next stage one task at a time; here the same
 rules label every recorded attempt at once, so funnels and stuck tasks are
 plain aggregates.
 """

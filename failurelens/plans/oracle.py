@@ -541,7 +541,19 @@ rm AS (
 
 register("round_metrics", f"""
 WITH {ROUND_METRICS.strip()}
-SELECT run_name, round, metric, round(value, 6) AS value FROM rm
+SELECT run_name, round, metric, round(value, 6) AS value,
+  coalesce(CASE WHEN value IS NOT NULL THEN printf('%.4f', round(value, 4)) END, 'N/A') AS cell FROM rm
+""")
+
+register("round_log", f"""
+WITH {ROUND_METRICS.strip()},
+first AS (SELECT *, 1 AS logged_at FROM rm),
+again AS (SELECT run_name, round, 'relogged/pass@1' AS metric, value, 2 AS logged_at FROM rm
+          WHERE run_name = 'en' AND metric = 'labels/pass@1'),
+allr AS (SELECT * FROM first UNION ALL SELECT * FROM again),
+latest AS (SELECT run_name, round, max(logged_at) AS logged_at FROM allr GROUP BY 1, 2)
+SELECT a.run_name, a.round, a.metric, round(a.value, 6) AS value, a.logged_at
+FROM allr a JOIN latest l ON a.run_name = l.run_name AND a.round = l.round AND a.logged_at = l.logged_at
 """)
 
 
@@ -644,6 +656,10 @@ p AS (
 register("json_responses", f"""
 WITH {JSON_RESP.strip()}
 SELECT event_id, js IS NOT NULL AS parsed,
+  'Strategy: ' || CASE WHEN js IS NULL THEN response ELSE coalesce(json_extract_string(js, '$.algorithm_strategy'), '') END
+    || chr(10) || 'Complexity: ' || CASE WHEN js IS NULL THEN 'Unknown' ELSE coalesce(json_extract_string(js, '$.complexity_estimate'), 'Unknown') END
+    || chr(10) || 'Edge Cases: ' || CASE WHEN js IS NULL THEN '' ELSE coalesce(array_to_string(json_extract_string(js, '$.edge_cases[*]'), ', '), '') END
+    || chr(10) || 'Observations: ' || CASE WHEN js IS NULL THEN '' ELSE coalesce(json_extract_string(js, '$.key_observations'), '') END AS plan_text,
   CASE WHEN js IS NULL THEN response ELSE coalesce(json_extract_string(js, '$.algorithm_strategy'), '') END AS algorithm_strategy,
   CASE WHEN js IS NULL THEN 'Unknown' ELSE coalesce(json_extract_string(js, '$.complexity_estimate'), 'Unknown') END AS complexity_estimate,
   CASE WHEN js IS NULL THEN '' ELSE coalesce(array_to_string(json_extract_string(js, '$.edge_cases[*]'), ', '), '') END AS edge_cases,

@@ -290,8 +290,22 @@ def training_examples_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports: K8-K11, J7, W4, A10, A11, P29, F7, T6, U2 ---------------------------------------
 @query("round_metrics")
 def round_metrics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.operators import reports
     m = fixtures.round_metrics(spark, sf_dir)
-    return m.select("run_name", "round", "metric", r6("value").alias("value"))
+    return reports.report_rows(m).select("run_name", "round", "metric", r6("value").alias("value"), "cell")
+
+
+@query("round_log")
+def round_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert-or-replace of whole rounds: the English run is re-evaluated and logged again."""
+    from failurelens.operators import reports
+    first = fixtures.round_metrics(spark, sf_dir).withColumn("logged_at", F.lit(1))
+    again = (fixtures.round_metrics(spark, sf_dir).where(F.col("run_name") == "en")
+             .where(F.col("metric") == "labels/pass@1")
+             .select("run_name", "round", F.lit("relogged/pass@1").alias("metric"), "value")
+             .withColumn("logged_at", F.lit(2)))
+    log = reports.log_round(first, again)
+    return log.select("run_name", "round", "metric", r6("value").alias("value"), "logged_at")
 
 
 RUNS = ["de", "en", "es", "fr"]
@@ -332,7 +346,10 @@ def json_responses_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rs.with_parsed(fixtures.json_responses(spark, sf_dir), "response", "_v")
     p = r.select("event_id", "response", F.col("_v").isNotNull().alias("parsed"),
                  rs.planner_output("response", "_v").alias("plan"), rs.critic_output("response", "_v").alias("critic"))
+    from failurelens.functions.text import plan_text
     return p.select("event_id", "parsed",
+                    plan_text("plan.algorithm_strategy", "plan.complexity_estimate", "plan.edge_cases",
+                              "plan.key_observations").alias("plan_text"),
                     F.col("plan.algorithm_strategy").alias("algorithm_strategy"),
                     F.col("plan.complexity_estimate").alias("complexity_estimate"),
                     F.array_join("plan.edge_cases", ", ").alias("edge_cases"),
