@@ -14,6 +14,12 @@ from failurelens.schemas import ERROR_TYPES
 
 RESULTS_PREFIX = "RESULTS:"
 _COUNT_KEYS = ("passed", "failed", "total")
+# First line starting with RESULTS: (only '\n' ends a line, as in Python's split).
+_LINE_RE = r"(?md)^(RESULTS:.*)$"
+# A RESULTS line whose every token after the first is key=value with a single '=',
+# and whose count keys carry plain integers: nothing on it can fail to parse.
+_WELL_FORMED_RE = (r"(?U)^\S*(?:\s+(?:(?:passed|failed|total)=[+-]?[0-9]+"
+                   r"|(?!(?:passed|failed|total)=)[^=\s]+=[^=\s]*))*+\s*$")
 
 
 def _c(x) -> Column:
@@ -90,6 +96,20 @@ def is_success(passed="passed", failed="failed", timeout="timeout") -> Column:
     )
 
 
+def _count_from_tokens(toks: Column, key: str) -> Column:
+    vals = F.transform(
+        F.filter(toks, lambda t: F.try_element_at(F.split(t, "=", -1), F.lit(1)) == key),
+        lambda t: F.try_element_at(F.split(t, "=", -1), F.lit(2)).try_cast("bigint"),
+    )
+    return F.coalesce(F.try_element_at(vals, F.lit(-1)), F.lit(0).cast("bigint"))
+
+
+def _count_from_line(line: Column, key: str) -> Column:
+    """Last ``key=<int>`` token on a well-formed RESULTS line, else 0 (no lambdas)."""
+    vals = F.regexp_extract_all(line, F.lit(r"(?U)(?:^|\s)" + key + r"=(\S*)"), 1)
+    return F.coalesce(F.try_element_at(vals, F.lit(-1)).try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def parse_exec_log(df: DataFrame, timeout_seconds: int = 30) -> DataFrame:
     """Raw run log -> typed execution results (one row in, one row out).
 
@@ -97,38 +117,42 @@ def parse_exec_log(df: DataFrame, timeout_seconds: int = 30) -> DataFrame:
       * timed out: returncode -1, no tests, fixed message, null error type
       * malformed RESULTS line: returncode -1, error 'ValueError', its message
       * otherwise parsed counts; a crash with no parsed tests counts as 1 failed
-    Adds ``success``. Narrow transformation: no shuffle.
+    Adds ``success``. Narrow transformation: no shuffle. Well-formed lines are
+    read with regular expressions only; just the malformed ones are split into
+    tokens to find the first failing token and its message.
     """
     timed_out = F.coalesce(F.col("timed_out"), F.lit(False))
-    perr = results_parse_error("stdout")
-    passed = results_count("stdout", "passed")
-    failed = results_count("stdout", "failed")
-    total = results_count("stdout", "total")
-    rc = F.coalesce(F.col("returncode"), F.lit(0))
-    crashed = (rc != 0) & (total == 0)
-
-    out = (
-        df.withColumn("_perr", F.when(~timed_out, perr))
-        .withColumn("_bad", F.col("_perr").isNotNull())
-        .select(
-            *[c for c in df.columns if c not in ("stdout", "stderr", "returncode", "timed_out", "elapsed_ms")],
-            F.when(timed_out | F.col("_bad"), F.lit(0).cast("bigint")).otherwise(passed).alias("passed"),
-            F.when(timed_out | F.col("_bad"), F.lit(0).cast("bigint"))
-            .when(crashed, F.lit(1).cast("bigint")).otherwise(failed).alias("failed"),
-            F.when(timed_out | F.col("_bad"), F.lit(0).cast("bigint"))
-            .when(crashed, F.lit(1).cast("bigint")).otherwise(total).alias("total"),
-            F.when(timed_out, F.lit(f"Execution timed out after {timeout_seconds} seconds"))
-            .when(F.col("_bad"), F.col("_perr")).otherwise(F.coalesce(F.col("stderr"), F.lit(""))).alias("stderr"),
-            F.when(timed_out | F.col("_bad"), F.lit("")).otherwise(F.coalesce(F.col("stdout"), F.lit(""))).alias("stdout"),
-            F.when(timed_out | F.col("_bad"), F.lit(-1)).otherwise(rc).cast("int").alias("returncode"),
-            timed_out.alias("timeout"),
-            F.when(timed_out, F.lit(None).cast("string"))
-            .when(F.col("_bad"), F.lit("ValueError"))
-            .otherwise(detect_error_type(F.coalesce(F.col("stderr"), F.lit("")))).alias("error_type"),
-            F.when(timed_out | F.col("_bad"), F.lit(""))
-            .otherwise(extract_traceback(F.coalesce(F.col("stderr"), F.lit("")))).alias("traceback"),
-            F.col("elapsed_ms").cast("double").alias("execution_time_ms"),
-        )
+    keep = [c for c in df.columns if c not in ("stdout", "stderr", "returncode", "timed_out", "elapsed_ms")]
+    line = F.regexp_extract(F.coalesce(F.col("stdout"), F.lit("")), _LINE_RE, 1)
+    slow_err = F.try_element_at(F.filter(F.transform(_tokens(F.col("_line")), _token_error),
+                                         lambda e: e.isNotNull()), F.lit(1))
+    staged = (df.withColumn("_to", timed_out)
+              .withColumn("_line", F.when(~F.col("_to"), line).otherwise(F.lit("")))
+              .withColumn("_perr", F.when((F.col("_line") != "") & ~F.col("_line").rlike(_WELL_FORMED_RE), slow_err))
+              .withColumn("_bad", F.col("_perr").isNotNull())
+              .withColumn("_p", _count_from_line(F.col("_line"), "passed"))
+              .withColumn("_f", _count_from_line(F.col("_line"), "failed"))
+              .withColumn("_t", _count_from_line(F.col("_line"), "total"))
+              .withColumn("_rc", F.coalesce(F.col("returncode"), F.lit(0)))
+              .withColumn("_err", F.coalesce(F.col("stderr"), F.lit(""))))
+    void = F.col("_to") | F.col("_bad")
+    crashed = (F.col("_rc") != 0) & (F.col("_t") == 0)
+    zero = F.lit(0).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    out = staged.select(
+        *keep,
+        F.when(void, zero).otherwise(F.col("_p")).alias("passed"),
+        F.when(void, zero).when(crashed, one).otherwise(F.col("_f")).alias("failed"),
+        F.when(void, zero).when(crashed, one).otherwise(F.col("_t")).alias("total"),
+        F.when(F.col("_to"), F.lit(f"Execution timed out after {timeout_seconds} seconds"))
+        .when(F.col("_bad"), F.col("_perr")).otherwise(F.col("_err")).alias("stderr"),
+        F.when(void, F.lit("")).otherwise(F.coalesce(F.col("stdout"), F.lit(""))).alias("stdout"),
+        F.when(void, F.lit(-1)).otherwise(F.col("_rc")).cast("int").alias("returncode"),
+        F.col("_to").alias("timeout"),
+        F.when(F.col("_to"), F.lit(None).cast("string")).when(F.col("_bad"), F.lit("ValueError"))
+        .otherwise(detect_error_type(F.col("_err"))).alias("error_type"),
+        F.when(void, F.lit("")).otherwise(extract_traceback(F.col("_err"))).alias("traceback"),
+        F.col("elapsed_ms").cast("double").alias("execution_time_ms"),
     )
     return out.withColumn("success", is_success())
 

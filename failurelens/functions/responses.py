@@ -36,11 +36,10 @@ def strict_json_object(text) -> Column:
     def check(as_list: Column) -> Column:
         one = F.coalesce(F.size(F.try_variant_get(as_list, "$", "array<variant>")), F.lit(0)) == 1
 
-        def on_doc(doc: Column) -> Column:
-            is_obj = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
-            as_value = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))).isNotNull()
-            return F.when(one & is_obj & as_value, doc)
-        return F.when(F.trim(t) != "", let(F.try_variant_get(as_list, "$[0]", "variant"), on_doc))
+        # a single valid document is an object exactly when it starts with '{'
+        is_obj = t.rlike(r"^[ \t\n\r]*\{")
+        as_value = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))).isNotNull()
+        return F.when(is_obj & one & as_value, F.try_variant_get(as_list, "$[0]", "variant"))
     return let(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), check)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from failurelens.functions.text import chat_messages
+from failurelens.session import small_frame
 
 TWO_POW_48_PLUS_1 = float(2 ** 48 + 1)
 MAX_RATE_ROWS = 10_000
@@ -71,10 +72,8 @@ def with_weights(buffer: DataFrame, rates: DataFrame | None, amplification: floa
     if rates is None:
         raw = buffer.withColumn("raw_weight", F.lit(1.0))
     else:
-        n_rates = rates.count()
-        if n_rates > MAX_RATE_ROWS:
-            raise ValueError(f"rate table has {n_rates} rows; expected one per cluster")
-        r = rates.select(F.col("cluster_name").alias("_cl"), F.col("failure_rate").alias("_rate"))
+        r = small_frame(rates.select(F.col("cluster_name").alias("_cl"), F.col("failure_rate").alias("_rate")),
+                        MAX_RATE_ROWS, "rate table")
         raw = (buffer.join(F.broadcast(r), buffer[cluster_col] == F.col("_cl"), "left")
                .withColumn("raw_weight", F.lit(1.0) + F.coalesce(F.col("_rate"), F.lit(0.0)) * F.lit(amplification))
                .drop("_cl", "_rate"))

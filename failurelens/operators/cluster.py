@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from failurelens.functions.text import embed_input
 from failurelens.functions.vectors import dot, l2_normalize
 from failurelens.schemas import CENTROIDS, CLUSTER_NAMES, UNKNOWN_CLUSTER
+from failurelens.session import small_frame
 
 MAX_K = 1024
 
@@ -41,12 +42,19 @@ ANCHOR_PAD = "Unknown failure pattern."
 
 
 def _check_k(centroids: DataFrame, max_k: int = MAX_K) -> int:
-    k = centroids.count()
+    k = centroids.limit(max_k + 1).count()
     if k > max_k:
         raise ValueError(f"{k} centroids exceed the broadcast bound {max_k}")
     return k
 
 
+def local_centroids(centroids: DataFrame, max_k: int = MAX_K) -> DataFrame:
+    """The k centroids as a local relation (size-checked), computed once."""
+    cols = centroids.select(F.col("cluster_idx").cast("int").alias("cluster_idx"), "cluster_name",
+                            F.col("centroid").cast("array<double>").alias("centroid"))
+    return small_frame(cols, max_k, "centroid table")
+
+
 def centroid_matrix(centroids: DataFrame) -> Column:
     """The k centroids as one ``array<struct<cluster_idx, cluster_name, centroid>>`` value."""
     packed = centroids.select(F.array_sort(F.collect_list(F.struct(
@@ -68,8 +76,7 @@ def assign(df: DataFrame, centroids: DataFrame | None, vec_col: str = "embedding
         return df.select("*", F.lit(None).cast("int").alias("cluster_idx"),
                          F.lit(UNKNOWN_CLUSTER).alias("cluster_name"),
                          F.lit(None).cast("double").alias("similarity"))
-    _check_k(centroids, max_k)
-    m = centroid_matrix(centroids)
+    m = centroid_matrix(local_centroids(centroids, max_k))
     # the matrix is projected once as a column (subqueries may not sit inside
     # lambdas) and each row is normalised once, not once per centroid
     return (df.withColumn("_m", m).withColumn("_x", l2_normalize(vec_col))
@@ -135,6 +142,7 @@ def lloyd_step(df: DataFrame, centroids: DataFrame, vec_col: str = "embedding")
     Means come from ``Summarizer`` (partial aggregation, one row per cluster and
     partition before the shuffle).
     """
+    centroids = local_centroids(centroids)
     unit = df.select(l2_normalize(vec_col).alias("_u"))
     asg = assign(unit, centroids, "_u")
     means = (asg.groupBy("cluster_idx")
@@ -265,12 +273,15 @@ def ema_update(df: DataFrame, centroids: DataFrame, alpha: float = 0.1, vec_col:
     cluster are kept: ``row_number() <= cut`` runs as a partial
     WindowGroupLimit, and a hot cluster ships at most ``cut`` rows per partition.
     """
+    centroids = local_centroids(centroids)
     unit = df.select(F.col(order_col), l2_normalize(vec_col).alias("_u"))
     asg = assign(unit, centroids, "_u")
     m = asg.groupBy("cluster_idx").agg(F.count(F.lit(1)).alias("m"))
     cut = ema_cutoff(alpha)
     w = Window.partitionBy("cluster_idx").orderBy(F.col(order_col).desc())
-    ranked = asg.withColumn("_r", F.row_number().over(w) - 1).where(F.col("_r") < cut)
+    # filter on the row number itself so the planner inserts a partial WindowGroupLimit
+    ranked = asg.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cut) \
+        .withColumn("_r", F.col("_rn") - 1)
     weighted = ranked.withColumn("_w", F.lit(alpha) * F.pow(F.lit(1.0 - alpha), F.col("_r")))
     sums = (weighted.groupBy("cluster_idx")
             .agg(Summarizer.sum(_vec(F.col("_u")), F.col("_w")).alias("_s"))

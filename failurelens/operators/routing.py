@@ -63,11 +63,14 @@ def running_count(df: DataFrame, key_col: str, order_col: str, flag: Column, out
         return df.withColumn(out_col, F.sum(f).over(w))
     b = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint")
     tagged = df.withColumn("_b", b).withColumn("_f", f)
-    per_bucket = tagged.groupBy(key_col, "_b").agg(F.sum("_f").alias("_bn"))
-    wb = Window.partitionBy(key_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
+    # (1) running count inside each (key, bucket): the only shuffle of full rows
     wl = Window.partitionBy(key_col, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumn("_local", F.sum("_f").over(wl))
+    # (2) bucket totals from the windowed rows (already partitioned by key, bucket)
+    per_bucket = local.groupBy(key_col, "_b").agg(F.sum("_f").alias("_bn"))
+    # (3) offsets: a window over one row per (key, bucket)
+    wb = Window.partitionBy(key_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
     return (local.join(offsets, on=[key_col, "_b"], how="inner")
             .withColumn(out_col, F.col("_off") + F.col("_local"))
             .drop("_b", "_f", "_off", "_local"))

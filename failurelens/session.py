@@ -62,3 +62,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def small_frame(df, max_rows: int, what: str = "table"):
+    """Materialise a table with a proven size bound as a local relation.
+
+    The bound is checked with ``limit(max_rows + 1)`` (stops early on a large
+    input); the rows then live in the plan as a literal relation, so every
+    later use broadcasts them without recomputing their (possibly large) lineage.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"{what} exceeds its bound of {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
