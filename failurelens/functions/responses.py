@@ -24,25 +24,47 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def strict_json_object(text) -> Column:
-    """VARIANT of ``text`` if the whole text is exactly one JSON object, else null.
+_SENTINEL_ESC = "\\u0001"   # JSON escape text of U+0001
+_SENTINEL = "\u0001"
 
-    ``try_parse_json`` alone accepts trailing text; wrapping the text in
-    brackets must give a one-element array, and wrapping it as an object value
-    must parse too, which rejects any trailing or partial document.
-    """
-    t = _c(text)
 
+def _strict_two_parse(t: Column) -> Column:
+    """Exact test with two parses (used when the text mentions the sentinel).
+
+    ``try_parse_json`` ignores text after a complete top-level value, so the
+    text wrapped as ``[t]`` must give one element and wrapped as an object
+    value ``{"v":t}`` must parse as well; together they reject any trailing or
+    partial document.
+    """
     def check(as_list: Column) -> Column:
         one = F.coalesce(F.size(F.try_variant_get(as_list, "$", "array<variant>")), F.lit(0)) == 1
-
-        # a single valid document is an object exactly when it starts with '{'
-        is_obj = t.rlike(r"^[ \t\n\r]*\{")
         as_value = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))).isNotNull()
-        return F.when(is_obj & one & as_value, F.try_variant_get(as_list, "$[0]", "variant"))
+        return F.when(one & as_value, F.try_variant_get(as_list, "$[0]", "variant"))
     return let(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), check)
 
 
+def strict_json_object(text) -> Column:
+    """VARIANT of ``text`` if the whole text is exactly one JSON object, else null.
+
+    One parse of ``[t,"\\u0001"]``: the result has exactly two elements, the
+    second being U+0001, only if ``t`` was consumed as one complete value (a
+    premature ``]`` inside ``t`` would end the array before the sentinel). Texts
+    containing the sentinel (raw or escaped) take the two-parse test instead.
+    A single valid document is an object exactly when it starts with '{'.
+    """
+    t = _c(text)
+    is_obj = t.rlike(r"^[ \t\n\r]*\{")
+    mentions = (F.instr(t, _SENTINEL) > 0) | (F.instr(t, _SENTINEL_ESC) > 0)
+
+    def check(parsed: Column) -> Column:
+        items = F.try_variant_get(parsed, "$", "array<variant>")
+        ok = (F.coalesce(F.size(items), F.lit(0)) == 2) & \
+            (F.coalesce(F.try_variant_get(parsed, "$[1]", "string"), F.lit("")) == _SENTINEL)
+        return F.when(ok, F.try_variant_get(parsed, "$[0]", "variant"))
+    fast = let(F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"' + _SENTINEL_ESC + '"]'))), check)
+    return F.when(is_obj, F.when(mentions, _strict_two_parse(t)).otherwise(fast))
+
+
 def parse_response_json(text) -> Column:
     """Whole text as JSON, else its first code block as JSON, else null."""
     t = _c(text)

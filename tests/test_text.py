@@ -87,3 +87,12 @@ def test_plan_and_reasoning_text(spark):
     r = df.select(tx.plan_text("s", "c", "e", "o").alias("p"), tx.repair_reasoning_text("rc", "cat", "f", "v").alias("r")).first()
     assert r.p == "Strategy: s\nComplexity: O(n)\nEdge Cases: a, b\nObservations: o"
     assert r.r == "Root cause: rc\nCategory: cat\nFix: fix\nCritic verdict: Valid"
+
+
+def test_strict_json_adversarial_trailing(spark):
+    cases = ['{"a":1}] junk [{"b":2}', '{"a":1},{"b":2}', '{"a":"\\u0001"}', '{"a":1,"\\u0001"] x [0',
+             '{"a": "x"} ', '{"a":1}}', '{"a":[1,2]}']
+    want = [False, False, True, False, True, False, True]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = [r.p for r in df.select(rs.strict_json_object("t").isNotNull().alias("p")).collect()]
+    assert got == want
