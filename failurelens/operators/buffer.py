@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from failurelens.functions.text import chat_messages
+from failurelens.operators.topk import top_k
 from failurelens.session import small_frame
 
 TWO_POW_48_PLUS_1 = float(2 ** 48 + 1)
@@ -39,7 +40,7 @@ def fifo(buffer: DataFrame, capacity: int, seq_col: str = "seq", key_cols: tuple
     if key_cols:
         w = Window.partitionBy(*key_cols).orderBy(F.col(seq_col).desc())
         return buffer.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= capacity).drop("_rn")
-    return buffer.orderBy(F.col(seq_col).desc()).limit(capacity)
+    return top_k(buffer, capacity, seq_col, descending=True)
 
 
 def append(buffer: DataFrame | None, examples: DataFrame, capacity: int | None = None,
@@ -83,8 +84,8 @@ def with_weights(buffer: DataFrame, rates: DataFrame | None, amplification: floa
 
 def sample_uniform(buffer: DataFrame, n: int, seed: int = 42, seq_col: str = "seq") -> DataFrame:
     """n rows without replacement, uniformly (capped at the buffer size)."""
-    return (buffer.withColumn("_u", hash_uniform(seq_col, seed))
-            .orderBy(F.col("_u").asc(), F.col(seq_col).asc()).limit(n).drop("_u"))
+    keyed = buffer.withColumn("_u", hash_uniform(seq_col, seed))
+    return top_k(keyed, n, "_u", descending=False, tie_cols=[F.col(seq_col).asc()]).drop("_u")
 
 
 def sample_weighted(buffer: DataFrame, n: int, rates: DataFrame | None, seed: int = 42,
@@ -97,7 +98,7 @@ def sample_weighted(buffer: DataFrame, n: int, rates: DataFrame | None, seed: in
     """
     w = with_weights(buffer, rates, amplification, cluster_col)
     keyed = w.withColumn("_key", -F.log(hash_uniform(seq_col, seed)) / F.col("raw_weight"))
-    return keyed.orderBy(F.col("_key").asc(), F.col(seq_col).asc()).limit(n).drop("_key")
+    return top_k(keyed, n, "_key", descending=False, tie_cols=[F.col(seq_col).asc()]).drop("_key")
 
 
 def round_dataset(buffer: DataFrame, n: int, rates: DataFrame | None, seed: int = 42,

@@ -77,7 +77,8 @@ def by_cluster(store: DataFrame, cluster: str, limit: int = 100) -> DataFrame:
 
 def recent(store: DataFrame, limit: int = 1000) -> DataFrame:
     """Most recent failures overall; ties broken by record_id."""
-    return store.orderBy(F.col("created_at").desc(), F.col("record_id").asc()).limit(limit)
+    from failurelens.operators.topk import top_k
+    return top_k(store, limit, "created_at", descending=True, tie_cols=[F.col("record_id").asc()])
 
 
 def recent_per_cluster(store: DataFrame, limit: int = 100) -> DataFrame:

@@ -64,3 +64,13 @@ def test_round_dataset_chat_rows(spark):
     rows = d.collect()
     assert len(rows) == 2 and [m.role for m in rows[0].messages] == ["system", "user", "assistant"]
     assert F is not None
+
+
+def test_bounded_top_k_equals_sort(spark):
+    from failurelens.operators.topk import top_k
+    df = spark.range(0, 20000, numPartitions=13).select((F.col("id") * 7919 % 20011).alias("v"), "id")
+    for desc in (True, False):
+        got = [r.id for r in top_k(df, 1500, "v", desc, [F.col("id").asc()], direct_max=10).collect()]
+        order = F.col("v").desc() if desc else F.col("v").asc()
+        want = [r.id for r in df.orderBy(order, F.col("id").asc()).limit(1500).collect()]
+        assert got == want
