@@ -66,8 +66,9 @@ def running_count(df: DataFrame, key_col: str, order_col: str, flag: Column, out
     # (1) running count inside each (key, bucket): the only shuffle of full rows
     wl = Window.partitionBy(key_col, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumn("_local", F.sum("_f").over(wl))
-    # (2) bucket totals from the windowed rows (already partitioned by key, bucket)
-    per_bucket = local.groupBy(key_col, "_b").agg(F.sum("_f").alias("_bn"))
+    # (2) bucket totals: a partial aggregate straight from the input (only one
+    # row per key and bucket crosses the shuffle)
+    per_bucket = tagged.groupBy(key_col, "_b").agg(F.sum("_f").alias("_bn"))
     # (3) offsets: a window over one row per (key, bucket)
     wb = Window.partitionBy(key_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
