@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIRECT_MAX = 1_000
+MERGE_BOUND = 2_000_000   # rows one merge task may receive (partitions x k)
 ACCURACY = 10_000
 
 
@@ -25,7 +26,8 @@ def top_k(df: DataFrame, k: int, key: str, descending: bool, tie_cols: Sequence[
           direct_max: int = DIRECT_MAX) -> DataFrame:
     """The first ``k`` rows ordered by ``key`` (then ``tie_cols``)."""
     order = [F.col(key).desc() if descending else F.col(key).asc(), *tie_cols]
-    if k <= direct_max:
+    if k <= direct_max or df.rdd.getNumPartitions() * k <= MERGE_BOUND:
+        # the single merge task receives at most partitions x k rows: bounded
         return df.orderBy(*order).limit(k)
     n = df.count()
     if n <= k:

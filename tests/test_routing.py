@@ -37,3 +37,14 @@ def test_bucketed_running_count_equals_window(spark):
     b = routing.with_attempts(df, bucket_width=None).select("sample_id", F.col("attempt").alias("b"))
     assert a.join(b, "sample_id").where("a != b").count() == 0
     assert a.count() == n
+
+
+def test_stages_chain_with_transform(spark):
+    from failurelens.functions.execlog import parse_exec_log
+    from failurelens.sources import fixtures
+    out = (fixtures.exec_log(spark, "/root/testdata/sf0.001")
+           .transform(parse_exec_log)
+           .transform(routing.with_attempts)
+           .withColumn("next_stage", routing.after_execution()))
+    row = out.groupBy().agg(F.max("attempt").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    assert row.n == 1000 and row.m > 0
