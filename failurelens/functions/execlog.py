@@ -122,7 +122,15 @@ def parse_exec_log(df: DataFrame, timeout_seconds: int = 30) -> DataFrame:
     tokens to find the first failing token and its message.
     """
     timed_out = F.coalesce(F.col("timed_out"), F.lit(False))
-    keep = [c for c in df.columns if c not in ("stdout", "stderr", "returncode", "timed_out", "elapsed_ms")]
+    raw_cols = ("stdout", "stderr", "returncode", "timed_out", "elapsed_ms", "launch_error_type", "launch_error_message")
+    keep = [c for c in df.columns if c not in raw_cols]
+    if "launch_error_type" in df.columns:
+        # the runner could not start the script: its exception name and message
+        launch = F.col("launch_error_type")
+        launch_msg = F.coalesce(F.col("launch_error_message"), F.lit("")) if "launch_error_message" in df.columns \
+            else F.lit("")
+    else:
+        launch, launch_msg = F.lit(None).cast("string"), F.lit("")
     line = F.regexp_extract(F.coalesce(F.col("stdout"), F.lit("")), _LINE_RE, 1)
     slow_err = F.try_element_at(F.filter(F.transform(_tokens(F.col("_line")), _token_error),
                                          lambda e: e.isNotNull()), F.lit(1))
@@ -134,8 +142,11 @@ def parse_exec_log(df: DataFrame, timeout_seconds: int = 30) -> DataFrame:
               .withColumn("_f", _count_from_line(F.col("_line"), "failed"))
               .withColumn("_t", _count_from_line(F.col("_line"), "total"))
               .withColumn("_rc", F.coalesce(F.col("returncode"), F.lit(0)))
-              .withColumn("_err", F.coalesce(F.col("stderr"), F.lit(""))))
-    void = F.col("_to") | F.col("_bad")
+              .withColumn("_err", F.coalesce(F.col("stderr"), F.lit("")))
+              .withColumn("_launch", F.when(~F.col("_to"), launch))
+              .withColumn("_launch_msg", launch_msg))
+    launched_bad = F.col("_launch").isNotNull()
+    void = F.col("_to") | F.col("_bad") | launched_bad
     crashed = (F.col("_rc") != 0) & (F.col("_t") == 0)
     zero = F.lit(0).cast("bigint")
     one = F.lit(1).cast("bigint")
@@ -145,11 +156,13 @@ def parse_exec_log(df: DataFrame, timeout_seconds: int = 30) -> DataFrame:
         F.when(void, zero).when(crashed, one).otherwise(F.col("_f")).alias("failed"),
         F.when(void, zero).when(crashed, one).otherwise(F.col("_t")).alias("total"),
         F.when(F.col("_to"), F.lit(f"Execution timed out after {timeout_seconds} seconds"))
+        .when(launched_bad, F.col("_launch_msg"))
         .when(F.col("_bad"), F.col("_perr")).otherwise(F.col("_err")).alias("stderr"),
         F.when(void, F.lit("")).otherwise(F.coalesce(F.col("stdout"), F.lit(""))).alias("stdout"),
         F.when(void, F.lit(-1)).otherwise(F.col("_rc")).cast("int").alias("returncode"),
         F.col("_to").alias("timeout"),
-        F.when(F.col("_to"), F.lit(None).cast("string")).when(F.col("_bad"), F.lit("ValueError"))
+        F.when(F.col("_to"), F.lit(None).cast("string")).when(launched_bad, F.col("_launch"))
+        .when(F.col("_bad"), F.lit("ValueError"))
         .otherwise(detect_error_type(F.col("_err"))).alias("error_type"),
         F.when(void, F.lit("")).otherwise(extract_traceback(F.col("_err"))).alias("traceback"),
         F.col("elapsed_ms").cast("double").alias("execution_time_ms"),

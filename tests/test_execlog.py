@@ -75,3 +75,13 @@ def test_script_text(spark):
 def test_test_code_from_cases_keeps_newline_for_missing(spark):
     df = spark.createDataFrame([([("a",), (None,), ("b",)],)], "cases array<struct<test_code:string>>")
     assert df.select(ex.test_code_from_cases("cases").alias("t")).first().t == "a\n\nb"
+
+
+def test_launch_error_row(spark):
+    df = spark.createDataFrame([("t", 1, "", "", 0, False, 2.0, "FileNotFoundError", "no python"),
+                                ("t", 2, "RESULTS: passed=1 failed=0 total=1", "", 0, False, 2.0, None, None)],
+                               LOG_SCHEMA + ", launch_error_type string, launch_error_message string")
+    got = {r.sample_id: r for r in ex.parse_exec_log(df).collect()}
+    assert (got[1].error_type, got[1].stderr, got[1].returncode, got[1].total, got[1].success) == \
+        ("FileNotFoundError", "no python", -1, 0, False)
+    assert got[2].success and "launch_error_type" not in ex.parse_exec_log(df).columns
