@@ -200,19 +200,38 @@ def fit(df: DataFrame, centroids: DataFrame | None = None, k: int = 6, names: Se
         rows = [(i, names[i], [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
         return normalize_centroids(centroids_frame(spark, rows))
     _check_k(centroids)
-    var = unit.select(Summarizer.variance(_vec(F.col("_u"))).alias("v")).first()["v"]
-    tol_abs = float(np.mean(var.toArray())) * tol if var is not None else 0.0
-    cur = _collect_centroids(centroids)
-    for _ in range(max_iter):
-        step = lloyd_step(unit, centroids_frame(spark, cur), "_u")
-        nxt = _collect_centroids(step)
-        shift = float(sum(np.sum((np.array(a[2]) - np.array(b[2])) ** 2) for a, b in zip(cur, nxt)))
-        cur = nxt
-        if shift <= tol_abs:
-            break
+    # the unit vectors are read by every iteration: keep them in executor
+    # memory/disk for the loop (recomputed from the source if an executor is lost)
+    from pyspark import StorageLevel
+    unit = unit.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        var = unit.select(Summarizer.variance(_vec(F.col("_u"))).alias("v")).first()["v"]
+        tol_abs = float(np.mean(var.toArray())) * tol if var is not None else 0.0
+        cur = _collect_centroids(centroids)
+        for it in range(max_iter):
+            nxt = _lloyd_iteration(unit, "_u", cur)
+            shift = float(sum(np.sum((np.array(a[2]) - np.array(b[2])) ** 2) for a, b in zip(cur, nxt)))
+            cur = nxt
+            if shift <= tol_abs:
+                break
+        fit.last_iterations = it + 1
+    finally:
+        unit.unpersist()
     return normalize_centroids(centroids_frame(spark, cur))
 
 
+def _lloyd_iteration(unit: DataFrame, vec_col: str, cur: list[tuple[int, str, list[float]]]):
+    """One Lloyd step as a single aggregate job; the k x dim centroids (bounded
+    by MAX_K) travel as one constant array literal."""
+    mat = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for _, _, c in cur]).cast("array<array<double>>")
+    sims = F.transform(mat, lambda c: dot(c, F.col(vec_col)))
+    asg = unit.select(F.col(vec_col), (F.array_position(sims, F.array_max(sims)) - 1).cast("int").alias("_j"))
+    rows = (asg.groupBy("_j").agg(Summarizer.mean(_vec(F.col(vec_col))).alias("_m"))
+            .select("_j", vector_to_array("_m").alias("_m")).collect())  # k rows
+    means = {int(r["_j"]): list(r["_m"]) for r in rows}
+    return [(i, name, means.get(j, c)) for j, (i, name, c) in enumerate(cur)]
+
+
 def heuristic_init(df: DataFrame, k: int, names: Sequence[str], vec_col: str = "embedding",
                    order_col: str = "seq", seed: int = 42) -> DataFrame:
     """Start centroids from a small set (callers check n < min_samples).

@@ -749,3 +749,28 @@ SELECT 'Bench/' || CAST(item_id AS VARCHAR), 'coder', {_sql_str(CODER_SYSTEM)},
 
 
 register("prompt_requests", _prompt_sql())
+
+
+# ---------------------------------------------------------------------------
+# heuristic start on the per-label mean vectors (10 rows, k = 6)
+# ---------------------------------------------------------------------------
+register("heuristic_init", f"""
+WITH vec AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+qc AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM vec) GROUP BY label, i),
+q AS (SELECT label, list(x ORDER BY i) AS v FROM qc GROUP BY label),
+qn AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS pos, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS nn, v FROM q),
+n AS (SELECT count(*) AS n FROM qn),
+picks AS (
+  SELECT i AS cluster_idx,
+    CASE WHEN i = 5 THEN (SELECT n FROM n) - 1
+         ELSE CAST(floor(i * (CAST((SELECT n FROM n) - 1 AS DOUBLE) / 5.0)) AS BIGINT) END AS pos
+  FROM range(6) t(i)
+),
+chosen AS (
+  SELECT p.cluster_idx, ({CLUSTER_LIST})[p.cluster_idx + 1] AS cluster_name,
+    list_transform(qn.v, lambda y: y / qn.nn) AS c
+  FROM picks p JOIN qn ON qn.pos = p.pos
+)
+SELECT cluster_idx, cluster_name, 0 AS n_assigned, i - 1 AS dim, round(x, 6) AS value
+FROM (SELECT cluster_idx, cluster_name, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM chosen)
+""")

@@ -397,3 +397,48 @@ def prompt_requests_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         request_table(p.withColumn("plan_text", plan), CODER, "task_id", task="prompt", plan="plan_text"))
     return reqs.select("request_id", "role", F.col("messages")[0]["content"].alias("system_prompt"),
                        F.col("messages")[1]["content"].alias("user_prompt"))
+
+
+# --- fitting on whole tables: M9 fallback + M10 + W5, M9 Lloyd fit, M8 ordered, M5-M7 ------------
+@query("heuristic_init")
+def heuristic_init_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-means fit on the per-label mean vectors: 10 rows < min_samples, so the
+    evenly spaced heuristic start applies."""
+    from failurelens.operators import cluster
+    c = cluster.fit(fixtures.label_mean_vectors(spark, sf_dir), None, k=6, min_samples=20, order_col="seq")
+    return _explode_centroids(c.withColumn("n_assigned", F.lit(0)))
+
+
+@query("kmeans_fit")
+def kmeans_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lloyd iterations from the anchored centroids to convergence (iterative: no SQL twin)."""
+    from failurelens.operators import cluster
+    v = fixtures.vectors(spark, sf_dir)
+    c = cluster.fit(v, fixtures.label_anchor_centroids(spark, sf_dir), k=6, min_samples=20, max_iter=50)
+    a = cluster.assign(v, c)
+    return cluster.cluster_stats(a).select("cluster_name", "total_failures", r6("failure_rate").alias("failure_rate"))
+
+
+@query("centroid_ema_ordered")
+def centroid_ema_ordered_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row-by-row EMA, one centroid set per label parity (serial fold per key: no SQL twin)."""
+    from failurelens.operators import cluster
+    v = fixtures.vectors(spark, sf_dir).withColumn("run", (F.col("label") % 2).cast("int"))
+    upd = cluster.ordered_ema_update(v, fixtures.label_anchor_centroids(spark, sf_dir), 0.1, key_cols=["run"])
+    return upd.select("run", "cluster_idx", "cluster_name", "n_assigned",
+                      F.posexplode("centroid").alias("dim", "v")).select(
+        "run", "cluster_idx", "cluster_name", "n_assigned", "dim", r6("v").alias("value"))
+
+
+@query("failure_embedding")
+def failure_embedding_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure texts -> default encoder -> anchored centroids -> cluster (hashing encoder: no SQL twin)."""
+    from failurelens.functions import text as tx
+    from failurelens.operators import cluster
+    d = fixtures.failure_text_inputs(spark, sf_dir)
+    texts = d.select("doc_id", tx.failure_text("task", tx.failing_code("repaired_code", "student_code"),
+                                               "error_type", "stderr", "traceback").alias("failure_text"))
+    emb = cluster.hashing_encoder(texts, "failure_text", dim=1024)
+    anchors = cluster.anchored_centroids(spark, k=6)
+    a = cluster.assign(emb, anchors, "embedding")
+    return a.select("doc_id", "cluster_name", r6("similarity").alias("similarity"))

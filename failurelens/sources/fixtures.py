@@ -264,3 +264,9 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat(F.lit("assert solve_"), iid, F.lit("(1) == 1")),
                 F.concat(F.lit("assert solve_"), iid, F.lit("(2) == 2"))).alias("test_list"),
     )
+
+
+def label_mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per label: (seq = label, embedding = mean vector), a small set derived from the table."""
+    q = label_query_vectors(spark, sf_dir)
+    return q.select(F.col("query_id").alias("seq"), F.col("query_vec").alias("embedding"))
