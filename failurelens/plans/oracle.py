@@ -425,8 +425,8 @@ FROM l
 LABELS = f"""
 {EXEC_LOG.strip()},
 att AS (
-  SELECT *, sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (PARTITION BY task_id ORDER BY sample_id
-           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS attempt,
+  SELECT *, CAST(sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (PARTITION BY task_id ORDER BY sample_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS attempt,
          coalesce(error_type = 'AssertionError', false) AS repair_verified
   FROM scored
 ),
@@ -607,7 +607,8 @@ FROM pr
 
 register("step_totals", f"""
 WITH {EXEC_LOG.strip()}
-SELECT benchmark, sum(passed) AS tests_passed, sum(failed) AS tests_failed, sum(total) AS tests_total,
+SELECT benchmark, CAST(sum(passed) AS BIGINT) AS tests_passed, CAST(sum(failed) AS BIGINT) AS tests_failed,
+  CAST(sum(total) AS BIGINT) AS tests_total,
   round(avg(execution_time_ms), 6) AS avg_execution_time_ms, count(*) FILTER (WHERE success) AS task_success,
   count(*) AS executions
 FROM scored GROUP BY benchmark
@@ -771,6 +772,7 @@ chosen AS (
     list_transform(qn.v, lambda y: y / qn.nn) AS c
   FROM picks p JOIN qn ON qn.pos = p.pos
 )
-SELECT cluster_idx, cluster_name, 0 AS n_assigned, i - 1 AS dim, round(x, 6) AS value
+SELECT CAST(cluster_idx AS INTEGER) AS cluster_idx, cluster_name, CAST(0 AS BIGINT) AS n_assigned,
+  CAST(i - 1 AS BIGINT) AS dim, round(x, 6) AS value
 FROM (SELECT cluster_idx, cluster_name, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM chosen)
 """)

@@ -59,7 +59,7 @@ def failure_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx.failure_text("task", code, "error_type", "stderr", "traceback").alias("failure_text"),
         tx.failure_text("task", code, "error_type", "stderr", "traceback",
                         task_limit=10, traceback_limit=9, stderr_limit=5, code_limit=12).alias("failure_text_short"),
-        F.length(tx.embed_input("text")).alias("embed_input_chars"),
+        F.length(tx.embed_input("text")).cast("bigint").alias("embed_input_chars"),
         F.substring(tx.embed_input("text"), 1, 120).alias("embed_input_head"),
         tx.fingerprint("text").alias("text_fingerprint"),
     )
@@ -77,7 +77,7 @@ def failure_store_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir)
     return s.select("record_id", "task", "code", "traceback", "failure_cluster",
                     iso_utc("created_at").alias("created_at"), "seq",
-                    F.coalesce(F.size("embedding"), F.lit(0)).alias("emb_dim"))
+                    F.coalesce(F.size("embedding"), F.lit(0)).cast("bigint").alias("emb_dim"))
 
 
 @query("failure_counts")
@@ -105,7 +105,7 @@ def recent_by_cluster_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from failurelens.operators import store
     s = _store(spark, sf_dir)
     return store.recent_per_cluster(s, 100).select(
-        "failure_cluster", "rank", "record_id", iso_utc("created_at").alias("created_at"))
+        "failure_cluster", F.col("rank").cast("bigint").alias("rank"), "record_id", iso_utc("created_at").alias("created_at"))
 
 
 @query("recent_failures")
@@ -123,7 +123,7 @@ def similar_vectors_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = fixtures.vectors(spark, sf_dir)
     q = fixtures.label_query_vectors(spark, sf_dir)
     out = top_k_similar(store, q, k=5, id_col="vec_id", vec_col="embedding")
-    return out.select("query_id", "vec_id", "rank", r6("similarity").alias("similarity"))
+    return out.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), r6("similarity").alias("similarity"))
 
 
 @query("cluster_assign")
@@ -146,7 +146,7 @@ def cluster_stats_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _explode_centroids(c: DataFrame) -> DataFrame:
     return c.select("cluster_idx", "cluster_name", "n_assigned", F.posexplode("centroid").alias("dim", "v")) \
         .select("cluster_idx", "cluster_name", F.col("n_assigned").cast("bigint").alias("n_assigned"),
-                "dim", r6("v").alias("value"))
+                F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value"))
 
 
 @query("kmeans_step")
@@ -262,7 +262,7 @@ def trajectory_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from failurelens.operators import trajectories as tr
     s = tr.trajectory_stats(fixtures.trajectory_steps(spark, sf_dir))
     return s.select("trajectory_id", "num_steps", "num_attempts", "first_agent", "last_agent",
-                    F.length("last_output").alias("last_output_chars"))
+                    F.length("last_output").cast("bigint").alias("last_output_chars"))
 
 
 @query("training_examples")
@@ -284,7 +284,7 @@ def training_examples_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("trajectory_id").alias("source_task_id"))
     ex = tr.to_training_examples(finals, ctx)
     return ex.select(tr.deterministic_id("trajectory_id").alias("example_id"), "trajectory_id", "failure_cluster",
-                     "repair_reasoning", F.length("repaired_code").alias("repaired_chars"), "verified")
+                     "repair_reasoning", F.length("repaired_code").cast("bigint").alias("repaired_chars"), "verified")
 
 
 # --- reports: K8-K11, J7, W4, A10, A11, P29, F7, T6, U2 ---------------------------------------
@@ -366,7 +366,7 @@ def code_blocks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rs.debugger_output("response", "_v")
     return r.select("doc_id", rs.coder_output("response").alias("code"),
                     d["analysis"]["root_cause"].alias("debug_root_cause"),
-                    F.length(d["analysis"]["detailed_explanation"]).alias("debug_explanation_chars"))
+                    F.length(d["analysis"]["detailed_explanation"]).cast("bigint").alias("debug_explanation_chars"))
 
 
 # --- problems: S1-S3, T4, P10-P12 ---------------------------------------------------------
@@ -378,7 +378,7 @@ def problems_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = F.array(F.struct(F.col("test").alias("test_code")))
     return p.select(
         "ordinal", "task_id", "entry_point",
-        F.length("prompt").alias("prompt_chars"),
+        F.length("prompt").cast("bigint").alias("prompt_chars"),
         ex.test_code_from_cases(cases).alias("test_code"),
         ex.mbpp_script(F.concat(F.lit("def "), F.col("entry_point"), F.lit("(x):\n    return x")), "test_list")
         .alias("mbpp_script"),
@@ -427,7 +427,7 @@ def centroid_ema_ordered_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     upd = cluster.ordered_ema_update(v, fixtures.label_anchor_centroids(spark, sf_dir), 0.1, key_cols=["run"])
     return upd.select("run", "cluster_idx", "cluster_name", "n_assigned",
                       F.posexplode("centroid").alias("dim", "v")).select(
-        "run", "cluster_idx", "cluster_name", "n_assigned", "dim", r6("v").alias("value"))
+        "run", "cluster_idx", "cluster_name", "n_assigned", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value"))
 
 
 @query("failure_embedding")

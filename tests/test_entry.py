@@ -31,7 +31,16 @@ def duck():
     return duckdb_connection(SF)
 
 
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", sorted(entry_mod.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
-    err = compare(entry_mod.queries()[name](spark, SF), duck, entry_mod.oracle_sql()[name])
+    sdf = entry_mod.queries()[name](spark, SF)
+    err = compare(sdf, duck, entry_mod.oracle_sql()[name])
     assert err is None, err
+    # column types agree too (not only values)
+    dtypes = {r[0]: r[1] for r in duck.execute("DESCRIBE " + entry_mod.oracle_sql()[name]).fetchall()}
+    for f in sdf.schema.fields:
+        assert SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) == dtypes[f.name], (name, f.name)
