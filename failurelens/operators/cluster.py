@@ -25,6 +25,10 @@ from failurelens.schemas import CENTROIDS, CLUSTER_NAMES, UNKNOWN_CLUSTER
 from failurelens.session import small_frame
 
 MAX_K = 1024
+# Up to this width the dot products run as JVM higher-order functions; wider
+# vectors go through one Arrow-batched matrix product per batch instead
+# (interpreted per-element lambdas cost O(k x dim) slow steps per row).
+HOF_MAX_DIM = 128
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
@@ -76,7 +80,12 @@ def assign(df: DataFrame, centroids: DataFrame | None, vec_col: str = "embedding
         return df.select("*", F.lit(None).cast("int").alias("cluster_idx"),
                          F.lit(UNKNOWN_CLUSTER).alias("cluster_name"),
                          F.lit(None).cast("double").alias("similarity"))
-    m = centroid_matrix(local_centroids(centroids, max_k))
+    local = local_centroids(centroids, max_k)
+    rows = sorted(local.collect())  # k rows, already local
+    dim = len(rows[0]["centroid"]) if rows else 0
+    if dim > HOF_MAX_DIM:
+        return _assign_arrow(df, rows, vec_col)
+    m = centroid_matrix(local)
     # the matrix is projected once as a column (subqueries may not sit inside
     # lambdas) and each row is normalised once, not once per centroid
     return (df.withColumn("_m", m).withColumn("_x", l2_normalize(vec_col))
@@ -91,6 +100,43 @@ def assign(df: DataFrame, centroids: DataFrame | None, vec_col: str = "embedding
             .drop("_m", "_x", "_sims", "_best"))
 
 
+def _assign_arrow(df: DataFrame, rows, vec_col: str) -> DataFrame:
+    """Nearest centroid for wide vectors: Arrow batches, one BLAS product each.
+
+    Same result as the JVM path: unit-normalised rows, cosine against the given
+    centroids, first maximum (lowest index) on ties, zero vector -> index 0.
+    """
+    from pyspark.sql.functions import pandas_udf
+    spark = df.sparkSession
+    mat = np.array([list(r["centroid"]) for r in rows], dtype=np.float64)
+    bc = spark.sparkContext.broadcast(mat)
+
+    @pandas_udf("struct<j:int,s:double>")
+    def nearest(v: pd.Series) -> pd.DataFrame:
+        m = bc.value
+        ok = v.notna().to_numpy()
+        j = np.full(len(v), -1, dtype=np.int32)
+        s = np.full(len(v), np.nan)
+        if ok.any():
+            x = np.stack(v[ok].to_numpy()).astype(np.float64)
+            n = np.linalg.norm(x, axis=1, keepdims=True)
+            x = np.where(n > 0, x / np.where(n > 0, n, 1.0), x)
+            sims = x @ m.T
+            jj = np.argmax(sims, axis=1)
+            j[ok] = jj
+            s[ok] = sims[np.arange(len(jj)), jj]
+        return pd.DataFrame({"j": j, "s": s})
+
+    idx = F.array(*[F.lit(int(r["cluster_idx"])) for r in rows])
+    names = F.array(*[F.lit(r["cluster_name"]) for r in rows])
+    res = df.withColumn("_n", nearest(F.col(vec_col).cast("array<double>")))
+    pos = F.col("_n.j") + 1
+    return (res.withColumn("cluster_idx", F.when(pos > 0, F.element_at(idx, pos)).otherwise(F.lit(-1)))
+            .withColumn("cluster_name", F.when(pos > 0, F.element_at(names, pos)))
+            .withColumn("similarity", F.when(pos > 0, F.col("_n.s")))
+            .drop("_n"))
+
+
 def cluster_dimension(spark: SparkSession, names: Sequence[str] = CLUSTER_NAMES) -> DataFrame:
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "cluster_idx int, cluster_name string")
 

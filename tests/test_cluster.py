@@ -128,3 +128,19 @@ def test_model_encoder_pandas_udf(spark):
     df = spark.createDataFrame([("abc",)], "text string")
     v = cluster.model_encoder(df, "text", load, with_prefix=False).first().embedding
     assert pytest.approx(np.linalg.norm(v), rel=1e-6) == 1.0
+
+
+def test_wide_vectors_use_arrow_path_with_same_answer(spark):
+    rng = np.random.default_rng(9)
+    dim = cluster.HOF_MAX_DIM + 72
+    cents = [list(v / np.linalg.norm(v)) for v in rng.standard_normal((4, dim))]
+    cf = cluster.centroids_frame(spark, [(i, f"c{i}", c) for i, c in enumerate(cents)])
+    xs = rng.standard_normal((300, dim)).astype(np.float32).astype(np.float64)  # stored as float
+    xs[0] = 0.0
+    got = {r.seq: (r.cluster_idx, r.similarity) for r in cluster.assign(_vecs(spark, xs), cf).collect()}
+    m = np.array(cents)
+    for i, x in enumerate(xs):
+        n = np.linalg.norm(x)
+        sims = m @ (x / n if n > 0 else x)
+        assert got[i][0] == int(np.argmax(sims))
+        assert abs(got[i][1] - sims.max()) < 1e-9
