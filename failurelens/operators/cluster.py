@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from failurelens.functions.text import embed_input
 from failurelens.functions.vectors import dot, l2_normalize
 from failurelens.schemas import CENTROIDS, CLUSTER_NAMES, UNKNOWN_CLUSTER
-from failurelens.session import small_frame
+from failurelens.session import ship_package, small_frame
 
 MAX_K = 1024
 # Up to this width the dot products run as JVM higher-order functions; wider
@@ -108,6 +108,7 @@ def _assign_arrow(df: DataFrame, rows, vec_col: str) -> DataFrame:
     """
     from pyspark.sql.functions import pandas_udf
     spark = df.sparkSession
+    ship_package(spark)
     mat = np.array([list(r["centroid"]) for r in rows], dtype=np.float64)
     bc = spark.sparkContext.broadcast(mat)
 
@@ -373,6 +374,7 @@ def ordered_ema_update(df: DataFrame, centroids: DataFrame, alpha: float = 0.1,
     _check_k(centroids)
     cent = _collect_centroids(centroids)
     spark = df.sparkSession
+    ship_package(spark)
     bc = spark.sparkContext.broadcast([(i, n, np.array(c, dtype=np.float64)) for i, n, c in cent])
     keys = list(key_cols)
     key_fields = [df.schema[kc] for kc in keys]
@@ -436,6 +438,7 @@ def model_encoder(df: DataFrame, text_col: str, load_model: Callable[[], Callabl
     Python worker and encodes Arrow batches (size via
     ``spark.sql.execution.arrow.maxRecordsPerBatch``); outputs are unit-normalised."""
     from pyspark.sql.functions import pandas_udf
+    ship_package(df.sparkSession)
 
     @pandas_udf(T.ArrayType(T.FloatType()))
     def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from failurelens.session import ship_package
+
 MAX_BROADCAST_QUERIES = 4096
 EPS = 1e-8
 
@@ -58,6 +60,7 @@ def top_k_similar(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     Query sets above ``max_broadcast`` are processed in bounded chunks.
     """
     spark = store.sparkSession
+    ship_package(spark)
     nq = queries.count()
     if nq == 0:
         schema = T.StructType([T.StructField(query_id_col, queries.schema[query_id_col].dataType),

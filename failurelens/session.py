@@ -77,3 +77,32 @@ def small_frame(df, max_rows: int, what: str = "table"):
     if len(rows) > max_rows:
         raise ValueError(f"{what} exceeds its bound of {max_rows} rows")
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``failurelens`` importable on executors (once per SparkContext).
+
+    Operators that run Python on executors (Arrow-batched numpy steps) pickle
+    references to this package; the package is zipped from its installed
+    location and distributed with ``addPyFile``.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="failurelens-pkg-"), "failurelens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
