@@ -74,3 +74,11 @@ def test_bounded_top_k_equals_sort(spark):
         order = F.col("v").desc() if desc else F.col("v").asc()
         want = [r.id for r in df.orderBy(order, F.col("id").asc()).limit(1500).collect()]
         assert got == want
+
+
+def test_bounded_top_k_with_heavy_ties(spark):
+    from failurelens.operators.topk import top_k
+    df = spark.range(0, 30000, numPartitions=9).select((F.col("id") % 7).alias("v"), "id")
+    got = [r.id for r in top_k(df, 5000, "v", True, [F.col("id").asc()], direct_max=10).collect()]
+    want = [r.id for r in df.orderBy(F.col("v").desc(), F.col("id").asc()).limit(5000).collect()]
+    assert got == want

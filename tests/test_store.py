@@ -98,3 +98,18 @@ def test_compaction_keeps_state(spark, tmp_dir):
     assert before == [("r1", "c", "Syntax"), ("r2", "b", "Logic")]
     assert after == before + [("r3", "d", "Logic")]
     assert sorted(r.record_id for r in fs.read(1).collect()) == ["r1", "r2"]
+
+
+def test_upsert_with_a_hot_key(spark):
+    # one record id holds a third of all rows; latest seq must win, others untouched
+    n = 3000
+    rows = [(("hot" if i % 3 == 0 else f"r{i}"), f"task{i}", "c", "tb", "Logic", None, None, T0, i) for i in range(n)]
+    df = spark.createDataFrame(rows, "record_id string, task string, code string, traceback string, "
+                                     "failure_cluster string, embedding array<float>, "
+                                     "repair_trace struct<trajectory_id:string,steps:array<struct<agent:string,"
+                                     "action:string,reasoning:string,output:string>>,repair_reasoning:string,"
+                                     "repaired_code:string,verified:boolean,num_attempts:int>, "
+                                     "created_at timestamp, seq long").repartition(11)
+    got = {r.record_id: r.task for r in store.upsert(None, df).collect()}
+    assert got["hot"] == f"task{max(i for i in range(n) if i % 3 == 0)}"
+    assert len(got) == 1 + sum(1 for i in range(n) if i % 3 != 0)
