@@ -67,17 +67,23 @@ def round_deltas(metrics: DataFrame, metric_names_: Sequence[str] | None = None)
 
 def experiment_summary(metrics: DataFrame, key: str = "pass@1") -> DataFrame:
     """Per (run, round): the metrics whose name contains ``key`` as 'name: 0.0000',
-    comma-joined in name order ('None' if there are none), plus rounds per run."""
+    comma-joined in name order ('None' if there are none), plus rounds per run;
+    with a ``timestamp`` column, also the run's first and last logging time."""
+    timed = "timestamp" in metrics.columns
     per_round = metrics.groupBy("run_name", "round").agg(
+        *([F.min("timestamp").alias("_ts")] if timed else []),
         F.array_sort(F.collect_list(F.when(F.col("metric").contains(key),
                                            F.concat(F.col("metric"), F.lit(": "),
                                                     F.format_string("%.4f", F.round(F.col("value"), 4))))))
         .alias("_ms"))
     rounds = Window.partitionBy("run_name")
+    extra = [F.min("_ts").over(rounds).alias("started_at"), F.max("_ts").over(rounds).alias("ended_at")] \
+        if timed else []
     return per_round.select(
         "run_name", "round",
         F.when(F.size("_ms") > 0, F.array_join("_ms", ", ")).otherwise(F.lit("None")).alias("key_metrics"),
         F.count(F.lit(1)).over(rounds).alias("total_rounds"),
+        *extra,
     )
 
 

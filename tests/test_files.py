@@ -57,3 +57,15 @@ def test_merge_stages_latest_attempt(spark):
     assert m["t1"].exec_success is True and m["t1"].repair_repaired == "code" and m["t2"].repair_repaired is None
     ok, bad = tasks.split_by_success(ex)
     assert ok.count() == 1 and bad.count() == 2
+
+
+def test_summary_from_tracker_has_times(spark, tmp_dir):
+    from failurelens.operators import reports
+    rows = spark.createDataFrame([(1, "humaneval/pass@1", 0.5), (2, "mbpp/pass@5", 0.6)],
+                                 "round int, metric string, value double")
+    path = os.path.join(tmp_dir, "tracker2")
+    files.write_tracker(rows, path)
+    long = files.read_tracker(spark, path).withColumn("run_name", F.lit("run4"))
+    out = {r["round"]: r for r in reports.experiment_summary(long).collect()}
+    assert out[1].key_metrics == "humaneval/pass@1: 0.5000" and out[2].key_metrics == "None"
+    assert out[1].total_rounds == 2 and out[1].started_at is not None and out[1].ended_at is not None
