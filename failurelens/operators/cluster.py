@@ -392,17 +392,19 @@ def ordered_ema_update(df: DataFrame, centroids: DataFrame, alpha: float = 0.1,
                 key = tuple(kv[r] for kv in key_vals)
                 st = states.get(key)
                 if st is None:
-                    st = states[key] = ([c.copy() for _, _, c in bc.value], [0] * len(bc.value))
+                    st = states[key] = (np.stack([c for _, _, c in bc.value]).astype(np.float64),
+                                        np.zeros(len(bc.value), dtype=np.int64))
                 x = np.asarray(vecs[r], dtype=np.float64)
                 nx = np.linalg.norm(x)
                 if nx > 0:
                     x = x / nx
-                j = int(np.argmax(np.stack(st[0]) @ x))
-                st[0][j] = (1 - alpha) * st[0][j] + alpha * x
+                mat = st[0]
+                j = int(np.argmax(mat @ x))
+                mat[j] = (1 - alpha) * mat[j] + alpha * x
                 st[1][j] += 1
         rows = []
         for key, (cs, counts) in states.items():
-            for (i, name, _), c, cnt in zip(bc.value, cs, counts):
+            for (i, name, _), c, cnt in zip(bc.value, cs, counts.tolist()):
                 nc = np.linalg.norm(c)
                 rows.append(list(key) + [i, name, list(c / nc) if nc > 0 else list(c), cnt])
         yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])

@@ -34,19 +34,14 @@ def _local_top_k(qids: np.ndarray, qmat: np.ndarray, k: int, id_type: str):
             sims = emb @ qmat.T  # rows x queries
             ids = pdf["id"].to_numpy()
             n = sims.shape[0]
-            out_q, out_id, out_s = [], [], []
-            for j in range(sims.shape[1]):
-                col = sims[:, j]
-                if n > k:
-                    cut = np.partition(col, n - k)[n - k]
-                    keep = np.nonzero(col >= cut)[0]  # ties at the cut are kept: exact
-                else:
-                    keep = np.arange(n)
-                out_q.append(np.full(len(keep), qids[j]))
-                out_id.append(ids[keep])
-                out_s.append(col[keep])
-            yield pd.DataFrame({"query_id": np.concatenate(out_q), "id": np.concatenate(out_id),
-                                "similarity": np.concatenate(out_s)})
+            if n > k:
+                # k-th largest similarity per query, all queries at once; rows tied
+                # at the cut are kept, so the final merge is exact
+                cut = np.partition(sims, n - k, axis=0)[n - k]
+                rows, cols = np.nonzero(sims >= cut[None, :])
+            else:
+                rows, cols = np.nonzero(np.ones_like(sims, dtype=bool))
+            yield pd.DataFrame({"query_id": qids[cols], "id": ids[rows], "similarity": sims[rows, cols]})
     return run
 
 
