@@ -26,7 +26,11 @@ def top_k(df: DataFrame, k: int, key: str, descending: bool, tie_cols: Sequence[
           direct_max: int = DIRECT_MAX) -> DataFrame:
     """The first ``k`` rows ordered by ``key`` (then ``tie_cols``)."""
     order = [F.col(key).desc() if descending else F.col(key).asc(), *tie_cols]
-    if k <= direct_max or df.rdd.getNumPartitions() * k <= MERGE_BOUND:
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: take the sketch path
+        parts = None
+    if k <= direct_max or (parts is not None and parts * k <= MERGE_BOUND):
         # the single merge task receives at most partitions x k rows: bounded
         return df.orderBy(*order).limit(k)
     n = df.count()
