@@ -22,6 +22,7 @@ from failurelens.functions.vectors import cosine_eps, literal_vector
 from failurelens.schemas import FAILURE_RECORD
 
 STORE_COLUMNS = [f.name for f in FAILURE_RECORD.fields]
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def clean_records(df: DataFrame) -> DataFrame:
@@ -208,8 +209,20 @@ class FailureStore:
         newer = self._batch_frame([i for i in self.batch_ids() if i <= upto and (not snaps or i > snaps[-1])])
         if base is None and newer is None:
             return None
-        staged = newer if base is None else (base if newer is None else base.unionByName(newer))
-        return latest_per_key(staged, ["record_id"], ["_batch", "seq"]).drop("_batch")
+        if newer is None:
+            return base.drop("_batch")  # a snapshot is already resolved
+        fresh = latest_per_key(newer, ["record_id"], ["_batch", "seq"]).drop("_batch")
+        if base is None:
+            return fresh
+        # snapshot rows never win over later batches: keep those whose key the
+        # new batches do not touch. The touched key set is broadcast when its
+        # size is proven small; otherwise both sides meet in one shuffle.
+        touched = fresh.select("record_id")
+        if touched.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+            keep = base.drop("_batch").join(F.broadcast(touched), on="record_id", how="left_anti")
+        else:
+            keep = base.drop("_batch").join(touched, on="record_id", how="left_anti")
+        return keep.unionByName(fresh)
 
     def compact(self, version: int | None = None) -> int | None:
         """Write the resolved state up to ``version`` as a snapshot."""

@@ -113,3 +113,14 @@ def test_upsert_with_a_hot_key(spark):
     got = {r.record_id: r.task for r in store.upsert(None, df).collect()}
     assert got["hot"] == f"task{max(i for i in range(n) if i % 3 == 0)}"
     assert len(got) == 1 + sum(1 for i in range(n) if i % 3 != 0)
+
+
+def test_read_paths_after_compaction(spark, tmp_dir):
+    fs = store.FailureStore(spark, tmp_dir)
+    fs.store_batch(_records(spark, [_rec("a", "Logic", None, T0, "a1"), _rec("b", "Logic", None, T0, "b1")]))
+    fs.compact()
+    only_snapshot = sorted((r.record_id, r.task) for r in fs.read().collect())
+    assert only_snapshot == [("a", "a1"), ("b", "b1")]
+    fs.store_batch(_records(spark, [_rec("b", "Syntax", None, T0, "b2"), _rec("c", "Logic", None, T0, "c1")]))
+    got = sorted((r.record_id, r.task, r.failure_cluster) for r in fs.read().collect())
+    assert got == [("a", "a1", "Logic"), ("b", "b2", "Syntax"), ("c", "c1", "Logic")]
