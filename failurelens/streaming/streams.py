@@ -113,7 +113,8 @@ def start_counts_to_table(stream: DataFrame, out_path: str, checkpoint: str | No
 # Online failure clustering
 # ---------------------------------------------------------------------------
 def online_clustering_batch(batch: DataFrame, batch_id: int, store: FailureStore, centroids: VersionedTable,
-                            alpha: float = 0.1, vec_col: str = "embedding", order_col: str = "seq") -> None:
+                            alpha: float = 0.1, vec_col: str = "embedding", order_col: str = "seq",
+                            compact_every: int | None = None) -> None:
     """One micro-batch: assign, store, update centroids (mini-batch EMA).
 
     Reads centroid version ``batch_id`` (version 0 is the initial set) and
@@ -130,16 +131,20 @@ def online_clustering_batch(batch: DataFrame, batch_id: int, store: FailureStore
         store.store_batch(records, version=batch_id + 1)
         moved = cluster.ema_update(rows, cur, alpha=alpha, vec_col=vec_col, order_col=order_col)
         centroids.write(moved.select("cluster_idx", "cluster_name", "centroid"), batch_id + 1)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            store.compact(batch_id + 1)  # later reads start from this snapshot
     finally:
         rows.unpersist()
 
 
 def start_online_clustering(stream: DataFrame, store_path: str, centroid_path: str, alpha: float = 0.1,
-                            checkpoint: str | None = None, available_now: bool = True):
+                            checkpoint: str | None = None, available_now: bool = True,
+                            compact_every: int | None = 100):
     spark = stream.sparkSession
     store = FailureStore(spark, store_path)
     cents = VersionedTable(spark, centroid_path, CENTROIDS)
-    w = (stream.writeStream.foreachBatch(lambda df, bid: online_clustering_batch(df, bid, store, cents, alpha))
+    w = (stream.writeStream.foreachBatch(
+        lambda df, bid: online_clustering_batch(df, bid, store, cents, alpha, compact_every=compact_every))
          .option("checkpointLocation", _checkpoint(spark, "online_clustering", checkpoint)))
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()

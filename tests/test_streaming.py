@@ -72,7 +72,7 @@ def test_online_clustering_stream_equals_batch(spark, tmp_dir):
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in vecs.schema.fields])
     stream = streams.json_stream(spark, src, schema, max_files_per_trigger=1)
     q = streams.start_online_clustering(stream, os.path.join(tmp_dir, "store"), os.path.join(tmp_dir, "cents"),
-                                        checkpoint=os.path.join(tmp_dir, "ck3"))
+                                        checkpoint=os.path.join(tmp_dir, "ck3"), compact_every=2)
     _wait(q)
     # batch twin: the same three groups, one after another
     cur = c0
