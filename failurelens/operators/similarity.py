@@ -24,31 +24,38 @@ MAX_BROADCAST_QUERIES = 4096
 EPS = 1e-8
 
 
-def _local_top_k(qids: np.ndarray, qmat: np.ndarray, k: int, id_type: str):
+MAX_BLOCK_CELLS = 8_000_000  # similarity cells scored at once (~64 MB of doubles)
+
+
+def _local_top_k(qids: np.ndarray, qmat: np.ndarray, k: int, id_type: str,
+                 block_cells: int = MAX_BLOCK_CELLS):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
                 continue
             emb = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
             emb = emb / (np.linalg.norm(emb, axis=1, keepdims=True) + EPS)
-            sims = emb @ qmat.T  # rows x queries
             ids = pdf["id"].to_numpy()
-            n = sims.shape[0]
-            if n > k:
-                # k-th largest similarity per query, all queries at once; rows tied
-                # at the cut are kept, so the final merge is exact
-                cut = np.partition(sims, n - k, axis=0)[n - k]
-                rows, cols = np.nonzero(sims >= cut[None, :])
-            else:
-                rows, cols = np.nonzero(np.ones_like(sims, dtype=bool))
-            yield pd.DataFrame({"query_id": qids[cols], "id": ids[rows], "similarity": sims[rows, cols]})
+            n = emb.shape[0]
+            # score the batch against blocks of queries so memory stays bounded
+            step = max(1, block_cells // max(n, 1))
+            for q0 in range(0, qmat.shape[0], step):
+                sims = emb @ qmat[q0:q0 + step].T  # rows x block of queries
+                if n > k:
+                    # k-th largest similarity per query; rows tied at the cut are
+                    # kept, so the final merge is exact
+                    cut = np.partition(sims, n - k, axis=0)[n - k]
+                    rows, cols = np.nonzero(sims >= cut[None, :])
+                else:
+                    rows, cols = np.nonzero(np.ones_like(sims, dtype=bool))
+                yield pd.DataFrame({"query_id": qids[q0 + cols], "id": ids[rows], "similarity": sims[rows, cols]})
     return run
 
 
 def top_k_similar(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "record_id",
                   vec_col: str = "embedding", query_id_col: str = "query_id",
                   query_vec_col: str = "query_vec", max_broadcast: int = MAX_BROADCAST_QUERIES,
-                  _level: int = 0) -> DataFrame:
+                  block_cells: int = MAX_BLOCK_CELLS, _level: int = 0) -> DataFrame:
     """Top ``k`` store rows per query by cosine with 1e-8 on each norm.
 
     Result: ``(query_id, <id_col>, similarity, rank)``, ties broken by id.
@@ -70,7 +77,8 @@ def top_k_similar(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str
         chunked = queries.withColumn(
             "_chunk", F.pmod(F.xxhash64(F.col(query_id_col), F.lit(_level)), F.lit(n_chunks)))
         parts = [top_k_similar(store, chunked.where(F.col("_chunk") == i).drop("_chunk"), k, id_col, vec_col,
-                               query_id_col, query_vec_col, max_broadcast, _level + 1) for i in range(n_chunks)]
+                               query_id_col, query_vec_col, max_broadcast, block_cells, _level + 1)
+                 for i in range(n_chunks)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -88,7 +96,7 @@ def top_k_similar(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str
 
     def run(batches):
         q_ids, q_mat = bq.value
-        yield from _local_top_k(q_ids, q_mat, k, str(id_type))(batches)
+        yield from _local_top_k(q_ids, q_mat, k, str(id_type), block_cells)(batches)
 
     local = (store.where(F.col(vec_col).isNotNull())
              .select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))

@@ -82,6 +82,9 @@ def test_many_query_top_k_matches_brute_force(spark):
         want = list(np.argsort(-sims[j], kind="stable")[:3])
         have = [r.record_id for r in sorted((r for r in got if r.query_id == j), key=lambda r: r["rank"])]
         assert have == want
+    # scoring in small query blocks gives the same answer
+    got_blocks = top_k_similar(st.repartition(3), q, k=3, block_cells=60).collect()
+    assert sorted((r.query_id, r.record_id) for r in got_blocks) == sorted((r.query_id, r.record_id) for r in got)
     # chunked path (query set above the broadcast bound) gives the same answer
     got2 = top_k_similar(st, q, k=3, max_broadcast=2).collect()
     assert sorted((r.query_id, r.record_id) for r in got2) == sorted((r.query_id, r.record_id) for r in got)
