@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from failurelens.llm.common import read_table
-from failurelens.llm import exact_dedup
+from failurelens.llm import bpe, exact_dedup
+
+
+def word_vocabulary() -> str:
+    """The word-end BPE file that the token queries use."""
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.tokenize(docs, word_vocabulary(), ["n_tokens", "ids_sha256", "decoded_sha256"]).drop("text")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +24,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bpe_codec": op3_bpe_codec,
     "op4_exact_dedup": op4_exact_dedup,
 }
 
