@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from failurelens.llm.common import read_table
-from failurelens.llm import bpe, exact_dedup
+from failurelens.llm import bpe, decontaminate, exact_dedup
 
 
 def word_vocabulary() -> str:
@@ -23,11 +23,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_bpe_codec": op3_bpe_codec,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_decontamination": op7_decontamination,
 }
 
 ORACLE = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op7_decontamination": decontaminate.ORACLE,
 }
