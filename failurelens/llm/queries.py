@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from failurelens.llm.common import read_table
-from failurelens.llm import bpe, decontaminate, exact_dedup
+from failurelens.llm import bpe, decontaminate, exact_dedup, pii
 
 
 def word_vocabulary() -> str:
@@ -14,6 +14,15 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The key of the registered query; a user passes a secret one.
+PSEUDONYM_KEY = "corpus-demo-key"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PSEUDONYM_KEY)
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.tokenize(docs, word_vocabulary(), ["n_tokens", "ids_sha256", "decoded_sha256"]).drop("text")
@@ -28,6 +37,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_decontamination": op7_decontamination,
