@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from failurelens.llm.common import read_table
-from failurelens.llm import bpe, decontaminate, exact_dedup, pii
+from failurelens.llm import bpe, decontaminate, exact_dedup, licenses, pii
 
 
 def word_vocabulary() -> str:
@@ -32,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -40,10 +44,12 @@ QUERIES = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_license_digests": op5_license_digests,
     "op7_decontamination": op7_decontamination,
 }
 
 ORACLE = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_license_digests": licenses.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
 }
