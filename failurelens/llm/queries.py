@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from failurelens.llm.common import read_table
-from failurelens.llm import bpe, decontaminate, exact_dedup, licenses, pii
+from failurelens.llm.common import held_out, read_table
+from failurelens.llm import bpe, decontaminate, exact_dedup, langid, licenses, pii
 
 
 def word_vocabulary() -> str:
@@ -40,12 +41,21 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 4, 2)
+    vocabulary = langid.piece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    model = langid.learn(docs.filter(~held), vocabulary)
+    return langid.predict(docs, model, held)
+
+
 QUERIES = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_digests": op5_license_digests,
     "op7_decontamination": op7_decontamination,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE = {
