@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failurelens.llm.common import held_out, read_table
-from failurelens.llm import bpe, decontaminate, exact_dedup, langid, licenses, pii
+from failurelens.llm import bpe, decontaminate, exact_dedup, langid, licenses, pii, quality
 
 
 def word_vocabulary() -> str:
@@ -24,6 +24,12 @@ def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, PSEUDONYM_KEY)
 
 
+def op2_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held = held_out(F.col("doc_id"), 3, 1)
+    return quality.score(docs, quality.fit(docs, labels, ~held), held)
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.tokenize(docs, word_vocabulary(), ["n_tokens", "ids_sha256", "decoded_sha256"]).drop("text")
@@ -51,6 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
+    "op2_quality_neighbours": op2_quality_neighbours,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_digests": op5_license_digests,
