@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failurelens.llm.common import held_out, read_table
-from failurelens.llm import bpe, decontaminate, exact_dedup, langid, licenses, pii, quality
+from failurelens.llm import bpe, decontaminate, exact_dedup, langid, licenses, pii, quality, toxicity
 
 
 def word_vocabulary() -> str:
@@ -47,6 +47,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def toxicity_network(spark: SparkSession, sf_dir: str) -> toxicity.Network:
+    """Fitted on the labelled documents whose crc32(doc_id) mod 4 is not 2."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.fit(docs, labels, ~held_out(F.col("doc_id"), 4, 2))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    network = toxicity_network(spark, sf_dir)
+    return toxicity.score(read_table(spark, sf_dir, "documents"), network, held_out(F.col("doc_id"), 4, 2))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held = held_out(F.col("doc_id"), 4, 2)
@@ -62,6 +73,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_digests": op5_license_digests,
     "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op10_language_id": op10_language_id,
 }
 

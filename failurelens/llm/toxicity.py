@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from failurelens.llm.common import prepare, text_slices
 
@@ -40,6 +41,9 @@ GRAMS = (3, 4, 5, 6, 7)
 WORD_DIM, GRAM_DIM, STATE = 8, 16, 10
 MAX_CHARS = 24
 EPOCHS = 12
+#: Training ends with the pass in which this many batches are reached.
+ENOUGH_STEPS = 320
+BATCH = 128
 #: Words kept with their gate inputs by a worker.
 WORD_MEMO = 120_000
 CHUNK = 4096
@@ -254,6 +258,8 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     seen_words, seen_grams = np.full(WORD_BUCKETS, 1e-6, np.float32), np.full(GRAM_BUCKETS, 1e-6, np.float32)
     steps = 0
     for epoch in range(epochs):
+        if steps >= ENOUGH_STEPS:
+            break
         # at first only documents of few windows tell which window their label means
         used = np.flatnonzero(n_windows <= (3, 6, 12)[epoch]) if epoch < 3 else np.arange(len(kept))
         clean = rng.permutation(used[y[used] == 0])[:2 * int(y.sum()) + 200]
@@ -265,8 +271,8 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
         random = doc_first[clean] + rng.integers(0, n_windows[clean])
         picked = rng.permutation(np.concatenate([top, random]))
         rate = 0.02 * (1 - epoch / epochs) + 0.002
-        for i in range(0, len(picked), 128):
-            batch = picked[i:i + 128]
+        for i in range(0, len(picked), BATCH):
+            batch = picked[i:i + BATCH]
             width = int(length[batch].max())
             words, at = np.unique(ids[np.minimum(start[batch, None] + np.arange(width), len(ids) - 1)], return_inverse=True)
             at = at.reshape(len(batch), width)
@@ -323,8 +329,6 @@ def score(docs: DataFrame, network: Network, held: Column, threshold: float = 0.
 
 def with_score(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:
     """``docs`` with the score of its column ``text``; no shuffle."""
-    from pyspark.sql import types as T
-
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(network)
