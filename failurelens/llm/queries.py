@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failurelens.llm.common import held_out, read_table
-from failurelens.llm import bpe, decontaminate, exact_dedup, langid, licenses, pii, quality, toxicity
+from failurelens.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, licenses, pii, quality, toxicity
 
 
 def word_vocabulary() -> str:
@@ -43,6 +43,11 @@ def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = jaccard_join.Rule(k=4, num=85, den=100)
+    return jaccard_join.similarity_components(read_table(spark, sf_dir, "documents"), rule)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op3_bpe_codec": op3_bpe_codec,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_digests": op5_license_digests,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op10_language_id": op10_language_id,
@@ -80,5 +86,6 @@ QUERIES = {
 ORACLE = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_license_digests": licenses.ORACLE,
+    "op6_jaccard_join": jaccard_join.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
 }
