@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failurelens.llm.common import held_out, read_table
-from failurelens.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, licenses, pii, quality, toxicity
+from failurelens.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, licenses, pii, quality, substring_dedup, toxicity
 
 
 def word_vocabulary() -> str:
@@ -63,6 +63,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), network, held_out(F.col("doc_id"), 4, 2))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held = held_out(F.col("doc_id"), 4, 2)
@@ -80,6 +84,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
 
@@ -88,4 +93,5 @@ ORACLE = {
     "op5_license_digests": licenses.ORACLE,
     "op6_jaccard_join": jaccard_join.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
 }
