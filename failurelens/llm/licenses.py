@@ -101,7 +101,7 @@ WHOLE_TEXTS = [
 ]
 #: SPDX id, then names it goes by in one-line notices.
 NAMES = [
-    ("MIT", "MIT License", "MIT", "Expat License"),
+    ("MIT", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT", "Expat License"),
     ("Apache-2.0", "Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0"),
     ("GPL-2.0", "GNU General Public License, version 2", "GNU GPL v2", "GPLv2"),
     ("GPL-3.0", "GNU General Public License, version 3", "GNU GPL v3", "GPLv3"),
