@@ -72,10 +72,10 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if size == n:
                 out_word[at] = (h[:, 0] % np.uint64(WORD_BUCKETS)).astype(np.int64)
             else:
-                grams.append((h % np.uint64(GRAM_BUCKETS)).astype(np.int64).ravel())
-                owners.append(np.repeat(at, width))
+                grams.append((h % np.uint64(GRAM_BUCKETS)).astype(np.int32).ravel())
+                owners.append(np.repeat(np.array(at, np.int32), width))
     if not grams:
-        return out_word, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return out_word, np.zeros(0, np.int32), np.zeros(0, np.int32)
     grams, owners = np.concatenate(grams), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return out_word, grams[order], owners[order]
@@ -118,7 +118,10 @@ class Network:
         x[:, :WORD_DIM] = self.words[bucket]
         if len(grams):
             has, start, n = np.unique(owner, return_index=True, return_counts=True)
-            x[has, WORD_DIM:] = np.add.reduceat(self.grams[grams], start) / np.sqrt(n)[:, None]
+            for i in range(0, len(has), CHUNK):  # the n-grams' rows take much more room than their sums
+                part = slice(start[i], start[i + CHUNK] if i + CHUNK < len(has) else None)
+                sums = np.add.reduceat(self.grams[grams[part]], start[i:i + CHUNK] - start[i])
+                x[has[i:i + CHUNK], WORD_DIM:] = sums / np.sqrt(n[i:i + CHUNK])[:, None]
         return x
 
     def gates(self, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -237,15 +240,16 @@ class Scorer:
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
     """Fit a network on whole labelled texts."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    found = [find_words(t.decode().lower()) for t in texts]
-    kept = [i for i, w in enumerate(found) if w]
+    vocabulary: dict[str, int] = {}
+    numbers = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in find_words(t.decode().lower())], np.int32)
+               for t in texts]
+    kept = [i for i, w in enumerate(numbers) if len(w)]
     y = np.asarray(labels, np.float32)[kept]
     if not len(kept) or y.min() == y.max():
         net.ready = False
         return net
-    vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for i in kept for w in found[i]])
-    n_words = np.array([len(found[i]) for i in kept])
+    ids = np.concatenate(numbers)
+    n_words = np.array([len(numbers[i]) for i in kept])
     base = np.cumsum(n_words) - n_words
     feats = features(list(vocabulary))
     bucket, grams, owner = feats
