@@ -49,6 +49,8 @@ FREQUENT_TIMES, FREQUENT_SIGMAS = 1.5, 6
 #: Up to this size, sets are indexed by pairs of frequent tokens.
 PAIR_SIZE = 160
 BITMAP_BITS = 2048
+#: Up to so many ids (8 bytes each) of documents to compare are broadcast.
+BROADCAST_IDS = 500_000
 #: n and position in one number.
 PLACE = 1 << 24
 
@@ -75,13 +77,19 @@ def _word_sets(batch: pa.RecordBatch, memo: WordHashes, k: int):
         yield start, [shingle_set(memo.of(raw.lower().split()), k) for raw in texts]
 
 
+def _parity(tokens: np.ndarray) -> bytes:
+    """A bit for each residue of the tokens: whether an odd number has it."""
+    residue = (tokens >> np.uint64(20) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(residue, minlength=BITMAP_BITS) & 1).tobytes()
+
+
 def profile(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, digest of the set) of every row, and the token counts by class."""
+    """(doc_id, n_shingles, digest and parity bitmap of the set) of every row, and the token counts by class."""
     prepare(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, counts = WordHashes(), np.zeros(CLASSES, np.int64)
-        names = ["doc_id", "n_shingles", "digest", "part", "counts"]
+        names = ["doc_id", "n_shingles", "digest", "bitmap", "part", "counts"]
         for batch in batches:
             for start, sets in _word_sets(batch, memo, rule.k):
                 every = np.concatenate(sets)
@@ -89,12 +97,13 @@ def profile(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
                 n, digests = len(sets), [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, n), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                     pa.array(digests, pa.binary()), pa.array([_parity(s) for s in sets], pa.binary()),
+                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if counts.any():
             rows = [c.tobytes() for c in counts.reshape(PARTS, -1)]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()),
-                 pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names)
+                 pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -107,14 +116,14 @@ def profile(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
                 ["part", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = shared_table(rows.mapInArrow(scan, "doc_id bigint, n_shingles bigint, digest binary, part int, counts binary"),
-                        "shingle-profile")
+    seen = shared_table(rows.mapInArrow(scan, "doc_id bigint, n_shingles bigint, digest binary, bitmap binary, part int, "
+                                              "counts binary"), "shingle-profile")
     sums = (seen.filter("part is not null").select("part", "counts").repartition(PARTS, "part")
             .mapInArrow(add_up, "part int, counts binary").collect())
     counts = np.zeros((PARTS, CLASSES // PARTS), np.int64)
     for part, raw in sums:
         counts[part] = np.frombuffer(raw, np.int64)
-    return seen.filter("part is null").select("doc_id", "n_shingles", "digest"), counts.ravel()
+    return seen.filter("part is null").drop("part", "counts"), counts.ravel()
 
 
 def index_entries(docs: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
@@ -165,22 +174,13 @@ def shared_entries(entries: DataFrame, classes: DataFrame) -> DataFrame:
     return held.join(spread.select("key", "hub"), "key")
 
 
-def set_table(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """(id, n, bitmap, tokens) of the documents in ``ids``, written once."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in batches:
-            for start, sets in _word_sets(batch, memo, rule.k):
-                odd = [np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(BITMAP_BITS - 1)).astype(np.int64),
-                                               minlength=BITMAP_BITS) & 1).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(sets)), pa.array([len(s) for s in sets], pa.int32()),
-                     pa.array(odd, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["id", "n", "bitmap", "tokens"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return shared_table(rows.mapInArrow(scan, "id bigint, n int, bitmap binary, tokens binary"), "shingle-sets")
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``pairs``, written once. Up to BROADCAST_IDS ids are broadcast
+    to the scan; more are joined by a shuffle."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    few = len(ids.limit(BROADCAST_IDS + 1).select(F.lit(1)).take(BROADCAST_IDS + 1)) <= BROADCAST_IDS
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return shared_table(rows.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "pair-texts")
 
 
 def near_enough(a: str, b: str, rule: Rule):
@@ -193,30 +193,47 @@ def near_enough(a: str, b: str, rule: Rule):
     return sizes & (ranked | (most * (rule.num + rule.den) >= (n_a + n_b) * rule.num))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose sets link: near by their bitmaps, then by the sets of their whole texts."""
 
     def by_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n_a, n_b, map_a, map_b = batch.columns
             bits = [np.frombuffer(b"".join(m.to_pylist()), np.uint64).reshape(-1, BITMAP_BITS // 64) for m in (map_a, map_b)]
             apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
-            most = (n_a.to_numpy().astype(np.int64) + n_b.to_numpy()) * (rule.den - rule.num) // (rule.den + rule.num)
+            most = (n_a.to_numpy() + n_b.to_numpy()) * (rule.den - rule.num) // (rule.den + rule.num)
             kept = pa.array(apart <= most)
             yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], ["a", "b"])
 
-    def by_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
         for batch in batches:
-            read = lambda v: np.frombuffer(v.as_buffer(), np.uint64)
-            kept = pa.array([rule.linked(read(x), read(y)) for x, y in zip(batch.column(2), batch.column(3), strict=True)])
+            hub, held, kept = None, None, []  # rows of one b mostly follow each other
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if b != hub:
+                    hub, held = b, {}
+                sets = []
+                for text in (x, y):
+                    raw = (text.as_py() or "").encode()
+                    key = hashlib.blake2b(raw, digest_size=16).digest()
+                    if key not in held:
+                        held[key] = shingle_set(memo.of(raw.lower().split()), rule.k)
+                    sets.append(held[key])
+                    if len(held) > 64:
+                        held = {}
+                kept.append(rule.linked(*sets))
+            kept = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    side = lambda c, *names: sets.select(F.col("id").alias(c), *[F.col(n).alias(f"{n}_{c}") for n in names])
-    small = (pairs.join(side("a", "n", "bitmap"), "a").join(side("b", "n", "bitmap"), "b")
+    side = lambda c: profiles.select(
+        F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bitmap").alias(f"bitmap_{c}"))
+    small = (pairs.join(side("a"), "a").join(side("b"), "b")
              .select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(by_bitmap, "a bigint, b bigint"))
     close = shared_table(small.distinct(), "close-pairs")
-    whole = (close.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
-             .select("a", "b", "tokens_a", "tokens_b").mapInArrow(by_tokens, "a bigint, b bigint"))
+    texts = texts_of(docs, close)
+    text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    whole = (close.join(text("a"), "a").join(text("b"), "b")
+             .select("a", "b", "text_a", "text_b").mapInArrow(by_text, "a bigint, b bigint"))
     return shared_table(whole.distinct(), "links")
 
 
@@ -249,7 +266,6 @@ def similarity_components(docs: DataFrame, rule: Rule) -> DataFrame:
                            .select(F.col("doc_id").alias("id"), "rep").distinct(), "classes")
     members = shared_entries(index_entries(docs, rule, counts), classes)
     members = shared_table(members, "members")
-    sets = set_table(docs, members.select(F.col("rep").alias("id")).distinct(), rule)
 
     # rows of one id with different texts are one node: their classes are linked from the start
     same = (classes.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
@@ -258,7 +274,7 @@ def similarity_components(docs: DataFrame, rule: Rule) -> DataFrame:
     hubs = members.filter("rep = hub").select("key", F.col("place").alias("hub_place"))
     first = (members.filter("rep > hub").join(hubs, "key").filter(near_enough("hub_place", "place", rule))
              .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    links = verified(first, sets, rule)
+    links = verified(first, rows, docs, rule)
     found = components(links.unionByName(same))
 
     label = F.coalesce("component", "rep")
@@ -276,7 +292,7 @@ def similarity_components(docs: DataFrame, rule: Rule) -> DataFrame:
               .filter(near_enough("place_a", "place_b", rule))
               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
               .join(first, ["a", "b"], "left_anti"))
-    more = verified(second, sets, rule)
+    more = verified(second, rows, docs, rule)
     if not more.isEmpty():
         found = components(links.unionByName(same).unionByName(more))
     return rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
