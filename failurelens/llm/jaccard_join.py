@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from failurelens.llm.common import prepare, shared_table, text_slices
-from failurelens.llm.shingles import WordHashes, mix, shingle_set
+from failurelens.llm.shingles import mix, shingle_set, word_hashes
 
 #: Token classes, and the parts in which their counts are summed.
 CLASSES = 1 << 18
@@ -72,9 +72,9 @@ class Rule:
         return common * self.den >= self.num * (len(a) + len(b) - common)
 
 
-def _word_sets(batch: pa.RecordBatch, memo: WordHashes, k: int):
+def _word_sets(batch: pa.RecordBatch, k: int):
     for start, texts in text_slices(batch):
-        yield start, [shingle_set(memo.of(raw.lower().split()), k) for raw in texts]
+        yield start, [shingle_set(words, k) for words in word_hashes([raw.lower() for raw in texts])]
 
 
 def _parity(tokens: np.ndarray) -> bytes:
@@ -88,10 +88,10 @@ def profile(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
     prepare(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts = WordHashes(), np.zeros(CLASSES, np.int64)
+        counts = np.zeros(CLASSES, np.int64)
         names = ["doc_id", "n_shingles", "digest", "bitmap", "part", "counts"]
         for batch in batches:
-            for start, sets in _word_sets(batch, memo, rule.k):
+            for start, sets in _word_sets(batch, rule.k):
                 every = np.concatenate(sets)
                 counts += np.bincount((every & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
                 n, digests = len(sets), [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -149,9 +149,8 @@ def index_entries(docs: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
         return np.concatenate(keys).view(np.int64), np.concatenate(places) + n * PLACE
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
-            for start, sets in _word_sets(batch, memo, rule.k):
+            for start, sets in _word_sets(batch, rule.k):
                 ids = batch.column(0).slice(start, len(sets)).to_numpy(zero_copy_only=False)
                 found = [(i, *entries_of(s)) for i, s in zip(ids, sets, strict=True) if len(s)]
                 if found:
@@ -206,7 +205,6 @@ def verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, rule: Rule)
             yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], ["a", "b"])
 
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             hub, held, kept = None, None, []  # rows of one b mostly follow each other
             for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
@@ -217,7 +215,7 @@ def verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, rule: Rule)
                     raw = (text.as_py() or "").encode()
                     key = hashlib.blake2b(raw, digest_size=16).digest()
                     if key not in held:
-                        held[key] = shingle_set(memo.of(raw.lower().split()), rule.k)
+                        held[key] = shingle_set(word_hashes([raw.lower()])[0], rule.k)
                     sets.append(held[key])
                     if len(held) > 64:
                         held = {}

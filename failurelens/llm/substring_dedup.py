@@ -33,12 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from failurelens.llm.common import prepare, row_key, shared_table, text_slices
 from failurelens.llm.fm_index import FmIndex
-from failurelens.llm.shingles import WordHashes, mix, sequence_hashes
+from failurelens.llm.shingles import mix, sequence_hashes, word_hashes
 
 WIDTH = 13
 GRAM = 5
@@ -80,14 +81,11 @@ def anchor_rows(rows: DataFrame, width: int) -> DataFrame:
     anchor is known to repeat, the place is -2 - place and the key any number."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             for start, texts in text_slices(batch):
-                ids = batch.column(0).slice(start, len(texts)).to_numpy()
-                found = {}  # a text once
-                for i, raw in zip(ids.tolist(), texts, strict=True):
-                    if i not in found:
-                        found[i] = anchors(memo.of(raw.split()), width)[1:]
+                ids = batch.column(0).slice(start, len(texts)).to_pylist()
+                once = dict(zip(ids, texts, strict=True))  # a text once
+                found = {i: anchors(words, width)[1:] for i, words in zip(once, word_hashes(list(once.values())), strict=True)}
                 keys = np.concatenate([k for _, k in found.values()]).view(np.int64)
                 if not len(keys):
                     continue
@@ -145,49 +143,67 @@ def repeated_places(found: DataFrame) -> DataFrame:
     return merged.distinct().groupBy("text_key").agg(F.collect_list("place").alias("places"))
 
 
-def segments(held: DataFrame, width: int) -> DataFrame:
-    """(doc_key, text_key, anchor, start, words, words_key) around the anchors ``places`` of each text."""
+PLACES = "doc_key bigint, text_key bigint, anchor bigint, words_key bigint, start int"
+DISTINCT = "anchor bigint, words_key bigint, words binary, first bigint, last bigint"
+
+
+def segments(held: DataFrame, width: int, distinct: bool) -> DataFrame:
+    """The segments around the anchors ``places`` of each text.
+
+    Either where they are (PLACES), or each once for a slice, with the least and greatest
+    id that has it (DISTINCT), so that a slice sends one row for a segment however many
+    of its documents share it.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        names = ["doc_key", "text_key", "anchor", "start", "words"]
         for batch in batches:
             for start, texts in text_slices(batch):
-                out: list[list] = [[] for _ in names]
-                for j, raw in enumerate(texts, start):
-                    words = raw.split()
-                    of, places, keys = anchors(memo.of(words), width)
-                    if not len(of):
-                        continue
-                    first = np.searchsorted(of, places)
-                    last = np.searchsorted(of, places, "right") - 1 + width
+                out: list[tuple] = []
+                seen: dict[tuple[int, bytes], list[int]] = {}
+                for j, (raw, hashed) in enumerate(zip(texts, word_hashes(texts), strict=True), start):
+                    of, places, keys = anchors(hashed, width)
                     wanted = np.isin(places, batch.column(3)[j].values.to_numpy())
-                    begin, end = first[wanted].tolist(), last[wanted].tolist()
-                    out[0] += [batch.column(0)[j].as_py()] * len(begin)
-                    out[1] += [batch.column(1)[j].as_py()] * len(begin)
-                    out[2].append(keys[wanted].view(np.int64))
-                    out[3] += begin
-                    out[4] += [b" ".join(words[b:e]) for b, e in zip(begin, end, strict=True)]
-                keys = np.concatenate(out[2]) if out[2] else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(keys),
-                     pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names)
+                    if not wanted.any():
+                        continue
+                    doc, text, words = batch.column(0)[j].as_py(), batch.column(1)[j].as_py(), raw.split()
+                    first = np.searchsorted(of, places[wanted]).tolist()
+                    last = (np.searchsorted(of, places[wanted], "right") - 1 + width).tolist()
+                    for key, b, e in zip(keys[wanted].view(np.int64).tolist(), first, last, strict=True):
+                        segment = b" ".join(words[b:e])
+                        if distinct:
+                            ends = seen.setdefault((key, segment), [doc, doc])
+                            ends[0], ends[1] = min(ends[0], doc), max(ends[1], doc)
+                        else:
+                            out.append((doc, text, key, _words_key(segment), b))
+                if distinct:
+                    out = [(key, _words_key(words), words, *ends) for (key, words), ends in seen.items()]
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                fields = (DISTINCT if distinct else PLACES).split(", ")
+                yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[f.split()[1]]) for c, f in zip(columns, fields, strict=True)],
+                                                 [f.split()[0] for f in fields])
+
+    # all columns go in, for both kinds to share one shuffle of the texts
+    return held.select("doc_key", "text_key", "text", "places", "doc_id").mapInArrow(cut, DISTINCT if distinct else PLACES)
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
 
-    found = held.select("doc_key", "text_key", "text", "places").mapInArrow(
-        cut, "doc_key bigint, text_key bigint, anchor bigint, start int, words binary")
-    return found.withColumn("words_key", F.xxhash64("words"))
+def _words_key(segment: bytes) -> int:
+    """Names a segment beside its anchor, as a signed 64-bit hash."""
+    return xxhash.xxh64_intdigest(segment) - (1 << 63)
 
 
 def repeats(parts: DataFrame, width: int) -> DataFrame:
     """(anchor, words_key, least): for each window of a segment the smallest id that has it."""
-    distinct = (parts.groupBy("anchor", "words_key", "words")
-                .agg(F.min("doc_key").alias("first"), F.max("doc_key").alias("last")))
+    # dealt by anchor once: equal segments merge where their shard is made
+    distinct = (parts.repartition("anchor").groupBy("anchor", "words_key", "words")
+                .agg(F.min("first").alias("first"), F.max("last").alias("last")))
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
-        memo = WordHashes()
-        split = [r[2].split() for r in rows]
-        lengths = np.array([len(s) for s in split])
-        numbers = np.unique(memo.of([w for s in split for w in s]), return_inverse=True)[1].ravel() + 1
+        hashed = word_hashes([r[2] for r in rows])
+        lengths = np.array([len(h) for h in hashed])
+        numbers = np.unique(np.concatenate(hashed), return_inverse=True)[1].ravel() + 1
         # after each segment a separator
         text = np.zeros(len(numbers) + len(rows), np.int64)
         owner = np.repeat(np.arange(len(rows)), lengths + 1)
@@ -217,7 +233,7 @@ def repeats(parts: DataFrame, width: int) -> DataFrame:
         if rows:
             yield shard(rows)
 
-    return (distinct.repartition("anchor").sortWithinPartitions("anchor")
+    return (distinct.sortWithinPartitions("anchor")
             .select("anchor", "words_key", "words", "first", "last")
             .mapInArrow(search, "anchor bigint, words_key bigint, least array<bigint>"))
 
@@ -233,9 +249,8 @@ def removed_words(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # one shuffle of the texts by row serves both the segments and the result
     dealt = rows.repartition("doc_key", "text_key")
     held = dealt.join(places, ["doc_key", "text_key"]).select("doc_key", "text_key", "doc_id", "text", "places")
-    parts = segments(held, width)
-    least = repeats(parts, width)
-    back = (parts.select("doc_key", "text_key", "start", "anchor", "words_key").join(least, ["anchor", "words_key"])
+    least = repeats(segments(held, width, distinct=True), width)
+    back = (segments(held, width, distinct=False).join(least, ["anchor", "words_key"])
             .withColumn("starts", F.filter(
                 F.transform("least", lambda v, i: F.when(v < F.col("doc_key"), F.col("start") + i)), lambda s: s.isNotNull()))
             .filter(F.size("starts") > 0)
