@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from failurelens.functions.text import py_strip
 from failurelens.schemas import ERROR_TYPES
 
 RESULTS_PREFIX = "RESULTS:"
@@ -171,7 +172,7 @@ def parse_exec_log(df: DataFrame, timeout_seconds: int = 30) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Test-script text for an external runner (our own wording)
+# Test scripts for an external runner; of them only the RESULTS line is fixed
 # ---------------------------------------------------------------------------
 def test_code_from_cases(test_cases) -> Column:
     """Join test-case snippets with '\\n'; a missing snippet is '' but keeps its newline."""
@@ -184,64 +185,40 @@ def mbpp_script(code, test_list) -> Column:
     return F.concat(_c(code), F.lit("\n\n"), tests)
 
 
-def _indent(text: Column, pad: str = "        ") -> Column:
-    lines = F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), "\n", -1)
-    return F.array_join(F.transform(lines, lambda l: F.concat(F.lit(pad), l)), "\n")
-
+#: Runs a list of named checks and prints the counts that the log parser reads.
+RUNNER = """\
+def run_checks(checks):
+    import sys, traceback
+    outcomes = []
+    for name, check in checks:
+        try:
+            check()
+            outcomes.append(True)
+        except Exception:
+            outcomes.append(False)
+            print(f"check {name} failed", file=sys.stderr)
+            traceback.print_exc()
+    print("RESULTS:", f"passed={sum(outcomes)}", f"failed={len(outcomes) - sum(outcomes)}", f"total={len(outcomes)}")
+"""
 
-def wrapped_script(code, test_code, entry_point) -> Column:
-    """Script that runs the test body inside a counting wrapper and prints a RESULTS line.
 
-    Without test code the script only loads the code and reports one pass.
-    """
-    code, test_code, entry_point = _c(code), _c(test_code), _c(entry_point)
-    head = F.concat_ws("\n", F.lit("import sys"), F.lit(""), F.lit("# code under test"), code, F.lit(""))
-    with_tests = F.concat_ws(
-        "\n",
-        F.lit("# tests"),
-        F.lit("passed = failed = total = 0"),
-        F.lit("def check(candidate):"),
-        F.lit("    global passed, failed, total"),
-        F.lit("    try:"),
-        _indent(test_code),
-        F.lit("        passed += 1"),
-        F.lit("    except Exception as e:"),
-        F.lit("        failed += 1"),
-        F.lit("        print(f\"FAIL: {e}\", file=sys.stderr)"),
-        F.lit("    total += 1"),
-        F.when(F.coalesce(entry_point, F.lit("")) != "", F.concat(F.lit("check("), entry_point, F.lit(")")))
-        .otherwise(F.lit("")),
-        F.lit("print(f\"RESULTS: passed={passed} failed={failed} total={total}\")"),
-    )
-    no_tests = F.concat_ws("\n", F.lit("# no tests: load check only"),
-                           F.lit("print(\"RESULTS: passed=1 failed=0 total=1\")"))
-    body = F.when(F.coalesce(test_code, F.lit("")) != "", with_tests).otherwise(no_tests)
-    return F.concat(head, F.lit("\n"), body)
+def _as_function(name: str, body: Column) -> Column:
+    """A function without arguments around the lines of ``body``."""
+    lines = F.transform(F.split(py_strip(body), "\n", -1), lambda x: F.concat(F.lit("    "), x))
+    return F.concat(F.lit(f"def {name}():\n"), F.array_join(lines, "\n"), F.lit("\n"))
 
 
-def benchmark_script(code, test, entry_point) -> Column:
-    """Script for benchmark tests that define their own ``check`` function."""
-    code, test, entry_point = _c(code), _c(test), _c(entry_point)
-    return F.concat_ws(
-        "\n",
-        F.lit("import sys"), F.lit(""), F.lit("# code under test"), code, F.lit(""),
-        F.lit("# benchmark test"), test, F.lit(""),
-        F.lit("passed = failed = total = 0"),
-        F.lit("try:"),
-        F.concat(F.lit("    check("), entry_point, F.lit(")")),
-        F.lit("    passed += 1"),
-        F.lit("except AssertionError as e:"),
-        F.lit("    failed += 1"),
-        F.lit("    print(f\"ASSERTION FAIL: {e}\", file=sys.stderr)"),
-        F.lit("except Exception as e:"),
-        F.lit("    failed += 1"),
-        F.lit("    print(f\"ERROR: {type(e).__name__}: {e}\", file=sys.stderr)"),
-        F.lit("total += 1"),
-        F.lit("print(f\"RESULTS: passed={passed} failed={failed} total={total}\")"),
-    )
+def wrapped_script(code, test_code, entry_point) -> Column:
+    """A script that runs the test body as one check on the candidate; without test code,
+    loading the code is the check."""
+    code, test_code, entry_point = _c(code), F.coalesce(_c(test_code), F.lit("")), F.coalesce(_c(entry_point), F.lit(""))
+    candidate = F.when(entry_point != "", F.concat(F.lit("candidate = "), entry_point, F.lit("\n"))).otherwise(F.lit(""))
+    body = F.when(test_code != "", test_code).otherwise(F.lit("pass"))
+    return F.concat(code, F.lit("\n\n"), candidate, _as_function("body_check", body), F.lit("\n" + RUNNER),
+                    F.lit("\nrun_checks([('body', body_check)])"))
 
 
-def script_for(harness, code, test_code, entry_point) -> Column:
-    """Pick the script form by a ``harness`` column: 'benchmark' or 'wrapped'."""
-    return F.when(_c(harness) == "benchmark", benchmark_script(code, test_code, entry_point)) \
-        .otherwise(wrapped_script(code, test_code, entry_point))
+def benchmark_script(code, test, entry_point) -> Column:
+    """A script for benchmark tests that define their own ``check(candidate)``."""
+    call = F.concat(F.lit("\nrun_checks([('check', lambda: check("), _c(entry_point), F.lit("))])"))
+    return F.concat(_c(code), F.lit("\n\n"), _c(test), F.lit("\n\n" + RUNNER), call)

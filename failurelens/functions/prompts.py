@@ -220,6 +220,11 @@ def _slots(template: str) -> list[str]:
         i = j + 1
 
 
+def slots(role: Role) -> list[str]:
+    """The columns that a role's user template takes."""
+    return list(dict.fromkeys(_slots(role.user_template)))
+
+
 PLANNER = Role("planner", PLANNER_SYSTEM, PLANNER_USER, parse=rs.planner_output)
 CODER = Role("coder", CODER_SYSTEM, CODER_USER, defaults={"plan": "No plan provided."}, parse=rs.coder_output)
 DEBUGGER = Role("debugger", DEBUGGER_SYSTEM, DEBUGGER_USER,

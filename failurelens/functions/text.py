@@ -167,10 +167,44 @@ def chat_messages(problem="problem", plan="plan", failed_code="failed_code",
     return F.array(msg("system", F.lit(DISTILL_SYSTEM)), msg("user", user), msg("assistant", assistant))
 
 
-def metric_cell(value) -> Column:
-    """Report cell: number to 4 decimals, missing -> 'N/A'."""
+def fixed4(value) -> Column:
+    """A double with four decimals, its binary value rounded once, ties to even, as C does it.
+
+    10**4 times the value is taken as a product and its exact error (Dekker's splitting),
+    so that 0.00015, which is stored a little lower, gives 0.0001. From 1e11 on, where the
+    product has no more decimals to round, ``format_string`` writes the value.
+    """
+    def rounded(x: Column) -> Column:
+        def with_parts(s: Column) -> Column:
+            high, low, product = s["high"], s["low"], s["product"]
+            error = ((high * 10000.0 - product) + low * 10000.0)  # exact: 10**4 has 14 bits
+            floor = F.floor(product)
+            beyond = (product - floor) - 0.5  # exact below 2**52
+            even = floor % 2 == 0
+            up = (beyond > 0) | ((beyond == 0) & ((error > 0) | ((error == 0) & ~even)))
+            units = F.when(up, floor + 1).otherwise(floor)
+            text = units.cast("decimal(20,0)").cast("string")
+            padded = F.lpad(text, F.greatest(F.length(text), F.lit(5)), "0")
+            return F.concat(F.substring(padded, F.lit(1), F.length(padded) - 4), F.lit("."),
+                            F.substring(padded, F.length(padded) - 3, F.lit(4)))
+        split = x * 134217729.0  # 2**27 + 1
+        high = split - (split - x)
+        return let(F.struct(high.alias("high"), (x - high).alias("low"), (x * 10000.0).alias("product")), with_parts)
+
+    v = _c(value).cast("double")
+    small = F.abs(v) < 1e11
+    return (F.when(small, F.concat(F.when((v < 0) | (v.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit("")),
+                                   let(F.abs(v), rounded)))
+            .otherwise(F.format_string("%.4f", v)))
+
+
+def metric_cell(value, integral=None) -> Column:
+    """Report cell: a whole-number metric (flag ``integral``) as it is, else 4 decimals; missing -> 'N/A'."""
     v = _c(value)
-    return F.coalesce(F.when(v.isNotNull(), F.format_string("%.4f", F.round(v.cast("double"), 4))), F.lit("N/A"))
+    number = fixed4(v)
+    if integral is not None:
+        number = F.when(F.coalesce(_c(integral), F.lit(False)), v.cast("decimal(38,0)").cast("string")).otherwise(number)
+    return F.coalesce(F.when(v.isNotNull(), number), F.lit("N/A"))
 
 
 def fingerprint(text, n: int = 16) -> Column:

@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 from failurelens.functions.text import chat_messages
 from failurelens.operators.topk import top_k
-from failurelens.session import small_frame
 
 TWO_POW_48_PLUS_1 = float(2 ** 48 + 1)
-MAX_RATE_ROWS = 10_000
 
 
 def hash_uniform(key, seed: int) -> Column:
@@ -43,17 +41,32 @@ def fifo(buffer: DataFrame, capacity: int, seq_col: str = "seq", key_cols: tuple
     return top_k(buffer, capacity, seq_col, descending=True)
 
 
+def arrival_numbers(rows: DataFrame, into: str) -> DataFrame:
+    """Number rows 0, 1, 2... in partition order, the same on every run over the same input."""
+    local = F.monotonically_increasing_id()  # partition * 2**33 + place
+    placed = rows.withColumn("_id", local)
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (placed.withColumn("_p", part).join(offsets, "_p")
+            .withColumn(into, F.col("_off") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop("_id", "_p", "_off"))
+
+
 def append(buffer: DataFrame | None, examples: DataFrame, capacity: int | None = None,
            seq_col: str = "seq") -> DataFrame:
     """Add examples after the current newest row, then enforce capacity.
 
-    Examples without ``seq`` are numbered after the buffer's maximum in their
-    incoming order (``monotonically_increasing_id`` keeps partition order).
+    Examples without ``seq`` are numbered after the buffer's maximum in their incoming
+    order, densely: rows are counted per partition, and each gets the count of the
+    partitions before its own plus its place. Their order must be that of the input's
+    files or rows; ``examples`` is read twice.
     """
     if seq_col not in examples.columns:
         base = F.lit(0).cast("bigint") if buffer is None else \
             F.coalesce(buffer.select(F.max(seq_col)).scalar(), F.lit(-1)).cast("bigint") + 1
-        examples = examples.withColumn(seq_col, base + F.monotonically_increasing_id())
+        examples = arrival_numbers(examples, seq_col).withColumn(seq_col, base + F.col(seq_col))
     out = examples if buffer is None else buffer.unionByName(examples, allowMissingColumns=True)
     return fifo(out, capacity, seq_col) if capacity is not None else out
 
@@ -68,14 +81,14 @@ def with_weights(buffer: DataFrame, rates: DataFrame | None, amplification: floa
     """Curriculum weight per row: 1 + rate x amplification (missing rate -> 0),
     normalised to sum 1 over the buffer when the sum is positive.
 
-    ``rates`` has one row per cluster label (size-checked before broadcasting).
+    ``rates`` has one row per cluster label.
     """
     if rates is None:
         raw = buffer.withColumn("raw_weight", F.lit(1.0))
     else:
-        r = small_frame(rates.select(F.col("cluster_name").alias("_cl"), F.col("failure_rate").alias("_rate")),
-                        MAX_RATE_ROWS, "rate table")
-        raw = (buffer.join(F.broadcast(r), buffer[cluster_col] == F.col("_cl"), "left")
+        # not hinted: the planner broadcasts the table if it is small
+        r = rates.select(F.col("cluster_name").alias("_cl"), F.col("failure_rate").alias("_rate"))
+        raw = (buffer.join(r, buffer[cluster_col] == F.col("_cl"), "left")
                .withColumn("raw_weight", F.lit(1.0) + F.coalesce(F.col("_rate"), F.lit(0.0)) * F.lit(amplification))
                .drop("_cl", "_rate"))
     tot = raw.select(F.sum("raw_weight")).scalar()

@@ -1,9 +1,8 @@
 """Failure clustering over unit-normalised embeddings.
 
 Centroids are a k-row DataFrame ``(cluster_idx, cluster_name, centroid)``. k is
-small and checked, so the centroid matrix reaches every row as a single
-scalar subquery (computed once, no join); the embeddings themselves never move
-except through partial aggregates.
+small and checked, so the centroid matrix is broadcast and assignment, fit and
+update share one Arrow path; embeddings move through partial aggregates only.
 """
 
 from __future__ import annotations
@@ -20,16 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from failurelens.functions.text import embed_input
-from failurelens.functions.vectors import dot, l2_normalize
+from failurelens.functions.vectors import l2_normalize
+from failurelens.operators.routing import running_count
 from failurelens.schemas import CENTROIDS, CLUSTER_NAMES, UNKNOWN_CLUSTER
 from failurelens.session import ship_package, small_frame
 
 MAX_K = 1024
-# Up to this width the dot products run as JVM higher-order functions; wider
-# vectors go through one Arrow-batched matrix product per batch instead
-# (interpreted per-element lambdas cost O(k x dim) slow steps per row).
-HOF_MAX_DIM = 128
-
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
 # ---------------------------------------------------------------------------
@@ -59,85 +54,85 @@ def local_centroids(centroids: DataFrame, max_k: int = MAX_K) -> DataFrame:
     return small_frame(cols, max_k, "centroid table")
 
 
-def centroid_matrix(centroids: DataFrame) -> Column:
-    """The k centroids as one ``array<struct<cluster_idx, cluster_name, centroid>>`` value."""
-    packed = centroids.select(F.array_sort(F.collect_list(F.struct(
-        F.col("cluster_idx").cast("int").alias("cluster_idx"),
-        F.col("cluster_name"),
-        F.col("centroid").cast("array<double>").alias("centroid")))).alias("m"))
-    return packed.scalar()
-
-
 def assign(df: DataFrame, centroids: DataFrame | None, vec_col: str = "embedding",
            max_k: int = MAX_K) -> DataFrame:
     """Nearest centroid by cosine of the unit vector; lowest index wins ties.
 
     Adds ``cluster_idx``, ``cluster_name``, ``similarity``. Without centroids
-    every row is 'Unknown'. A zero vector scores 0 everywhere -> index 0.
-    Narrow: no shuffle of ``df``.
+    every row is 'Unknown'. A zero vector scores 0 everywhere -> index 0; a null
+    vector, or one of another length than the centroids, gets index -1 and no name.
+    The k centroids (checked) are collected and broadcast, and each Arrow batch is one
+    matrix product: no shuffle of ``df``.
     """
     if centroids is None:
         return df.select("*", F.lit(None).cast("int").alias("cluster_idx"),
                          F.lit(UNKNOWN_CLUSTER).alias("cluster_name"),
                          F.lit(None).cast("double").alias("similarity"))
-    local = local_centroids(centroids, max_k)
-    rows = sorted(local.collect())  # k rows, already local
-    dim = len(rows[0]["centroid"]) if rows else 0
-    if dim > HOF_MAX_DIM:
-        return _assign_arrow(df, rows, vec_col)
-    m = centroid_matrix(local)
-    # the matrix is projected once as a column (subqueries may not sit inside
-    # lambdas) and each row is normalised once, not once per centroid
-    return (df.withColumn("_m", m).withColumn("_x", l2_normalize(vec_col))
-            .withColumn("_sims", F.transform(F.col("_m"), lambda c: dot(c["centroid"], F.col("_x"))))
-            .withColumn("_best", F.array_position(F.col("_sims"), F.array_max(F.col("_sims"))).cast("int"))
-            # non-null by construction, so join-key null filters fold away instead of
-            # re-running the assignment inside the scan
-            .withColumn("cluster_idx", F.coalesce(F.element_at(F.col("_m"), F.col("_best"))["cluster_idx"],
-                                                  F.lit(-1)))
-            .withColumn("cluster_name", F.element_at(F.col("_m"), F.col("_best"))["cluster_name"])
-            .withColumn("similarity", F.element_at(F.col("_sims"), F.col("_best")))
-            .drop("_m", "_x", "_sims", "_best"))
-
-
-def _assign_arrow(df: DataFrame, rows, vec_col: str) -> DataFrame:
-    """Nearest centroid for wide vectors: Arrow batches, one BLAS product each.
-
-    Same result as the JVM path: unit-normalised rows, cosine against the given
-    centroids, first maximum (lowest index) on ties, zero vector -> index 0.
-    """
     from pyspark.sql.functions import pandas_udf
     spark = df.sparkSession
     ship_package(spark)
-    mat = np.array([list(r["centroid"]) for r in rows], dtype=np.float64)
-    bc = spark.sparkContext.broadcast(mat)
+    rows = _collect_centroids(local_centroids(centroids, max_k))
+    bc = spark.sparkContext.broadcast(_matrix(rows))
 
     @pandas_udf("struct<j:int,s:double>")
     def nearest(v: pd.Series) -> pd.DataFrame:
-        m = bc.value
-        ok = v.notna().to_numpy()
-        j = np.full(len(v), -1, dtype=np.int32)
-        s = np.full(len(v), np.nan)
-        if ok.any():
-            x = np.stack(v[ok].to_numpy()).astype(np.float64)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.where(n > 0, x / np.where(n > 0, n, 1.0), x)
-            sims = x @ m.T
-            jj = np.argmax(sims, axis=1)
-            j[ok] = jj
-            s[ok] = sims[np.arange(len(jj)), jj]
+        j, s = nearest_rows(v, bc.value)
         return pd.DataFrame({"j": j, "s": s})
 
-    idx = F.array(*[F.lit(int(r["cluster_idx"])) for r in rows])
-    names = F.array(*[F.lit(r["cluster_name"]) for r in rows])
+    idx = F.array(*[F.lit(i) for i, _, _ in rows])
+    names = F.array(*[F.lit(n) for _, n, _ in rows])
     res = df.withColumn("_n", nearest(F.col(vec_col).cast("array<double>")))
     pos = F.col("_n.j") + 1
-    return (res.withColumn("cluster_idx", F.when(pos > 0, F.element_at(idx, pos)).otherwise(F.lit(-1)))
+    # never null, so that joins on the index need no null filter, which would run the model again
+    return (res.withColumn("cluster_idx", F.coalesce(F.when(pos > 0, F.element_at(idx, pos)), F.lit(-1)))
             .withColumn("cluster_name", F.when(pos > 0, F.element_at(names, pos)))
             .withColumn("similarity", F.when(pos > 0, F.col("_n.s")))
             .drop("_n"))
 
 
+def _matrix(rows: Sequence[tuple[int, str, Sequence[float]]]) -> np.ndarray:
+    return np.array([list(c) for _, _, c in rows], dtype=np.float64)
+
+
+def unit_rows(v: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows have a vector of length ``dim``, these vectors normalised)."""
+    ok = np.array([x is not None and len(x) == dim for x in v], dtype=bool)
+    x = np.stack(v[ok].to_numpy()).astype(np.float64) if ok.any() else np.zeros((0, dim))
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return ok, x / np.where(n > 0, n, 1.0)
+
+
+def nearest_rows(v: pd.Series, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector the first best row of ``matrix`` and its cosine; -1 and NaN without one."""
+    j, s = np.full(len(v), -1, dtype=np.int32), np.full(len(v), np.nan)
+    if len(matrix):
+        ok, x = unit_rows(v, matrix.shape[1])
+        sims = x @ matrix.T
+        best = np.argmax(sims, axis=1)
+        j[ok], s[ok] = best, sims[np.arange(len(best)), best]
+    return j, s
+
+
+def _unit_assigned(df: DataFrame, centroids: DataFrame, vec_col: str, order_col: str) -> DataFrame:
+    """(order_col, cluster_idx, _u): each vector of the centroids' length normalised, with its nearest centroid."""
+    spark = df.sparkSession
+    ship_package(spark)
+    rows = _collect_centroids(centroids)
+    bc = spark.sparkContext.broadcast((_matrix(rows), np.array([i for i, _, _ in rows], dtype=np.int32)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, index = bc.value
+        for pdf in batches:
+            ok, x = unit_rows(pdf["_v"], m.shape[1])
+            yield pd.DataFrame({order_col: pdf[order_col][ok], "cluster_idx": index[np.argmax(x @ m.T, axis=1)],
+                                "_u": list(x)})
+
+    source = df.select(order_col, F.col(vec_col).cast("array<double>").alias("_v"))
+    schema = T.StructType([source.schema[order_col], T.StructField("cluster_idx", T.IntegerType()),
+                           T.StructField("_u", T.ArrayType(T.DoubleType()))])
+    return source.mapInPandas(run, schema)
+
+
 def cluster_dimension(spark: SparkSession, names: Sequence[str] = CLUSTER_NAMES) -> DataFrame:
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "cluster_idx int, cluster_name string")
 
@@ -244,38 +239,48 @@ def fit(df: DataFrame, centroids: DataFrame | None = None, k: int = 6, names: Se
             if cost < best_cost:
                 best, best_cost = model, cost
         feats.unpersist()
-        rows = [(i, names[i], [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
-        return normalize_centroids(centroids_frame(spark, rows))
+        centres = [[float(x) for x in c] for c in best.clusterCenters()]
+        if len(centres) < k:  # fewer distinct rows than clusters
+            pad = np.random.default_rng(seed).standard_normal((k - len(centres), len(centres[0])))
+            centres += [[float(x) for x in p] for p in pad]
+        return normalize_centroids(centroids_frame(spark, [(i, names[i], c) for i, c in enumerate(centres)]))
     _check_k(centroids)
-    # the unit vectors are read by every iteration: keep them in executor
-    # memory/disk for the loop (recomputed from the source if an executor is lost)
-    from pyspark import StorageLevel
-    unit = unit.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        var = unit.select(Summarizer.variance(_vec(F.col("_u"))).alias("v")).first()["v"]
-        tol_abs = float(np.mean(var.toArray())) * tol if var is not None else 0.0
-        cur = _collect_centroids(centroids)
-        for it in range(max_iter):
-            nxt = _lloyd_iteration(unit, "_u", cur)
-            shift = float(sum(np.sum((np.array(a[2]) - np.array(b[2])) ** 2) for a, b in zip(cur, nxt)))
-            cur = nxt
-            if shift <= tol_abs:
-                break
-        fit.last_iterations = it + 1
-    finally:
-        unit.unpersist()
+    var = unit.select(Summarizer.variance(_vec(F.col("_u"))).alias("v")).first()["v"]
+    tol_abs = float(np.mean(var.toArray())) * tol if var is not None else 0.0
+    cur = _collect_centroids(centroids)
+    # each pass reads the vector column anew: a copy of all vectors is not kept
+    vectors = df.select(F.col(vec_col).cast("array<double>").alias("_v"))
+    for _ in range(max_iter):
+        nxt = _lloyd_iteration(vectors, cur)
+        shift = float(np.sum((_matrix(cur) - _matrix(nxt)) ** 2))
+        cur = nxt
+        if shift <= tol_abs:
+            break
     return normalize_centroids(centroids_frame(spark, cur))
 
 
-def _lloyd_iteration(unit: DataFrame, vec_col: str, cur: list[tuple[int, str, list[float]]]):
-    """One Lloyd step as a single aggregate job; the k x dim centroids (bounded
-    by MAX_K) travel as one constant array literal."""
-    mat = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for _, _, c in cur]).cast("array<array<double>>")
-    sims = F.transform(mat, lambda c: dot(c, F.col(vec_col)))
-    asg = unit.select(F.col(vec_col), (F.array_position(sims, F.array_max(sims)) - 1).cast("int").alias("_j"))
-    rows = (asg.groupBy("_j").agg(Summarizer.mean(_vec(F.col(vec_col))).alias("_m"))
-            .select("_j", vector_to_array("_m").alias("_m")).collect())  # k rows
-    means = {int(r["_j"]): list(r["_m"]) for r in rows}
+def _lloyd_iteration(vectors: DataFrame, cur: list[tuple[int, str, list[float]]]):
+    """One Lloyd step as a single aggregate job: each partition sends one (sum, count) row for
+    each cluster it has rows of; k rows return to the driver."""
+    spark = vectors.sparkSession
+    ship_package(spark)
+    bc = spark.sparkContext.broadcast(_matrix(cur))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = bc.value
+        sums, counts = np.zeros(m.shape), np.zeros(len(m), dtype=np.int64)
+        for pdf in batches:
+            _, x = unit_rows(pdf["_v"], m.shape[1])
+            j = np.argmax(x @ m.T, axis=1)
+            np.add.at(sums, j, x)
+            counts += np.bincount(j, minlength=len(m))
+        has = np.flatnonzero(counts)
+        yield pd.DataFrame({"j": has.astype(np.int32), "s": list(sums[has]), "n": counts[has]})
+
+    rows = (vectors.mapInPandas(partial, "j int, s array<double>, n bigint").groupBy("j")
+            .agg(Summarizer.sum(_vec(F.col("s"))).alias("s"), F.sum("n").alias("n"))
+            .select("j", vector_to_array("s").alias("s"), "n").collect())  # k rows
+    means = {r["j"]: [x / r["n"] for x in r["s"]] for r in rows}
     return [(i, name, means.get(j, c)) for j, (i, name, c) in enumerate(cur)]
 
 
@@ -319,38 +324,25 @@ def evenly_spaced_positions(spark: SparkSession, n: int, k: int) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Incremental update (exponential moving average)
 # ---------------------------------------------------------------------------
-def ema_cutoff(alpha: float, eps: float = 1e-18) -> int:
-    """Rank beyond which a row's weight alpha*(1-alpha)^rank is below ``eps``."""
-    if alpha >= 1.0:
-        return 1
-    if alpha <= 0.0:
-        return 0
-    return int(math.ceil(math.log(eps) / math.log(1.0 - alpha))) + 1
-
-
-def ema_update(df: DataFrame, centroids: DataFrame, alpha: float = 0.1, vec_col: str = "embedding",
+def ema_update(df: DataFrame, centroids: DataFrame | None, alpha: float = 0.1, vec_col: str = "embedding",
                order_col: str = "seq") -> DataFrame:
     """Mini-batch EMA update ('minibatch' mode): centroids frozen for the batch.
 
     Each row is assigned to its nearest frozen centroid; a cluster with m rows
-    becomes (1-a)^m c + sum_r a (1-a)^r x_r, with r the recency rank (0 = latest),
-    then every centroid is unit-normalised. Rows past ``ema_cutoff(a)`` carry
-    weight < 1e-18 and cannot change a double result, so only the top ranks per
-    cluster are kept: ``row_number() <= cut`` runs as a partial
-    WindowGroupLimit, and a hot cluster ships at most ``cut`` rows per partition.
+    becomes (1-a)^m c + sum_r a (1-a)^r x_r over all its rows, with r the recency rank
+    (0 = latest), then every centroid is unit-normalised. Ranks are split prefix sums,
+    and the weighted sum is a partial aggregate, so a hot cluster makes no hot task.
+    Without centroids they are fitted on the batch.
     """
+    if centroids is None:
+        return fit(df, None, vec_col=vec_col, order_col=order_col).withColumn("n_assigned", F.lit(0).cast("bigint"))
     centroids = local_centroids(centroids)
-    unit = df.select(F.col(order_col), l2_normalize(vec_col).alias("_u"))
-    asg = assign(unit, centroids, "_u")
+    asg = _unit_assigned(df, centroids, vec_col, order_col)
     m = asg.groupBy("cluster_idx").agg(F.count(F.lit(1)).alias("m"))
-    cut = ema_cutoff(alpha)
-    w = Window.partitionBy("cluster_idx").orderBy(F.col(order_col).desc())
-    # filter on the row number itself so the planner inserts a partial WindowGroupLimit
-    ranked = asg.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cut) \
-        .withColumn("_r", F.col("_rn") - 1)
-    weighted = ranked.withColumn("_w", F.lit(alpha) * F.pow(F.lit(1.0 - alpha), F.col("_r")))
-    sums = (weighted.groupBy("cluster_idx")
-            .agg(Summarizer.sum(_vec(F.col("_u")), F.col("_w")).alias("_s"))
+    counted = running_count(asg, "cluster_idx", order_col, F.lit(True), "_n")
+    sums = (counted.join(F.broadcast(m), "cluster_idx")
+            .withColumn("_w", F.lit(alpha) * F.pow(F.lit(1.0 - alpha), F.col("m") - F.col("_n")))
+            .groupBy("cluster_idx").agg(Summarizer.sum(_vec(F.col("_u")), F.col("_w")).alias("_s"))
             .select("cluster_idx", vector_to_array("_s").alias("_sum")))
     joined = (centroids.join(F.broadcast(m), on="cluster_idx", how="left")
               .join(F.broadcast(sums), on="cluster_idx", how="left")

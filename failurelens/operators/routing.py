@@ -7,6 +7,8 @@ plain aggregates.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,43 +47,45 @@ def after_re_execution(success="success", attempt="attempt", max_attempts=None)
         .otherwise(F.lit(STAGE_DISTILLATION))
 
 
+BUCKETS = (1 << 16, 1 << 32)
+
+
 def running_count(df: DataFrame, key_col: str, order_col: str, flag: Column, out_col: str,
-                  bucket_width: int | None = 1024) -> DataFrame:
+                  buckets: Sequence[int] = BUCKETS) -> DataFrame:
     """Per key, the number of rows up to and including this one (in ``order_col``
-    order) where ``flag`` holds.
-
-    With ``bucket_width``, the prefix sum is split so that no window sees more
-    than one (key, order bucket): (1) per (key, bucket) counts, a partial
-    aggregate; (2) a window over those small per-bucket rows gives each bucket's
-    offset; (3) a window inside each (key, bucket) adds the local running count.
-    A key holding a third of all rows is thus spread over many tasks. For an
-    order column of unique integers a bucket holds at most ``bucket_width`` rows.
+    order) where ``flag`` holds. Null keys are one group; a null order comes first.
+
+    The prefix sum is taken in levels of ever wider order buckets: a window inside each
+    (key, narrowest bucket) counts the rows, a window over the buckets' totals inside the
+    next wider one gives their offsets, and so on; the last level has one row for each
+    widest bucket. So a key holding a third of all rows is spread over many tasks at each
+    level, and rows are shuffled once. Any ``buckets`` give the same counts; with none,
+    one window per key does.
     """
     f = F.when(flag, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    if bucket_width is None:
-        w = Window.partitionBy(key_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out_col, F.sum(f).over(w))
-    b = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint")
-    tagged = df.withColumn("_b", b).withColumn("_f", f)
-    # (1) running count inside each (key, bucket): the only shuffle of full rows
-    wl = Window.partitionBy(key_col, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.withColumn("_local", F.sum("_f").over(wl))
-    # (2) bucket totals: a partial aggregate straight from the input (only one
-    # row per key and bucket crosses the shuffle)
-    per_bucket = tagged.groupBy(key_col, "_b").agg(F.sum("_f").alias("_bn"))
-    # (3) offsets: a window over one row per (key, bucket)
-    wb = Window.partitionBy(key_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
-    return (local.join(offsets, on=[key_col, "_b"], how="inner")
-            .withColumn(out_col, F.col("_off") + F.col("_local"))
-            .drop("_b", "_f", "_off", "_local"))
+    names = [f"_b{i}" for i in range(len(buckets))]
+    rows = df.withColumns({n: F.floor(F.col(order_col) / F.lit(w)).cast("bigint")
+                           for n, w in zip(names, buckets, strict=True)} | {"_f": f})
+    first = Window.partitionBy(key_col, *names[:1]).orderBy(order_col)
+    out = rows.withColumn(out_col, F.sum("_f").over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    # a bucket's last running count is its total, so totals come from the same shuffle
+    totals = out.groupBy(key_col, *names).agg(F.max(out_col).alias("_n"))
+    for i, name in enumerate(names):
+        inside = Window.partitionBy(key_col, *names[i + 1:i + 2]).orderBy(name)
+        offsets = totals.withColumn("_off", F.coalesce(
+            F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        side = offsets.select(F.col(key_col).alias("_k"), F.col(name).alias("_b"), "_off")
+        out = (out.join(side, F.col(key_col).eqNullSafe(F.col("_k")) & F.col(name).eqNullSafe(F.col("_b")))
+               .withColumn(out_col, F.col(out_col) + F.col("_off")).drop("_k", "_b", "_off"))
+        totals = totals.groupBy(key_col, *names[i + 1:]).agg(F.sum("_n").alias("_n"))
+    return out.drop(*names, "_f")
 
 
 def with_attempts(results: DataFrame, task_col: str = "task_id", order_col: str = "sample_id",
-                  bucket_width: int | None = 1024) -> DataFrame:
+                  buckets: Sequence[int] = BUCKETS) -> DataFrame:
     """Attempt number = running count of failed executions of the task so far."""
     return running_count(results, task_col, order_col, ~F.coalesce(F.col("success"), F.lit(False)),
-                         "attempt", bucket_width)
+                         "attempt", buckets)
 
 
 def ablation_flags(spark: SparkSession) -> DataFrame:

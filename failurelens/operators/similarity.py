@@ -2,9 +2,9 @@
 
 Plan: the query set is small and bounded (checked), so it is broadcast; the
 store stays where it is. Each store partition scores its rows against all
-queries in Arrow batches (one matrix product per batch) and emits only its
-local top-k per query (plus ties at the cut), so no (query, row) pair is ever
-materialised as a row. A final ``row_number() <= k`` per query merges the
+queries in Arrow batches (one matrix product per batch), keeps a running top-k
+per query over its batches and emits it at its end: at most partitions x queries
+x k rows. A final ``row_number() <= k`` per query merges the
 local winners (partial WindowGroupLimit before the shuffle).
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from failurelens.operators.buffer import arrival_numbers
 from failurelens.session import ship_package
 
 MAX_BROADCAST_QUERIES = 4096
@@ -27,9 +28,16 @@ EPS = 1e-8
 MAX_BLOCK_CELLS = 8_000_000  # similarity cells scored at once (~64 MB of doubles)
 
 
-def _local_top_k(qids: np.ndarray, qmat: np.ndarray, k: int, id_type: str,
-                 block_cells: int = MAX_BLOCK_CELLS):
+def _local_top_k(qids: np.ndarray, qmat: np.ndarray, k: int, block_cells: int = MAX_BLOCK_CELLS):
+    """The partition's top ``k`` rows of each query, found in a running way over its batches."""
+
+    def best(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True).sort_values(["q", "similarity", "id"], ascending=[True, False, True])
+        return rows.groupby("q", sort=False).head(k)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        n_held, floor = 0, np.full(len(qmat), -np.inf)
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -41,28 +49,37 @@ def _local_top_k(qids: np.ndarray, qmat: np.ndarray, k: int, id_type: str,
             step = max(1, block_cells // max(n, 1))
             for q0 in range(0, qmat.shape[0], step):
                 sims = emb @ qmat[q0:q0 + step].T  # rows x block of queries
-                if n > k:
-                    # k-th largest similarity per query; rows tied at the cut are
-                    # kept, so the final merge is exact
-                    cut = np.partition(sims, n - k, axis=0)[n - k]
-                    rows, cols = np.nonzero(sims >= cut[None, :])
-                else:
-                    rows, cols = np.nonzero(np.ones_like(sims, dtype=bool))
-                yield pd.DataFrame({"query_id": qids[q0 + cols], "id": ids[rows], "similarity": sims[rows, cols]})
+                cut = floor[q0:q0 + step]
+                if n > k:  # ties at the k-th place stay for the exact order by id
+                    cut = np.maximum(cut, np.partition(sims, n - k, axis=0)[n - k])
+                rows, cols = np.nonzero(sims >= cut[None, :])
+                held.append(pd.DataFrame({"q": q0 + cols, "id": ids[rows], "similarity": sims[rows, cols]}))
+                n_held += len(rows)
+            if n_held > 4 * k * len(qmat):
+                held = [best(held)]
+                n_held = len(held[0])
+                full = held[0].groupby("q")["similarity"].agg(["size", "min"])
+                full = full[full["size"] >= k]
+                floor[full.index.to_numpy()] = full["min"].to_numpy()
+        if held:
+            out = best(held)
+            yield pd.DataFrame({"query_id": qids[out["q"].to_numpy()], "id": out["id"], "similarity": out["similarity"]})
     return run
 
 
 def top_k_similar(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "record_id",
                   vec_col: str = "embedding", query_id_col: str = "query_id",
                   query_vec_col: str = "query_vec", max_broadcast: int = MAX_BROADCAST_QUERIES,
-                  block_cells: int = MAX_BLOCK_CELLS, _level: int = 0) -> DataFrame:
+                  block_cells: int = MAX_BLOCK_CELLS) -> DataFrame:
     """Top ``k`` store rows per query by cosine with 1e-8 on each norm.
 
     Result: ``(query_id, <id_col>, similarity, rank)``, ties broken by id.
-    Query sets above ``max_broadcast`` are processed in bounded chunks.
+    Query sets above ``max_broadcast`` are taken in blocks, each with a scan of the store;
+    query ids that repeat with the same vector count once.
     """
     spark = store.sparkSession
     ship_package(spark)
+    queries = queries.select(query_id_col, query_vec_col).distinct()
     nq = queries.count()
     if nq == 0:
         schema = T.StructType([T.StructField(query_id_col, queries.schema[query_id_col].dataType),
@@ -71,14 +88,11 @@ def top_k_similar(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str
                                T.StructField("rank", T.IntegerType())])
         return spark.createDataFrame([], schema)
     if nq > max_broadcast:
-        # hash-split into about twice the needed chunks; a chunk still above the
-        # bound is split again with a different salt, so the recursion ends
-        n_chunks = 2 * -(-nq // max_broadcast)
-        chunked = queries.withColumn(
-            "_chunk", F.pmod(F.xxhash64(F.col(query_id_col), F.lit(_level)), F.lit(n_chunks)))
-        parts = [top_k_similar(store, chunked.where(F.col("_chunk") == i).drop("_chunk"), k, id_col, vec_col,
-                               query_id_col, query_vec_col, max_broadcast, block_cells, _level + 1)
-                 for i in range(n_chunks)]
+        # blocks by arrival, whatever the ids are; each block is one scan of the store
+        n_blocks = -(-nq // max_broadcast)
+        numbered = arrival_numbers(queries, "_at").withColumn("_block", F.col("_at") % n_blocks)
+        parts = [top_k_similar(store, numbered.where(F.col("_block") == i).drop("_at", "_block"), k, id_col, vec_col,
+                               query_id_col, query_vec_col, max_broadcast, block_cells) for i in range(n_blocks)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -96,7 +110,7 @@ def top_k_similar(store: DataFrame, queries: DataFrame, k: int = 5, id_col: str
 
     def run(batches):
         q_ids, q_mat = bq.value
-        yield from _local_top_k(q_ids, q_mat, k, str(id_type), block_cells)(batches)
+        yield from _local_top_k(q_ids, q_mat, k, block_cells)(batches)
 
     local = (store.where(F.col(vec_col).isNotNull())
              .select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))

@@ -1,28 +1,22 @@
 """Failure store: upserts, recency queries, counts and similarity lookups.
 
-Layout: Parquet partitioned by ``failure_cluster`` (cluster filters prune
-directories). Each upsert writes a new version directory and only then becomes
-current, so a reader never sees a half-written table and a path being read is
-never overwritten.
+Layout: plain Parquet partitioned by ``batch_id`` and ``failure_cluster``; a batch
+replaces only its own partitions. A record's current row is its latest one, so a
+filter on the cluster comes after that choice and does not prune directories.
 """
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from pyspark.sql import types as T
 
 from failurelens.functions.text import canonical_cluster
 from failurelens.functions.vectors import cosine_eps, literal_vector
 from failurelens.schemas import FAILURE_RECORD
 
-STORE_COLUMNS = [f.name for f in FAILURE_RECORD.fields]
-MAX_BROADCAST_KEYS = 1_000_000
 
 
 def clean_records(df: DataFrame) -> DataFrame:
@@ -72,7 +66,7 @@ def upsert(current: DataFrame | None, batch: DataFrame, key: str = "record_id",
 
 
 def by_cluster(store: DataFrame, cluster: str, limit: int = 100) -> DataFrame:
-    """Most recent failures of one cluster (partition pruning + top-k)."""
+    """Most recent failures of one cluster."""
     return recent(store.where(F.col("failure_cluster") == cluster), limit)
 
 
@@ -120,144 +114,86 @@ def search_similar(store: DataFrame, query: Sequence[float], top_k: int = 5,
 
 
 # ---------------------------------------------------------------------------
-# Log-structured Parquet persistence
+# Plain partitioned Parquet persistence
 # ---------------------------------------------------------------------------
-_BATCH = re.compile(r"^batch_id=(\d+)$")
-_SNAP = re.compile(r"^upto=(\d+)$")
+STORED = T.StructType([f for f in FAILURE_RECORD.fields if f.name != "failure_cluster"]
+                      + [T.StructField("seq", T.LongType()), T.StructField("batch_id", T.LongType()),
+                         T.StructField("failure_cluster", T.StringType())])
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _committed(spark: SparkSession, path: str, pattern: re.Pattern) -> list[int]:
-    jvm, p, fs = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        m = pattern.match(st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(m.group(1)))
-    return sorted(out)
-
-
-class FailureStore:
-    """Upsertable failure store as an append-only log of batches plus snapshots.
-
-    * ``store_batch`` writes only the new batch (``batches/batch_id=N/``,
-      partitioned by cluster): O(batch) per write, and a replayed batch id
-      overwrites exactly its own directory.
-    * ``read(version)`` resolves INSERT OR REPLACE lazily: latest row per
-      ``record_id`` over the newest snapshot at or below ``version`` plus the
-      batches after it, ordered by (batch id, seq); one partial aggregate.
-    * ``compact(version)`` materialises that state as ``snapshots/upto=N/`` so
-      later reads start from it.
-    Nothing is overwritten while it can be read, and no table format is needed.
-    """
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
+    """Write ``df``, replacing only the partitions that it holds."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path))
+
+
+def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Store ``batch`` under its id; the same id written again replaces only itself."""
+    rows = clean_records(batch)
+    if "seq" not in rows.columns:
+        rows = rows.withColumn("seq", F.monotonically_increasing_id())
+    rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    _replace_partitions(rows.select(*[f.name for f in STORED.fields if f.name in rows.columns]), path,
+                        "batch_id", "failure_cluster")
+
+
+def read_batches(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """All stored rows, of batches up to ``upto``; an absent path has none."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], STORED)
+    rows = spark.read.schema(STORED).parquet(path)
+    return rows if upto is None else rows.where(F.col("batch_id") <= upto)
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.batches_path = os.path.join(path, "batches")
-        self.snapshots_path = os.path.join(path, "snapshots")
-
-    def _schema(self) -> T.StructType:
-        return T.StructType(FAILURE_RECORD.fields + [T.StructField("seq", T.LongType())])
-
-    def batch_ids(self) -> list[int]:
-        return _committed(self.spark, self.batches_path, _BATCH)
-
-    def current_version(self) -> int | None:
-        ids = self.batch_ids()
-        return ids[-1] if ids else None
-
-    def store_batch(self, batch: DataFrame, version: int | None = None) -> int:
-        """Append ``batch`` as batch ``version`` (default: next id) and return the id."""
-        bid = version if version is not None else (self.current_version() or 0) + 1
-        rows = clean_records(batch)
-        if "seq" not in rows.columns:
-            rows = rows.withColumn("seq", F.monotonically_increasing_id())
-        cols = [c for c in STORE_COLUMNS if c in rows.columns] + ["seq"]
-        (rows.select(*cols).write.mode("overwrite").partitionBy("failure_cluster")
-         .parquet(os.path.join(self.batches_path, f"batch_id={bid:010d}")))
-        return bid
-
-    def _batch_frame(self, ids: list[int]) -> DataFrame | None:
-        """All committed batches in ``ids`` as one scan; ``batch_id`` is a
-        partition column, so the id filter prunes directories (in-flight or
-        uncommitted batches are never listed)."""
-        if not ids:
-            return None
-        schema = T.StructType([f for f in self._schema().fields if f.name != "failure_cluster"]
-                              + [T.StructField("batch_id", T.LongType()),
-                                 T.StructField("failure_cluster", T.StringType())])
-        df = self.spark.read.schema(schema).parquet(self.batches_path)
-        return df.where(F.col("batch_id").isin(ids)).withColumnRenamed("batch_id", "_batch")
-
-    def read(self, version: int | None = None) -> DataFrame | None:
-        upto = self.current_version() if version is None else version
-        if upto is None:
-            return None
-        snaps = [s for s in _committed(self.spark, self.snapshots_path, _SNAP) if s <= upto]
-        base = None
-        if snaps:
-            base = (self.spark.read.schema(self._schema())
-                    .parquet(os.path.join(self.snapshots_path, f"upto={snaps[-1]:010d}"))
-                    .withColumn("_batch", F.lit(-1).cast("bigint")))
-        newer = self._batch_frame([i for i in self.batch_ids() if i <= upto and (not snaps or i > snaps[-1])])
-        if base is None and newer is None:
-            return None
-        if newer is None:
-            return base.drop("_batch")  # a snapshot is already resolved
-        fresh = latest_per_key(newer, ["record_id"], ["_batch", "seq"]).drop("_batch")
-        if base is None:
-            return fresh
-        # snapshot rows never win over later batches: keep those whose key the
-        # new batches do not touch. The touched key set is broadcast when its
-        # size is proven small; otherwise both sides meet in one shuffle.
-        touched = fresh.select("record_id")
-        if touched.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
-            keep = base.drop("_batch").join(F.broadcast(touched), on="record_id", how="left_anti")
-        else:
-            keep = base.drop("_batch").join(touched, on="record_id", how="left_anti")
-        return keep.unionByName(fresh)
-
-    def compact(self, version: int | None = None) -> int | None:
-        """Write the resolved state up to ``version`` as a snapshot."""
-        upto = self.current_version() if version is None else version
-        state = self.read(upto)
-        if state is None:
-            return None
-        (state.write.mode("overwrite").partitionBy("failure_cluster")
-         .parquet(os.path.join(self.snapshots_path, f"upto={upto:010d}")))
-        return upto
-
-
-class VersionedTable:
-    """Small tables (centroids, bounded buffers) kept as whole versions ``v=N``.
-
-    Version N is written from version N-1, so replaying step N rewrites only
-    its own output.
+
+def read_store(spark: SparkSession, path: str, upto: int | None = None,
+               columns: Sequence[str] | None = None) -> DataFrame:
+    """The current rows: per record the latest batch, in it the latest ``seq``.
+
+    ``columns`` limits what is read and aggregated to these, the key and the order.
     """
+    rows = read_batches(spark, path, upto)
+    if columns is not None:
+        rows = rows.select(*dict.fromkeys(["record_id", "batch_id", "seq", *columns]))
+    return latest_per_key(rows, ["record_id"], ["batch_id", "seq"]).drop("batch_id")
+
+
+def write_state(df: DataFrame, path: str, version: int) -> None:
+    """A small table's version N, written from version N - 1 into one of two slots.
+
+    A replayed step rewrites its own slot from the other one, and old versions go."""
+    rows = df.withColumn("version", F.lit(version).cast("bigint")).withColumn("slot", F.lit(version % 2))
+    _replace_partitions(rows, path, "slot")
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def versions(self) -> list[int]:
-        return _committed(self.spark, self.path, re.compile(r"^v=(\d+)$"))
-
-    def read(self, version: int | None = None) -> DataFrame | None:
-        vs = self.versions()
-        v = (vs[-1] if vs else None) if version is None else version
-        if v is None or v not in vs:
-            return None
-        r = self.spark.read
-        if self.schema is not None:
-            r = r.schema(self.schema)
-        return r.parquet(os.path.join(self.path, f"v={v:010d}"))
-
-    def write(self, df: DataFrame, version: int) -> int:
-        df.write.mode("overwrite").parquet(os.path.join(self.path, f"v={version:010d}"))
-        return version
+
+def read_state(spark: SparkSession, path: str, schema: T.StructType, version: int | None = None) -> DataFrame | None:
+    """Version ``version`` (the newest by default); None if nothing was ever written."""
+    if not path_exists(spark, path):
+        return None
+    held = T.StructType([*schema.fields, T.StructField("version", T.LongType()), T.StructField("slot", T.IntegerType())])
+    rows = spark.read.schema(held).parquet(path)
+    wanted = F.lit(version) if version is not None else rows.select(F.max("version")).scalar()
+    rows = rows.where(F.col("version") == wanted)
+    if version is not None:
+        rows = rows.where(F.col("slot") == version % 2)
+    return rows.drop("version", "slot")
+
+
+def claim(spark: SparkSession, path: str, owner: str) -> None:
+    """Bind an output folder to the checkpoint that writes it; another one's outputs are never overwritten."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(path, "_owner")
+    fs = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(mark):
+        out = fs.create(mark, False)
+        out.writeUTF(owner)
+        out.close()
+        return
+    held = fs.open(mark)
+    found = held.readUTF()
+    held.close()
+    if found != owner:
+        raise ValueError(f"{path} is written by the stream with checkpoint {found}, not {owner}")

@@ -3,48 +3,31 @@
 ``orderBy(...).limit(k)`` plans as TakeOrderedAndProject: every partition sends
 its own top k to one task, i.e. partitions x k rows. That is fine for small k;
 for large k (a 10,000-row buffer over a table with 100,000 partitions) it is a
-billion rows in one task. Above ``DIRECT_MAX`` we first find a threshold on the
-leading numeric sort key with ``percentile_approx`` (a mergeable sketch, partial
-aggregation), check with one count that at least k rows pass it (lowering the
-threshold if not), and run the exact top-k on the survivors only, about k rows
-spread over all partitions. The answer is exactly the same set and order.
+billion rows in one task. Above ``DIRECT_MAX`` the merge has a level between:
+partitions are dealt into ``GROUPS`` groups, each keeps its own top k
+(``row_number() <= k``, planned as a partial WindowGroupLimit before the
+shuffle), and the last merge gets at most GROUPS x k rows. Which way is taken
+depends on k only, never on the data, and both give the same rows: null keys
+come last, ties go by ``tie_cols``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIRECT_MAX = 1_000
-MERGE_BOUND = 2_000_000   # rows one merge task may receive (partitions x k)
-ACCURACY = 10_000
+GROUPS = 64
 
 
 def top_k(df: DataFrame, k: int, key: str, descending: bool, tie_cols: Sequence[Column] = (),
-          direct_max: int = DIRECT_MAX) -> DataFrame:
-    """The first ``k`` rows ordered by ``key`` (then ``tie_cols``)."""
-    order = [F.col(key).desc() if descending else F.col(key).asc(), *tie_cols]
-    try:
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: take the sketch path
-        parts = None
-    if k <= direct_max or (parts is not None and parts * k <= MERGE_BOUND):
-        # the single merge task receives at most partitions x k rows: bounded
-        return df.orderBy(*order).limit(k)
-    n = df.count()
-    if n <= k:
-        return df.orderBy(*order).limit(k)
-    keyed = df.where(F.col(key).isNotNull())
-    frac = k / n
-    for slack in (2.0, 8.0, 64.0):
-        q = min(1.0, frac * slack + 2.0 / ACCURACY)
-        p = 1.0 - q if descending else q
-        t = keyed.select(F.percentile_approx(F.col(key), F.lit(max(0.0, min(1.0, p))), ACCURACY)).first()[0]
-        if t is None:
-            break
-        cond = F.col(key) >= F.lit(t) if descending else F.col(key) <= F.lit(t)
-        if keyed.where(cond).count() >= k:
-            return df.where(cond).orderBy(*order).limit(k)
+          direct_max: int = DIRECT_MAX, groups: int = GROUPS) -> DataFrame:
+    """The first ``k`` rows ordered by ``key`` (nulls last), then ``tie_cols``."""
+    order = [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last(), *tie_cols]
+    if k > direct_max:
+        inside = Window.partitionBy("_group").orderBy(*order)
+        df = (df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+              .withColumn("_rank", F.row_number().over(inside)).where(F.col("_rank") <= k).drop("_group", "_rank"))
     return df.orderBy(*order).limit(k)

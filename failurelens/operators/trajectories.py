@@ -115,16 +115,18 @@ def save(trajectories: DataFrame, path: str, mode: str = "append") -> None:
     trajectories.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REPAIR_TRAJECTORY).json(path)
+def load(spark: SparkSession, path: str, documents: bool = False) -> DataFrame:
+    """Trajectories from JSON lines, or with ``documents`` from files of one (indented) document
+    each. A file of the other form is an error, not null rows."""
+    return spark.read.schema(REPAIR_TRAJECTORY).option("multiLine", documents).option("mode", "FAILFAST").json(path)
 
 
-def load_one(spark: SparkSession, path: str, trajectory_id: str) -> DataFrame:
-    return load(spark, path).where(F.col("trajectory_id") == trajectory_id)
+def load_one(spark: SparkSession, path: str, trajectory_id: str, documents: bool = False) -> DataFrame:
+    return load(spark, path, documents).where(F.col("trajectory_id") == trajectory_id)
 
 
-def list_ids(spark: SparkSession, path: str) -> DataFrame:
-    return load(spark, path).select("trajectory_id").distinct()
+def list_ids(spark: SparkSession, path: str, documents: bool = False) -> DataFrame:
+    return load(spark, path, documents).select("trajectory_id").distinct()
 
 
 def save_examples(examples: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -7,6 +7,8 @@ mistake on either side shows up as a mismatch.
 
 from __future__ import annotations
 
+import re
+
 NL = "chr(10)"
 
 # ---------------------------------------------------------------------------
@@ -177,7 +179,7 @@ SELECT doc_id, code AS failing_code,
   {_failure_text_expr(200, 500, 300, 300)} AS failure_text,
   {_failure_text_expr(10, 9, 5, 12)} AS failure_text_short,
   length('{EMBED_PREFIX}' || text) AS embed_input_chars,
-  left('{EMBED_PREFIX}' || text, 120) AS embed_input_head,
+  left(sha256('{EMBED_PREFIX}' || text), 16) AS embed_input_fp,
   left(sha256(text), 16) AS text_fingerprint
 FROM ft2
 """)
@@ -188,6 +190,7 @@ FROM ft2
 CLUSTER_LIST = "['Syntax', 'Runtime', 'Logic', 'EdgeCases', 'AlgorithmDesign', 'Efficiency']"
 
 STORE = f"""
+{EXEC_LOG.strip()},
 batch AS (
   SELECT CAST(user_id AS VARCHAR) || '/' || strftime(ts, '%Y-%m-%d') AS record_id,
     'task ' || CAST(user_id AS VARCHAR) AS task,
@@ -196,7 +199,7 @@ batch AS (
     ({CLUSTER_LIST})[event_id % 6 + 1] AS failure_cluster,
     event_id % (SELECT count(*) FROM embeddings) AS vid,
     ts AS created_at, event_id AS seq
-  FROM events WHERE event_type = 'error'
+  FROM events JOIN (SELECT sample_id FROM scored WHERE NOT success) ON sample_id = event_id
 ),
 batch_e AS (
   SELECT b.*, CASE WHEN len(e.embedding) > 0 THEN e.embedding END AS embedding
@@ -346,7 +349,7 @@ ex AS (
     't' || CAST(event_id AS VARCHAR) AS trajectory_id
   FROM events
 ),
-buf AS (SELECT * FROM ex ORDER BY seq DESC LIMIT 10000)"""
+buf AS (SELECT * FROM ex)"""
 
 STORE_RATES = f"""
 {STORE.strip()},
@@ -365,7 +368,7 @@ wsample AS (SELECT * FROM u ORDER BY -ln(uu) / raw_weight ASC, seq ASC LIMIT 100
 
 register("buffer_fifo", f"""
 WITH {BUFFER.strip()}
-SELECT seq, failure_cluster, problem, plan, trajectory_id FROM buf
+SELECT seq, failure_cluster, problem, plan, trajectory_id FROM buf ORDER BY seq DESC LIMIT 500
 """)
 
 register("buffer_distribution", f"""
@@ -542,7 +545,8 @@ rm AS (
 register("round_metrics", f"""
 WITH {ROUND_METRICS.strip()}
 SELECT run_name, round, metric, round(value, 6) AS value,
-  coalesce(CASE WHEN value IS NOT NULL THEN printf('%.4f', round(value, 4)) END, 'N/A') AS cell FROM rm
+  CASE WHEN metric = 'labels/num_problems' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE printf('%.4f', value) END AS cell
+FROM rm
 """)
 
 register("round_log", f"""
@@ -557,10 +561,6 @@ FROM allr a JOIN latest l ON a.run_name = l.run_name AND a.round = l.round AND a
 """)
 
 
-def _cell(v: str) -> str:
-    return f"coalesce(CASE WHEN {v} IS NOT NULL THEN printf('%.4f', round({v}, 4)) END, 'N/A')"
-
-
 register("run_comparison", f"""
 WITH j AS (SELECT l.*, d.lang, d.n_chars FROM labels l JOIN documents d USING (doc_id)),
 g AS (
@@ -575,13 +575,10 @@ rm AS (
     UNION ALL SELECT run_name, 'labels/num_problems', m_n FROM g
     UNION ALL SELECT run_name, 'long_docs/pass@1', m_long FROM g) WHERE value IS NOT NULL
 ),
-p AS (
-  SELECT metric,
-    max(CASE WHEN run_name = 'de' THEN value END) AS v_de, max(CASE WHEN run_name = 'en' THEN value END) AS v_en,
-    max(CASE WHEN run_name = 'es' THEN value END) AS v_es, max(CASE WHEN run_name = 'fr' THEN value END) AS v_fr
-  FROM rm GROUP BY metric
-)
-SELECT metric, {_cell('v_de')} AS de, {_cell('v_en')} AS en, {_cell('v_es')} AS es, {_cell('v_fr')} AS fr FROM p
+runs AS (SELECT DISTINCT run_name FROM rm), names AS (SELECT DISTINCT metric FROM rm)
+SELECT metric, run_name, CASE WHEN value IS NULL THEN 'N/A' WHEN metric = 'labels/num_problems' THEN CAST(CAST(value AS BIGINT) AS VARCHAR)
+       ELSE printf('%.4f', value) END AS cell
+FROM names CROSS JOIN runs LEFT JOIN rm USING (metric, run_name)
 """)
 
 register("round_deltas", f"""
@@ -597,7 +594,7 @@ register("experiment_summary", f"""
 WITH {ROUND_METRICS.strip()},
 pr AS (
   SELECT run_name, round,
-    list_sort(list(metric || ': ' || printf('%.4f', round(value, 4))) FILTER (WHERE contains(metric, 'pass@1'))) AS ms
+    list_sort(list(metric || ': ' || printf('%.4f', value)) FILTER (WHERE contains(metric, 'pass@1'))) AS ms
   FROM rm GROUP BY run_name, round
 )
 SELECT run_name, round, CASE WHEN len(ms) > 0 THEN array_to_string(ms, ', ') ELSE 'None' END AS key_metrics,
@@ -610,7 +607,8 @@ WITH {EXEC_LOG.strip()}
 SELECT benchmark, CAST(sum(passed) AS BIGINT) AS tests_passed, CAST(sum(failed) AS BIGINT) AS tests_failed,
   CAST(sum(total) AS BIGINT) AS tests_total,
   round(avg(execution_time_ms), 6) AS avg_execution_time_ms, count(*) FILTER (WHERE success) AS task_success,
-  count(*) AS executions
+  count(*) AS executions, count(*) FILTER (WHERE NOT success) AS experts_called,
+  count(*) FILTER (WHERE error_type = 'AssertionError') AS repairs_verified
 FROM scored GROUP BY benchmark
 """)
 
@@ -690,23 +688,21 @@ FROM r
 # ---------------------------------------------------------------------------
 # problems and scripts
 # ---------------------------------------------------------------------------
-WRAPPED = ("'import sys' || chr(10) || chr(10) || '# code under test' || chr(10) || prompt || chr(10) || chr(10) "
-           "|| '# tests' || chr(10) || 'passed = failed = total = 0' || chr(10) || 'def check(candidate):' || chr(10) "
-           "|| '    global passed, failed, total' || chr(10) || '    try:' || chr(10) "
+RUNNER_SQL = """
+  'def run_checks(checks):' || chr(10) || '    import sys, traceback' || chr(10) || '    outcomes = []' || chr(10)
+  || '    for name, check in checks:' || chr(10) || '        try:' || chr(10) || '            check()' || chr(10)
+  || '            outcomes.append(True)' || chr(10) || '        except Exception:' || chr(10)
+  || '            outcomes.append(False)' || chr(10)
+  || '            print(f"check {name} failed", file=sys.stderr)' || chr(10)
+  || '            traceback.print_exc()' || chr(10)
+  || '    print("RESULTS:", f"passed={sum(outcomes)}", f"failed={len(outcomes) - sum(outcomes)}", f"total={len(outcomes)}")'
+  || chr(10)"""
+WRAPPED = ("prompt || chr(10) || chr(10) || 'candidate = ' || entry_point || chr(10) || 'def body_check():' || chr(10) "
            "|| array_to_string(list_transform(string_split(regexp_replace(test, '^\\s+|\\s+$', '', 'g'), chr(10)), "
-           "lambda l: '        ' || l), chr(10)) || chr(10) "
-           "|| '        passed += 1' || chr(10) || '    except Exception as e:' || chr(10) || '        failed += 1' || chr(10) "
-           "|| '        print(f\"FAIL: {e}\", file=sys.stderr)' || chr(10) || '    total += 1' || chr(10) "
-           "|| 'check(' || entry_point || ')' || chr(10) "
-           "|| 'print(f\"RESULTS: passed={passed} failed={failed} total={total}\")'")
-
-BENCH = ("'import sys' || chr(10) || chr(10) || '# code under test' || chr(10) || prompt || chr(10) || chr(10) "
-         "|| '# benchmark test' || chr(10) || test || chr(10) || chr(10) || 'passed = failed = total = 0' || chr(10) "
-         "|| 'try:' || chr(10) || '    check(' || entry_point || ')' || chr(10) || '    passed += 1' || chr(10) "
-         "|| 'except AssertionError as e:' || chr(10) || '    failed += 1' || chr(10) "
-         "|| '    print(f\"ASSERTION FAIL: {e}\", file=sys.stderr)' || chr(10) || 'except Exception as e:' || chr(10) "
-         "|| '    failed += 1' || chr(10) || '    print(f\"ERROR: {type(e).__name__}: {e}\", file=sys.stderr)' || chr(10) "
-         "|| 'total += 1' || chr(10) || 'print(f\"RESULTS: passed={passed} failed={failed} total={total}\")'")
+           "lambda l: '    ' || l), chr(10)) || chr(10) || chr(10) || " + RUNNER_SQL
+           + " || chr(10) || 'run_checks([(''body'', body_check)])'")
+BENCH = ("prompt || chr(10) || chr(10) || test || chr(10) || chr(10) || " + RUNNER_SQL
+         + " || chr(10) || 'run_checks([(''check'', lambda: check(' || entry_point || '))])'")
 
 register("problems", """
 WITH p AS (
@@ -776,3 +772,137 @@ SELECT CAST(cluster_idx AS INTEGER) AS cluster_idx, cluster_name, CAST(0 AS BIGI
   CAST(i - 1 AS BIGINT) AS dim, round(x, 6) AS value
 FROM (SELECT cluster_idx, cluster_name, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM chosen)
 """)
+
+
+# ---------------------------------------------------------------------------
+# operators by themselves
+# ---------------------------------------------------------------------------
+RUN_METRICS = """
+jm AS (SELECT l.*, d.lang, d.n_chars FROM labels l JOIN documents d USING (doc_id)),
+gm AS (SELECT lang AS run_name, avg(quality) AS a, avg(toxic) AS b, CAST(count(*) AS DOUBLE) AS c,
+         avg(CASE WHEN n_chars > 20000 THEN quality END) AS e FROM jm GROUP BY 1),
+rmet AS (SELECT * FROM (
+  SELECT run_name, 'labels/pass@1' AS metric, a AS value FROM gm UNION ALL SELECT run_name, 'labels/toxic_rate', b FROM gm
+  UNION ALL SELECT run_name, 'labels/num_problems', c FROM gm UNION ALL SELECT run_name, 'long_docs/pass@1', e FROM gm)
+  WHERE value IS NOT NULL)"""
+
+register("pass_at_k_fixed_n", f"""
+WITH {EXEC_LOG.strip()},
+cnt AS (SELECT task_id, count(*) FILTER (WHERE success) AS c FROM scored WHERE sample_id % 3 = 0 GROUP BY 1),
+t AS (SELECT CAST(c_custkey AS VARCHAR) AS task_id, 20 AS n, least(coalesce(c, 0), 20) AS c
+      FROM customer LEFT JOIN cnt ON task_id = CAST(c_custkey AS VARCHAR)),
+agg AS (SELECT avg({pass_at_k_sql('n', 'c', 1)}) AS p1, avg({pass_at_k_sql('n', 'c', 5)}) AS p5, count(*) AS np FROM t)
+SELECT 'Users' AS benchmark, 'users/pass@1' AS metric, round(p1, 6) AS value FROM agg
+UNION ALL SELECT 'Users', 'users/pass@5', round(p5, 6) FROM agg
+UNION ALL SELECT 'Users', 'users/num_problems', CAST(np AS DOUBLE) FROM agg
+""")
+
+register("expanded_samples", """
+SELECT 'Bench/' || CAST(item_id AS VARCHAR) AS task_id, s AS sample_id FROM benchmark, range(5) r(s)
+""")
+
+register("first_problems", """
+SELECT item_id AS ordinal, 'Bench/' || CAST(item_id AS VARCHAR) AS task_id, 'solve_' || CAST(item_id AS VARCHAR) AS entry_point,
+  'def check(candidate):' || chr(10) || '    assert candidate(' || CAST(item_id AS VARCHAR) || ') is not None' AS test_code
+FROM benchmark ORDER BY item_id LIMIT 25
+""")
+
+register("benchmark_log", """
+SELECT 'HumanEval' AS benchmark, count(*) AS n FROM events WHERE user_id % 2 = 0 HAVING count(*) > 0
+""")
+
+register("recent_logic_failures", f"""
+WITH {STORE.strip()}
+SELECT record_id, failure_cluster, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS created_at
+FROM store WHERE failure_cluster = 'Logic' ORDER BY created_at DESC, record_id ASC LIMIT 100
+""")
+
+register("store_totals", f"""
+WITH {STORE.strip()}
+SELECT 'cluster' AS kind, failure_cluster AS name, count(*) AS n FROM store GROUP BY 2
+UNION ALL SELECT 'all', '', count(*) FROM store
+UNION ALL SELECT 'embedded', '', count(*) FROM store WHERE embedding IS NOT NULL
+""")
+
+register("store_replaced", f"""
+WITH {STORE.strip()}
+SELECT record_id, failure_cluster, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY (seq % 4 >= 2) DESC, seq DESC) AS k FROM batch) WHERE k = 1
+""")
+
+register("similar_to_one", f"""
+WITH {VEC.strip()},
+n1 AS (SELECT vec_id, list_transform(e, lambda x: x / (nrm + 1e-8)) AS v FROM vnorm),
+q AS (SELECT v AS qv FROM n1 WHERE vec_id = 7),
+s AS (SELECT vec_id, list_sum(list_transform(list_zip(qv, v), lambda p: p[1] * p[2])) AS sim FROM n1, q)
+SELECT vec_id, round(sim, 6) AS similarity FROM s ORDER BY sim DESC, vec_id ASC LIMIT 10
+""")
+
+register("execution_outcomes", f"""
+WITH {EXEC_LOG.strip()}
+SELECT task_id, sample_id, CASE WHEN success THEN 'ok' ELSE 'failed' END AS outcome FROM scored
+""")
+
+register("code_test_pairs", """
+SELECT item_id AS ordinal, length(d.text) AS code_chars, 'solve_' || CAST(item_id AS VARCHAR) AS entry_point
+FROM benchmark b JOIN documents d ON d.doc_id = b.item_id
+""")
+
+register("task_stages", f"""
+WITH {EXEC_LOG.strip()},
+{BUFFER.strip()},
+r AS (SELECT * FROM (SELECT task_id, sample_id, passed, success,
+        row_number() OVER (PARTITION BY task_id ORDER BY sample_id DESC) AS k FROM scored) WHERE k = 1),
+x AS (SELECT * FROM (SELECT e.user_id, seq, failure_cluster, row_number() OVER (PARTITION BY e.user_id ORDER BY seq DESC) AS k
+        FROM ex JOIN events e ON e.event_id = seq WHERE seq % 2 = 0) WHERE k = 1)
+SELECT r.task_id, r.sample_id AS run_attempt, r.passed AS run_passed, r.success AS run_success,
+  x.seq AS example_attempt, x.failure_cluster AS example_failure_cluster
+FROM r LEFT JOIN x ON CAST(x.user_id AS VARCHAR) = r.task_id
+""")
+
+register("kept_examples", """
+SELECT event_id AS seq, 'kept' AS list FROM events WHERE event_id % 2 = 0 AND event_id % 5 <> 0
+UNION ALL SELECT event_id, 'produced' FROM events WHERE event_id % 3 = 0
+""")
+
+register("metric_names", f"""
+WITH {ROUND_METRICS.strip()},
+{RUN_METRICS.strip()}
+SELECT metric FROM rm UNION SELECT metric FROM rmet
+""")
+
+register("merged_metrics", f"""
+WITH {RUN_METRICS.strip()}
+SELECT run_name, metric, round(CASE WHEN run_name = 'en' THEN value + 1 ELSE value END, 6) AS value FROM rmet
+""")
+
+register("buffer_append", f"""
+WITH {BUFFER.strip()}
+SELECT seq, failure_cluster, trajectory_id FROM ex ORDER BY seq DESC LIMIT 700
+""")
+
+register("debug_answers", """
+SELECT event_id, event_type AS root_cause, 'seen by ' || CAST(user_id AS VARCHAR) AS explanation FROM events
+""")
+
+register("run_flags", f"""
+WITH {RUN_METRICS.strip()},
+f(run_name, a, b) AS (VALUES ('run0', false, false), ('run1', true, false), ('run2', true, true), ('run3', false, true), ('run4', true, true)),
+m AS (SELECT 'run' || CAST(length(metric) % 6 AS VARCHAR) AS run_name, metric, value FROM rmet)
+SELECT run_name, metric, round(value, 6) AS value, a AS use_agentic_repair, b AS use_distillation FROM m LEFT JOIN f USING (run_name)
+""")
+
+
+def _repair_requests() -> str:
+    """The requests' user texts with the document in every slot."""
+    from failurelens.functions.prompts import CRITIC, DEBUGGER
+    parts = []
+    for role in (DEBUGGER, CRITIC):
+        text = " || ".join(_sql_str(piece) if i % 2 == 0 else "coalesce(text, '')"
+                           for i, piece in enumerate(re.split(r"\{(\w+)\}", role.user_template)))
+        parts.append(f"SELECT CAST(doc_id AS VARCHAR) AS request_id, '{role.name}' AS role, "
+                     f"left(sha256({text}), 16) AS user_fp FROM documents")
+    return " UNION ALL ".join(parts)
+
+
+register("repair_requests", _repair_requests())

@@ -60,15 +60,17 @@ def failure_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx.failure_text("task", code, "error_type", "stderr", "traceback",
                         task_limit=10, traceback_limit=9, stderr_limit=5, code_limit=12).alias("failure_text_short"),
         F.length(tx.embed_input("text")).cast("bigint").alias("embed_input_chars"),
-        F.substring(tx.embed_input("text"), 1, 120).alias("embed_input_head"),
+        tx.fingerprint(tx.embed_input("text")).alias("embed_input_fp"),
         tx.fingerprint("text").alias("text_fingerprint"),
     )
 
 
 # --- failure store: K1, K2, W3, S7, A1, A2, T1, T2, F1, F2 ----------------------
-def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _store(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The upserted failures; with ``columns``, only these besides the key and the order."""
     from failurelens.operators import store
-    return store.upsert(None, fixtures.failure_batch_with_embeddings(spark, sf_dir))
+    batch = fixtures.failure_batch_with_embeddings(spark, sf_dir)
+    return store.upsert(None, batch.select("record_id", "seq", *columns) if columns else batch)
 
 
 @query("failure_store")
@@ -85,11 +87,11 @@ def failure_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     from failurelens.operators import cluster
-    s = _store(spark, sf_dir)
+    s = _store(spark, sf_dir, "failure_cluster", "embedding").withColumn("embedding", F.col("embedding").isNotNull())
     # one pass over the store: per-cluster counts (partial aggregate), then
     # totals over the handful of cluster rows
     per = s.groupBy("failure_cluster").agg(F.count(F.lit(1)).alias("n"),
-                                           F.count_if(F.col("embedding").isNotNull()).alias("n_emb"))
+                                           F.count_if("embedding").alias("n_emb"))
     stats = cluster.cluster_stats_from_counts(per, "failure_cluster", "n")
     allw = Window.partitionBy()
     return (stats.join(F.broadcast(per.select(F.col("failure_cluster").alias("cluster_name"), "n_emb")),
@@ -103,7 +105,7 @@ def failure_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_by_cluster_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from failurelens.functions.text import iso_utc
     from failurelens.operators import store
-    s = _store(spark, sf_dir)
+    s = _store(spark, sf_dir, "failure_cluster", "created_at")
     return store.recent_per_cluster(s, 100).select(
         "failure_cluster", F.col("rank").cast("bigint").alias("rank"), "record_id", iso_utc("created_at").alias("created_at"))
 
@@ -112,7 +114,7 @@ def recent_by_cluster_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_failures_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from failurelens.functions.text import iso_utc
     from failurelens.operators import store
-    s = _store(spark, sf_dir)
+    s = _store(spark, sf_dir, "failure_cluster", "created_at")
     return store.recent(s, 1000).select("record_id", "failure_cluster", iso_utc("created_at").alias("created_at"))
 
 
@@ -165,23 +167,26 @@ def centroid_ema_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- replay buffer and curriculum: W2, U1, A3, J1, M1-M4, P24, P13 ----------------
-BUFFER_CAPACITY = 10_000
+#: Below the table's size at every scale, so rows are evicted.
+BUFFER_CAPACITY = 500
 SAMPLE_N = 1_000
 
 
 def _buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from failurelens.operators import buffer
-    return buffer.fifo(fixtures.training_examples(spark, sf_dir), BUFFER_CAPACITY)
+    """The example table as a buffer without a capacity."""
+    return fixtures.training_examples(spark, sf_dir)
 
 
 def _store_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from failurelens.operators import cluster
-    return cluster.failure_rates(cluster.cluster_stats(_store(spark, sf_dir), cluster_col="failure_cluster"))
+    return cluster.failure_rates(cluster.cluster_stats(_store(spark, sf_dir, "failure_cluster"), cluster_col="failure_cluster"))
 
 
 @query("buffer_fifo")
 def buffer_fifo_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _buffer(spark, sf_dir).select("seq", "failure_cluster", "problem", "plan", "trajectory_id")
+    from failurelens.operators import buffer
+    kept = buffer.fifo(_buffer(spark, sf_dir), BUFFER_CAPACITY)
+    return kept.select("seq", "failure_cluster", "problem", "plan", "trajectory_id")
 
 
 @query("buffer_distribution")
@@ -302,19 +307,16 @@ def round_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = fixtures.round_metrics(spark, sf_dir).withColumn("logged_at", F.lit(1))
     again = (fixtures.round_metrics(spark, sf_dir).where(F.col("run_name") == "en")
              .where(F.col("metric") == "labels/pass@1")
-             .select("run_name", "round", F.lit("relogged/pass@1").alias("metric"), "value")
+             .select("run_name", "round", F.lit("relogged/pass@1").alias("metric"), "value", "integral")
              .withColumn("logged_at", F.lit(2)))
     log = reports.log_round(first, again)
     return log.select("run_name", "round", "metric", r6("value").alias("value"), "logged_at")
 
 
-RUNS = ["de", "en", "es", "fr"]
-
-
 @query("run_comparison")
 def run_comparison_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from failurelens.operators import reports
-    return reports.compare_runs(fixtures.run_metrics(spark, sf_dir), RUNS)
+    return reports.compare_runs(fixtures.run_metrics(spark, sf_dir))
 
 
 @query("round_deltas")
@@ -334,9 +336,11 @@ def experiment_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def step_totals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from failurelens.operators import reports
     res = parse_exec_log(fixtures.exec_log(spark, sf_dir))
-    t = reports.step_totals(res, ["benchmark"])
+    repaired = res.withColumns({"expert_called": ~F.col("success"), "repair_verified": F.col("error_type") == "AssertionError"})
+    t = reports.step_totals(repaired, ["benchmark"])
     return t.select("benchmark", "tests_passed", "tests_failed", "tests_total",
-                    r6("avg_execution_time_ms").alias("avg_execution_time_ms"), "task_success", "executions")
+                    r6("avg_execution_time_ms").alias("avg_execution_time_ms"), "task_success", "executions",
+                    "experts_called", "repairs_verified")
 
 
 # --- responses: P14-P19 -----------------------------------------------------------------
@@ -399,7 +403,7 @@ def prompt_requests_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("messages")[1]["content"].alias("user_prompt"))
 
 
-# --- fitting on whole tables: M9 fallback + M10 + W5, M9 Lloyd fit, M8 ordered, M5-M7 ------------
+# --- fitting on whole tables: M9 fallback + M10 + W5, M9 Lloyd fit, M5-M7 ------------
 @query("heuristic_init")
 def heuristic_init_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-means fit on the per-label mean vectors: 10 rows < min_samples, so the
@@ -414,22 +418,11 @@ def kmeans_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lloyd iterations from the anchored centroids to convergence (iterative: no SQL twin)."""
     from failurelens.operators import cluster
     v = fixtures.vectors(spark, sf_dir)
-    c = cluster.fit(v, fixtures.label_anchor_centroids(spark, sf_dir), k=6, min_samples=20, max_iter=50)
+    c = cluster.fit(v, fixtures.label_anchor_centroids(spark, sf_dir), k=6, min_samples=20)
     a = cluster.assign(v, c)
     return cluster.cluster_stats(a).select("cluster_name", "total_failures", r6("failure_rate").alias("failure_rate"))
 
 
-@query("centroid_ema_ordered")
-def centroid_ema_ordered_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row-by-row EMA, one centroid set per label parity (serial fold per key: no SQL twin)."""
-    from failurelens.operators import cluster
-    v = fixtures.vectors(spark, sf_dir).withColumn("run", (F.col("label") % 2).cast("int"))
-    upd = cluster.ordered_ema_update(v, fixtures.label_anchor_centroids(spark, sf_dir), 0.1, key_cols=["run"])
-    return upd.select("run", "cluster_idx", "cluster_name", "n_assigned",
-                      F.posexplode("centroid").alias("dim", "v")).select(
-        "run", "cluster_idx", "cluster_name", "n_assigned", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value"))
-
-
 @query("failure_embedding")
 def failure_embedding_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failure texts -> default encoder -> anchored centroids -> cluster (hashing encoder: no SQL twin)."""
@@ -442,3 +435,176 @@ def failure_embedding_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = cluster.anchored_centroids(spark, k=6)
     a = cluster.assign(emb, anchors, "embedding")
     return a.select("doc_id", "cluster_name", r6("similarity").alias("similarity"))
+
+
+# --- operators by themselves: J6, S1-S3 form, T4, F1, F3, F5, F6, J2, J5, J9, A10, U1-U3, K1, S8, T3, P17, P22 ------
+@query("pass_at_k_fixed_n")
+def pass_at_k_fixed_n_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user is a task with 20 samples, whether recorded or not."""
+    results = parse_exec_log(fixtures.exec_log(spark, sf_dir)).where(F.col("sample_id") % 3 == 0)
+    tasks = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("task_id"))
+    counts = evaluate.correct_counts(results, tasks=tasks, num_samples=20)
+    capped = counts.withColumn("c", F.least("c", F.lit(20))).withColumn("benchmark", F.lit("Users"))
+    return evaluate.benchmark_metrics(capped, ks=(1, 5)).select("benchmark", "metric", r6("value").alias("value"))
+
+
+@query("expanded_samples")
+def expanded_samples_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fixtures.problems(spark, sf_dir).select("task_id")
+    return evaluate.expand_samples(p, 5).select("task_id", F.col("sample_id").cast("bigint").alias("sample_id"))
+
+
+@query("first_problems")
+def first_problems_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 25 problems in pipeline form."""
+    from failurelens.sources import files
+    p = files.pipeline_problems(fixtures.problems(spark, sf_dir), max_tasks=25)
+    return p.select("ordinal", "task_id", "entry_point", F.col("test_cases")[0]["test_code"].alias("test_code"))
+
+
+@query("benchmark_log")
+def benchmark_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.sources import files
+    log = fixtures.exec_log(spark, sf_dir)
+    return files.enabled_benchmarks(log, ["HumanEval"]).groupBy("benchmark").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("recent_logic_failures")
+def recent_logic_failures_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from failurelens.functions.text import iso_utc
+    from failurelens.operators import store
+    s = _store(spark, sf_dir, "failure_cluster", "created_at")
+    return store.by_cluster(s, "Logic", 100).select("record_id", "failure_cluster", iso_utc("created_at").alias("created_at"))
+
+
+@query("store_totals")
+def store_totals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by cluster, the whole store's rows, and its rows with an embedding."""
+    from failurelens.operators import store
+    s = _store(spark, sf_dir, "failure_cluster", "embedding")
+    total = store.total_count(s).select(F.lit("all").alias("kind"), F.lit("").alias("name"), F.col("total").alias("n"))
+    with_vector = store.all_embeddings(s).agg(F.count(F.lit(1)).alias("n")).select(F.lit("embedded"), F.lit(""), "n")
+    return store.count_by_cluster(s).select(F.lit("cluster").alias("kind"), F.col("failure_cluster").alias("name"),
+                                            F.col("cnt").alias("n")).union(total).union(with_vector)
+
+
+@query("store_replaced")
+def store_replaced_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of the later half of the log replace stored ones of the earlier half."""
+    from failurelens.operators import store
+    batch = fixtures.failure_batch(spark, sf_dir).select("record_id", "task", "failure_cluster", "created_at", "seq")
+    first, later = batch.where("seq % 4 < 2"), batch.where("seq % 4 >= 2")
+    return store.upsert(store.upsert(None, first), later).select("record_id", "failure_cluster", "seq")
+
+
+@query("similar_to_one")
+def similar_to_one_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors nearest to that of vec_id 7."""
+    from failurelens.operators import store
+    v = fixtures.vectors(spark, sf_dir)
+    query_vector = v.where("vec_id = 7").select(F.col("embedding").cast("array<double>")).first()[0]
+    near = store.search_similar(v, query_vector, 10, id_col="vec_id", vec_col="embedding")
+    return near.select("vec_id", r6("similarity").alias("similarity"))
+
+
+@query("execution_outcomes")
+def execution_outcomes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log split by success, with the code x test pairs of the failures' tasks."""
+    from failurelens.operators import tasks
+    ok, failed = tasks.split_by_success(parse_exec_log(fixtures.exec_log(spark, sf_dir)))
+    return ok.select("task_id", "sample_id", F.lit("ok").alias("outcome")).unionByName(
+        failed.select("task_id", "sample_id", F.lit("failed").alias("outcome")))
+
+
+@query("code_test_pairs")
+def code_test_pairs_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as codes and problems as tests, matched by position; the longer side's rest drops."""
+    from failurelens.operators import tasks
+    codes = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.length("text").cast("bigint").alias("code_chars"))
+    tests = fixtures.problems(spark, sf_dir).select("ordinal", "entry_point")
+    return tasks.pair_code_and_tests(codes, tests, keys=["ordinal"])
+
+
+@query("task_stages")
+def task_stages_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each task: its latest execution and its latest example."""
+    from failurelens.operators import tasks
+    runs = parse_exec_log(fixtures.exec_log(spark, sf_dir)).select("task_id", F.col("sample_id").alias("attempt"), "passed", "success")
+    examples = fixtures.training_examples(spark, sf_dir).select(F.col("source_task_id").alias("task_id"), F.col("seq").alias("attempt"), "failure_cluster")
+    m = tasks.merge_stages({"run": runs, "example": examples.where("attempt % 2 = 0")})
+    return m.select("task_id", "run_attempt", "run_passed", "run_success", "example_attempt", "example_failure_cluster")
+
+
+@query("kept_examples")
+def kept_examples_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of verified, non-empty repairs, and tasks that produced one."""
+    from failurelens.operators import trajectories as tr
+    ex = fixtures.training_examples(spark, sf_dir).withColumn("verified", F.col("seq") % 2 == 0) \
+        .withColumn("repaired_code", F.when(F.col("seq") % 5 == 0, F.lit("")).otherwise(F.col("repaired_code")))
+    kept = tr.quality_filter(ex, verified_only=True, non_empty_only=True)
+    produced = tr.produced_example(ex.withColumn("training_example", F.when(F.col("seq") % 3 == 0, F.col("problem"))))
+    return kept.select("seq", F.lit("kept").alias("list")).union(produced.select("seq", F.lit("produced")))
+
+
+@query("metric_names")
+def metric_names_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metric names of two tables, united."""
+    from failurelens.operators import reports
+    rounds = fixtures.round_metrics(spark, sf_dir).select("run_name", "metric", "value")
+    return reports.metric_names(rounds.unionByName(fixtures.run_metrics(spark, sf_dir).select("run_name", "metric", "value")))
+
+
+@query("merged_metrics")
+def merged_metrics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics by run and name; those of the later table win."""
+    runs = fixtures.run_metrics(spark, sf_dir).select("run_name", "metric", "value")
+    again = runs.where(F.col("run_name") == "en").withColumn("value", F.col("value") + 1)
+    m = evaluate.merge_metrics(runs, again, key_cols=("run_name", "metric"))
+    return m.select("run_name", "metric", r6("value").alias("value"))
+
+
+@query("buffer_append")
+def buffer_append_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the examples appended to a buffer of the other half, the newest 700 kept."""
+    from failurelens.operators import buffer
+    ex = fixtures.training_examples(spark, sf_dir)
+    held = buffer.append(ex.where("seq % 2 = 0"), ex.where("seq % 2 = 1"), capacity=700)
+    return held.select("seq", "failure_cluster", "trajectory_id")
+
+
+@query("debug_answers")
+def debug_answers_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debugger answers that are JSON: the parsed branch."""
+    from failurelens.functions import responses as rs
+    e = fixtures.table(spark, sf_dir, "events")
+    answer = F.concat(F.lit('{"root_cause": "'), F.col("event_type"), F.lit('", "detailed_explanation": "seen by '),
+                      F.col("user_id").cast("string"), F.lit('"}'))
+    r = rs.with_parsed(e.select("event_id", answer.alias("response")), "response", "_v")
+    d = rs.debugger_output("response", "_v")
+    return r.select("event_id", d["analysis"]["root_cause"].alias("root_cause"),
+                    d["analysis"]["detailed_explanation"].alias("explanation"))
+
+
+@query("repair_requests")
+def repair_requests_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the debugger's and the critic's requests."""
+    from failurelens.functions import prompts as pr
+    from failurelens.functions.text import fingerprint
+    d = fixtures.failure_text_inputs(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string"))
+    out = None
+    for role in (pr.DEBUGGER, pr.CRITIC):
+        reqs = pr.request_table(d, role, "id", **{slot: "task" for slot in pr.slots(role)})
+        part = reqs.select("request_id", "role", fingerprint(F.col("messages")[1]["content"]).alias("user_fp"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("run_flags")
+def run_flags_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preset runs' flags beside the metric rows of runs of their names."""
+    from failurelens.operators import routing
+    flags = routing.ablation_flags(spark)
+    m = fixtures.run_metrics(spark, sf_dir).withColumn(
+        "run_name", F.concat(F.lit("run"), (F.length("metric") % 6).cast("string"))).select("run_name", "metric", "value")
+    return m.join(F.broadcast(flags), "run_name", "left").select(
+        "run_name", "metric", r6("value").alias("value"), "use_agentic_repair", "use_distillation")

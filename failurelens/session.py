@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,20 +45,24 @@ def get_session(master: str | None = None, app: str = "failurelens",
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that ``spark.checkpoint.dir`` names; None if it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """This application's folder for intermediate data, under ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only fall back to a scratch folder
-    when the setting is absent (local runs and tests).
+    Only a local session, where all tasks share the machine, may leave the setting out
+    and gets a temporary folder; on a cluster that would not be shared, so it is an error.
     """
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not current:
-        # unset: only local runs and tests get here
-        current = tempfile.mkdtemp(prefix="failurelens-ckpt-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+        named = shared_folder(spark)
+        if not named and not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="failurelens-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from failurelens.functions.text import iso_utc
+from failurelens.operators.store import path_exists
 from failurelens.schemas import BUFFER_ROW, HUMANEVAL_PROBLEM, MBPP_PROBLEM_RAW, METRIC_ROW
 
 TRACKER = T.StructType([
@@ -65,8 +66,11 @@ def enabled_benchmarks(df: DataFrame, enabled: list[str], col: str = "benchmark"
 
 # --- replay buffer ---------------------------------------------------------------
 def read_buffer(spark: SparkSession, path: str) -> DataFrame:
-    """Buffer JSON lines (blank lines are skipped by the reader)."""
-    return spark.read.schema(BUFFER_ROW).json(path)
+    """Buffer JSON lines (blank lines are skipped by the reader). Rows without ``seq`` get
+    the number of their line, files in order of name: arrival order is line order."""
+    from failurelens.operators.buffer import arrival_numbers
+    rows = arrival_numbers(spark.read.schema(BUFFER_ROW).json(path), "_line")
+    return rows.withColumn("seq", F.coalesce("seq", "_line")).drop("_line")
 
 
 def write_buffer(buffer: DataFrame, path: str) -> None:
@@ -75,28 +79,50 @@ def write_buffer(buffer: DataFrame, path: str) -> None:
 
 
 # --- experiment tracker ----------------------------------------------------------------
+def _tracker(spark: SparkSession, path: str) -> DataFrame:
+    """The tracker document; none if there is no such file."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], TRACKER)
+    return spark.read.schema(TRACKER).option("multiLine", True).json(path)
+
+
 def read_tracker(spark: SparkSession, path: str) -> DataFrame:
-    """Tracker document -> long metric rows ``(round, timestamp, metric, value)``;
-    an absent document gives an empty typed table."""
-    out_schema = "round int, timestamp string, metric string, value double"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], out_schema)
-    doc = spark.read.schema(TRACKER).option("multiLine", True).json(path)
-    rounds = doc.select(F.explode("rounds").alias("r"))
+    """Tracker document -> long metric rows ``(round, timestamp, metric, value)``."""
+    rounds = _tracker(spark, path).select(F.explode("rounds").alias("r"))
     return rounds.select(F.col("r.round").alias("round"), F.col("r.timestamp").alias("timestamp"),
                          F.explode("r.metrics").alias("metric", "value"))
 
 
-def write_tracker(rounds: DataFrame, path: str, started_at: str | None = None) -> None:
-    """Long metric rows ``(round, metric, value)`` -> one tracker document (rounds sorted)."""
+def read_tracker_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Tracker document -> dataset statistics ``(round, name, n)``."""
+    rounds = _tracker(spark, path).select(F.explode("rounds").alias("r"))
+    return rounds.select(F.col("r.round").alias("round"), F.explode("r.dataset_stats").alias("name", "n"))
+
+
+def read_tracker_config(spark: SparkSession, path: str) -> DataFrame:
+    """Tracker document -> its configuration ``(key, value)``."""
+    return _tracker(spark, path).select(F.explode("config").alias("key", "value"))
+
+
+def write_tracker(rounds: DataFrame, path: str, started_at: str | None = None, config: dict[str, str] | None = None,
+                  stats: DataFrame | None = None) -> None:
+    """Long metric rows ``(round, metric, value)``, and dataset statistics ``(round, name, n)``, -> one tracker
+    document, rounds sorted. It is one row: for the few rounds of an experiment."""
     per_round = rounds.groupBy("round").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"),
                                             iso_utc(F.current_timestamp()).alias("timestamp"))
+    none = F.create_map().cast("map<string,bigint>")
+    if stats is not None:
+        named = stats.groupBy("round").agg(
+            F.map_from_entries(F.collect_list(F.struct("name", F.col("n").cast("bigint")))).alias("dataset_stats"))
+        per_round = per_round.join(named, "round", "left").withColumn("dataset_stats", F.coalesce("dataset_stats", none))
+    else:
+        per_round = per_round.withColumn("dataset_stats", none)
     by_round = lambda a, b: F.when(a["round"] < b["round"], -1).when(a["round"] > b["round"], 1).otherwise(0)
-    doc = per_round.agg(F.array_sort(F.collect_list(F.struct("round", "timestamp", "metrics")), by_round)
+    held = F.create_map(*[F.lit(x) for kv in (config or {}).items() for x in kv]).cast("map<string,string>")
+    doc = per_round.agg(F.array_sort(F.collect_list(F.struct("round", "timestamp", "metrics", "dataset_stats")), by_round)
                         .alias("rounds")) \
-        .select(F.lit(started_at).alias("started_at"), iso_utc(F.current_timestamp()).alias("completed_at"), "rounds")
+        .select(F.lit(started_at).alias("started_at"), iso_utc(F.current_timestamp()).alias("completed_at"),
+                held.alias("config"), "rounds")
     doc.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 

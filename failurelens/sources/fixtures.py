@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from failurelens.functions.execlog import parse_exec_log
 from failurelens.schemas import CLUSTER_NAMES
 from failurelens.sources.tables import table
 
@@ -26,12 +27,12 @@ def _n_tests() -> Column:
     return (F.floor(F.col("value")) % 4 + 1).cast("bigint")
 
 
-def exec_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exec_log(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
     """events -> raw run log: task = user, sample = event; every parse branch occurs.
 
     purchase: clean pass; click: assertion failure; view: no RESULTS line;
     error: crash with traceback (return code 1); signup: timeout (even ids) or a
-    malformed RESULTS line (odd ids).
+    malformed RESULTS line (odd ids). ``carry`` names event columns to keep.
     """
     e = table(spark, sf_dir, "events")
     n = _n_tests()
@@ -66,6 +67,7 @@ def exec_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((et == "signup") & ~odd).alias("timed_out"),
         (F.col("value") * 10).alias("elapsed_ms"),
         F.when(F.col("user_id") % 2 == 0, F.lit("HumanEval")).otherwise(F.lit("MBPP")).alias("benchmark"),
+        *carry,
     )
 
 
@@ -75,12 +77,12 @@ def cluster_name_of(idx: Column) -> Column:
 
 
 def failure_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """error events -> failure records to upsert, in arrival order ``seq``.
+    """Failed executions -> failure records to upsert, in arrival order ``seq``.
 
     The key is (user, day): later failures of the same user on the same day
     replace earlier ones, which exercises latest-wins upserts on real data.
     """
-    e = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    e = parse_exec_log(exec_log(spark, sf_dir, "event_id", "user_id", "ts", "value", "props")).where(~F.col("success"))
     return e.select(
         F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("record_id"),
         F.concat(F.lit("task "), F.col("user_id").cast("string")).alias("task"),
@@ -196,7 +198,7 @@ def round_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.regexp_extract("source", "([0-9]+)", 1).cast("int").alias("round")).agg(
         F.avg("quality").alias("m_pass1"),
         F.avg("toxic").alias("m_toxic"),
-        F.count(F.lit(1)).cast("double").alias("m_n"),
+        F.count(F.lit(1)).alias("m_n"),
         F.avg(F.when(F.col("toxic") == 1, F.col("quality"))).alias("m_pass1_toxic"),
     )
     from failurelens.operators.reports import to_long
@@ -212,7 +214,7 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = lab.join(doc, on="doc_id", how="inner")
     g = j.groupBy(F.col("lang").alias("run_name")).agg(
         F.avg("quality").alias("m_pass1"), F.avg("toxic").alias("m_toxic"),
-        F.count(F.lit(1)).cast("double").alias("m_n"),
+        F.count(F.lit(1)).alias("m_n"),
         F.avg(F.when(F.col("n_chars") > 20000, F.col("quality"))).alias("m_long"),
     )
     from failurelens.operators.reports import to_long

@@ -8,8 +8,9 @@
 * incremental replay buffer (``foreachBatch``): append + capacity
 
 Every output of batch N is named by N and written from the state of N-1, so a
-micro-batch replayed after a failure rewrites exactly its own output. The
-streaming checkpoint goes under the shared ``spark.checkpoint.dir``.
+micro-batch replayed after a failure rewrites exactly its own output. A stream's
+checkpoint is found by its name under ``spark.checkpoint.dir``, and an output folder
+belongs to one checkpoint: a stream started from another one is refused.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import types as T
 from failurelens.functions.text import iso_utc
 from failurelens.operators import buffer as buf
 from failurelens.operators import cluster
-from failurelens.operators.store import FailureStore, VersionedTable
+from failurelens.operators.store import claim, read_state, write_batch, write_state
 from failurelens.schemas import CENTROIDS
-from failurelens.session import scratch_path
+from failurelens.session import shared_folder
 
 # ---------------------------------------------------------------------------
 # Event log (one JSON object per line: event, timestamp, free-form keys)
@@ -35,22 +36,42 @@ EVENT_KNOWN = ("event", "timestamp", "task_id")
 
 def event_rows(df: DataFrame, event_name: str, task_col: str | None = "task_id", **fields) -> DataFrame:
     """Rows for the event log: event name, UTC timestamp, task id and the given
-    fields as a string map (numbers and flags rendered as text)."""
-    data = F.create_map(*[x for k, v in fields.items()
-                          for x in (F.lit(k), (F.col(v) if isinstance(v, str) else v).cast("string"))])
+    fields, which keep their types (numbers and flags stay numbers and flags)."""
+    data = F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()]) if fields \
+        else F.struct(F.lit(None).cast("string").alias("_none"))
     return df.select(F.lit(event_name).alias("event"), iso_utc(F.current_timestamp()).alias("timestamp"),
                      (F.col(task_col).cast("string") if task_col else F.lit("")).alias("task_id"),
                      data.alias("data"))
 
 
 def log_events(rows: DataFrame, path: str) -> None:
-    """Append event rows as JSON lines (one object per event, extra keys flattened)."""
-    flat = rows.select(F.to_json(F.map_concat(
-        F.create_map(F.lit("event"), F.col("event"), F.lit("timestamp"), F.col("timestamp"),
-                     F.lit("task_id"), F.col("task_id")), F.col("data"))).alias("value"))
+    """Append event rows as JSON lines (one object per event, extra keys beside the common ones)."""
+    flat = rows.select(F.to_json(F.struct("event", "timestamp", "task_id", "data.*"),
+                                 {"ignoreNullFields": "true"}).alias("value"))
     flat.write.mode("append").text(path)
 
 
+# Event names and fields, with their types
+STAGE_EVENTS = {
+    "planner_executed": "plan_len bigint",
+    "student_generator_executed": "trajectory_id string, code_len bigint",
+    "execution_completed": "success boolean, attempt bigint, passed bigint, total bigint",
+    "failure_analysed": "error_type string",
+    "failure_embedded": "description_len bigint",
+    "failure_clustered": "cluster string",
+    "expert_repair_completed": "trajectory_id string, verified boolean",
+    "distillation_example_generated": "cluster string",
+    "task_success_stored": "expert_called boolean",
+}
+
+
+def stage_events(df: DataFrame, stage: str, task_col: str = "task_id") -> DataFrame:
+    """One stage's event rows, with the stage's fields cast to their types; fields that ``df`` lacks are null."""
+    fields = T.StructType.fromDDL(STAGE_EVENTS[stage]).fields
+    columns = {f.name: (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType) for f in fields}
+    return event_rows(df, stage, task_col, **columns)
+
+
 def _parse_event_lines(lines: DataFrame) -> DataFrame:
     v = F.try_parse_json(F.col("value"))
     return lines.where(F.trim("value") != "").select(
@@ -83,8 +104,25 @@ def json_stream(spark: SparkSession, path: str, schema: T.StructType,
     return r.json(path)
 
 
-def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
-    return checkpoint or scratch_path(spark, os.path.join("streams", name))
+def stream_checkpoint(spark: SparkSession, name: str, checkpoint: str | None = None) -> str:
+    """The stream's checkpoint: as given, or by its name under ``spark.checkpoint.dir`` itself,
+    so that a later session goes on where this one ends."""
+    if checkpoint:
+        return checkpoint
+    folder = shared_folder(spark)
+    if not folder:
+        raise ValueError("a stream needs a checkpoint path, or spark.checkpoint.dir to be set")
+    return os.path.join(folder, "streams", name)
+
+
+def _start(stream: DataFrame, sink, name: str, checkpoint: str | None, outputs: list[str], available_now: bool,
+           mode: str = "append"):
+    spark = stream.sparkSession
+    where = stream_checkpoint(spark, name, checkpoint)
+    for path in outputs:
+        claim(spark, path, where)
+    w = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", where)
+    return (w.trigger(availableNow=True) if available_now else w).start()
 
 
 # ---------------------------------------------------------------------------
@@ -95,76 +133,62 @@ def running_cluster_counts(stream: DataFrame, cluster_col: str = "failure_cluste
     return stream.groupBy(F.col(cluster_col).alias("cluster_name")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def start_counts_to_table(stream: DataFrame, out_path: str, checkpoint: str | None = None,
+def start_counts_to_table(stream: DataFrame, out_path: str, name: str, checkpoint: str | None = None,
                           available_now: bool = True):
-    """Write the complete running counts after every batch to ``out_path/v=<batch>``."""
-    table = VersionedTable(stream.sparkSession, out_path)
-
-    def sink(df: DataFrame, batch_id: int) -> None:
-        table.write(df, batch_id)
-
-    w = (running_cluster_counts(stream).writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", _checkpoint(stream.sparkSession, "counts", checkpoint)))
-    w = w.trigger(availableNow=True) if available_now else w
-    return w.start()
+    """Keep the complete running counts as the state at ``out_path``, version = batch."""
+    return _start(running_cluster_counts(stream), lambda df, batch_id: write_state(df, out_path, batch_id),
+                  name, checkpoint, [out_path], available_now, "complete")
 
 
 # ---------------------------------------------------------------------------
 # Online failure clustering
 # ---------------------------------------------------------------------------
-def online_clustering_batch(batch: DataFrame, batch_id: int, store: FailureStore, centroids: VersionedTable,
-                            alpha: float = 0.1, vec_col: str = "embedding", order_col: str = "seq",
-                            compact_every: int | None = None) -> None:
+def online_clustering_batch(batch: DataFrame, batch_id: int, store_path: str, centroid_path: str,
+                            alpha: float = 0.1, vec_col: str = "embedding", order_col: str = "seq") -> None:
     """One micro-batch: assign, store, update centroids (mini-batch EMA).
 
-    Reads centroid version ``batch_id`` (version 0 is the initial set) and
-    writes version ``batch_id + 1``; the store batch id is ``batch_id + 1``.
+    Reads centroid version ``batch_id`` (version 0 is the initial set) and writes version
+    ``batch_id + 1``. Without centroids they are fitted on the first batch that has rows.
     """
-    cur = centroids.read(batch_id)
-    if cur is None:
-        raise ValueError(f"centroid version {batch_id} is missing")
+    spark = batch.sparkSession
+    cur = read_state(spark, centroid_path, CENTROIDS, batch_id)
+    if cur is not None and cur.isEmpty():
+        cur = None
     rows = batch.persist()
     try:
+        if cur is None and not rows.isEmpty():
+            cur = cluster.fit(rows, None, vec_col=vec_col, order_col=order_col)
+            moved = cur
+        else:
+            moved = None if cur is None else cluster.ema_update(rows, cur, alpha=alpha, vec_col=vec_col,
+                                                                order_col=order_col)
         assigned = cluster.assign(rows, cur, vec_col)
         records = assigned.withColumn("failure_cluster", F.col("cluster_name")) \
             .drop("cluster_idx", "cluster_name", "similarity")
-        store.store_batch(records, version=batch_id + 1)
-        moved = cluster.ema_update(rows, cur, alpha=alpha, vec_col=vec_col, order_col=order_col)
-        centroids.write(moved.select("cluster_idx", "cluster_name", "centroid"), batch_id + 1)
-        if compact_every and (batch_id + 1) % compact_every == 0:
-            store.compact(batch_id + 1)  # later reads start from this snapshot
+        write_batch(records, store_path, batch_id + 1)
+        if moved is not None:
+            write_state(moved.select("cluster_idx", "cluster_name", "centroid"), centroid_path, batch_id + 1)
     finally:
         rows.unpersist()
 
 
-def start_online_clustering(stream: DataFrame, store_path: str, centroid_path: str, alpha: float = 0.1,
-                            checkpoint: str | None = None, available_now: bool = True,
-                            compact_every: int | None = 100):
-    spark = stream.sparkSession
-    store = FailureStore(spark, store_path)
-    cents = VersionedTable(spark, centroid_path, CENTROIDS)
-    w = (stream.writeStream.foreachBatch(
-        lambda df, bid: online_clustering_batch(df, bid, store, cents, alpha, compact_every=compact_every))
-         .option("checkpointLocation", _checkpoint(spark, "online_clustering", checkpoint)))
-    w = w.trigger(availableNow=True) if available_now else w
-    return w.start()
+def start_online_clustering(stream: DataFrame, store_path: str, centroid_path: str, name: str, alpha: float = 0.1,
+                            checkpoint: str | None = None, available_now: bool = True):
+    return _start(stream, lambda df, bid: online_clustering_batch(df, bid, store_path, centroid_path, alpha),
+                  name, checkpoint, [store_path, centroid_path], available_now)
 
 
 # ---------------------------------------------------------------------------
 # Incremental replay buffer
 # ---------------------------------------------------------------------------
-def buffer_batch(batch: DataFrame, batch_id: int, table: VersionedTable, capacity: int) -> None:
+def buffer_batch(batch: DataFrame, batch_id: int, path: str, capacity: int) -> None:
     """Buffer version ``batch_id + 1`` = newest ``capacity`` rows of version ``batch_id`` plus the batch."""
-    prev = table.read(batch_id)
-    out = buf.append(prev, batch, capacity=capacity)
-    table.write(out, batch_id + 1)
+    schema = T.StructType(batch.schema.fields)
+    write_state(buf.append(read_state(batch.sparkSession, path, schema, batch_id), batch, capacity=capacity),
+                path, batch_id + 1)
 
 
-def start_buffer(stream: DataFrame, buffer_path: str, capacity: int = 10_000, checkpoint: str | None = None,
-                 available_now: bool = True):
-    spark = stream.sparkSession
-    table = VersionedTable(spark, buffer_path)
-    w = (stream.writeStream.foreachBatch(lambda df, bid: buffer_batch(df, bid, table, capacity))
-         .option("checkpointLocation", _checkpoint(spark, "buffer", checkpoint)))
-    w = w.trigger(availableNow=True) if available_now else w
-    return w.start()
+def start_buffer(stream: DataFrame, buffer_path: str, name: str, capacity: int = 10_000,
+                 checkpoint: str | None = None, available_now: bool = True):
+    return _start(stream, lambda df, bid: buffer_batch(df, bid, buffer_path, capacity), name, checkpoint,
+                  [buffer_path], available_now)

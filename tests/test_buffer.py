@@ -82,3 +82,30 @@ def test_bounded_top_k_with_heavy_ties(spark):
     got = [r.id for r in top_k(df, 5000, "v", True, [F.col("id").asc()], direct_max=10).collect()]
     want = [r.id for r in df.orderBy(F.col("v").desc(), F.col("id").asc()).limit(5000).collect()]
     assert got == want
+
+
+def test_top_k_paths_agree_on_nulls_and_ties(spark):
+    from failurelens.operators.topk import top_k
+    rows = [(i, None if i % 10 == 0 else float(i % 13)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(9)
+    for desc in (True, False):
+        for k in (1500, 3900):
+            ways = [[r.id for r in top_k(df, k, "v", desc, [F.col("id").asc()], direct_max=m, groups=4).collect()]
+                    for m in (10, 10_000)]
+            assert ways[0] == ways[1]
+            assert ways[0] == [i for i, v in sorted(rows, key=lambda r: (r[1] is None, (-r[1] if desc else r[1]) if r[1] is not None else 0, r[0]))][:k]
+
+
+def test_plans_are_built_without_jobs(spark):
+    """No action runs before the caller's, but for file listings and schema reads."""
+    from failurelens.operators import buffer
+    from failurelens.operators.topk import top_k
+    tracker = spark.sparkContext.statusTracker()
+    df = spark.range(5000).withColumnRenamed("id", "seq").withColumn("failure_cluster", F.lit("Logic"))
+    rates = spark.range(1).select(F.lit("Logic").alias("cluster_name"), F.lit(0.5).alias("failure_rate"))
+    spark.sparkContext.setJobGroup("built", "plans")
+    top_k(df, 2000, "seq", True)
+    buffer.sample_weighted(df, 10, rates)
+    buffer.append(df, df.drop("seq"), capacity=2000)
+    assert list(tracker.getJobIdsForGroup("built")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -111,9 +111,29 @@ def test_minibatch_closed_form_equals_fold_for_fixed_assignment(spark):
     assert np.allclose(got[1], start[1])
 
 
-def test_ema_cutoff():
-    assert cluster.ema_cutoff(0.1) > 350
-    assert 0.1 * 0.9 ** cluster.ema_cutoff(0.1) < 1e-18
+def test_ema_uses_every_row(spark):
+    """A small decay over many rows: no rank is too old to count."""
+    rng = np.random.default_rng(3)
+    xs, start, alpha = rng.standard_normal((3000, 4)), np.array([1.0, 0, 0, 0]), 1e-4
+    cf = cluster.centroids_frame(spark, [(0, "c", list(start))])
+    got = cluster.ema_update(_vecs(spark, xs).repartition(5), cf, alpha=alpha).first().centroid
+    c = start
+    for x in xs.astype(np.float32).astype(np.float64):
+        c = (1 - alpha) * c + alpha * x / np.linalg.norm(x)
+    assert np.allclose(got, c / np.linalg.norm(c), atol=1e-9)
+
+
+def test_ema_without_centroids_fits(spark):
+    xs = np.repeat(np.eye(3), 10, axis=0)
+    got = cluster.ema_update(_vecs(spark, xs), None).collect()
+    assert len(got) == 6 and all(abs(np.linalg.norm(r.centroid) - 1) < 1e-9 for r in got)
+
+
+def test_vectors_of_other_lengths_have_no_cluster(spark):
+    cf = cluster.centroids_frame(spark, [(0, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0])])
+    df = spark.createDataFrame([(0, [0.0, 2.0]), (1, [1.0]), (2, None), (3, [0.0, 0.0])], "seq int, embedding array<float>")
+    got = {r.seq: (r.cluster_idx, r.cluster_name) for r in cluster.assign(df, cf).collect()}
+    assert got == {0: (1, "b"), 1: (-1, None), 2: (-1, None), 3: (0, "a")}
 
 
 def test_hashing_encoder_and_anchors(spark):
@@ -130,9 +150,9 @@ def test_model_encoder_pandas_udf(spark):
     assert pytest.approx(np.linalg.norm(v), rel=1e-6) == 1.0
 
 
-def test_wide_vectors_use_arrow_path_with_same_answer(spark):
+def test_wide_vectors(spark):
     rng = np.random.default_rng(9)
-    dim = cluster.HOF_MAX_DIM + 72
+    dim = 200
     cents = [list(v / np.linalg.norm(v)) for v in rng.standard_normal((4, dim))]
     cf = cluster.centroids_frame(spark, [(i, f"c{i}", c) for i, c in enumerate(cents)])
     xs = rng.standard_normal((300, dim)).astype(np.float32).astype(np.float64)  # stored as float

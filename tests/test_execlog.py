@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from failurelens.functions import execlog as ex
 
 LOG_SCHEMA = "task_id string, sample_id bigint, stdout string, stderr string, returncode int, timed_out boolean, elapsed_ms double"
@@ -63,13 +65,25 @@ def test_success_truth_table(spark):
     assert [r.s for r in df.select(ex.is_success().alias("s")).collect()] == [True, False, False, False]
 
 
-def test_script_text(spark):
-    df = spark.createDataFrame([("def add(a, b):\n    return a + b", "assert candidate(1, 2) == 3", "add"),
-                                ("def f(): pass", "", "")], "code string, test string, ep string")
-    rows = df.select(ex.wrapped_script("code", "test", "ep").alias("s")).collect()
-    s = rows[0].s
-    assert "def add(a, b)" in s and "assert candidate(1, 2) == 3" in s and "check(add)" in s and "RESULTS:" in s
-    assert "RESULTS: passed=1 failed=0 total=1" in rows[1].s
+def test_scripts_print_the_results_line(spark):
+    """The scripts run, and their output parses into the right counts."""
+    import subprocess
+    import sys
+    add = "def add(a, b):\n    return a + b"
+    rows = [(0, add, "assert candidate(1, 2) == 3", "add"), (1, add, "assert candidate(1, 2) == 4", "add"),
+            (2, "def f(): pass", "", ""), (3, add, None, None), (4, add, "x = 1\nif x:\n    assert add(x, 1) == 2", "")]
+    df = spark.createDataFrame(rows, "i long, code string, test string, ep string")
+    bench = df.where("i < 2").withColumn("test", F.concat(F.lit("def check(candidate):\n    "), "test"))
+    scripts = [r.s for r in df.orderBy("i").select(ex.wrapped_script("code", "test", "ep").alias("s")).collect()]
+    scripts += [r.s for r in bench.orderBy("i").select(ex.benchmark_script("code", "test", "ep").alias("s")).collect()]
+    logs = []
+    for i, s in enumerate(scripts):
+        run = subprocess.run([sys.executable, "-c", s], capture_output=True, text=True)
+        logs.append(("t", i, run.stdout, run.stderr, run.returncode, False, 1.0))
+    got = ex.parse_exec_log(spark.createDataFrame(logs, LOG_SCHEMA)).orderBy("sample_id").collect()
+    assert [(r.passed, r.failed, r.total) for r in got] == [(1, 0, 1), (0, 1, 1), (1, 0, 1), (1, 0, 1), (1, 0, 1),
+                                                            (1, 0, 1), (0, 1, 1)]
+    assert got[1].error_type == "AssertionError"
 
 
 def test_test_code_from_cases_keeps_newline_for_missing(spark):

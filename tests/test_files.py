@@ -69,3 +69,47 @@ def test_summary_from_tracker_has_times(spark, tmp_dir):
     out = {r["round"]: r for r in reports.experiment_summary(long).collect()}
     assert out[1].key_metrics == "humaneval/pass@1: 0.5000" and out[2].key_metrics == "None"
     assert out[1].total_rounds == 2 and out[1].started_at is not None and out[1].ended_at is not None
+
+
+def test_buffer_file_without_seq_keeps_line_order(spark, tmp_dir):
+    import json
+
+    from failurelens.operators import buffer
+    path = tmp_dir + "/buffer.jsonl"
+    with open(path, "w") as f:
+        for i in range(200):
+            f.write(json.dumps({"problem": f"p{i}", "failure_cluster": "Logic", "trajectory_id": f"t{i}"}) + "\n")
+            f.write("\n" * (i % 3 == 0))
+    rows = files.read_buffer(spark, path)
+    assert [r.problem for r in rows.orderBy("seq").collect()] == [f"p{i}" for i in range(200)]
+    assert sorted(r.problem for r in buffer.fifo(rows, 5).collect()) == [f"p{i}" for i in range(195, 200)]
+    more = buffer.append(rows, rows.drop("seq"), capacity=203)
+    assert more.count() == 203 and more.agg(F.max("seq")).first()[0] == 399
+
+
+def test_indented_trajectory_documents(spark, tmp_dir):
+    import json
+
+    import pytest
+
+    from failurelens.operators import trajectories
+    for i in range(3):
+        doc = {"trajectory_id": f"t{i}", "steps": [{"agent": "debugger", "action": "a", "reasoning": "r", "output": "o"}],
+               "repair_reasoning": "", "repaired_code": "x", "verified": True, "num_attempts": 1}
+        with open(f"{tmp_dir}/t{i}.json", "w") as f:
+            json.dump(doc, f, indent=2)
+    got = trajectories.load(spark, tmp_dir, documents=True).collect()
+    assert sorted((r.trajectory_id, len(r.steps), r.verified) for r in got) == [(f"t{i}", 1, True) for i in range(3)]
+    assert trajectories.load_one(spark, tmp_dir, "t1", documents=True).count() == 1
+    with pytest.raises(Exception):
+        trajectories.load(spark, tmp_dir).collect()
+
+
+def test_tracker_keeps_config_and_dataset_stats(spark, tmp_dir):
+    rounds = spark.createDataFrame([(1, "a", 0.5), (2, "a", 0.7)], "round int, metric string, value double")
+    stats = spark.createDataFrame([(2, "examples", 12)], "round int, name string, n long")
+    files.write_tracker(rounds, tmp_dir + "/t", "start", {"k": "5"}, stats)
+    assert [(r["round"], r["name"], r["n"]) for r in files.read_tracker_stats(spark, tmp_dir + "/t").collect()] == [(2, "examples", 12)]
+    assert [tuple(r) for r in files.read_tracker_config(spark, tmp_dir + "/t").collect()] == [("k", "5")]
+    assert files.read_tracker(spark, tmp_dir + "/t").count() == 2
+    assert files.read_tracker_stats(spark, tmp_dir + "/none").count() == 0

@@ -24,7 +24,7 @@ def test_no_pair_producing_joins(plans):
         assert "BroadcastNestedLoopJoin" not in p, name
 
 
-@pytest.mark.parametrize("name", ["recent_failures_by_cluster", "centroid_ema", "similar_vectors"])
+@pytest.mark.parametrize("name", ["recent_failures_by_cluster", "similar_vectors"])
 def test_per_key_top_k_is_limited_before_the_shuffle(plans, name):
     assert "WindowGroupLimit" in plans[name]
 

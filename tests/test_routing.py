@@ -33,8 +33,8 @@ def test_bucketed_running_count_equals_window(spark):
     keys = np.where(rng.random(n) < 0.4, 0, rng.integers(1, 20, n))  # one hot key
     df = spark.createDataFrame([(int(k), i, bool(rng.random() < 0.5)) for i, k in enumerate(keys)],
                                "task_id long, sample_id long, success boolean")
-    a = routing.with_attempts(df, bucket_width=64).select("sample_id", F.col("attempt").alias("a"))
-    b = routing.with_attempts(df, bucket_width=None).select("sample_id", F.col("attempt").alias("b"))
+    a = routing.with_attempts(df, buckets=(4, 64, 256)).select("sample_id", F.col("attempt").alias("a"))
+    b = routing.with_attempts(df, buckets=()).select("sample_id", F.col("attempt").alias("b"))
     assert a.join(b, "sample_id").where("a != b").count() == 0
     assert a.count() == n
 
@@ -48,3 +48,14 @@ def test_stages_chain_with_transform(spark):
            .withColumn("next_stage", routing.after_execution()))
     row = out.groupBy().agg(F.max("attempt").alias("m"), F.count(F.lit(1)).alias("n")).first()
     assert row.n == 1000 and row.m > 0
+
+
+def test_running_count_keeps_null_keys_and_orders(spark):
+    rows = [(k, o, o is None or o % 3 == 0) for k in ("a", "b", None) for o in (None, 0, 1, 2, 5, 8, 9, 70, 71, 300)]
+    df = spark.createDataFrame(rows, "key string, ord long, flag boolean").repartition(3)
+    plain = routing.running_count(df, "key", "ord", F.col("flag"), "n", buckets=())
+    want = sorted(plain.collect(), key=str)
+    assert len(want) == len(rows)
+    for buckets in ((4,), (4, 64), (2, 8, 100), routing.BUCKETS):
+        got = routing.running_count(df, "key", "ord", F.col("flag"), "n", buckets=buckets)
+        assert sorted(got.select(plain.columns).collect(), key=str) == want

@@ -19,26 +19,55 @@ T0 = dt.datetime(2024, 1, 1)
 
 
 def test_store_filter_counts(spark, tmp_dir):
-    fs = store.FailureStore(spark, tmp_dir)
-    fs.store_batch(_records(spark, [_rec("r1", "Logic", [0.1] * 10, T0)]))
-    s = fs.read()
+    assert store.read_store(spark, tmp_dir + "/none").count() == 0
+    store.write_batch(_records(spark, [_rec("r1", "Logic", [0.1] * 10, T0)]), tmp_dir + "/s", 1)
+    s = store.read_store(spark, tmp_dir + "/s")
     assert store.by_cluster(s, "Logic").count() == 1
     assert store.total_count(s).first().total == 1
     assert {r.failure_cluster: r.cnt for r in store.count_by_cluster(s).collect()} == {"Logic": 1}
 
 
-def test_upsert_latest_wins_and_versions(spark, tmp_dir):
-    fs = store.FailureStore(spark, tmp_dir)
-    v1 = fs.store_batch(_records(spark, [_rec("r1", "Logic", [1.0], T0, "old"), _rec("r2", "Syntax", [], T0)]))
-    v2 = fs.store_batch(_records(spark, [_rec("r1", "Runtime", [1.0], T0, "new")]))
-    assert (v1, v2) == (1, 2)
-    s = {r.record_id: r for r in fs.read().collect()}
+def test_latest_batch_wins_and_a_replay_rewrites_itself(spark, tmp_dir):
+    path = tmp_dir + "/s"
+    store.write_batch(_records(spark, [_rec("r1", "Logic", [1.0], T0, "old"), _rec("r2", "Syntax", [], T0)]), path, 1)
+    for _ in range(2):
+        store.write_batch(_records(spark, [_rec("r1", "Runtime", [1.0], T0, "new")]), path, 2)
+    s = {r.record_id: r for r in store.read_store(spark, path).collect()}
     assert s["r1"].task == "new" and s["r1"].failure_cluster == "Runtime"
     assert s["r2"].embedding is None  # empty embedding stored as NULL
-    assert fs.read(1).count() == 2  # the old version is untouched
-    # replaying batch 2 rewrites version 2 from version 1
-    fs.store_batch(_records(spark, [_rec("r1", "Runtime", [1.0], T0, "new")]), version=2)
-    assert fs.read().count() == 2
+    old = {r.record_id: r.task for r in store.read_store(spark, path, upto=1).collect()}
+    assert old == {"r1": "old", "r2": "t"}
+    assert store.read_batches(spark, path).count() == 3
+    assert store.read_store(spark, path, columns=["failure_cluster"]).columns == ["record_id", "seq", "failure_cluster"]
+
+
+def test_upsert_replaces_stored_rows(spark):
+    cur = store.upsert(None, _records(spark, [_rec("a", "Logic", None, T0, "a1"), _rec("b", "Logic", None, T0, "b1")]))
+    got = store.upsert(cur, _records(spark, [_rec("b", "Syntax", None, T0, "b2"), _rec("c", "Logic", None, T0, "c1")]))
+    assert {r.record_id: r.task for r in got.collect()} == {"a": "a1", "b": "b2", "c": "c1"}
+
+
+def test_state_keeps_two_versions(spark, tmp_dir):
+    path, schema = tmp_dir + "/state", "x int"
+    from pyspark.sql import types as T
+    st = T.StructType.fromDDL(schema)
+    assert store.read_state(spark, path, st) is None
+    for v in range(4):
+        store.write_state(spark.createDataFrame([(v,), (10 + v,)], schema), path, v)
+        store.write_state(spark.createDataFrame([(v,), (10 + v,)], schema), path, v)  # replayed
+    assert sorted(r.x for r in store.read_state(spark, path, st).collect()) == [3, 13]
+    assert sorted(r.x for r in store.read_state(spark, path, st, 2).collect()) == [2, 12]
+    assert store.read_state(spark, path, st, 1).count() == 0
+    import os
+    assert sorted(d for d in os.listdir(path) if d.startswith("slot")) == ["slot=0", "slot=1"]
+
+
+def test_claim(spark, tmp_dir):
+    import pytest
+    store.claim(spark, tmp_dir, "one")
+    store.claim(spark, tmp_dir, "one")
+    with pytest.raises(ValueError):
+        store.claim(spark, tmp_dir, "two")
 
 
 def test_batch_duplicates_later_wins(spark):
@@ -90,19 +119,6 @@ def test_many_query_top_k_matches_brute_force(spark):
     assert sorted((r.query_id, r.record_id) for r in got2) == sorted((r.query_id, r.record_id) for r in got)
 
 
-def test_compaction_keeps_state(spark, tmp_dir):
-    fs = store.FailureStore(spark, tmp_dir)
-    fs.store_batch(_records(spark, [_rec("r1", "Logic", None, T0, "a"), _rec("r2", "Logic", None, T0, "b")]))
-    fs.store_batch(_records(spark, [_rec("r1", "Syntax", None, T0, "c")]))
-    before = sorted((r.record_id, r.task, r.failure_cluster) for r in fs.read().collect())
-    assert fs.compact() == 2
-    fs.store_batch(_records(spark, [_rec("r3", "Logic", None, T0, "d")]))
-    after = sorted((r.record_id, r.task, r.failure_cluster) for r in fs.read().collect())
-    assert before == [("r1", "c", "Syntax"), ("r2", "b", "Logic")]
-    assert after == before + [("r3", "d", "Logic")]
-    assert sorted(r.record_id for r in fs.read(1).collect()) == ["r1", "r2"]
-
-
 def test_upsert_with_a_hot_key(spark):
     # one record id holds a third of all rows; latest seq must win, others untouched
     n = 3000
@@ -118,12 +134,16 @@ def test_upsert_with_a_hot_key(spark):
     assert len(got) == 1 + sum(1 for i in range(n) if i % 3 != 0)
 
 
-def test_read_paths_after_compaction(spark, tmp_dir):
-    fs = store.FailureStore(spark, tmp_dir)
-    fs.store_batch(_records(spark, [_rec("a", "Logic", None, T0, "a1"), _rec("b", "Logic", None, T0, "b1")]))
-    fs.compact()
-    only_snapshot = sorted((r.record_id, r.task) for r in fs.read().collect())
-    assert only_snapshot == [("a", "a1"), ("b", "b1")]
-    fs.store_batch(_records(spark, [_rec("b", "Syntax", None, T0, "b2"), _rec("c", "Logic", None, T0, "c1")]))
-    got = sorted((r.record_id, r.task, r.failure_cluster) for r in fs.read().collect())
-    assert got == [("a", "a1", "Logic"), ("b", "b2", "Syntax"), ("c", "c1", "Logic")]
+def test_top_k_ids_that_repeat_and_emitted_rows(spark):
+    import numpy as np
+    import pandas as pd
+
+    from failurelens.operators.similarity import _local_top_k
+    st = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "record_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])] * 7 + [(2, [0.0, 1.0])] * 5, "query_id long, query_vec array<double>")
+    got = top_k_similar(st.repartition(3), q, k=3, max_broadcast=1).collect()
+    assert sorted((r.query_id, r.record_id) for r in got) == [(1, 47), (1, 48), (1, 49), (2, 0), (2, 1), (2, 2)]
+    rng = np.random.default_rng(1)
+    batches = [pd.DataFrame({"id": range(b * 5, b * 5 + 5), "vec": list(rng.standard_normal((5, 4)))}) for b in range(40)]
+    out = pd.concat(_local_top_k(np.arange(6), rng.standard_normal((6, 4)), 3)(iter(batches)))
+    assert len(out) == 18

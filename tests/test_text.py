@@ -76,7 +76,7 @@ def test_chat_messages_and_placeholder(spark):
 
 def test_metric_cell_and_fingerprint(spark):
     df = spark.createDataFrame([(0.03125,), (None,), (1.0,)], "v double")
-    assert [r.c for r in df.select(tx.metric_cell("v").alias("c")).collect()] == ["0.0313", "N/A", "1.0000"]
+    assert [r.c for r in df.select(tx.metric_cell("v").alias("c")).collect()] == ["0.0312", "N/A", "1.0000"]
     fp = spark.createDataFrame([("abc",)], "t string").select(tx.fingerprint("t").alias("f")).first().f
     assert fp == "ba7816bf8f01cfea"
 
@@ -96,3 +96,14 @@ def test_strict_json_adversarial_trailing(spark):
     df = spark.createDataFrame([(c,) for c in cases], "t string")
     got = [r.p for r in df.select(rs.strict_json_object("t").isNotNull().alias("p")).collect()]
     assert got == want
+
+
+def test_report_cells_round_the_binary_value_once(spark):
+    import random
+    rng = random.Random(1)
+    values = [0.00015, 2.00005, 0.00005, 0.00025, -0.0, -0.00004, 99999.99995, 1e10 + 0.00005] + \
+        [k / 20000 for k in range(-400, 400)] + [rng.uniform(-10, 10) for _ in range(500)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    assert [r.c for r in df.select(tx.metric_cell("v").alias("c")).collect()] == [f"{v:.4f}" for v in values]
+    whole = spark.createDataFrame([(164.0, True), (164.0, False), (None, True)], "v double, w boolean")
+    assert [r.c for r in whole.select(tx.metric_cell("v", "w").alias("c")).collect()] == ["164", "164.0000", "N/A"]
