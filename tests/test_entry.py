@@ -2,6 +2,8 @@ import pytest
 
 import __spark_entry__ as entry_mod
 from failurelens.plans.compare import compare, duckdb_connection
+from failurelens.plans.oracle import ORACLE
+from failurelens.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,17 +14,18 @@ def test_entry_smoke(spark):
     assert len(rows) > 0 and set(df.columns) == {"benchmark", "metric", "value"}
 
 
-# iterative / serial-fold / hash-encoded queries: rows-only checks by design
-NO_ORACLE = {"kmeans_fit", "centroid_ema_ordered", "failure_embedding"}
+# iterative / hash-encoded queries: rows-only checks by design
+NO_ORACLE = {"kmeans_fit", "failure_embedding"}
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry_mod.oracle_sql()) == set(entry_mod.queries()) - NO_ORACLE
+    assert set(ORACLE) == set(QUERIES) - NO_ORACLE
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(ORACLE) <= set(entry_mod.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(NO_ORACLE))
 def test_rows_only_queries_run(spark, name):
-    df = entry_mod.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     assert df.count() > 0
 
 
@@ -35,12 +38,12 @@ SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType
                  "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT"}
 
 
-@pytest.mark.parametrize("name", sorted(entry_mod.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = entry_mod.queries()[name](spark, SF)
-    err = compare(sdf, duck, entry_mod.oracle_sql()[name])
+    sdf = QUERIES[name](spark, SF)
+    err = compare(sdf, duck, ORACLE[name])
     assert err is None, err
     # column types agree too (not only values)
-    dtypes = {r[0]: r[1] for r in duck.execute("DESCRIBE " + entry_mod.oracle_sql()[name]).fetchall()}
+    dtypes = {r[0]: r[1] for r in duck.execute("DESCRIBE " + ORACLE[name]).fetchall()}
     for f in sdf.schema.fields:
         assert SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) == dtypes[f.name], (name, f.name)
