@@ -52,23 +52,6 @@ def _token_error(tok: Column) -> Column:
     )
 
 
-def results_parse_error(stdout) -> Column:
-    """Message of the first malformed token of the RESULTS line, else null."""
-    toks = _tokens(results_line(stdout))
-    errs = F.filter(F.transform(toks, _token_error), lambda e: e.isNotNull())
-    return F.try_element_at(errs, F.lit(1))
-
-
-def results_count(stdout, key: str) -> Column:
-    """Value of ``key`` on the RESULTS line; the last repeat wins; absent -> 0."""
-    toks = _tokens(results_line(stdout))
-    vals = F.transform(
-        F.filter(toks, lambda t: F.try_element_at(F.split(t, "=", -1), F.lit(1)) == key),
-        lambda t: F.try_element_at(F.split(t, "=", -1), F.lit(2)).try_cast("bigint"),
-    )
-    return F.coalesce(F.try_element_at(vals, F.lit(-1)), F.lit(0).cast("bigint"))
-
-
 def detect_error_type(stderr) -> Column:
     """First error name, in list order, that occurs anywhere in stderr.
 
@@ -97,14 +80,6 @@ def is_success(passed="passed", failed="failed", timeout="timeout") -> Column:
     )
 
 
-def _count_from_tokens(toks: Column, key: str) -> Column:
-    vals = F.transform(
-        F.filter(toks, lambda t: F.try_element_at(F.split(t, "=", -1), F.lit(1)) == key),
-        lambda t: F.try_element_at(F.split(t, "=", -1), F.lit(2)).try_cast("bigint"),
-    )
-    return F.coalesce(F.try_element_at(vals, F.lit(-1)), F.lit(0).cast("bigint"))
-
-
 def _count_from_line(line: Column, key: str) -> Column:
     """Last ``key=<int>`` token on a well-formed RESULTS line, else 0 (no lambdas)."""
     vals = F.regexp_extract_all(line, F.lit(r"(?U)(?:^|\s)" + key + r"=(\S*)"), 1)

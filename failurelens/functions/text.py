@@ -215,8 +215,3 @@ def fingerprint(text, n: int = 16) -> Column:
 def iso_utc(ts) -> Column:
     """Timestamp -> ISO-8601 text with microseconds (session time zone UTC)."""
     return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-
-
-def parse_iso_utc(text) -> Column:
-    """ISO-8601 text (with or without offset) -> TIMESTAMP."""
-    return F.try_to_timestamp(_c(text))

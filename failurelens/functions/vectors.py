@@ -41,13 +41,6 @@ def cosine_eps(a, b, eps: float = 1e-8) -> Column:
     return dot(da, db) / ((norm(da) + F.lit(eps)) * (norm(db) + F.lit(eps)))
 
 
-def scale_eps(v, eps: float = 1e-8) -> Column:
-    """v / (|v| + eps), the normalisation used by similarity search."""
-    d = as_double(v)
-    return F.aggregate(d, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x,
-                       lambda ss: F.transform(d, lambda x: x / (F.sqrt(ss) + F.lit(eps))))
-
-
 def literal_vector(values) -> Column:
     """A Python sequence of numbers as an ``ARRAY<DOUBLE>`` literal."""
     return F.array(*[F.lit(float(x)) for x in values]).cast("array<double>")

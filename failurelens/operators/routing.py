@@ -47,7 +47,8 @@ def after_re_execution(success="success", attempt="attempt", max_attempts=None)
         .otherwise(F.lit(STAGE_DISTILLATION))
 
 
-BUCKETS = (1 << 16, 1 << 32)
+#: Up to a million rows to a window; a key's 10**12 rows then have a million buckets.
+BUCKETS = (1 << 20,)
 
 
 def running_count(df: DataFrame, key_col: str, order_col: str, flag: Column, out_col: str,

@@ -31,9 +31,6 @@ from failurelens.session import shared_folder
 # ---------------------------------------------------------------------------
 # Event log (one JSON object per line: event, timestamp, free-form keys)
 # ---------------------------------------------------------------------------
-EVENT_KNOWN = ("event", "timestamp", "task_id")
-
-
 def event_rows(df: DataFrame, event_name: str, task_col: str | None = "task_id", **fields) -> DataFrame:
     """Rows for the event log: event name, UTC timestamp, task id and the given
     fields, which keep their types (numbers and flags stay numbers and flags)."""

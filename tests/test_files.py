@@ -113,3 +113,38 @@ def test_tracker_keeps_config_and_dataset_stats(spark, tmp_dir):
     assert [tuple(r) for r in files.read_tracker_config(spark, tmp_dir + "/t").collect()] == [("k", "5")]
     assert files.read_tracker(spark, tmp_dir + "/t").count() == 2
     assert files.read_tracker_stats(spark, tmp_dir + "/none").count() == 0
+
+
+def test_writers_round_trip(spark, tmp_dir):
+    from failurelens.operators import buffer, trajectories
+    from failurelens.sources import fixtures
+    ex = fixtures.training_examples(spark, "/root/testdata/sf0.001").limit(20)
+    files.write_buffer(ex, tmp_dir + "/buffer")
+    assert sorted(r.seq for r in files.read_buffer(spark, tmp_dir + "/buffer").collect()) == sorted(r.seq for r in ex.collect())
+    chat = buffer.round_dataset(ex, 5, None)
+    files.write_chat_parquet(chat, tmp_dir + "/chat")
+    assert [len(r.messages) for r in spark.read.parquet(tmp_dir + "/chat").collect()] == [3] * 5
+    trajectories.save_examples(ex, tmp_dir + "/examples")
+    assert spark.read.json(tmp_dir + "/examples").select("problem", "weight").count() == 20
+
+
+def test_final_fields_and_metric_events(spark):
+    from failurelens.operators import reports, trajectories
+    df = spark.createDataFrame([("t", "code", "why", None)], "trajectory_id string, c string, w string, v boolean")
+    r = trajectories.finalise(df, "c", "w", "v").first()
+    assert (r.repaired_code, r.repair_reasoning, r.verified) == ("code", "why", False)
+    m = spark.createDataFrame([("m", 1.0, 3)], "metric string, value double, round int")
+    r = reports.metric_events(spark, m, step_col="round").first()
+    assert r.step == 3 and r.timestamp.startswith("20")
+
+
+def test_a_benchmark_is_a_loader_and_a_scorer(spark):
+    from failurelens.operators.evaluate import BenchmarkRunner
+
+    def load(s):
+        return s.createDataFrame([("a",), ("b",)], "task_id string")
+
+    def score(problems):
+        return problems.where("task_id = 'a'").select("task_id", F.lit(True).alias("success"))
+    got = {r.metric: r.value for r in BenchmarkRunner("Own", load, score, num_samples=2, ks=(1,)).run(spark).collect()}
+    assert got == {"own/pass@1": 0.25, "own/num_problems": 2.0}
