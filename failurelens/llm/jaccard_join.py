@@ -47,10 +47,12 @@ PARTS = 64
 #: A class is frequent if its count is over this many times the mean, and standard deviations above it.
 FREQUENT_TIMES, FREQUENT_SIGMAS = 1.5, 6
 #: Up to this size, sets are indexed by pairs of frequent tokens.
-PAIR_SIZE = 160
+PAIR_SIZE = 60
 BITMAP_BITS = 2048
 #: Up to so many ids (8 bytes each) of documents to compare are broadcast.
 BROADCAST_IDS = 500_000
+#: Members of an entry that are compared as one matrix.
+BLOCK = 1024
 #: n and position in one number.
 PLACE = 1 << 24
 
@@ -67,6 +69,10 @@ class Rule:
         """How many of the first tokens of a set of ``n`` suffice to meet every partner once."""
         return n - -(-self.num * n // self.den) + 1
 
+    def most_apart(self, total: np.ndarray) -> np.ndarray:
+        """The largest symmetric difference that two linked sets of ``total`` tokens together can have."""
+        return total * (self.den - self.num) // (self.den + self.num)
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         common = len(np.intersect1d(a, b, assume_unique=True))
         return common * self.den >= self.num * (len(a) + len(b) - common)
@@ -192,18 +198,26 @@ def near_enough(a: str, b: str, rule: Rule):
     return sizes & (ranked | (most * (rule.num + rule.den) >= (n_a + n_b) * rule.num))
 
 
-def verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose sets link: near by their bitmaps, then by the sets of their whole texts."""
+def near_bitmaps(pairs: DataFrame, profiles: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow the similarity."""
 
-    def by_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n_a, n_b, map_a, map_b = batch.columns
             bits = [np.frombuffer(b"".join(m.to_pylist()), np.uint64).reshape(-1, BITMAP_BITS // 64) for m in (map_a, map_b)]
             apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
-            most = (n_a.to_numpy() + n_b.to_numpy()) * (rule.den - rule.num) // (rule.den + rule.num)
-            kept = pa.array(apart <= most)
+            kept = pa.array(apart <= rule.most_apart(n_a.to_numpy() + n_b.to_numpy()))
             yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], ["a", "b"])
 
+    side = lambda c: profiles.select(
+        F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bitmap").alias(f"bitmap_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
+    return both.mapInArrow(near, "a bigint, b bigint").distinct()
+
+
+def verified(close: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose sets, of their whole texts, link."""
+
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hub, held, kept = None, None, []  # rows of one b mostly follow each other
@@ -223,11 +237,7 @@ def verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, rule: Rule)
             kept = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    side = lambda c: profiles.select(
-        F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bitmap").alias(f"bitmap_{c}"))
-    small = (pairs.join(side("a"), "a").join(side("b"), "b")
-             .select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(by_bitmap, "a bigint, b bigint"))
-    close = shared_table(small.distinct(), "close-pairs")
+    close = shared_table(close, "close-pairs")
     texts = texts_of(docs, close)
     text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     whole = (close.join(text("a"), "a").join(text("b"), "b")
@@ -235,6 +245,74 @@ def verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, rule: Rule)
     return shared_table(whole.distinct(), "links")
 
 
+def across_labels(told: DataFrame, profiles: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) with a common entry and different labels that sizes, ranks and bitmaps allow.
+
+    An entry's members meet in blocks of about ``BLOCK``; a larger entry's blocks meet two
+    by two in groups of their own. A group is compared as a matrix, and only near pairs
+    leave it.
+    """
+    spread = (told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"))
+              .filter("low < high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = (told.join(spread, "key").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+                     "own", "rep", "label", "place"))
+    maps = profiles.select(F.col("doc_id").alias("rep"), "bitmap").filter("doc_id is not null")
+    grouped = (dealt.join(maps, "rep").withColumn("at", F.xxhash64("key", "low", "high"))
+               .repartition("at").sortWithinPartitions("at", "key", "low", "high")
+               .select("key", "low", "high", "own", "rep", "label", "place", "bitmap"))
+
+    def meet(group: tuple) -> tuple[np.ndarray, np.ndarray]:
+        (low, high, own, rep, label, place), bits = group[:6], group[6]
+        n, rank = place // PLACE, place % PLACE
+        cross = low[0] != high[0]
+        some = [np.zeros(0, np.int64)] * 2
+        found: list[tuple[np.ndarray, np.ndarray]] = [tuple(some)]
+        for i in range(len(rep) - 1):
+            rest = slice(i + 1, None)
+            ok = label[rest] != label[i]
+            if cross:  # pairs within a block meet in that block's own group
+                ok &= own[rest] != own[i]
+            total, least = n[rest] + n[i], np.minimum(n[rest], n[i])
+            ok &= least * rule.den >= (total - least) * rule.num
+            most = np.minimum(rank[rest], rank[i]) + np.minimum(n[rest] - rank[rest], n[i] - rank[i])
+            ok &= (rank[rest] == PLACE - 1) | (rank[i] == PLACE - 1) | (most * (rule.num + rule.den) >= total * rule.num)
+            at = np.flatnonzero(ok)
+            if len(at):
+                apart = np.bitwise_count(bits[i + 1 + at] ^ bits[i]).sum(1, dtype=np.int64)
+                at = at[apart <= rule.most_apart(total[at])] + i + 1
+                found.append((np.minimum(rep[at], rep[i]), np.maximum(rep[at], rep[i])))
+        return tuple(np.concatenate(side) for side in zip(*found, strict=True))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the last group of a batch waits for the next
+
+        def told_of(parts: list[tuple]) -> pa.RecordBatch:
+            group = tuple(np.concatenate(side) for side in zip(*parts, strict=True))[1:]
+            a, b = meet(group)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns[:7]]
+            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, BITMAP_BITS // 64)
+            new = np.zeros(batch.num_rows, bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+            starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for x, y in zip(starts, starts[1:], strict=False):
+                part = (*(c[x:y] for c in columns), bits[x:y])
+                if held and any(held[-1][k][0] != part[k][0] for k in range(3)):
+                    yield told_of(held)
+                    held = []
+                if y > x:
+                    held.append(part)
+        if held:
+            yield told_of(held)
+
+    return grouped.mapInArrow(scan, "a bigint, b bigint").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all linked ids, the component being its smallest id.
 
@@ -272,25 +350,14 @@ def similarity_components(docs: DataFrame, rule: Rule) -> DataFrame:
     hubs = members.filter("rep = hub").select("key", F.col("place").alias("hub_place"))
     first = (members.filter("rep > hub").join(hubs, "key").filter(near_enough("hub_place", "place", rule))
              .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    links = verified(first, rows, docs, rule)
+    links = verified(near_bitmaps(first, rows, rule), docs, rule)
     found = components(links.unionByName(same))
 
     label = F.coalesce("component", "rep")
     told = (members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
             .select("key", "rep", "place", label.alias("label")))
     told = shared_table(told, "told")
-    mixed = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    left = told.join(mixed.select("key"), "key")
-    groups = left.select("key", "label").distinct()
-    across = (groups.withColumnRenamed("label", "label_a").join(groups.withColumnRenamed("label", "label_b"), "key")
-              .filter("label_a < label_b"))
-    one = left.select("key", F.col("label").alias("label_a"), F.col("rep").alias("a"), F.col("place").alias("place_a"))
-    two = left.select("key", F.col("label").alias("label_b"), F.col("rep").alias("b"), F.col("place").alias("place_b"))
-    second = (across.join(one, ["key", "label_a"]).join(two, ["key", "label_b"])
-              .filter(near_enough("place_a", "place_b", rule))
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-              .join(first, ["a", "b"], "left_anti"))
-    more = verified(second, rows, docs, rule)
+    more = verified(across_labels(told, rows, rule).join(first, ["a", "b"], "left_anti"), docs, rule)
     if not more.isEmpty():
         found = components(links.unionByName(same).unionByName(more))
     return rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(

@@ -121,3 +121,12 @@ def test_prefix_bound():
             p = rule.prefix(n)
             need = int(np.ceil(rule.num * n / rule.den - 1e-9))
             assert p == n - need + 1
+
+
+def test_small_blocks_give_the_same(make_docs, monkeypatch):
+    """Entries of more members than a block: blocks meet two by two."""
+    monkeypatch.setattr(X, "BLOCK", 4)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 8)))) for i in range(200)]
+    assert got(X.similarity_components(make_docs(rows), X.Rule(1, 60, 100))) == brute(rows, X.Rule(1, 60, 100))
