@@ -19,6 +19,7 @@ characters; repeated rows get equal results; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -239,7 +240,7 @@ def predict(docs: DataFrame, model: Model, held: Column) -> DataFrame:
                 found = [find_words(raw.decode().lower()) if languages else [] for raw in texts]
                 if len(memo) > WORD_MEMO:
                     memo, scores = {}, scores[:0]
-                new = list({w: None for words in found for w in words if w not in memo})
+                new = [w for w in dict.fromkeys(chain.from_iterable(found)) if w not in memo]
                 if new:
                     memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
                     scores = np.concatenate([scores, word_scores(pieces, new, p)])

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,9 @@ def windows_of(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    out = np.exp(-x)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 class Network:
@@ -135,8 +138,9 @@ class Network:
         h = np.zeros((n, STATE), np.float32)
         states = np.empty((places, n, STATE), np.float32)
         saved = []
+        by_place = np.ascontiguousarray(at.T)
         for t in range(places) if side == "f" else range(places - 1, -1, -1):
-            gx, gh = g[at[:, t]], h @ u
+            gx, gh = np.take(g, by_place[t], axis=0), h @ u
             rz = _sigmoid(gx[:, :2 * STATE] + gh[:, :2 * STATE])
             r, z = rz[:, :STATE], rz[:, STATE:]
             c = np.tanh(gx[:, 2 * STATE:] + r * gh[:, 2 * STATE:])
@@ -224,12 +228,12 @@ class Scorer:
         if len(self.memo) > WORD_MEMO:
             self.memo, self.rows = {}, {side: rows[:0] for side, rows in self.rows.items()}
         memo = self.memo
-        new = list({w: None for words in found for w in words if w not in memo})
+        new = [w for w in dict.fromkeys(chain.from_iterable(found)) if w not in memo]
         if new:
             gates = self.net.gates(self.net.inputs(features(new)))
             memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
             self.rows = {side: np.concatenate([self.rows[side], gates[side]]) for side in "fb"}
-        ids = np.fromiter((memo[w] for words in found for w in words), np.int64, int(n_words.sum()))
+        ids = np.fromiter(map(memo.__getitem__, chain.from_iterable(found)), np.int64, int(n_words.sum()))
         doc, first, length = windows_of(n_words)
         base = np.cumsum(n_words) - n_words
         p = self.net.score_windows(self.rows, ids, base[doc] + first, length)
