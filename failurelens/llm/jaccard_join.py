@@ -49,6 +49,8 @@ FREQUENT_TIMES, FREQUENT_SIGMAS = 1.5, 6
 #: Up to this size, sets are indexed by pairs of frequent tokens.
 PAIR_SIZE = 60
 BITMAP_BITS = 2048
+#: A smaller bitmap goes with the members of entries that are compared as a matrix.
+SMALL_BITS = 512
 #: Up to so many ids (8 bytes each) of documents to compare are broadcast.
 BROADCAST_IDS = 500_000
 #: Members of an entry that are compared as one matrix.
@@ -83,10 +85,10 @@ def _word_sets(batch: pa.RecordBatch, k: int):
         yield start, [shingle_set(words, k) for words in word_hashes([raw.lower() for raw in texts])]
 
 
-def _parity(tokens: np.ndarray) -> bytes:
+def _parity(tokens: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
     """A bit for each residue of the tokens: whether an odd number has it."""
-    residue = (tokens >> np.uint64(20) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
-    return np.packbits(np.bincount(residue, minlength=BITMAP_BITS) & 1).tobytes()
+    residue = (tokens >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(residue, minlength=bits) & 1).tobytes()
 
 
 def profile(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
@@ -95,7 +97,7 @@ def profile(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CLASSES, np.int64)
-        names = ["doc_id", "n_shingles", "digest", "bitmap", "part", "counts"]
+        names = ["doc_id", "n_shingles", "digest", "bitmap", "small", "part", "counts"]
         for batch in batches:
             for start, sets in _word_sets(batch, rule.k):
                 every = np.concatenate(sets)
@@ -104,12 +106,13 @@ def profile(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, n), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(digests, pa.binary()), pa.array([_parity(s) for s in sets], pa.binary()),
+                     pa.array([_parity(s, SMALL_BITS) for s in sets], pa.binary()),
                      pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if counts.any():
             rows = [c.tobytes() for c in counts.reshape(PARTS, -1)]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()),
-                 pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names)
+                 pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -122,7 +125,7 @@ def profile(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
                 ["part", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = shared_table(rows.mapInArrow(scan, "doc_id bigint, n_shingles bigint, digest binary, bitmap binary, part int, "
+    seen = shared_table(rows.mapInArrow(scan, "doc_id bigint, n_shingles bigint, digest binary, bitmap binary, small binary, part int, "
                                               "counts binary"), "shingle-profile")
     sums = (seen.filter("part is not null").select("part", "counts").repartition(PARTS, "part")
             .mapInArrow(add_up, "part int, counts binary").collect())
@@ -259,10 +262,10 @@ def across_labels(told: DataFrame, profiles: DataFrame, rule: Rule) -> DataFrame
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
                      "own", "rep", "label", "place"))
-    maps = profiles.select(F.col("doc_id").alias("rep"), "bitmap").filter("doc_id is not null")
+    maps = profiles.select(F.col("doc_id").alias("rep"), "small").filter("doc_id is not null")
     grouped = (dealt.join(maps, "rep").withColumn("at", F.xxhash64("key", "low", "high"))
                .repartition("at").sortWithinPartitions("at", "key", "low", "high")
-               .select("key", "low", "high", "own", "rep", "label", "place", "bitmap"))
+               .select("key", "low", "high", "own", "rep", "label", "place", "small"))
 
     def meet(group: tuple) -> tuple[np.ndarray, np.ndarray]:
         (low, high, own, rep, label, place), bits = group[:6], group[6]
@@ -296,7 +299,7 @@ def across_labels(told: DataFrame, profiles: DataFrame, rule: Rule) -> DataFrame
 
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns[:7]]
-            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, BITMAP_BITS // 64)
+            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, SMALL_BITS // 64)
             new = np.zeros(batch.num_rows, bool)
             new[1:] = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
             starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
@@ -357,7 +360,8 @@ def similarity_components(docs: DataFrame, rule: Rule) -> DataFrame:
     told = (members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
             .select("key", "rep", "place", label.alias("label")))
     told = shared_table(told, "told")
-    more = verified(across_labels(told, rows, rule).join(first, ["a", "b"], "left_anti"), docs, rule)
+    second = across_labels(told, rows, rule).join(first, ["a", "b"], "left_anti")
+    more = verified(near_bitmaps(second, rows, rule), docs, rule)
     if not more.isEmpty():
         found = components(links.unionByName(same).unionByName(more))
     return rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
