@@ -16,8 +16,10 @@ pseudonym is again a valid value of its kind, written in the same format:
   country code stays;
 * email: letters stay letters of their case and digits stay digits in the part before the @.
 
-A number that fails its check is no such value and stays as it is. The main path is
-column expressions in one pass without a shuffle.
+A number that fails its check is no such value and stays as it is; what its match took of
+the text is tried again, shorter and from the next character on, so values directly beside
+it or each other are found. A phone has 15 digits at most. The main path is column
+expressions in one pass without a shuffle.
 
 Defined results: a null text stays null with no finds; an empty text or one without a
 valid value stays as it is; every row gives one row; other columns are kept.
@@ -40,12 +42,33 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}(?:[ -]?\(\d{1,4}\))?(?:[ .-]?\d{2,14}){1,5}(?!\d)"
-             r"|(?<![\w-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?![\w-])",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
 }
+#: What ends a phone beside it; groups of four digits are cards from where four, eight and so on are left.
+_FOURS = "|".join(rf"\d{{4}}(?:{s}\d{{4}}){{3}}(?:(?:{s}\d{{4}}){{4}})*(?!\d|{s}\d{{4}}(?!\d))" for s in " -")
+_VALUE = "|".join([*(PATTERNS[k] for k in ("email", "date", "ssn", "ip")), _FOURS, r"\d{4}[ -]\d{6}[ -]\d{5}(?!\d)"])
+_CODE = r"(?<![\w+])\+\d{1,3}(?:[ -]?\(\d{1,4}\))?"
+#: Ends after the 8th to 15th digit behind the plus.
+_DIGIT = r"[ .()-]{0,3}\d"
+_BOUND = rf"(?!\d)(?<=\+{_DIGIT * 8}{f'(?:{_DIGIT}' * 7}{')?' * 7})"
+#: With a plus: first the longest that neither takes a value beside it nor ends within a number, then the longest.
+PATTERNS["phone"] = (
+    rf"{_CODE}[ .-]?\d{{2,14}}(?:(?:[ .-](?!{_VALUE}))?\d{{2,14}}){{0,4}}{_BOUND}(?:(?![./-]\d|@)|(?=[./-](?:{_VALUE})))"
+    rf"|{_CODE}(?:[ .-]?\d{{2,14}}){{1,5}}{_BOUND}"
+    r"|(?<![\w-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?![\w-])")
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KINDS = tuple(PATTERNS)
+#: The next match behind one character of context.
+NEXT = f"(?s)^(..*?)({ANY})"
+#: Behind white space where no value goes on: its spaces stand between capitals, digits and brackets.
+CUT = r"(?<=\s)(?<![A-Z0-9)] )|(?<=\s)(?![A-Z0-9(])"
+
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {n: c.split() for n, c in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items()}
 
 #: Days from 1800-01-01 to 2199-12-31, as 189 * 773.
 DAYS = (189, 773)
@@ -158,6 +181,54 @@ def kind_of(m: Column) -> Column:
             .otherwise(F.when(n.between(8, 15) | ~m.startswith("+"), F.lit("phone"))))
 
 
+def _iban_within(m: Column) -> Column:
+    """The valid IBAN at the start of a match that may have run into the next words, else null.
+
+    Of several, the one of its country's length, then the longest."""
+    words = F.split(m, " ")
+    ends = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(words, 1, i), " "))
+    valid = F.filter(ends, lambda e: e.rlike("^(?:" + PATTERNS["iban"] + ")$") & (_mod97(_turned(e)) == 1))
+    size = lambda e: F.length(F.replace(e, F.lit(" "), F.lit("")))
+    table = F.create_map(*[F.lit(x) for n, codes in IBAN_LENGTHS.items() for c in codes for x in (c, n)])
+    usual = lambda e: size(e) == F.coalesce(F.try_element_at(table, F.substring(e, 1, 2)), F.lit(0))
+    return let(valid, lambda v: F.coalesce(F.get(F.filter(v, usual), F.lit(0)), F.get(v, F.lit(0))))
+
+
+def _found(m: Column) -> Column:
+    """The value at the start of a match, with its kind; of no valid value: the match itself and a null kind."""
+    iban = F.when(m.rlike("^(?:" + PATTERNS["iban"] + ")$"), _iban_within(m))
+    return let(iban, lambda v: F.struct(F.when(v.isNotNull(), F.lit("iban")).otherwise(kind_of(m)).alias("kind"),
+                                        F.coalesce(v, m).alias("m")))
+
+
+def _walked(part: Column) -> Column:
+    """All values of a part of a text in turn, each with the text before it; the last has only text.
+
+    A match without a valid value is passed by one character only, so what it took is tried again."""
+    hit = "array<struct<p:string,kind:string,m:string>>"
+    start = F.struct(F.array().cast(hit).alias("out"), F.lit("").alias("p"), F.concat(F.lit("\n"), part).alias("rest"))
+
+    def step(s: Column, _: Column) -> Column:
+        before, m = F.regexp_extract(s["rest"], NEXT, 1), F.regexp_extract(s["rest"], NEXT, 2)
+
+        def put(b: Column, v: Column) -> Column:
+            plain = F.concat(s["p"], F.substring(b, F.lit(2), F.length(b)))
+            good = v["kind"].isNotNull()
+            taken = F.when(good, F.length(v["m"])).otherwise(F.lit(1))
+            new = F.array(F.struct(plain.alias("p"), v["kind"].alias("kind"), v["m"].alias("m")))
+            return F.struct(F.when(good, F.concat(s["out"], new)).otherwise(s["out"]).alias("out"),
+                            F.when(good, F.lit("")).otherwise(F.concat(plain, F.substring(v["m"], 1, 1))).alias("p"),
+                            F.substring(s["rest"], F.length(b) + taken, F.length(s["rest"])).alias("rest"))
+
+        return F.when(s["rest"].rlike(NEXT), let(before, lambda b: let(let(m, _found), lambda v: put(b, v)))).otherwise(s)
+
+    def end(s: Column) -> Column:
+        tail = F.concat(s["p"], F.substring(s["rest"], F.lit(2), F.length(s["rest"])))
+        return F.concat(s["out"], F.array(F.struct(tail.alias("p"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("m"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), start, step, end)
+
+
 def _card(key: str, m: Column) -> Column:
     d = _digits(m)
     payload = _permuted_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
@@ -243,18 +314,33 @@ def pseudonym(key: str, kind: Column, m: Column) -> Column:
     return out
 
 
+def _hits(text: Column) -> Column:
+    """All values of a text in turn, as ``_walked`` gives them; empty without a match."""
+    hit = "array<struct<p:string,kind:string,m:string>>"
+
+    def chosen(t: Column, ms: Column, found: Column) -> Column:
+        plain = F.zip_with(F.split(t, ANY, -1), found, lambda p, h: F.struct(
+            p.alias("p"), h["kind"].alias("kind"), F.coalesce(h["m"], F.lit("")).alias("m")))
+        # a failed match may hide other values, but for a run of digits
+        hidden = F.exists(F.zip_with(ms, found, lambda m, h: (h["m"] != m) | (h["kind"].isNull() & ~m.rlike(r"^\d+$"))), lambda x: x)
+        again = F.flatten(F.transform(F.split(t, CUT, -1), _walked))
+        return F.when(F.size(ms) == 0, F.array().cast(hit)).when(hidden, again).otherwise(plain)
+
+    def matched(t: Column) -> Column:
+        ms = F.when(t.rlike(r"[\d@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+        return let(F.coalesce(ms, F.array().cast("array<string>")),
+                   lambda ms: let(F.transform(ms, _found), lambda found: chosen(t, ms, found)))
+
+    return let(text, matched)
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten and n_<kind> counts of the values replaced."""
-    found = F.when(F.col(text).rlike(r"[\d@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
-    found = F.coalesce(found, F.array().cast("array<string>"))
-    hits = F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m")))
-    new = F.transform(F.col("__hits"), lambda h: pseudonym(key, h["kind"], h["m"]))
-    joined = F.array_join(F.zip_with(F.split(F.col(text), ANY, -1), new,
-                                     lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
+    joined = F.array_join(F.transform(F.col("__hits"), lambda h: F.concat(h["p"], pseudonym(key, h["kind"], h["m"]))), "")
     any_valid = F.exists(F.col("__hits"), lambda h: h["kind"].isNotNull())
     kinds = F.col("__hits")["kind"]
     counts = {f"n_{k}": F.size(kinds) - F.size(F.array_remove(F.transform(kinds, lambda x: F.coalesce(x, F.lit(""))), k))
               for k in KINDS}
-    return (docs.withColumn("__hits", hits)
+    return (docs.withColumn("__hits", _hits(F.col(text)))
             .withColumn(text, F.when(any_valid, joined).otherwise(F.col(text)))
             .withColumns(counts).drop("__hits"))

@@ -109,6 +109,32 @@ def test_iban_and_ssn(out):
     assert out[8].text.split()[1:] == ["666-12-1234", "000-12-1234", "900-12-1234"]
 
 
+BESIDE = {
+    "+1 (826) 555-4081 190.137.223.204": ("phone", "ip"), "+1 415 555 2671 2023-01-01": ("phone", "date"),
+    "+1 415 555 2671 97.51.17.173 12/25/2020": ("phone", "ip", "date"), "+1 555 123 45 31-12-2023": ("phone", "date"),
+    "+1-415-555-2671-2023-01-01": ("phone", "date"), "+1 415 555 2671 123-45-6789": ("phone", "ssn"),
+    "+1 415 555 2671 4539 5787 6362 1486": ("phone", "card"), "+14155552671 4539578763621486": ("phone", "card"),
+    "+1 415 555 2671 212-555-0100": ("phone", "phone"), "+1 415 555 2671 44bob@x.com": ("phone", "email"),
+    "+1 415 555 2671.5": ("phone",), "1111 4539 5787 6362 1486": ("card",), "ID4539578763621486": ("card",),
+    "GB82WEST12345698765432 PAID": ("iban",), "GB82 WEST 1234 5698 7654 32 OK": ("iban",),
+    "DE89370400440532013000 GB82WEST12345698765432 4539 5787 6362 1486": ("iban", "iban", "card"),
+    "AB12 CDEF 2345 4539 5787 6362 1486": ("card",), "99-99-2023-01-02": ("date",),
+    "GB82WEST12345698765432 2023 ON 8.8.8.8\n1111 4539 5787 6362 1486 a@b.co": ("iban", "ip", "card", "email"),
+}
+
+
+def test_values_beside_each_other(spark):
+    from collections import Counter
+    docs = spark.createDataFrame([(t,) for t in BESIDE], "id string").selectExpr("id", "id AS text")
+    for r in pii.pseudonymise(docs, KEY).collect():
+        assert {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]} == dict(Counter(BESIDE[r.id])), r.id
+        assert "PAID" not in r.id or r.text.endswith(" PAID")
+    ip = feistel("ip", "ip", 190 * 256 + 137, 223 * 256 + 204, 65536, 65536)
+    out = {r.id: r.text for r in pii.pseudonymise(docs, KEY).collect()}
+    assert out["+1 (826) 555-4081 190.137.223.204"].split()[-1] == ".".join(str(x) for a in ip for x in (a >> 8, a & 255))
+    assert out["ID4539578763621486"] == "ID" + card("4539578763621486")
+
+
 def test_nulls_empty_long_and_clean(out):
     assert out[9].text is None and out[9].n_card == 0
     assert out[10].text == "" and out[11].text == ROWS[10][1]
