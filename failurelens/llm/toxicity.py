@@ -40,6 +40,7 @@ WORD_BUCKETS = 1 << 13
 GRAM_BUCKETS = 1 << 15
 GRAMS = (3, 4, 5, 6, 7)
 WORD_DIM, GRAM_DIM, STATE = 8, 16, 10
+#: A longer run of letters is read in parts of so many, each n-gram whole in one of them.
 MAX_CHARS = 24
 EPOCHS = 12
 #: Training ends with the pass in which this many batches are reached.
@@ -49,7 +50,16 @@ BATCH = 128
 WORD_MEMO = 120_000
 CHUNK = 4096
 
-find_words = re.compile(r"[^\W\d_]+").findall
+_find_runs = re.compile(r"[^\W\d_]+").findall
+
+
+def find_words(text: str) -> list[str]:
+    """The runs of letters; one of over MAX_CHARS in overlapping parts, each a word."""
+    runs = _find_runs(text)
+    if not runs or len(max(runs, key=len)) <= MAX_CHARS:
+        return runs
+    shared = max(GRAMS) - 1
+    return [w[i:i + MAX_CHARS] for w in runs for i in range(0, max(1, len(w) - shared), MAX_CHARS - shared)]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +67,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out_word = np.zeros(len(words), np.int64)
     grams, owners = [], []
     by_length: dict[int, list[int]] = {}
-    cut = [f"<{w[:MAX_CHARS]}>" for w in words]
+    cut = [f"<{w}>" for w in words]
     for i, w in enumerate(cut):
         by_length.setdefault(len(w), []).append(i)
     for n, at in by_length.items():

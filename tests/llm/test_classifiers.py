@@ -230,3 +230,16 @@ def test_language_held_out(spark):
     rows = (langid.predict(docs, langid.learn(docs.filter(~held), vocabulary), held)
             .join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect())
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+
+
+def test_toxicity_reads_long_runs_to_their_end():
+    run = "abcdefghijklmnopqrstuvwxyz" * 3
+    for n in range(1, 70):
+        parts = toxicity.find_words(run[:n])
+        assert max(map(len, parts)) <= toxicity.MAX_CHARS
+        assert {g for g in (run[i:i + 7] for i in range(n - 6)) if not any(g in w for w in parts)} == set()
+        assert run[:n].startswith(parts[0]) and run[:n].endswith(parts[-1])
+    assert toxicity.find_words("short words, 2") == ["short", "words"]
+    scorer = toxicity.Scorer(toxicity.Network())
+    plain, other = scorer.scores([("x" * 30 + end).encode() for end in ("xxxxxx", "poison")])
+    assert plain != other
