@@ -74,3 +74,33 @@ def test_expand_samples(spark):
     t = spark.createDataFrame([("a",), ("b",)], "task_id string")
     assert evaluate.expand_samples(t, 3).count() == 6
     assert F is not None
+
+
+def test_fixed_n_counts_the_whole_log(spark):
+    from math import comb
+
+    from failurelens.functions.execlog import parse_exec_log
+    from failurelens.plans.queries import QUERIES
+    from failurelens.sources import fixtures
+    sf = "/root/testdata/sf0.001"
+    users = {str(r[0]) for r in fixtures.table(spark, sf, "customer").select("c_custkey").collect()}
+    log = parse_exec_log(fixtures.exec_log(spark, sf)).select("task_id", "success").collect()
+    size, right = {}, {u: 0 for u in users}
+    for r in log:
+        size[r.task_id] = size.get(r.task_id, 0) + 1
+        right[r.task_id] = right.get(r.task_id, 0) + bool(r.success)
+    n = max(5, *size.values())
+    want = {f"users/pass@{k}": sum(1 - comb(n - c, k) / comb(n, k) for c in right.values()) / len(right) for k in (1, 5)}
+    got = {r.metric: r.value for r in QUERIES["pass_at_k_fixed_n"](spark, sf).collect()}
+    assert got == pytest.approx({**want, "users/num_problems": len(right)}, abs=1e-6)
+
+
+def test_task_stages_take_every_example(spark):
+    from failurelens.plans.queries import QUERIES
+    from failurelens.sources import fixtures
+    sf = "/root/testdata/sf0.001"
+    last = {}
+    for r in fixtures.training_examples(spark, sf).select("source_task_id", "seq").collect():
+        last[r.source_task_id] = max(r.seq, last.get(r.source_task_id, r.seq))
+    got = {r.task_id: r.example_attempt for r in QUERIES["task_stages"](spark, sf).collect()}
+    assert got and got == {t: last.get(t) for t in got}
