@@ -788,9 +788,10 @@ rmet AS (SELECT * FROM (
 
 register("pass_at_k_fixed_n", f"""
 WITH {EXEC_LOG.strip()},
-cnt AS (SELECT task_id, count(*) FILTER (WHERE success) AS c FROM scored WHERE sample_id % 3 = 0 GROUP BY 1),
-t AS (SELECT CAST(c_custkey AS VARCHAR) AS task_id, 20 AS n, least(coalesce(c, 0), 20) AS c
-      FROM customer LEFT JOIN cnt ON task_id = CAST(c_custkey AS VARCHAR)),
+cnt AS (SELECT task_id, count(*) AS samples, count(*) FILTER (WHERE success) AS c FROM scored GROUP BY 1),
+most AS (SELECT greatest(coalesce(max(samples), 0), 5) AS n FROM cnt),
+ids AS (SELECT CAST(c_custkey AS VARCHAR) AS task_id FROM customer UNION SELECT task_id FROM cnt),
+t AS (SELECT task_id, n, coalesce(c, 0) AS c FROM ids CROSS JOIN most LEFT JOIN cnt USING (task_id)),
 agg AS (SELECT avg({pass_at_k_sql('n', 'c', 1)}) AS p1, avg({pass_at_k_sql('n', 'c', 5)}) AS p5, count(*) AS np FROM t)
 SELECT 'Users' AS benchmark, 'users/pass@1' AS metric, round(p1, 6) AS value FROM agg
 UNION ALL SELECT 'Users', 'users/pass@5', round(p5, 6) FROM agg
@@ -854,7 +855,7 @@ WITH {EXEC_LOG.strip()},
 r AS (SELECT * FROM (SELECT task_id, sample_id, passed, success,
         row_number() OVER (PARTITION BY task_id ORDER BY sample_id DESC) AS k FROM scored) WHERE k = 1),
 x AS (SELECT * FROM (SELECT e.user_id, seq, failure_cluster, row_number() OVER (PARTITION BY e.user_id ORDER BY seq DESC) AS k
-        FROM ex JOIN events e ON e.event_id = seq WHERE seq % 2 = 0) WHERE k = 1)
+        FROM ex JOIN events e ON e.event_id = seq) WHERE k = 1)
 SELECT r.task_id, r.sample_id AS run_attempt, r.passed AS run_passed, r.success AS run_success,
   x.seq AS example_attempt, x.failure_cluster AS example_failure_cluster
 FROM r LEFT JOIN x ON CAST(x.user_id AS VARCHAR) = r.task_id
