@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failurelens.llm.common import held_out, read_table
-from failurelens.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, licenses, pii, quality, substring_dedup, toxicity
+from failurelens.llm import (alignment, bpe, decontaminate, exact_dedup, jaccard_join, langid, licenses, periodic_runs, pii,
+                             quality, sharding, substring_dedup, toxicity)
 
 
 def word_vocabulary() -> str:
@@ -75,6 +76,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, held)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.looped(read_table(spark, sf_dir, "documents")))
+
+
+def op12_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(read_table(spark, sf_dir, "documents"), n_shards=8)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.report(read_table(spark, sf_dir, "documents"), paths)
+
+
 QUERIES = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_quality_neighbours": op2_quality_neighbours,
@@ -86,6 +100,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_stratified_shards": op12_stratified_shards,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE = {
@@ -94,4 +111,5 @@ ORACLE = {
     "op6_jaccard_join": jaccard_join.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
+    "op12_stratified_shards": sharding.ORACLE,
 }
