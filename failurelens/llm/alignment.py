@@ -9,7 +9,13 @@ last common end. Joining two neighbours closes one group, the left one's suffix
 right one's prefix; this is associative, with the empty open fragment as its unit. A text of
 over ``CHUNK`` bytes goes as chunks of that size, by the tokens' ends, to Spark tasks of
 their own; their fragments are joined ``FAN`` at a time, level by level, so no task before the
-last joins more than its part of a very long text. A shorter text is one fragment.
+last joins more than its part of a very long text.
+
+A shorter text is joined inside its task from the fragments of its words, which are kept from
+text to text. A word begins at a space that follows anything but white space; there tokens of
+both sides end, if the first vocabulary splits by the byte-level pattern and no piece of the
+second goes on with a space after another letter. Both is looked up when the files are
+loaded (``cuts_at_words``); for other files such texts are encoded whole.
 
 How often a pair of ids is linked is counted over all texts, once for each text. The most
 frequent ``HOT`` pairs are looked up by a broadcast, the others by a shuffle, so no pair of
@@ -26,10 +32,13 @@ their names, do not matter. Texts are read whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +52,8 @@ from failurelens.llm.common import prepare, shared_table, text_slices
 CHUNK, FAN = 1 << 16, 8
 #: So many pairs, the most frequent ones, are broadcast.
 HOT = 100_000
+#: A worker forgets its words when it has met so many; new ones are encoded so many at a time.
+WORDS, TOGETHER = 150_000, 256
 
 
 def byte_level_letters() -> dict[str, int]:
@@ -76,7 +87,16 @@ class Tokens:
                 self.bytes[i] = bytes(letters[c] for c in token) if set(token) <= letters.keys() else token.encode()
         self.length = np.array(list(map(len, self.bytes)), np.int64)
 
+    def cuts_at_words(self) -> bool:
+        """Whether a token ends before each space that follows anything but white space."""
+        if self.pieces:
+            return not any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(len(self.bytes)))
+        told = json.loads(self.model.to_str())
+        split = told["pre_tokenizer"] or {}
+        return told["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of a space and each text."""
         if self.pieces:
             return self.model.encode(texts, num_threads=1)
         return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -91,8 +111,27 @@ class Pair:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = Tokens(path_a), Tokens(path_b)
         self.size_b = len(self.b.bytes)
+        self.span = len(self.a.bytes) * self.size_b
         most = max(len(self.a.bytes), self.size_b)
         self.written = [f"{i}{mark}" for i in range(most) for mark in MARKS]
+        self.words = Words(self) if self.a.cuts_at_words() and self.b.cuts_at_words() else None
+
+    def tokens(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Both sides' ids of each text; none if it is empty or their bytes differ from a space and the text."""
+        found = zip(*(t.encode([x.decode() for x in texts]) for t in (self.a, self.b)), texts, strict=True)
+        return [(np.array(a, np.int64), np.array(b, np.int64))
+                if x and self.a.decoded(a) == self.b.decoded(b) == b" " + x else (NO_IDS, NO_IDS) for a, b, x in found]
+
+    def closed(self, texts: list[bytes]) -> list[Closed]:
+        """The groups of each text, all its tokens at once."""
+        ids, found = self.tokens(texts), [Closed() for _ in texts]
+        some = [i for i, (a, _) in enumerate(ids) if len(a)]
+        if some:
+            bounds = np.cumsum([0, *(len(texts[i]) + 1 for i in some)])
+            done = closed_groups(self, *(np.concatenate([ids[i][k] for i in some]) for k in (0, 1)), bounds)
+            for i, c in zip(some, done, strict=True):
+                found[i] = c
+        return found
 
 
 #: What follows an id: another of its side, the other side, the next group, nothing.
@@ -130,42 +169,124 @@ class Closed:
                       self.n_groups + other.n_groups, self.n_links + other.n_links, pairs, times)
 
 
-def closed_groups(v: Pair, a: np.ndarray, b: np.ndarray, bounds: np.ndarray) -> list[Closed]:
-    """The groups of texts laid one behind the other; text i has the bytes from ``bounds[i]`` to ``bounds[i + 1]``.
+@dataclass
+class Lines:
+    """The groups of texts laid one behind the other: ids with their marks, and a pair for each link."""
 
-    ``a`` and ``b`` are the ids of both sides, which cover the same bytes.
-    """
+    words: list[str]
+    numbers: np.ndarray  # of each text: n_a, n_b, n_groups, n_links
+    links: np.ndarray
+
+    def groups(self) -> list[str]:
+        stops = np.cumsum(self.numbers[:, 0] + self.numbers[:, 1]).tolist()
+        return ["".join(self.words[i:j]) for i, j in zip([0, *stops], stops)]
+
+
+def lines(v: Pair, a: np.ndarray, b: np.ndarray, bounds: np.ndarray) -> Lines:
+    """Text i has the bytes from ``bounds[i]`` to ``bounds[i + 1]``, which the ids ``a`` and ``b`` of both sides cover."""
     at_a, at_b = np.zeros((2, bounds[-1] + 1), bool)
     ends_a, ends_b = np.cumsum(v.a.length[a]), np.cumsum(v.b.length[b])
     at_a[ends_a], at_b[ends_b] = True, True
     before_a, before_b = np.cumsum(at_a) - at_a, np.cumsum(at_b) - at_b  # tokens that end before a byte
-    cuts = np.flatnonzero(at_a & at_b)
+    both_end = at_a & at_b
+    cuts = np.flatnonzero(both_end)
     parts = np.flatnonzero(at_a | at_b)  # each part between neighbouring ends is one link
-    link = a[before_a[parts]] * v.size_b + b[before_b[parts]]
-    n_texts = len(bounds) - 1
-    text_of = np.searchsorted(bounds[1:], parts)
-    order = np.lexsort((link, text_of))
-    link, text_of = link[order], text_of[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(link) != 0) | (np.diff(text_of) != 0)]))
-    pairs, times, owner = link[new], np.diff(np.append(new, len(link))), text_of[new]
-
-    group = np.cumsum(at_a & at_b) - (at_a & at_b)  # of each end
+    links = a[before_a[parts]] * v.size_b + b[before_b[parts]]
+
+    group = np.cumsum(both_end) - both_end  # of each end
     done_a, done_b = before_a[cuts] + 1, before_b[cuts] + 1  # tokens up to the end of each group
     line = np.empty(len(a) + len(b), np.int64)
-    of_a, of_b = group[ends_a], group[ends_b]
-    last_a, last_b = at_b[ends_a], at_a[ends_b]
     final = np.zeros(bounds[-1] + 1, bool)
     final[bounds[1:]] = True
-    line[np.arange(len(a)) + np.append(0, done_b)[of_a]] = a * len(MARKS) + last_a
-    line[np.arange(len(b)) + done_a[of_b]] = b * len(MARKS) + np.where(final[ends_b], 3, 2 * last_b)
-
+    line[np.arange(len(a)) + np.append(0, done_b)[group[ends_a]]] = a * len(MARKS) + at_b[ends_a]
+    line[np.arange(len(b)) + done_a[group[ends_b]]] = b * len(MARKS) + np.where(final[ends_b], 3, 2 * at_a[ends_b])
     ends = [np.searchsorted(x, bounds[1:], "right") for x in (ends_a, ends_b, cuts, parts)]
-    n_a, n_b, n_groups, n_links = (np.diff(e, prepend=0) for e in ends)
-    words = [v.written[code] for code in line.tolist()]
-    stop = np.cumsum(n_a + n_b)
-    of = np.searchsorted(owner, np.arange(n_texts + 1))
-    return [Closed("".join(words[stop[i] - n_a[i] - n_b[i]:stop[i]]), int(n_a[i]), int(n_b[i]), int(n_groups[i]),
-                   int(n_links[i]), pairs[of[i]:of[i + 1]], times[of[i]:of[i + 1]]) for i in range(n_texts)]
+    return Lines([v.written[code] for code in line.tolist()], np.stack([np.diff(e, prepend=0) for e in ends], 1), links)
+
+
+def distinct(links: np.ndarray, n_links: np.ndarray, span: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct links of each text and how often it has them; the texts' links lie one behind the other."""
+    key = np.sort(np.repeat(np.arange(len(n_links)), n_links) * span + links)
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    owner, pairs = np.divmod(key[new], span)
+    times = np.diff(np.append(new, len(key)))
+    of = np.searchsorted(owner, np.arange(len(n_links) + 1))
+    return [(pairs[i:j], times[i:j]) for i, j in zip(of, of[1:])]
+
+
+def closed_groups(v: Pair, a: np.ndarray, b: np.ndarray, bounds: np.ndarray) -> list[Closed]:
+    """The same as one ``Closed`` for each text."""
+    found = lines(v, a, b, bounds)
+    return [Closed(groups, *map(int, n), *links) for groups, n, links in zip(
+        found.groups(), found.numbers, distinct(found.links, found.numbers[:, 3], v.span), strict=True)]
+
+
+#: Before a space that follows anything but white space.
+WORD = re.compile(r"(?<=\S)(?= )")
+
+
+class Words:
+    """The groups of words met before, to join texts from them."""
+
+    def __init__(self, v: Pair):
+        self.v = v
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.numbers = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
+        self.first = np.zeros(1, np.int64)  # of each word's links, one entry for each link
+        self.links = NO_IDS
+
+    def learn(self, words: list[str]) -> None:
+        """``words`` are new, each with its leading space; they are encoded many at a time."""
+        v = self.v
+        words = sorted(words, key=lambda w: w[-1].isspace())
+        inner = sum(not w[-1].isspace() for w in words)
+        runs = ["".join(words[i:min(i + TOGETHER, inner)]) for i in range(0, inner, TOGETHER)] + words[inner:]
+        bounds = np.cumsum([0, *(len(w.encode()) for w in words)])
+        ids = []
+        for side in (v.a, v.b):
+            found = side.encode([r[1:] for r in runs])
+            ids.append(np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found))))
+        whole = "".join(runs).encode()
+        if all(side.decoded(mine.tolist()) == whole for side, mine in zip((v.a, v.b), ids, strict=True)):
+            new = lines(v, *ids, bounds)
+            groups, numbers, links = new.groups(), new.numbers, new.links
+        else:  # some word's bytes differ
+            found = v.closed([w[1:].encode() for w in words])
+            groups = [c.groups for c in found]
+            numbers = np.array([(c.n_a, c.n_b, c.n_groups, c.n_links) for c in found], np.int64)
+            links = np.concatenate([np.repeat(c.pairs, c.times) for c in found])
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.groups += groups
+        self.numbers = np.concatenate([self.numbers, numbers])
+        self.links = np.concatenate([self.links, links])
+        self.first = np.append(0, np.cumsum(self.numbers[:, 3]))
+
+    def closed(self, texts: list[bytes]) -> list[Closed]:
+        """The groups of texts, joined from those of their words."""
+        parts = [WORD.split(" " + x.decode()) if x else [] for x in texts]
+        for words in parts:
+            if len(words) > 1 and words[-1].isspace():
+                words[-2:] = ["".join(words[-2:])]  # white space at the end is no word of its own
+        if len(self.at) > WORDS:
+            self.forget()
+        new = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in self.at]
+        if new:
+            self.learn(new)
+        where = [np.fromiter(map(self.at.__getitem__, words), np.int64, len(words)) for words in parts]
+        # a word without tokens leaves its text without
+        where = [w if self.numbers[w, 0].all() else NO_IDS for w in where]
+        flat = np.concatenate([*where, NO_IDS])
+        n_links = self.numbers[flat, 3]
+        ends = np.cumsum(n_links)
+        links = self.links[np.arange(n_links.sum()) + np.repeat(self.first[flat] - (ends - n_links), n_links)]
+        numbers = np.array([self.numbers[w].sum(0) for w in where], np.int64).reshape(-1, 4)
+        groups = self.groups
+        return [Closed(";".join([groups[i] for i in w.tolist()]), *map(int, n), *mine) for w, n, mine in zip(
+            where, numbers, distinct(links, numbers[:, 3], self.v.span), strict=True)]
 
 
 @dataclass
@@ -277,28 +398,22 @@ def alignments(docs: DataFrame, paths: tuple[str, str], digests: bool = False, c
         v = vocabularies(paths)
         for batch in batches:
             for first, texts in text_slices(batch, "read"):
-                found = zip(*(t.encode([x.decode() for x in texts]) for t in (v.a, v.b)), texts, strict=True)
-                ids = [(np.array(a, np.int64), np.array(b, np.int64))
-                       if x and v.a.decoded(a) == v.b.decoded(b) == b" " + x else (NO_IDS, NO_IDS) for a, b, x in found]
-                sizes = [len(x) + 1 if len(a) else 0 for x, (a, _) in zip(texts, ids, strict=True)]
-                short = [i for i, n in enumerate(sizes) if 0 < n <= size]
+                short = [i for i, x in enumerate(texts) if len(x) < size]
                 items = [Closed() for _ in texts]
-                if short:
-                    bounds = np.cumsum([0, *(sizes[i] for i in short)])
-                    done = closed_groups(v, *(np.concatenate([ids[i][k] for i in short]) for k in (0, 1)), bounds)
-                    for i, c in zip(short, done, strict=True):
-                        items[i] = c
-                part = batch.slice(first, len(texts))
-                yield from pieces(v, part, shown(items), ids, sizes)
-
-    def pieces(v, part, items, ids, sizes):
-        """The finished texts in one batch, then the chunks of each long one."""
+                for i, c in zip(short, (v.words or v).closed([texts[i] for i in short]), strict=True):
+                    items[i] = c
+                long = [i for i, x in enumerate(texts) if len(x) >= size]
+                ids = dict(zip(long, v.tokens([texts[i] for i in long]), strict=True))
+                yield from pieces(v, batch.slice(first, len(texts)), shown(items), ids)
+
+    def pieces(v, part, items, ids):
+        """The finished texts in one batch, then the chunks of each long one; ``ids`` has the tokens of these."""
         numbers = part.column(1)
-        at = [i for i, n in enumerate(sizes) if n <= size]
+        at = [i for i in range(len(items)) if i not in ids or not len(ids[i][0])]
         yield batch_of(part.column(0), numbers, at, [(0, 1, 0, 0)] * len(at), [Fragment(True)] * len(at), [items[i] for i in at])
-        for i in range(len(sizes)):
-            if sizes[i] > size:
-                cut = list(chunks(v, *ids[i], size))
+        for i, mine in ids.items():
+            if len(mine[0]):
+                cut = list(chunks(v, *mine, size))
                 for k, (a, b, base_a, base_b) in enumerate(cut):
                     yield batch_of(part.column(0), numbers, [i], [(k, len(cut), base_a, base_b)],
                                    [Fragment(prefix=(a, b))], [Closed()])
