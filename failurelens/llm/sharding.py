@@ -9,10 +9,10 @@ its fractional rank by the sum of these roundings, at most one row for each stra
 offsets keep the many strata of one row apart, which would else all stand at one place.
 
 No task gets a whole stratum or the whole order. Both orders are dealt into 65,536 ranges:
-a window numbers the rows of a range, and a running sum over the ranges' counts (at most
-65,536 rows for a stratum, and as many for the whole) shifts the numbers. Ranges of a
-stratum are those of the digest, ranges of the whole those of the fractional rank, so both
-are even, however large a stratum is. Only built-in functions are used.
+a window numbers the rows of a range, and running sums over the ranges' counts, in two levels
+of at most 256 rows each, shift the numbers. Ranges of a stratum are those of the digest,
+ranges of the whole those of the fractional rank, so both are even, however large a stratum
+is. Only built-in functions are used.
 
 Defined results: the law is ``rows``: shard sizes differ by one at most, and slots count
 from 0 without gaps. A null or clashing value is a value like any other: rows with a null
@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 
 from failurelens.llm.common import shared_table
 
-#: Hex digits of the digest that name a range of a stratum, and the ranges of the whole order.
-RANGE_DIGITS = 4
-RANGES = 16 ** RANGE_DIGITS
+#: Ranges of a stratum and of the whole order, and how many make a block of the running sums.
+RANGES, BLOCK = 1 << 16, 1 << 8
 #: Equal rows are unfolded in pieces of this many, dealt to tasks.
 PIECE = 1 << 16
 
@@ -61,6 +60,23 @@ def fraction(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
+def starts(counts: DataFrame, group: list[str], part: str, n: str, into: str) -> DataFrame:
+    """``counts`` with the sum of ``n`` over the group's lesser parts in ``into``, and over all its parts in ``n``.
+
+    Two levels: a window sees the parts of one block, or the blocks of one group.
+    """
+    block, sums, rest = into + "_block", into + "_sum", W.unboundedPreceding
+    blocks = counts.withColumn(block, F.expr(f"`{part}` div {BLOCK}"))
+    tops = blocks.groupBy(*group, block).agg(F.sum(n).alias(sums))
+    over = W.partitionBy(*group)
+    tops = (tops.withColumn(into, F.sum(sums).over(over.orderBy(block).rowsBetween(rest, 0)) - F.col(sums))
+            .withColumn(sums, F.sum(sums).over(over)))
+    inner = W.partitionBy(*group, block).orderBy(part).rowsBetween(rest, 0)
+    return (blocks.withColumn(into + "_in", F.sum(n).over(inner) - F.col(n)).drop(n)
+            .join(tops, [*group, block])
+            .select(*group, part, (F.col(into) + F.col(into + "_in")).alias(into), F.col(sums).alias(n)))
+
+
 def interleave(rows: DataFrame, stratum: str, identity: list[str], n_shards: int, seed: int = 0) -> DataFrame:
     """``rows`` with shard (0 to ``n_shards`` - 1) and slot (place in the shard).
 
@@ -77,12 +93,9 @@ def interleave(rows: DataFrame, stratum: str, identity: list[str], n_shards: int
     told = [F.lit(str(seed)), *[written(F.col(f"`{c}`")) for c in identity], F.col(copy).cast("string")]
     table = shared_table(numbered.withColumns({
         group: written(F.col(f"`{stratum}`")), order: F.md5(F.concat_ws("|", *told))}), "shard-rows")
-    table = table.withColumn(part, F.substring(order, 1, RANGE_DIGITS))
+    table = table.withColumn(part, F.conv(F.substring(order, 1, 4), 16, 10).cast("int"))  # RANGES of them
 
-    by_range = W.partitionBy(group).orderBy(part)
-    shift = (table.groupBy(group, part).agg(F.count(F.lit(1)).alias(n))
-             .withColumn(place, F.sum(n).over(by_range.rowsBetween(W.unboundedPreceding, 0)) - F.col(n))
-             .withColumn(n, F.sum(n).over(W.partitionBy(group))))
+    shift = starts(table.groupBy(group, part).agg(F.count(F.lit(1)).alias(n)), [group], part, n, place)
     # the same order whenever a lost task runs again
     same = [F.col(order), F.xxhash64(*[F.col(f"`{c}`") for c in keep]), F.col(copy)]
     ranked = (table.withColumn(rank, F.row_number().over(W.partitionBy(group, part).orderBy(*same)) - 1)
@@ -92,12 +105,9 @@ def interleave(rows: DataFrame, stratum: str, identity: list[str], n_shards: int
               .drop(n, place))
     ranked = shared_table(ranked, "shard-ranks")
 
-    whole = W.orderBy(part)  # at most RANGES rows
-    starts = (ranked.groupBy(part).agg(F.count(F.lit(1)).alias(n))
-              .withColumn(place, F.sum(n).over(whole.rowsBetween(W.unboundedPreceding, 0)) - F.col(n))
-              .withColumn(n, F.sum(n).over(W.partitionBy())))
+    shift = starts(ranked.groupBy(part).agg(F.count(F.lit(1)).alias(n)), [], part, n, place)
     at = F.col(place) + F.row_number().over(W.partitionBy(part).orderBy(rank, group, *same)) - 1
-    placed = ranked.join(starts, part).withColumn(place, at)
+    placed = ranked.join(shift, part).withColumn(place, at)
     shard = F.expr(f"`{place}` * {n_shards} div `{n}`")
     first = F.expr(f"(`{own}` * `{n}` + {n_shards - 1}) div {n_shards}")
     return (placed.withColumn(own, shard).withColumn("slot", F.col(place) - first)
