@@ -907,3 +907,31 @@ def _repair_requests() -> str:
 
 
 register("repair_requests", _repair_requests())
+
+register("buffer_file", f"""
+WITH {BUFFER.strip()}
+SELECT failure_cluster, trajectory_id, problem, plan FROM ex ORDER BY seq DESC LIMIT 700
+""")
+
+register("event_file", f"""
+WITH {EXEC_LOG.strip()},
+{BUFFER.strip()}
+SELECT 'execution_completed' AS event, task_id, success, CAST(sample_id AS BIGINT) AS attempt, CAST(passed AS BIGINT) AS passed,
+  CAST(total AS BIGINT) AS total, CAST(NULL AS BIGINT) AS plan_len FROM scored
+UNION ALL
+SELECT 'planner_executed', CAST(user_id AS VARCHAR), NULL, NULL, NULL, NULL, length(plan) FROM ex JOIN events ON event_id = seq
+""")
+
+register("tracker_file", f"""
+WITH {ROUND_METRICS.strip()}
+SELECT round, run_name || '/' || metric AS metric, round(value, 6) AS value FROM rm
+""")
+
+register("store_replaced_bucketed", ORACLE["store_replaced"])
+
+register("sample_summary", f"""
+WITH {WEIGHTED.strip()}
+SELECT 'store' AS rates, seq, failure_cluster, round(raw_weight, 6) AS raw_weight FROM wsample
+UNION ALL SELECT * FROM (SELECT 'none', seq, failure_cluster, 1.0::DOUBLE FROM u ORDER BY -ln(uu) ASC, seq ASC LIMIT 1000)
+UNION ALL SELECT * FROM (SELECT 'uniform', seq, failure_cluster, 1.0::DOUBLE FROM u ORDER BY uu ASC, seq ASC LIMIT 1000)
+""")

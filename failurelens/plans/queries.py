@@ -610,3 +610,83 @@ def run_flags_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_name", F.concat(F.lit("run"), (F.length("metric") % 6).cast("string"))).select("run_name", "metric", "value")
     return m.join(F.broadcast(flags), "run_name", "left").select(
         "run_name", "metric", r6("value").alias("value"), "use_agentic_repair", "use_distillation")
+
+
+# --- files by byte range: S4, S9, S11, K4, K7, W2 -----------------------------------------------------------------
+def _scratch(spark: SparkSession, name: str) -> str:
+    from uuid import uuid4
+
+    from failurelens.session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid4().hex}")
+
+
+@query("buffer_file")
+def buffer_file_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buffer written as JSON lines without numbers and read back: the last 700 lines are the newest rows."""
+    from failurelens.operators import buffer
+    from failurelens.sources import files
+    path = _scratch(spark, "buffer-file")
+    ex = fixtures.training_examples(spark, sf_dir).repartitionByRange(8, "seq").sortWithinPartitions("seq")
+    ex.drop("seq").write.option("ignoreNullFields", "false").json(path)
+    held = buffer.fifo(files.buffer_lines(spark, path), 700)
+    return held.select("failure_cluster", "trajectory_id", "problem", "plan")
+
+
+@query("event_file")
+def event_file_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log of all executions and plans, written and read back with typed fields."""
+    from failurelens.streaming import streams
+    path = _scratch(spark, "event-file")
+    runs = parse_exec_log(fixtures.exec_log(spark, sf_dir)).withColumn("attempt", F.col("sample_id"))
+    streams.log_events(streams.stage_events(runs, "execution_completed"), path)
+    plans = fixtures.training_examples(spark, sf_dir).select(
+        F.col("source_task_id").alias("task_id"), F.length("plan").alias("plan_len"))
+    streams.log_events(streams.stage_events(plans, "planner_executed"), path)
+    field = lambda name, kind: F.try_variant_get("payload", f"$.{name}", kind).alias(name)
+    return streams.event_lines(spark, path).where("timestamp is not null").select(
+        "event", "task_id", field("success", "boolean"), field("attempt", "bigint"), field("passed", "bigint"),
+        field("total", "bigint"), field("plan_len", "bigint"))
+
+
+@query("tracker_file")
+def tracker_file_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tracker document of all runs' rounds, written and read back whole."""
+    from failurelens.sources import files
+    path = _scratch(spark, "tracker-file")
+    rounds = fixtures.round_metrics(spark, sf_dir)
+    files.write_tracker(rounds.select("round", F.concat_ws("/", "run_name", "metric").alias("metric"), "value"), path)
+    return files.tracker_documents(spark, path).select("round", "metric", r6("value").alias("value"))
+
+
+# --- bucketed store: K1, K2, S7 -------------------------------------------------------------------------------------
+@query("store_replaced_bucketed")
+def store_replaced_bucketed_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As store_replaced, with the earlier failures in buckets: only the later ones are shuffled."""
+    from failurelens.operators import bucketed
+    batch = fixtures.failure_batch(spark, sf_dir).select("record_id", "task", "failure_cluster", "created_at", "seq")
+    path = _scratch(spark, "bucketed-store")
+    name = "store_" + path.rsplit("-", 1)[1]
+    bucketed.upsert(spark, name, path, batch.where("seq % 4 < 2"), 1, buckets=16)
+    rows = bucketed.upsert(spark, name, path, batch.where("seq % 4 >= 2"), 2, buckets=16)
+    return rows.select("record_id", "failure_cluster", "seq")
+
+
+# --- samples from a mergeable summary: M1, M2, M3 -------------------------------------------------------------------
+@query("sample_summary")
+def sample_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parts of the buffer summarised apart and merged, then drawn from for the store's rates, for none, and uniformly."""
+    from failurelens.operators import sampling
+    rows = _buffer(spark, sf_dir).select("seq", "failure_cluster")
+    held = None
+    for part in range(3):
+        held = sampling.merge(held, sampling.summarise(rows.where(F.col("seq") % 3 == part), SAMPLE_N), SAMPLE_N)
+    path = _scratch(spark, "sample-summary")
+    held.write.parquet(path)
+    held = spark.read.schema(held.schema).parquet(path)
+    drawn = None
+    for name, rates in (("store", _store_rates(spark, sf_dir)), ("none", None)):
+        s = sampling.draw_weighted(held, SAMPLE_N, rates).select(
+            F.lit(name).alias("rates"), "seq", "failure_cluster", r6("raw_weight").alias("raw_weight"))
+        drawn = s if drawn is None else drawn.unionByName(s)
+    even = sampling.draw_uniform(held, SAMPLE_N)
+    return drawn.unionByName(even.select(F.lit("uniform").alias("rates"), "seq", "failure_cluster", F.lit(1.0).alias("raw_weight")))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from failurelens.functions.text import iso_utc
 from failurelens.operators.store import path_exists
 from failurelens.schemas import BUFFER_ROW, HUMANEVAL_PROBLEM, MBPP_PROBLEM_RAW, METRIC_ROW
+from failurelens.sources import lines
 
 TRACKER = T.StructType([
     T.StructField("started_at", T.StringType()),
@@ -78,6 +79,19 @@ def write_buffer(buffer: DataFrame, path: str) -> None:
         .option("ignoreNullFields", "false").json(path)
 
 
+def buffer_lines(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
+    """Buffer JSON lines in one read: rows without ``seq`` get the place of their line, so arrival order is line order."""
+    rows = positioned(spark, path, split).select(F.from_json("value", BUFFER_ROW).alias("r"), F.col("seq").alias("_place"))
+    return rows.select(F.coalesce("r.seq", "_place").alias("seq"), *[f"r.{f.name}" for f in BUFFER_ROW.fields[1:]])
+
+
+def positioned(spark: SparkSession, path: str, split: int | None = None, whole: bool = False) -> DataFrame:
+    """Lines (or with ``whole`` files) with their places: (file, offset, seq, value)."""
+    lines.register(spark)
+    reader = spark.read.format("positioned_lines").option("whole", str(whole))
+    return (reader.option("split", split) if split else reader).load(path)
+
+
 # --- experiment tracker ----------------------------------------------------------------
 def _tracker(spark: SparkSession, path: str) -> DataFrame:
     """The tracker document; none if there is no such file."""
@@ -93,6 +107,13 @@ def read_tracker(spark: SparkSession, path: str) -> DataFrame:
                          F.explode("r.metrics").alias("metric", "value"))
 
 
+def tracker_documents(spark: SparkSession, path: str) -> DataFrame:
+    """All tracker documents below ``path``, a file each, as rows ``(file, round, timestamp, metric, value)``."""
+    rounds = positioned(spark, path, whole=True).select("file", F.explode(F.from_json("value", TRACKER)["rounds"]).alias("r"))
+    return rounds.select("file", F.col("r.round").alias("round"), F.col("r.timestamp").alias("timestamp"),
+                         F.explode("r.metrics").alias("metric", "value"))
+
+
 def read_tracker_stats(spark: SparkSession, path: str) -> DataFrame:
     """Tracker document -> dataset statistics ``(round, name, n)``."""
     rounds = _tracker(spark, path).select(F.explode("rounds").alias("r"))

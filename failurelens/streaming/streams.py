@@ -23,10 +23,11 @@ from pyspark.sql import types as T
 
 from failurelens.functions.text import iso_utc
 from failurelens.operators import buffer as buf
-from failurelens.operators import cluster
+from failurelens.operators import cluster, sampling
 from failurelens.operators.store import claim, read_state, write_batch, write_state
 from failurelens.schemas import CENTROIDS
 from failurelens.session import shared_folder
+from failurelens.sources import files, lines
 
 # ---------------------------------------------------------------------------
 # Event log (one JSON object per line: event, timestamp, free-form keys)
@@ -69,9 +70,10 @@ def stage_events(df: DataFrame, stage: str, task_col: str = "task_id") -> DataFr
     return event_rows(df, stage, task_col, **columns)
 
 
-def _parse_event_lines(lines: DataFrame) -> DataFrame:
+def _parse_event_lines(rows: DataFrame, *carry: str) -> DataFrame:
     v = F.try_parse_json(F.col("value"))
-    return lines.where(F.trim("value") != "").select(
+    return rows.where(F.trim("value") != "").select(
+        *carry,
         F.try_variant_get(v, "$.event", "string").alias("event"),
         F.try_to_timestamp(F.try_variant_get(v, "$.timestamp", "string")).alias("timestamp"),
         F.try_variant_get(v, "$.task_id", "string").alias("task_id"),
@@ -84,6 +86,18 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return _parse_event_lines(spark.read.text(path))
 
 
+def event_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Batch read of the event log with each line's place: (seq, event, timestamp, task_id, payload)."""
+    rows = files.positioned(spark, path)
+    return _parse_event_lines(rows, "seq")
+
+
+def event_line_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Streaming tail of an event log whose files may also grow; lines as in ``event_lines``."""
+    lines.register(spark)
+    return _parse_event_lines(spark.readStream.format("positioned_lines").load(path), "seq")
+
+
 def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming tail of the event log directory."""
     r = spark.readStream.format("text")
@@ -189,3 +203,18 @@ def start_buffer(stream: DataFrame, buffer_path: str, name: str, capacity: int =
                  checkpoint: str | None = None, available_now: bool = True):
     return _start(stream, lambda df, bid: buffer_batch(df, bid, buffer_path, capacity), name, checkpoint,
                   [buffer_path], available_now)
+
+
+# ---------------------------------------------------------------------------
+# Sample summary
+# ---------------------------------------------------------------------------
+def summary_batch(batch: DataFrame, batch_id: int, path: str, n: int, seed: int = 42) -> None:
+    """Summary version ``batch_id + 1`` = version ``batch_id`` merged with the batch's own; bounded by ``n`` for each cluster."""
+    new = sampling.summarise(batch, n, seed)
+    write_state(sampling.merge(read_state(batch.sparkSession, path, new.schema, batch_id), new, n), path, batch_id + 1)
+
+
+def start_summary(stream: DataFrame, path: str, name: str, n: int, seed: int = 42, checkpoint: str | None = None,
+                  available_now: bool = True):
+    """Keep the summary of all examples of the stream, for samples of up to ``n`` rows by any later rates."""
+    return _start(stream, lambda df, bid: summary_batch(df, bid, path, n, seed), name, checkpoint, [path], available_now)
