@@ -16,8 +16,12 @@ Sets that are equal are one class, represented by its smallest id. Links are fou
 rounds, so that a group of near copies costs about its size, not its square:
 
 1. each entry's members are compared with its smallest member (the hub);
-2. components are formed; where an entry still holds members of different components, all
-   pairs across these are compared. Pairs within one component would change nothing.
+2. components are formed; where an entry still holds members of different components, they
+   are compared as a matrix inside a task. Of the near pairs only a spanning forest over the
+   components goes on to be verified, so an entry sends fewer pairs than it has members: the
+   nearest pairs first, then in ``TURNS`` - 1 more turns, over the entries that held more near pairs and
+   with the new components, others by hash. What is still near but apart after these turns
+   (only sets that did not link) is verified pair by pair, so no link is lost.
 
 A pair is compared exactly: size and position bounds, then the distance of parity bitmaps
 (a lower bound on the symmetric difference), then the sets themselves.
@@ -53,8 +57,8 @@ BITMAP_BITS = 2048
 SMALL_BITS = 512
 #: Up to so many ids (8 bytes each) of documents to compare are broadcast.
 BROADCAST_IDS = 500_000
-#: Members of an entry that are compared as one matrix.
-BLOCK = 1024
+#: Members of an entry that are compared as one matrix, and turns in which it sends a spanning forest.
+BLOCK, TURNS = 1024, 3
 #: n and position in one number.
 PLACE = 1 << 24
 
@@ -248,12 +252,34 @@ def verified(close: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return shared_table(whole.distinct(), "links")
 
 
-def across_labels(told: DataFrame, profiles: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) with a common entry and different labels that sizes, ranks and bitmaps allow.
+def spanning(labels: np.ndarray, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> list[int]:
+    """The places in ``order`` of a forest: pairs (i, j) of members that join labels not yet joined."""
+    names, local = np.unique(labels, return_inverse=True)
+    parent, left, kept = list(range(len(names))), len(names) - 1, []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for e, x, y in zip(order.tolist(), local[i[order]].tolist(), local[j[order]].tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            kept.append(e)
+            left -= 1
+            if not left:
+                break
+    return kept
+
+
+def across_labels(told: DataFrame, profiles: DataFrame, rule: Rule, turn: int | None) -> DataFrame:
+    """(key, a, b): pairs with a common entry and different labels that sizes, ranks and bitmaps allow.
 
     An entry's members meet in blocks of about ``BLOCK``; a larger entry's blocks meet two
-    by two in groups of their own. A group is compared as a matrix, and only near pairs
-    leave it.
+    by two in groups of their own. A group is compared as a matrix. With a ``turn`` only a
+    spanning forest of its near pairs leaves it, and the keys of groups that held more come
+    as rows without a pair; without, all near pairs do. Pairs have a null key.
     """
     spread = (told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"))
               .filter("low < high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
@@ -267,12 +293,12 @@ def across_labels(told: DataFrame, profiles: DataFrame, rule: Rule) -> DataFrame
                .repartition("at").sortWithinPartitions("at", "key", "low", "high")
                .select("key", "low", "high", "own", "rep", "label", "place", "small"))
 
-    def meet(group: tuple) -> tuple[np.ndarray, np.ndarray]:
+    def meet(group: tuple) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Pairs of the group, and whether it held more."""
         (low, high, own, rep, label, place), bits = group[:6], group[6]
         n, rank = place // PLACE, place % PLACE
         cross = low[0] != high[0]
-        some = [np.zeros(0, np.int64)] * 2
-        found: list[tuple[np.ndarray, np.ndarray]] = [tuple(some)]
+        found = [(np.zeros(0, np.int64),) * 3]
         for i in range(len(rep) - 1):
             rest = slice(i + 1, None)
             ok = label[rest] != label[i]
@@ -285,17 +311,26 @@ def across_labels(told: DataFrame, profiles: DataFrame, rule: Rule) -> DataFrame
             at = np.flatnonzero(ok)
             if len(at):
                 apart = np.bitwise_count(bits[i + 1 + at] ^ bits[i]).sum(1, dtype=np.int64)
-                at = at[apart <= rule.most_apart(total[at])] + i + 1
-                found.append((np.minimum(rep[at], rep[i]), np.maximum(rep[at], rep[i])))
-        return tuple(np.concatenate(side) for side in zip(*found, strict=True))
+                near = apart <= rule.most_apart(total[at])
+                found.append((np.full(near.sum(), i), at[near] + i + 1, apart[near]))
+        x, y, apart = (np.concatenate(side) for side in zip(*found, strict=True))
+        a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+        if turn is None or not len(a):
+            return a, b, False
+        if turn:
+            apart = mix(a.astype(np.uint64) * np.uint64(2 * turn + 1) + mix(b.astype(np.uint64)))
+        kept = spanning(label, x, y, np.argsort(apart, kind="stable"))
+        return a[kept], b[kept], len(kept) < len(a)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the last group of a batch waits for the next
 
         def told_of(parts: list[tuple]) -> pa.RecordBatch:
-            group = tuple(np.concatenate(side) for side in zip(*parts, strict=True))[1:]
-            a, b = meet(group)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            key, *group = (np.concatenate(side) for side in zip(*parts, strict=True))
+            a, b, more = meet(tuple(group))
+            none = [None] * len(a)
+            keys, a, b = ([*none, int(key[0])], [*a.tolist(), None], [*b.tolist(), None]) if more else (none, a, b)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, a, b)], ["key", "a", "b"])
 
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns[:7]]
@@ -313,7 +348,7 @@ def across_labels(told: DataFrame, profiles: DataFrame, rule: Rule) -> DataFrame
         if held:
             yield told_of(held)
 
-    return grouped.mapInArrow(scan, "a bigint, b bigint").distinct()
+    return grouped.mapInArrow(scan, "key bigint, a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -356,14 +391,20 @@ def similarity_components(docs: DataFrame, rule: Rule) -> DataFrame:
     links = verified(near_bitmaps(first, rows, rule), docs, rule)
     found = components(links.unionByName(same))
 
-    label = F.coalesce("component", "rep")
-    told = (members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-            .select("key", "rep", "place", label.alias("label")))
-    told = shared_table(told, "told")
-    second = across_labels(told, rows, rule).join(first, ["a", "b"], "left_anti")
-    more = verified(near_bitmaps(second, rows, rule), docs, rule)
-    if not more.isEmpty():
-        found = components(links.unionByName(same).unionByName(more))
+    linked, tried, rest = links.unionByName(same), first, members
+    for turn in [*range(TURNS), None]:
+        told = rest.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
+            "key", "rep", "place", F.coalesce("component", "rep").alias("label"))
+        met = shared_table(across_labels(shared_table(told, "told"), rows, rule, turn), "met")
+        pairs = shared_table(met.filter("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "met-pairs")
+        more = verified(near_bitmaps(pairs, rows, rule), docs, rule)
+        if not more.isEmpty():
+            linked = linked.unionByName(more)
+            found = components(linked)
+        held = met.filter("key is not null").select("key").distinct()
+        if turn is None or held.isEmpty():
+            break
+        tried, rest = tried.unionByName(pairs), members.join(held, "key", "left_semi")
     return rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

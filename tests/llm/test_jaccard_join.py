@@ -130,3 +130,53 @@ def test_small_blocks_give_the_same(make_docs, monkeypatch):
     words = [f"w{i}" for i in range(12)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 8)))) for i in range(200)]
     assert got(X.similarity_components(make_docs(rows), X.Rule(1, 60, 100))) == brute(rows, X.Rule(1, 60, 100))
+
+
+def chain_of(m, step):
+    """m texts; each changes ``step`` words of the one before, so only neighbours are near."""
+    words = [f"w{i}" for i in range(60)]
+    out = []
+    for i in range(m):
+        out.append(" ".join(words))
+        for k in range(step):
+            words[(i * step + k) * 7 % 60] = f"n{i}x{k}"
+    return out
+
+
+def test_candidates_of_a_family_grow_with_its_size(make_docs, monkeypatch):
+    """Near texts that mostly do not link: what leaves the matrices is linear in their number."""
+    rule, counts = X.Rule(k=2), {}
+    plain = X.across_labels
+    for m in (40, 160):
+        base = [f"b{i}" for i in range(200)]
+        texts = []
+        for i in range(m):
+            own = list(base)
+            for k in range(6):
+                own[(13 * i + 17 * k) % 200] = f"own{i}x{k}"
+            texts.append(" ".join(own))
+        rows = [(i, t) for i, t in enumerate(texts)]
+        made = []
+
+        def counted(told, profiles, r, turn, made=made):
+            out = plain(told, profiles, r, turn)
+            if turn is not None:
+                made.append(out.filter("a is not null").count())
+            return out
+        monkeypatch.setattr(X, "across_labels", counted)
+        assert got(X.similarity_components(make_docs(rows), rule)) == brute(rows, rule)
+        counts[m] = max(made, default=0)
+    assert 0 < counts[160] <= 8 * counts[40], counts  # the square would be 16 times
+
+
+def test_chains_are_followed_over_all_turns(make_docs):
+    rule = X.Rule(k=2, num=80, den=100)
+    rows = [(i, t) for i, t in enumerate(chain_of(40, 2))]
+    assert got(X.similarity_components(make_docs(rows), rule)) == brute(rows, rule)
+
+
+def test_spanning_forest():
+    labels = np.array([5, 5, 7, 9, 9, 11])
+    i, j = np.array([0, 1, 0, 3, 2]), np.array([2, 2, 3, 4, 3])
+    assert X.spanning(labels, i, j, np.arange(5)) == [0, 2]
+    assert X.spanning(labels, i, j, np.array([4, 2, 1, 0, 3])) == [4, 2]
