@@ -18,10 +18,11 @@ rounds, so that a group of near copies costs about its size, not its square:
 1. each entry's members are compared with its smallest member (the hub);
 2. components are formed; where an entry still holds members of different components, they
    are compared as a matrix inside a task. Of the near pairs only a spanning forest over the
-   components goes on to be verified, so an entry sends fewer pairs than it has members: the
-   nearest pairs first, then in ``TURNS`` - 1 more turns, over the entries that held more near pairs and
-   with the new components, others by hash. What is still near but apart after these turns
-   (only sets that did not link) is verified pair by pair, so no link is lost.
+   components goes on to be verified, the nearest pairs first, so an entry sends fewer pairs
+   than it has members (``TURNS`` of these; later ones take pairs by hash). In entries that held
+   more near pairs, those of members that are then still apart, mostly sets that do not
+   link, are verified pair by pair, so no link is lost. Only these grow with the square of a
+   group: one of sets that are near by their bitmaps and yet not linked, not even by others.
 
 A pair is compared exactly: size and position bounds, then the distance of parity bitmaps
 (a lower bound on the symmetric difference), then the sets themselves.
@@ -58,7 +59,7 @@ SMALL_BITS = 512
 #: Up to so many ids (8 bytes each) of documents to compare are broadcast.
 BROADCAST_IDS = 500_000
 #: Members of an entry that are compared as one matrix, and turns in which it sends a spanning forest.
-BLOCK, TURNS = 1024, 3
+BLOCK, TURNS = 1024, 1
 #: n and position in one number.
 PLACE = 1 << 24
 
@@ -296,6 +297,8 @@ def across_labels(told: DataFrame, profiles: DataFrame, rule: Rule, turn: int |
     def meet(group: tuple) -> tuple[np.ndarray, np.ndarray, bool]:
         """Pairs of the group, and whether it held more."""
         (low, high, own, rep, label, place), bits = group[:6], group[6]
+        if label.min() == label.max():
+            return rep[:0], rep[:0], False
         n, rank = place // PLACE, place % PLACE
         cross = low[0] != high[0]
         found = [(np.zeros(0, np.int64),) * 3]
@@ -325,12 +328,13 @@ def across_labels(told: DataFrame, profiles: DataFrame, rule: Rule, turn: int |
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the last group of a batch waits for the next
 
-        def told_of(parts: list[tuple]) -> pa.RecordBatch:
-            key, *group = (np.concatenate(side) for side in zip(*parts, strict=True))
+        def told_of(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            key, *group = parts[0] if len(parts) == 1 else (np.concatenate(side) for side in zip(*parts, strict=True))
             a, b, more = meet(tuple(group))
-            none = [None] * len(a)
-            keys, a, b = ([*none, int(key[0])], [*a.tolist(), None], [*b.tolist(), None]) if more else (none, a, b)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, a, b)], ["key", "a", "b"])
+            if len(a):
+                none = [None] * len(a)
+                keys, a, b = ([*none, int(key[0])], [*a.tolist(), None], [*b.tolist(), None]) if more else (none, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, a, b)], ["key", "a", "b"])
 
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns[:7]]
@@ -341,12 +345,12 @@ def across_labels(told: DataFrame, profiles: DataFrame, rule: Rule, turn: int |
             for x, y in zip(starts, starts[1:], strict=False):
                 part = (*(c[x:y] for c in columns), bits[x:y])
                 if held and any(held[-1][k][0] != part[k][0] for k in range(3)):
-                    yield told_of(held)
+                    yield from told_of(held)
                     held = []
                 if y > x:
                     held.append(part)
         if held:
-            yield told_of(held)
+            yield from told_of(held)
 
     return grouped.mapInArrow(scan, "key bigint, a bigint, b bigint").distinct()
 
@@ -397,8 +401,8 @@ def similarity_components(docs: DataFrame, rule: Rule) -> DataFrame:
             "key", "rep", "place", F.coalesce("component", "rep").alias("label"))
         met = shared_table(across_labels(shared_table(told, "told"), rows, rule, turn), "met")
         pairs = shared_table(met.filter("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "met-pairs")
-        more = verified(near_bitmaps(pairs, rows, rule), docs, rule)
-        if not more.isEmpty():
+        more = None if pairs.isEmpty() else verified(near_bitmaps(pairs, rows, rule), docs, rule)
+        if more is not None and not more.isEmpty():
             linked = linked.unionByName(more)
             found = components(linked)
         held = met.filter("key is not null").select("key").distinct()

@@ -146,6 +146,7 @@ def chain_of(m, step):
 def test_candidates_of_a_family_grow_with_its_size(make_docs, monkeypatch):
     """Near texts that mostly do not link: what leaves the matrices is linear in their number."""
     rule, counts = X.Rule(k=2), {}
+    monkeypatch.setattr(X, "TURNS", 3)
     plain = X.across_labels
     for m in (40, 160):
         base = [f"b{i}" for i in range(200)]
