@@ -23,7 +23,8 @@ all documents hold makes no large group.
 Defined results: a null or wordless text has no words, and of fewer than ``width`` words
 nothing is removed; a null id counts as larger than any other; rows of one id never make
 each other's windows repeat; repeated rows get equal results; extra columns are ignored.
-Two different texts whose 64-bit hashes are equal would not be told apart in step 1.
+Texts are told apart by two hashes of 64 bits with different seeds. Where texts agree in
+the first alone, all anchors of theirs count as repeating, so nothing is missed.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from failurelens.llm.common import prepare, row_key, shared_table, text_slices
@@ -44,25 +45,37 @@ from failurelens.llm.shingles import mix, sequence_hashes, word_hashes
 WIDTH = 13
 GRAM = 5
 SHARD_WORDS = 250_000
-#: Low bits of a run's hash that give way to its place, so that the least is also the first.
-_PLACE_BITS = np.uint64(24)
-_PLACES = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+#: First hashes that stand for several texts; more are an error.
+MAX_SHARED = 10_000
+#: Low bits of a run's hash that give way to its place within a piece, so that the least is also the first.
+PLACE_BITS = 24
+
+
+def _first_least(grams: np.ndarray, span: int) -> np.ndarray:
+    """The place of the least of each ``span`` consecutive hashes, of a piece whose places fit PLACE_BITS."""
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    n = 1
+    while n < span:
+        step = min(n, span - n)
+        least = np.minimum(least[:-step], least[step:])
+        n += step
+    return (least & low).astype(np.int64)
 
 
 def anchors(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor place of each window, distinct places, their hashes) of hashed words."""
+    """(anchor place of each window, distinct places, their hashes) of hashed words.
+
+    A longer text is taken in pieces that overlap by a window; within a piece the order of
+    places is that of the text, so the anchors are those of the text taken at once.
+    """
     grams = sequence_hashes(words, GRAM)
     span = width - GRAM + 1
     if len(grams) < span:
         none = np.zeros(0, np.int64)
         return none, none, none.view(np.uint64)
-    least = (grams & ~_PLACES) | np.arange(len(grams), dtype=np.uint64)
-    n = 1
-    while n < span:
-        step = min(n, span - n)
-        least = np.minimum(least[:-step], least[step:])
-        n += step
-    of = (least & _PLACES).astype(np.int64)
+    piece = (1 << PLACE_BITS) - span + 1
+    of = np.concatenate([_first_least(grams[i:i + piece + span - 1], span) + i for i in range(0, len(grams) - span + 1, piece)])
     places = of[np.flatnonzero(np.diff(of, prepend=-1))]
     return of, places, grams[places]
 
@@ -78,21 +91,25 @@ def _several(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def anchor_rows(rows: DataFrame, width: int) -> DataFrame:
     """(key, text_key, place): place -1 only witnesses that the text has the anchor; below -1 the
-    anchor is known to repeat, the place is -2 - place and the key any number."""
+    anchor is known to repeat, the place is -2 - place and the key any number. The anchors of
+    rows that are ``shared`` (their key is that of different texts) count as known."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_slices(batch):
-                ids = batch.column(0).slice(start, len(texts)).to_pylist()
-                once = dict(zip(ids, texts, strict=True))  # a text once
-                found = {i: anchors(words, width)[1:] for i, words in zip(once, word_hashes(list(once.values())), strict=True)}
-                keys = np.concatenate([k for _, k in found.values()]).view(np.int64)
+                ids, shared = (batch.column(c).slice(start, len(texts)).to_pylist() for c in (0, 2))
+                once = {(i, raw if s else None): raw for i, raw, s in zip(ids, texts, shared, strict=True)}  # a text once
+                found = [anchors(words, width)[1:] for words in word_hashes(list(once.values()))]
+                keys = np.concatenate([k for _, k in found]).view(np.int64)
                 if not len(keys):
                     continue
-                places = np.concatenate([p for p, _ in found.values()])
-                owners = np.repeat(list(found), [len(p) for p, _ in found.values()])
+                places = np.concatenate([p for p, _ in found])
+                sizes = [len(p) for p, _ in found]
+                owners = np.repeat(np.array([i for i, _ in once], np.int64), sizes)
                 order, known = _several(keys, owners)
                 keys, places, owners = keys[order], places[order], owners[order]
+                if any(shared):
+                    known |= np.repeat([raw is not None for _, raw in once], sizes)[order]
                 # a known key's first and last row, which are of different texts, witness it
                 edge = keys[1:] != keys[:-1]
                 witness = known & (np.concatenate([[True], edge]) | np.concatenate([edge, [True]]))
@@ -104,7 +121,7 @@ def anchor_rows(rows: DataFrame, width: int) -> DataFrame:
                                               np.full(witness.sum(), -1)]).astype(np.int32))],
                     ["key", "text_key", "place"])
 
-    return rows.select("text_key", "text").mapInArrow(scan, "key bigint, text_key bigint, place int")
+    return rows.select("text_key", "text", "shared").mapInArrow(scan, "key bigint, text_key bigint, place int")
 
 
 def repeated_places(found: DataFrame) -> DataFrame:
@@ -143,7 +160,9 @@ def repeated_places(found: DataFrame) -> DataFrame:
     return merged.distinct().groupBy("text_key").agg(F.collect_list("place").alias("places"))
 
 
-PLACES = "doc_key bigint, text_key bigint, anchor bigint, words_key bigint, start int"
+PLACES = "doc_key bigint, text_key bigint, check_key bigint, anchor bigint, words_key bigint, start int"
+#: What tells a row from others: its id and two hashes of its text.
+ROW = ["doc_key", "text_key", "check_key"]
 DISTINCT = "anchor bigint, words_key bigint, words binary, first bigint, last bigint"
 
 
@@ -162,28 +181,28 @@ def segments(held: DataFrame, width: int, distinct: bool) -> DataFrame:
                 seen: dict[tuple[int, bytes], list[int]] = {}
                 for j, (raw, hashed) in enumerate(zip(texts, word_hashes(texts), strict=True), start):
                     of, places, keys = anchors(hashed, width)
-                    wanted = np.isin(places, batch.column(3)[j].values.to_numpy())
+                    wanted = np.isin(places, batch.column(4)[j].values.to_numpy())
                     if not wanted.any():
                         continue
-                    doc, text, words = batch.column(0)[j].as_py(), batch.column(1)[j].as_py(), raw.split()
+                    row, words = tuple(batch.column(c)[j].as_py() for c in range(3)), raw.split()
                     first = np.searchsorted(of, places[wanted]).tolist()
                     last = (np.searchsorted(of, places[wanted], "right") - 1 + width).tolist()
                     for key, b, e in zip(keys[wanted].view(np.int64).tolist(), first, last, strict=True):
                         segment = b" ".join(words[b:e])
                         if distinct:
-                            ends = seen.setdefault((key, segment), [doc, doc])
-                            ends[0], ends[1] = min(ends[0], doc), max(ends[1], doc)
+                            ends = seen.setdefault((key, segment), [row[0], row[0]])
+                            ends[0], ends[1] = min(ends[0], row[0]), max(ends[1], row[0])
                         else:
-                            out.append((doc, text, key, _words_key(segment), b))
+                            out.append((*row, key, _words_key(segment), b))
                 if distinct:
                     out = [(key, _words_key(words), words, *ends) for (key, words), ends in seen.items()]
-                columns = list(zip(*out, strict=True)) or [()] * 5
                 fields = (DISTINCT if distinct else PLACES).split(", ")
+                columns = list(zip(*out, strict=True)) or [()] * len(fields)
                 yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[f.split()[1]]) for c, f in zip(columns, fields, strict=True)],
                                                  [f.split()[0] for f in fields])
 
     # all columns go in, for both kinds to share one shuffle of the texts
-    return held.select("doc_key", "text_key", "text", "places", "doc_id").mapInArrow(cut, DISTINCT if distinct else PLACES)
+    return held.select(*ROW, "text", "places", "doc_id").mapInArrow(cut, DISTINCT if distinct else PLACES)
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -238,26 +257,37 @@ def repeats(parts: DataFrame, width: int) -> DataFrame:
             .mapInArrow(search, "anchor bigint, words_key bigint, least array<bigint>"))
 
 
+def _check_key(text: Column) -> Column:
+    """A second hash of a text, from another seed."""
+    return F.xxhash64(F.lit("check"), text)
+
+
 def removed_words(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text, copy, starts) of every row: whether all its windows repeat, or else where those begin that do."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(),
-                       F.coalesce("text", F.lit("")).alias("text"))
-    firsts = rows.groupBy("text_key").agg(F.min("doc_key").alias("first"))
-    places = shared_table(repeated_places(anchor_rows(rows, width)).join(firsts, "text_key")
-                          .select(F.col("first").alias("doc_key"), "text_key", "places"), "anchor-places")
+                       F.coalesce("text", F.lit("")).alias("text")).withColumn("check_key", _check_key(F.col("text")))
+    firsts = shared_table(rows.groupBy("text_key", "check_key").agg(F.min("doc_key").alias("first")), "first-ids")
+    clash = firsts.groupBy("text_key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("text_key")
+    # 64-bit keys of different texts: 300 among 10^11 texts; were there many, the keys would be no hashes
+    clash = [r[0] for r in clash.limit(MAX_SHARED + 1).collect()]
+    if len(clash) > MAX_SHARED:
+        raise ValueError(f"over {MAX_SHARED} text keys stand for several texts")
+    known = rows.withColumn("shared", F.col("text_key").isin(clash) if clash else F.lit(False))
+    places = shared_table(repeated_places(anchor_rows(known, width)).join(firsts, "text_key")
+                          .select(F.col("first").alias("doc_key"), "text_key", "check_key", "places"), "anchor-places")
     # one shuffle of the texts by row serves both the segments and the result
-    dealt = rows.repartition("doc_key", "text_key")
-    held = dealt.join(places, ["doc_key", "text_key"]).select("doc_key", "text_key", "doc_id", "text", "places")
+    dealt = rows.repartition(*ROW)
+    held = dealt.join(places, ROW).select(*ROW, "doc_id", "text", "places")
     least = repeats(segments(held, width, distinct=True), width)
     back = (segments(held, width, distinct=False).join(least, ["anchor", "words_key"])
             .withColumn("starts", F.filter(
                 F.transform("least", lambda v, i: F.when(v < F.col("doc_key"), F.col("start") + i)), lambda s: s.isNotNull()))
             .filter(F.size("starts") > 0)
-            .groupBy("doc_key", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts")))
-    copies = (rows.select("doc_key", "text_key").join(firsts, "text_key").filter("doc_key > first")
-              .select("doc_key", "text_key").distinct().withColumn("copy", F.lit(True)))
-    return (dealt.join(back, ["doc_key", "text_key"], "left").join(copies, ["doc_key", "text_key"], "left")
+            .groupBy(*ROW).agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    copies = (rows.select(*ROW).join(firsts, ["text_key", "check_key"]).filter("doc_key > first")
+              .select(*ROW).distinct().withColumn("copy", F.lit(True)))
+    return (dealt.join(back, ROW, "left").join(copies, ROW, "left")
             .select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts"))
 
 

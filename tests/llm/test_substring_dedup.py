@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from failurelens.llm import substring_dedup as X
 from failurelens.llm.fm_index import FmIndex
@@ -106,3 +107,30 @@ def test_matching_statistics():
         for q, found in zip(queries, match, strict=True):
             for p in range(len(q)):
                 assert found[p] == max([0] + [n for n in range(1, depth + 1) if tuple(q[p:p + n]) in known and p + n <= len(q)])
+
+
+def test_long_texts_in_pieces(make_docs, monkeypatch):
+    """A piece of 64 places must give the anchors, and so the repeats, of whole texts."""
+    rng = np.random.default_rng(5)
+    hashed = rng.integers(0, 9, 1000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    whole = X.anchors(hashed, 13)
+    rows = case(11, 60)
+    monkeypatch.setattr(X, "PLACE_BITS", 6)
+    for n in (12, 13, 63, 64, 65, 76, 77, 1000):
+        of, places, keys = X.anchors(hashed[:n], 13)
+        assert len(of) == max(0, n - 12) and (np.diff(of) >= 0).all() and (of >= np.arange(len(of))).all()
+        assert (of - np.arange(len(of)) <= 8).all() and len(places) == len(keys) == len(set(of.tolist()))
+    assert np.mean(X.anchors(hashed, 13)[0] == whole[0]) > 0.9  # fewer bits of the hash decide than before
+    assert got(X.report(make_docs(rows))) == brute(rows, 13)
+
+
+def test_texts_with_one_hash_are_told_apart(make_docs, monkeypatch):
+    """All texts share two first hashes: nothing may be taken for a copy, nothing missed."""
+    weak = lambda: [X.F.coalesce(X.F.col("doc_id"), X.F.lit((1 << 63) - 1)).alias("doc_key"),
+                    (X.F.length(X.F.coalesce("text", X.F.lit(""))) % 2).cast("long").alias("text_key")]
+    rows = case(12, 80)
+    monkeypatch.setattr(X, "row_key", weak)
+    assert got(X.report(make_docs(rows))) == brute(rows, 13)
+    monkeypatch.setattr(X, "MAX_SHARED", 1)
+    with pytest.raises(ValueError, match="text keys"):
+        X.report(make_docs(rows))
