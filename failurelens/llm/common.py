@@ -42,6 +42,14 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text",
                 size: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as UTF-8) of consecutive row ranges holding about ``size`` bytes; null is empty."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from failurelens.llm.common import prepare, row_key, shared_table, text_slices
+from failurelens.llm.common import prepare, row_key, shared_table, text_slices, unused
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -292,10 +292,11 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFr
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark, all columns as they were."""
     bad = contamination(docs, benchmark, width).filter(F.size("words") > 0)
-    bad = bad.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    tagged = docs.withColumn("__own", row_key()[1])
-    same = tagged["doc_id"].cast("long").eqNullSafe(bad["__id"]) & (tagged["__own"] == bad["__key"])
-    return tagged.join(bad, same, "left_anti").drop("__own")
+    own, named, key = (unused(docs, c) for c in ("own_key", "bad_id", "bad_key"))
+    bad = bad.select(F.col("doc_id").alias(named), F.col("text_key").alias(key)).distinct()
+    tagged = docs.withColumn(own, row_key()[1])
+    same = tagged["doc_id"].cast("long").eqNullSafe(bad[named]) & (tagged[own] == bad[key])
+    return tagged.join(bad, same, "left_anti").drop(own)
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -12,7 +12,8 @@ Other digests are complete after their first merge, so each text is shuffled onc
 
 Defined results: a null text counts as empty; the row with the largest id stays, a null
 id loses against any other and stays only if the group has no other; rows that repeat
-both id and text are one document, all marked alike; an empty table gives an empty
+both id and text are one document, all marked alike in the report, of which
+``drop_duplicates`` keeps one row (any, if other columns differ); an empty table gives an empty
 result; other columns are ignored. A digest shared by different texts is settled by
 comparing the texts themselves.
 """
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from failurelens.llm.common import shared_table
+from failurelens.llm.common import shared_table, unused
 
 #: A digest is spread over salts if it has more than one row in this many.
 HOT_SHARE = 1024
@@ -73,13 +74,17 @@ def duplicate_report(docs: DataFrame, salts: int = SALTS, digest=sha256_hex) ->
 
 
 def drop_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were."""
-    mine = ["__keep_id", "__sha"]
+    """The rows of ``docs`` that stay, one for each text, all columns as they were.
+
+    One shuffle deals the rows by text digest and id: copies have different ids, and rows
+    that repeat both are merged within their partition before it.
+    """
+    sha, own, null = (unused(docs, c) for c in ("own_sha", "own_id", "own_null"))
+    tag = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(own), F.col("doc_id").isNull().alias(null)]
     keep = (duplicate_report(docs, salts).filter("kept")
-            .select(F.col("keep_id").alias(mine[0]), F.col("text_sha256").alias(mine[1])).distinct())
-    tagged = docs.withColumn("__own", sha256_hex(F.coalesce(F.col("text"), F.lit(""))))
-    match = (tagged["__own"] == keep[mine[1]]) & tagged["doc_id"].eqNullSafe(keep[mine[0]])
-    return tagged.join(keep, match, "left_semi").drop("__own")
+            .select(F.col("text_sha256").alias(sha), F.col("keep_id").alias("doc_id")).select(sha, *tag).distinct())
+    tagged = docs.select("*", sha256_hex(F.coalesce(F.col("text"), F.lit(""))).alias(sha), *tag)
+    return tagged.dropDuplicates([sha, own, null]).join(keep, [sha, own, null], "left_semi").drop(sha, own, null)
 
 
 ORACLE = """

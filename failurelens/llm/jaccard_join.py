@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from failurelens.llm.common import prepare, shared_table, text_slices
+from failurelens.llm.common import prepare, shared_table, text_slices, unused
 from failurelens.llm.shingles import mix, shingle_set, word_hashes
 
 #: Token classes, and the parts in which their counts are summed.
@@ -416,8 +416,9 @@ def similarity_components(docs: DataFrame, rule: Rule) -> DataFrame:
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, all columns as they were; null ids stay."""
     found = similarity_components(docs, rule).filter("component_id <> doc_id")
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    name = unused(docs, "gone_id")
+    gone = found.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 ORACLE = r"""

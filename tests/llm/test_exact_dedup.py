@@ -49,3 +49,13 @@ def test_drop_duplicates_keeps_columns_and_rows(make_docs, clash):
 def test_empty(make_docs):
     assert X.duplicate_report(make_docs([])).collect() == []
     assert X.drop_duplicates(make_docs([])).collect() == []
+
+
+def test_drop_duplicates_leaves_one_of_rows_that_repeat_id_and_text(make_docs):
+    docs = make_docs([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c"), (3, None), (3, "")] + [(9, "hot")] * 50)
+    docs = docs.withColumns({c: F.lit(c) for c in ("__own", "own_sha", "OWN_ID", "_own_sha", "own_null")})
+    left = X.drop_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == [
+        ("1", "a"), ("2", "b"), ("3", ""), ("9", "hot"), ("None", "c")]
+    assert {(r["__own"], r["own_sha"], r["OWN_ID"]) for r in left.collect()} == {("__own", "own_sha", "OWN_ID")}
