@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -228,7 +229,7 @@ RESULTS = {
 }
 ARROW = {"ids": pa.list_(pa.int64()), "n_tokens": pa.int64()}
 
-_WORKER: dict[int, Encoder] = {}
+_WORKER: dict[str, Encoder] = {}
 
 
 def _encoder(tables) -> Encoder:
@@ -240,10 +241,10 @@ def _encoder(tables) -> Encoder:
 
 
 class _Broadcast:
-    """A broadcast with its id, which keeps one encoder to each."""
+    """A broadcast with a name of its own, which keeps one encoder to each."""
 
     def __init__(self, spark, value):
-        self.id = id(value)
+        self.id = uuid.uuid4().hex
         self._held = spark.sparkContext.broadcast(value)
 
     @property

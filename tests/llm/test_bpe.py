@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -82,3 +83,24 @@ def test_decode_column_and_empty_table(spark, make_docs):
     nulls = spark.createDataFrame([(None,), ([],)], "ids array<bigint>")
     assert sorted(str(r.decoded) for r in bpe.decode(nulls, PATH).collect()) == ["", "None"]
     assert bpe.tokenize(make_docs([]), PATH, ["ids"]).collect() == []
+
+
+def test_two_vocabularies_in_one_session(make_docs, tmp_path):
+    """Two files used in turn by the same workers: each encodes with its own merges."""
+    with open(PATH) as f:
+        held = json.load(f)
+    merges = held["model"]["merges"]
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+    gone = set(made[len(made) // 2:]) - set(made[:len(made) // 2])
+    held["model"]["merges"] = merges[:len(merges) // 2]
+    held["model"]["vocab"] = {t: i for t, i in held["model"]["vocab"].items() if t not in gone}
+    small = str(tmp_path / "half.json")
+    with open(small, "w") as f:
+        json.dump(held, f)
+    texts = ["The referee explained the extraordinary circumstances", "naïve café", "internationalisation of 12345 widgets"]
+    docs = make_docs(list(enumerate(texts)))
+    for _ in range(2):
+        for file in (PATH, small):
+            library = Tokenizer.from_file(file)
+            found = {r.doc_id: r.ids for r in bpe.tokenize(docs, file, ["ids"]).collect()}
+            assert [found[i] for i in range(3)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
