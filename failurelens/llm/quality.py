@@ -72,6 +72,16 @@ def term_vectors(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` greatest of each row, of equal ones the first."""
+    last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1:k]
+    above, tied = cosine > last, cosine == last
+    free = k - above.sum(1, keepdims=True)
+    if (tied.sum(1, keepdims=True) > free).any():
+        tied &= np.cumsum(tied, axis=1, dtype=np.int32) <= free
+    return np.nonzero(above | tied)[1].reshape(len(cosine), k)
+
+
 class Neighbours:
     """The fitted space and the labelled vectors in it."""
 
@@ -100,8 +110,7 @@ class Neighbours:
         out, k = [], min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(texts), block):
             cosine = self.latent(term_vectors(texts[i:i + block])) @ self.vectors.T
-            near = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if k == len(self.labels) else (
-                np.argpartition(-cosine, k - 1, axis=1)[:, :k])
+            near = nearest(cosine, k)
             weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3) ** SHARPNESS
             out.append((weight * self.labels[near]).sum(1) / weight.sum(1))
         return np.clip(np.concatenate(out).astype(np.float64), 0, 1)

@@ -7,13 +7,15 @@ score. All windows of ``WINDOW`` words, each overlapping the next by half, are s
 a document scores as its highest window.
 
 The network is fitted on the driver on at most ``SAMPLE`` documents of label 1 and
-``PER_TOXIC`` times as many of label 0, of at most ``SAMPLE_CHARS`` characters each
-(documented bounds of the fit; scoring has none). Only documents are labelled, so each
-pass learns from a document's highest window, and for label 0 also from a random one;
+``PER_TOXIC`` times as many of label 0 (documented bounds of the fit; scoring has none).
+Texts of up to ``SAMPLE_CHARS`` characters come first; where a label has too few of these,
+longer ones enter with pieces of so many characters together, spread over the whole text.
+Only documents are labelled, so each pass learns from a document's highest window, and for label 0 also from a random one;
 each pass takes all documents of label 1 and some of label 0.
 
 Defined results: a null text, an empty one, and one without words score 0; without rows of
-both labels all score 0; a repeated label row counts once, the larger label winning; rows
+both labels all score 0; labelled rows of both kinds from which no network can be fitted, all
+of one kind being wordless, are an error; a repeated label row counts once, the larger label winning; rows
 of equal text get equal scores; extra columns are ignored.
 """
 
@@ -34,6 +36,7 @@ from failurelens.llm.common import prepare, text_slices
 SAMPLE = 1000
 PER_TOXIC = 4
 SAMPLE_CHARS = 8_000
+PIECES = 20
 WINDOW = 32
 STEP = 16
 WORD_BUCKETS = 1 << 13
@@ -328,15 +331,30 @@ def _adagrad(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.nda
     table[held] -= rate * total / np.sqrt(seen[held])[:, None]
 
 
+def pieces(text: Column, size: int) -> Column:
+    """Up to ``size`` characters of a text: all of it, or ``PIECES`` spans at even distances over it."""
+    n, each = F.length(text), size // PIECES
+    starts = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.floor(i * (n - each) / (PIECES - 1)) + 1)
+    spans = F.transform(starts, lambda s: F.substring(text, s.cast("int"), F.lit(each)))
+    return F.when(n <= size, text).otherwise(F.array_join(spans, "\n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, chosen: Column, label: str = "toxic", sample: int = SAMPLE) -> Network:
     """Train on a sample of the labelled rows for which ``chosen`` holds, taken by a hash of their id."""
     known = labels.filter(F.col(label).isNotNull() & chosen).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    by_hash = lambda y, n: known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = known.join(texts.select("doc_id", F.length("text").alias("n")), "doc_id").groupBy("doc_id", "label").agg(F.min("n").alias("n"))
+    by_hash = lambda y, n: (sizes.filter(F.col("label") == y)
+                            .orderBy(F.col("n") > SAMPLE_CHARS, F.xxhash64("doc_id"), "doc_id").limit(n))
     some = by_hash(1, sample).unionByName(by_hash(0, PER_TOXIC * sample))
-    held = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-            .join(F.broadcast(some), "doc_id").select("doc_id", "label", "text").toPandas())
-    held = held.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return train([t.encode() for t in held["text"]], held["label"].to_numpy())
+    # of rows that repeat an id, a shortest text
+    held = (texts.join(F.broadcast(some), "doc_id").filter(F.length("text") == F.col("n"))
+            .select("doc_id", "label", pieces(F.col("text"), SAMPLE_CHARS).alias("text"))
+            .groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id"))
+    network = train([t.encode() for t in held["text"]], held["label"].to_numpy())
+    if not network.ready and held["label"].nunique() == 2:
+        raise ValueError("all labelled documents of one kind are wordless: no network can be fitted")
+    return network
 
 
 def score(docs: DataFrame, network: Network, held: Column, threshold: float = 0.3) -> DataFrame:

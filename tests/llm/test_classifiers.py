@@ -243,3 +243,34 @@ def test_toxicity_reads_long_runs_to_their_end():
     scorer = toxicity.Scorer(toxicity.Network())
     plain, other = scorer.scores([("x" * 30 + end).encode() for end in ("xxxxxx", "poison")])
     assert plain != other
+
+
+def test_nearest_takes_the_first_of_equal_ones():
+    rng = np.random.default_rng(2)
+    cosine = rng.integers(0, 4, (200, 30)).astype(np.float32)
+    for k in (1, 7, 15, 30):
+        plain = np.sort(np.argsort(-cosine, axis=1, kind="stable")[:, :k], axis=1)
+        assert (quality.nearest(cosine, k) == plain).all()
+
+
+def test_fit_takes_pieces_of_long_texts_where_no_short_ones_are(spark, make_docs):
+    """With long labelled texts only, the fit still learns; wordless texts of a kind are an error."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(80):
+        words = [rng.choice(["tree", "river", "stone", "cloud", "road"]) for _ in range(2000)]
+        if i % 2:
+            words[::8] = ["vilescum"] * len(words[::8])
+        rows.append((i, " ".join(words)))
+    docs = make_docs(rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    assert all(len(t) > toxicity.SAMPLE_CHARS for _, t in rows)
+    network = toxicity.fit(docs, labels, F.col("doc_id") < 60)
+    found = {r.doc_id: r["score"] for r in toxicity.with_score(docs, network).collect()}
+    assert all((found[i] >= 0.3) == bool(i % 2) for i in range(60, 80))
+    short = docs.select(toxicity.pieces(F.col("text"), 8000).alias("t")).collect()
+    assert all(0 < len(r.t) <= 8000 + toxicity.PIECES for r in short)
+    assert [r.t for r in make_docs([(1, "ab")]).select(toxicity.pieces(F.col("text"), 8000).alias("t")).collect()] == ["ab"]
+    with pytest.raises(ValueError, match="wordless"):
+        toxicity.fit(make_docs([(1, "..."), (2, "some words")]),
+                     spark.createDataFrame([(1, 1), (2, 0)], labels.schema), F.lit(True))
