@@ -13,13 +13,15 @@ pseudonym is again a valid value of its kind, written in the same format:
 * date: YYYY-MM-DD, DD-MM-YYYY (also with dots), MM/DD/YYYY and YYYY/MM/DD that exist in
   the years 1800 to 2199, a whole cycle of the calendar of 146,097 = 189 * 773 days;
 * phone: +country code and 7 to 14 more digits, or three groups of 3, 3 and 4 digits; the
-  country code stays;
-* email: letters stay letters of their case and digits stay digits in the part before the @.
+  country code stays, by the table of calling codes, so a number keeps its pseudonym however
+  its digits are grouped;
+* email: in the part before the @ letters stay letters of their alphabet (Latin with its
+  accents, Greek, Cyrillic) and case, digits stay digits; letters of other scripts stay.
 
 A number that fails its check is no such value and stays as it is; what its match took of
-the text is tried again, shorter and from the next character on, so values directly beside
-it or each other are found. A phone has 15 digits at most. The main path is column
-expressions in one pass without a shuffle.
+the text is tried again at every later place, so values directly beside it or each other are
+found. A phone has 15 digits at most. The main path is column expressions in one pass without
+a shuffle. Its time grows with the text's length: each place is matched and checked once.
 
 Defined results: a null text stays null with no finds; an empty text or one without a
 valid value stays as it is; every row gives one row; other columns are kept.
@@ -33,11 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from failurelens.functions.text import let
+from failurelens.llm.common import unused
 
 ROUNDS = 10
 
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{M}\p{N}_.%+-])[\p{L}\p{M}\p{N}_.%+-]+@(?:[\p{L}\p{M}\p{N}-]+\.)+[\p{L}\p{M}]{2,}",
     "date": r"(?<!\d)(?:\d{4}[-/]\d\d[-/]\d\d|\d\d[-/.]\d\d[-/.]\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
@@ -58,10 +61,13 @@ PATTERNS["phone"] = (
     r"|(?<![\w-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?![\w-])")
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KINDS = tuple(PATTERNS)
-#: The next match behind one character of context.
-NEXT = f"(?s)^(..*?)({ANY})"
-#: Behind white space where no value goes on: its spaces stand between capitals, digits and brackets.
-CUT = r"(?<=\s)(?<![A-Z0-9)] )|(?<=\s)(?![A-Z0-9(])"
+#: A place where a value may start, with the match there.
+HERE = f"(?=({ANY}))"
+#: Country calling codes (fixed values); none is the start of another, all others have three digits.
+CALLING_CODE = r"^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Letters outside a-z that e-mail names are shifted in.
+ALPHABETS = ("àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "αβγδεζηθικλμνξοπρστυφχψω",
+             "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {n: c.split() for n, c in {
@@ -201,32 +207,51 @@ def _found(m: Column) -> Column:
                                         F.coalesce(v, m).alias("m")))
 
 
-def _walked(part: Column) -> Column:
-    """All values of a part of a text in turn, each with the text before it; the last has only text.
+def _walked(t: Column) -> Column:
+    """All values of a text in turn, each with the text before it; the last has only text.
 
-    A match without a valid value is passed by one character only, so what it took is tried again."""
+    The text is cut before every place where some pattern matches, and each place's match is
+    checked once. Then one fold from left to right takes a valid value unless it starts inside
+    the last one taken. A match without a valid value takes no text, so what it ran into is
+    tried at its own place. The fold goes by blocks of about the root of the number of places.
+    """
     hit = "array<struct<p:string,kind:string,m:string>>"
-    start = F.struct(F.array().cast(hit).alias("out"), F.lit("").alias("p"), F.concat(F.lit("\n"), part).alias("rest"))
-
-    def step(s: Column, _: Column) -> Column:
-        before, m = F.regexp_extract(s["rest"], NEXT, 1), F.regexp_extract(s["rest"], NEXT, 2)
-
-        def put(b: Column, v: Column) -> Column:
-            plain = F.concat(s["p"], F.substring(b, F.lit(2), F.length(b)))
-            good = v["kind"].isNotNull()
-            taken = F.when(good, F.length(v["m"])).otherwise(F.lit(1))
-            new = F.array(F.struct(plain.alias("p"), v["kind"].alias("kind"), v["m"].alias("m")))
-            return F.struct(F.when(good, F.concat(s["out"], new)).otherwise(s["out"]).alias("out"),
-                            F.when(good, F.lit("")).otherwise(F.concat(plain, F.substring(v["m"], 1, 1))).alias("p"),
-                            F.substring(s["rest"], F.length(b) + taken, F.length(s["rest"])).alias("rest"))
-
-        return F.when(s["rest"].rlike(NEXT), let(before, lambda b: let(let(m, _found), lambda v: put(b, v)))).otherwise(s)
-
-    def end(s: Column) -> Column:
-        tail = F.concat(s["p"], F.substring(s["rest"], F.lit(2), F.length(s["rest"])))
-        return F.concat(s["out"], F.array(F.struct(tail.alias("p"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("m"))))
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), start, step, end)
+    own = F.concat(F.lit("\n"), t)  # so that the first cut always has text before it
+    place = F.struct(F.lit(0).alias("cover"), F.lit("").alias("p"), F.array().cast(hit).alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        taken = (s["cover"] <= 0) & c["kind"].isNotNull()
+        new = F.struct(s["p"].alias("p"), F.when(taken, c["kind"]).alias("kind"),
+                       F.when(taken, c["m"]).otherwise(F.lit("")).alias("m"))
+        cover = F.when(taken, F.length(c["m"])).otherwise(F.greatest(s["cover"], F.lit(0)))
+        return let(cover, lambda n: F.struct((n - F.length(c["piece"])).alias("cover"),
+                                             F.substring(c["piece"], n + 1, F.length(c["piece"])).alias("p"),
+                                             F.concat(s["out"], F.array(new)).alias("out")))
+
+    def folded(pieces: Column, found: Column) -> Column:
+        places = F.zip_with(F.slice(pieces, F.lit(2), F.size(found)), found, lambda x, h: F.struct(
+            x.alias("piece"), h["kind"].alias("kind"), h["m"].alias("m")))
+        width = F.ceil(F.sqrt(F.size(found))).cast("int")
+        first = F.substring(F.get(pieces, F.lit(0)), F.lit(2), F.length(own))
+        start = F.struct(F.lit(0).alias("cover"), first.alias("p"), F.array().cast(f"array<{hit}>").alias("out"))
+
+        def block(all_places: Column, n: Column) -> Callable[[Column, Column], Column]:
+            def run(s: Column, i: Column) -> Column:
+                state = F.struct(s["cover"].alias("cover"), s["p"].alias("p"), place["out"].alias("out"))
+                inner = F.aggregate(F.slice(all_places, i * n + 1, n), state, step)
+                return let(inner, lambda r: F.struct(r["cover"].alias("cover"), r["p"].alias("p"),
+                                                     F.concat(s["out"], F.array(r["out"])).alias("out")))
+            return run
+
+        def end(s: Column) -> Column:
+            return F.concat(F.flatten(s["out"]), F.array(F.struct(
+                s["p"].alias("p"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("m"))))
+
+        return let(places, lambda ps: let(width, lambda n: F.aggregate(
+            F.sequence(F.lit(0), n - 1), start, block(ps, n), end)))
+
+    matches = F.regexp_extract_all(own, F.lit(HERE), F.lit(1))
+    return let(F.split(own, HERE, -1), lambda pieces: let(F.transform(matches, _found), lambda found: folded(pieces, found)))
 
 
 def _card(key: str, m: Column) -> Column:
@@ -274,9 +299,12 @@ def _date(key: str, m: Column) -> Column:
 
 
 def _phone(key: str, m: Column) -> Column:
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ (.-])|^\+\d|^", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, _refill(rest, _permuted_digits(key, "phone", _digits(rest))))
+    """All digits behind the country code are permuted, however they are grouped."""
+    def written(d: Column) -> Column:
+        code = F.when(m.startswith("+"), F.regexp_extract(d, CALLING_CODE, 0)).otherwise(F.lit(""))
+        return let(code, lambda c: _refill(m, F.concat(
+            c, _permuted_digits(key, "phone", F.substring(d, F.length(c) + 1, F.length(d))))))
+    return let(_digits(m), written)
 
 
 def _email(key: str, m: Column) -> Column:
@@ -289,8 +317,14 @@ def _email(key: str, m: Column) -> Column:
         def moved(c: Column, i: Column) -> Column:
             k = F.conv(F.substring(by, (i % 31) * 2 + 1, F.lit(2)), 16, 10).cast("int")
             turn = lambda first, n: F.char(F.pmod(F.ascii(c) - first + k, F.lit(n)) + first)
-            return (F.when(c.rlike("[a-z]"), turn(97, 26)).when(c.rlike("[A-Z]"), turn(65, 26))
-                    .when(c.rlike("[0-9]"), turn(48, 10)).otherwise(c))
+            ascii_only = (F.when(c.rlike("[a-z]"), turn(97, 26)).when(c.rlike("[A-Z]"), turn(65, 26))
+                          .when(c.rlike("[0-9]"), turn(48, 10)).otherwise(c))
+            other = c
+            for letters in ALPHABETS:
+                at = F.instr(F.lit(letters), c)
+                other = F.when(at > 0, F.substring(F.lit(letters), F.pmod(at - 1 + k, F.lit(len(letters))) + 1, F.lit(1))
+                               ).otherwise(other)
+            return F.when(c.rlike("[^\\x00-\\x7F]"), other).otherwise(ascii_only)
         return F.array_join(F.transform(_chars(text), moved), "")
 
     def turn(s: Column, i: Column) -> Column:
@@ -323,8 +357,7 @@ def _hits(text: Column) -> Column:
             p.alias("p"), h["kind"].alias("kind"), F.coalesce(h["m"], F.lit("")).alias("m")))
         # a failed match may hide other values, but for a run of digits
         hidden = F.exists(F.zip_with(ms, found, lambda m, h: (h["m"] != m) | (h["kind"].isNull() & ~m.rlike(r"^\d+$"))), lambda x: x)
-        again = F.flatten(F.transform(F.split(t, CUT, -1), _walked))
-        return F.when(F.size(ms) == 0, F.array().cast(hit)).when(hidden, again).otherwise(plain)
+        return F.when(F.size(ms) == 0, F.array().cast(hit)).when(hidden, _walked(t)).otherwise(plain)
 
     def matched(t: Column) -> Column:
         ms = F.when(t.rlike(r"[\d@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
@@ -335,12 +368,16 @@ def _hits(text: Column) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` rewritten and n_<kind> counts of the values replaced."""
-    joined = F.array_join(F.transform(F.col("__hits"), lambda h: F.concat(h["p"], pseudonym(key, h["kind"], h["m"]))), "")
-    any_valid = F.exists(F.col("__hits"), lambda h: h["kind"].isNotNull())
-    kinds = F.col("__hits")["kind"]
+    """``docs`` with ``text`` rewritten and n_<kind> counts of the values replaced.
+
+    An input column that is itself called n_<kind> is overwritten; all others are kept.
+    """
+    found = unused(docs, "hits")
+    joined = F.array_join(F.transform(F.col(found), lambda h: F.concat(h["p"], pseudonym(key, h["kind"], h["m"]))), "")
+    any_valid = F.exists(F.col(found), lambda h: h["kind"].isNotNull())
+    kinds = F.col(found)["kind"]
     counts = {f"n_{k}": F.size(kinds) - F.size(F.array_remove(F.transform(kinds, lambda x: F.coalesce(x, F.lit(""))), k))
               for k in KINDS}
-    return (docs.withColumn("__hits", _hits(F.col(text)))
+    return (docs.withColumn(found, _hits(F.col(text)))
             .withColumn(text, F.when(any_valid, joined).otherwise(F.col(text)))
-            .withColumns(counts).drop("__hits"))
+            .withColumns(counts).drop(found))

@@ -159,3 +159,39 @@ def test_plan_has_no_shuffle_or_python(spark, clash):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas"))
     assert set(docs.columns) <= set(df.columns) and df.limit(0).count() == 0
+
+
+def test_long_rows_of_failing_matches_take_linear_time(spark):
+    """Capitals, digits and cards that fail their check, beside a value that is found."""
+    import time
+    from pyspark.sql import functions as F
+    line = "CARD 4111 1111 1111 1112 X AB 12 CD34 [7] "
+    took = {}
+    for n in (1_000, 200_000):
+        text = line * (n // len(line)) + "8.8.8.8 " + line * 3
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        row = pii.pseudonymise(docs, KEY).select("n_ip", "n_card", F.length("text").alias("n")).first()
+        took[n] = time.time() - start
+        assert (row.n_ip, row.n_card) == (1, 0) and abs(row.n - len(text)) <= 8
+    assert took[200_000] < 10, took
+
+
+def test_a_phone_is_linked_however_it_is_written(spark):
+    forms = ["+49 30 1234567", "+49301234567", "+49 (30) 123-4567", "+49-301-234-567", "+1 415 555 2671", "+14155552671",
+             "+351 21 1234567", "+351211234567"]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame([(f,) for f in forms], "text string"), KEY).collect()]
+    bare = [re.sub(r"\D", "", t) for t in out]
+    assert len(set(bare[:4])) == len(set(bare[4:6])) == len(set(bare[6:])) == 1
+    assert bare[0].startswith("49") and bare[4].startswith("1") and bare[6].startswith("351")
+    assert bare[0] == "49" + digits("phone", "301234567")
+    assert [re.sub(r"\d", "9", t) for t in out] == [re.sub(r"\d", "9", f) for f in forms]
+
+
+def test_names_of_other_letters(spark):
+    forms = ["jürgen@web.de", "JÜRGEN@web.de", "иван.7@почта.рф", "ναι@a.gr", "jürgen@web.de"]
+    rows = pii.pseudonymise(spark.createDataFrame([(f,) for f in forms], "text string").coalesce(1), KEY).collect()
+    out = [r.text for r in rows]
+    assert all(r.n_email == 1 for r in rows) and out[0] == out[4] and len(set(out)) == 4
+    assert re.fullmatch("[a-z][à-ÿ][a-z]{4}@web.de", out[0]) and re.fullmatch("[а-я]{4}\\.[0-9]@почта.рф", out[2])
+    assert re.fullmatch("[α-ω]{3}@a.gr", out[3]) and all(o != f for o, f in zip(out, forms))
