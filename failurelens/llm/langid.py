@@ -8,12 +8,14 @@ piece counts are summed over **all** training documents. A task sends at most on
 each language and piece, so what is shuffled and collected is bounded by the vocabulary.
 
 Characters outside the vocabulary are pieces of a byte-like class of their own, so every
-word has a segmentation. All distinct words of a slice are processed together, by length.
+word has a segmentation. All pieces of letters count, and words of any length are summed
+whole: the sums are rescaled on the way, and a long word's pieces are looked up in blocks.
+Distinct words are processed together, by length; a task of the fit counts its words first
+and takes each through the passes once for every WORD_MEMO distinct ones.
 
 Defined results: ``und`` with score 0 for a null text, one without letters, and any text if
 no document could be learned from; rows without a language are not learned from; ties go
-to the language that sorts first; very long words are cut into parts of ``MAX_WORD``
-characters; repeated rows get equal results; extra columns are ignored.
+to the language that sorts first; repeated rows get equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ from pyspark.sql import functions as F
 from failurelens.llm.common import prepare, text_slices
 
 UNKNOWN = "und"
-#: Longest piece used and longest word taken as one, in characters.
-MAX_PIECE = 8
-MAX_WORD = 24
-#: Words kept with their scores by a Python worker.
+#: Places of a word whose pieces are looked up at once.
+BLOCK = 4096
+#: Sums are rescaled at every place that is a multiple of this.
+RESCALE = 16
+#: Words kept with their scores, or their counts in the fit, by a Python worker.
 WORD_MEMO = 150_000
 #: Added to each expected piece count.
 SMOOTHING = 0.5
@@ -49,7 +52,7 @@ def piece_vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if 0 < len(p) <= MAX_PIECE and regex.fullmatch(rf"{START}?\p{{L}}*", p))
+    return sorted(p for p in pieces if p and regex.fullmatch(rf"{START}?\p{{L}}*", p))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -73,6 +76,7 @@ class Pieces:
             if len(np.unique(keys)) != len(keys):
                 raise ValueError("two pieces share a hash")
         self.texts = dict(enumerate(vocabulary))
+        self.longest = max(by_length, default=1)
 
     @staticmethod
     def codes(words: list[str], n: int) -> np.ndarray:
@@ -87,79 +91,123 @@ class Pieces:
             h = h * _BASE + codes[:, k:k + width].astype(np.uint64) + np.uint64(1)
         return _mix(h)
 
-    def at(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Piece ids (or -1) by (start, length), an entry for each word."""
+    def at(self, codes: np.ndarray, places: int) -> list[tuple[int, int, np.ndarray]]:
+        """(start, length, piece ids or -1 by word) at the first ``places`` starts, in order."""
         out = {}
         for n, keys in self.keys.items():
             if n > codes.shape[1]:
                 continue
-            h = self.hashes(codes, n)
+            h = self.hashes(codes[:, :places + n - 1], n)
             where = np.minimum(np.searchsorted(keys, h.ravel()), len(keys) - 1).reshape(h.shape)
             ids = np.where(keys[where] == h, self.ids[n][where], -1)
-            for start in range(h.shape[1]):
-                if (ids[:, start] >= 0).any():
-                    out[start, n] = ids[:, start]
-        for start in range(codes.shape[1]):  # a character that is no piece
+            for start in np.flatnonzero((ids >= 0).any(0)).tolist():
+                out[start, n] = ids[:, start]
+        for start in range(places):  # a character that is no piece
             one = out.get((start, 1), np.full(len(codes), -1, np.int32))
             out[start, 1] = np.where(one < 0, self.size - 1, one)
-        return out
+        return [(start, n, ids) for (start, n), ids in sorted(out.items(), key=lambda e: e[0])]
 
+    def blocks(self, codes: np.ndarray, backward: bool = False) -> Iterator[tuple[int, list]]:
+        """(first place, what ``at`` finds) of consecutive blocks of places, or from the last one back."""
+        firsts = range(0, codes.shape[1], BLOCK)
+        for first in reversed(firsts) if backward else firsts:
+            places = min(BLOCK, codes.shape[1] - first)
+            yield first, self.at(codes[:, first:first + places + self.longest - 1], places)
 
-def marked(word: str) -> list[str]:
-    """The word with its start marked, in parts of at most MAX_WORD characters."""
-    word = START + word
-    return [word[i:i + MAX_WORD] for i in range(0, len(word), MAX_WORD)]
 
-
-def forward(found: dict, n_words: int, length: int, p: np.ndarray) -> list[np.ndarray]:
-    """Sums over the segmentations of each prefix. ``p``: (pieces, models); the result by end: (words, models)."""
-    alpha = [np.zeros((n_words, p.shape[1])) for _ in range(length + 1)]
-    alpha[0][:] = 1
-    for (start, n), ids in sorted(found.items()):
-        hit = np.flatnonzero(ids >= 0)
-        alpha[start + n][hit] += alpha[start][hit] * p[ids[hit]]
-    return alpha
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in ``words``, characters) of the words with their start marked, for each length."""
+    groups: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        groups.setdefault(len(w) + 1, []).append(i)
+    for n, at in groups.items():
+        yield np.array(at), Pieces.codes([START + words[i] for i in at], n)
+
+
+def _rescale(sums: np.ndarray, log: np.ndarray) -> None:
+    """Divide pending sums (places, words, models) by their largest; ``log`` takes its logarithm."""
+    top = sums.max(0)
+    sums /= top
+    log += np.log(top)
+
+
+def forward(pieces: Pieces, codes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log of the sum over all segmentations, (words, models). ``p``: (pieces, models)."""
+    n_words, length = codes.shape
+    log = np.zeros((n_words, p.shape[1]))
+    ahead = pieces.longest + 1
+    tail = np.zeros((ahead, n_words, p.shape[1]))  # sums at a block's first place and the next ones
+    tail[0] = 1
+    for first, found in pieces.blocks(codes):
+        places = min(BLOCK, length - first)
+        alpha = np.zeros((places + ahead, n_words, p.shape[1]))
+        alpha[:ahead] = tail
+        last = -1
+        for start, n, ids in found:
+            if start != last and start % RESCALE == 0 and start + first:
+                _rescale(alpha[start:start + ahead], log)
+            last = start
+            if n == 1:  # every word has an entry
+                alpha[start + 1] += alpha[start] * p[ids]
+            else:
+                hit = np.flatnonzero(ids >= 0)
+                alpha[start + n][hit] += alpha[start][hit] * p[ids[hit]]
+        tail = alpha[places:places + ahead]
+    return np.log(tail[0]) + log
 
 
 def word_scores(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
     """log probability of each word in each model."""
     out = np.zeros((len(words), p.shape[1]))
-    groups: dict[int, tuple[list[int], list[str]]] = {}
-    for i, w in enumerate(words):
-        for part in marked(w):
-            at, texts = groups.setdefault(len(part), ([], []))
-            at.append(i)
-            texts.append(part)
-    for n, (at, texts) in groups.items():
-        alpha = forward(pieces.at(Pieces.codes(texts, n)), len(texts), n, p)
-        np.add.at(out, at, np.log(alpha[n]))
+    for at, codes in by_length(words):
+        out[at] = forward(pieces, codes, p)
     return out
 
 
 def expected_counts(pieces: Pieces, words: list[str], weights: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Expected piece counts under ``start``; ``weights``: (words, languages)."""
+    """Expected piece counts under ``start``; ``weights``: (words, languages).
+
+    The forward pass keeps each place's sums with the logarithm of their scale; the backward
+    pass holds only what the longest piece reaches."""
     out = np.zeros((pieces.size, weights.shape[1]))
-    groups: dict[int, tuple[list[int], list[str]]] = {}
-    for i, w in enumerate(words):
-        for part in marked(w):
-            at, texts = groups.setdefault(len(part), ([], []))
-            at.append(i)
-            texts.append(part)
-    p = start[:, None]
-    for n, (at, texts) in groups.items():
-        found = pieces.at(Pieces.codes(texts, n))
-        alpha = forward(found, len(texts), n, p)
-        beta = [np.zeros((len(texts), 1)) for _ in range(n + 1)]
-        beta[n][:] = 1
-        for (begin, size), ids in sorted(found.items(), reverse=True):
-            hit = np.flatnonzero(ids >= 0)
-            beta[begin][hit] += p[ids[hit]] * beta[begin + size][hit]
-        w = weights[at] / alpha[n]
-        for (begin, size), ids in found.items():
-            hit = np.flatnonzero(ids >= 0)
-            share = (alpha[begin][hit] * p[ids[hit]] * beta[begin + size][hit])
-            for k in range(weights.shape[1]):
-                out[:, k] += np.bincount(ids[hit], share[:, 0] * w[hit, k], pieces.size)
+    p, ahead = start[:, None], pieces.longest + 1
+    for at, codes in by_length(words):
+        n_words, length = codes.shape
+        alpha = np.zeros((length + ahead, n_words, 1))
+        alpha[0] = 1
+        log, scales = np.zeros((n_words, 1)), [np.zeros((n_words, 1))]
+        for first, found in pieces.blocks(codes):
+            last = -1
+            for begin, n, ids in found:
+                here = first + begin
+                if begin != last and here % RESCALE == 0 and here:
+                    _rescale(alpha[here:here + ahead], log)
+                    scales.append(log.copy())
+                last = begin
+                hit = np.flatnonzero(ids >= 0)
+                alpha[here + n][hit] += alpha[here][hit] * p[ids[hit]]
+        total = np.log(alpha[length]) + log
+        beta = np.zeros((ahead, n_words, 1))  # beta[i]: the place i behind the present one
+        beta[1] = 1
+        back = np.zeros((n_words, 1))
+        for first, found in pieces.blocks(codes, backward=True):
+            last = None
+            for begin, n, ids in reversed(found):
+                here = first + begin
+                if begin != last:
+                    if last is not None or here < length - 1:
+                        beta[1:] = beta[:-1].copy()
+                    beta[0] = 0
+                    if here % RESCALE == RESCALE - 1:
+                        _rescale(beta[1:], back)
+                    factor = alpha[here] * np.exp(scales[here // RESCALE] + back - total)
+                    last = begin
+                hit = np.flatnonzero(ids >= 0)
+                onward = p[ids[hit]] * beta[n][hit]
+                beta[0][hit] += onward
+                share = (factor[hit] * onward)[:, 0]
+                for k in range(weights.shape[1]):
+                    out[:, k] += np.bincount(ids[hit], share * weights[at[hit], k], pieces.size)
     return out
 
 
@@ -190,22 +238,33 @@ def learn(docs: DataFrame, vocabulary: list[str], lang: str = "lang", text: str
         pieces = Pieces(known.value)
         start = neutral_start(pieces)
         sums: dict[str, np.ndarray] = {}
+        words: dict[str, int] = {}
+        seen: dict[str, np.ndarray] = {}  # by language, how often each word came
+
+        def flush() -> None:
+            weights = np.stack([np.pad(n, (0, len(words) - len(n))) for n in seen.values()], axis=1)
+            counts = expected_counts(pieces, list(words), weights.astype(float), start)
+            for i, name in enumerate(seen):
+                sums[name] = sums.get(name, 0) + counts[:, i]
+            words.clear()
+            seen.clear()
+
         for batch in batches:
             for first, texts in text_slices(batch, "text"):
                 langs = batch.column(1).slice(first, len(texts)).to_pylist()
-                words: dict[str, int] = {}
-                names = sorted(set(langs))
-                places = {n: i for i, n in enumerate(names)}
-                ids, tags = [], []
+                ids: dict[str, list[int]] = {}
                 for raw, name in zip(texts, langs, strict=True):
-                    found = find_words(raw.decode().lower())
-                    ids += [words.setdefault(w, len(words)) for w in found]
-                    tags.append(np.full(len(found), places[name]))
-                tag = np.concatenate(tags)
-                pairs = np.bincount(np.asarray(ids, np.int64) * len(names) + tag, minlength=len(words) * len(names))
-                counts = expected_counts(pieces, list(words), pairs.reshape(len(words), len(names)).astype(float), start)
-                for name, i in places.items():
-                    sums[name] = sums.get(name, 0) + counts[:, i]
+                    ids.setdefault(name, []).extend(
+                        [words.setdefault(w, len(words)) for w in find_words(raw.decode().lower())])
+                for name, mine in ids.items():
+                    n = np.bincount(np.asarray(mine, np.int64), minlength=len(words))
+                    old = seen.get(name, n[:0])
+                    n[:len(old)] += old
+                    seen[name] = n
+                if len(words) > WORD_MEMO:
+                    flush()
+        if seen:
+            flush()
         for name, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
@@ -223,7 +282,6 @@ def learn(docs: DataFrame, vocabulary: list[str], lang: str = "lang", text: str
     return Model(vocabulary, languages, counts)
 
 
-
 def predict(docs: DataFrame, model: Model, held: Column) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row: the likeliest language and its share."""
     spark = docs.sparkSession

@@ -202,6 +202,41 @@ def test_forward_sums_all_segmentations():
     assert counts[:, 0] == pytest.approx(sum(expected(w) for w in words))
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    """Blocks and rescaling change nothing, and a long word neither loses pieces at a border nor underflows."""
+    vocabulary = ["a", "ab", "ba", "abab", "b", "▁", "▁a", "bbabbabbabb"]
+    pieces = langid.Pieces(vocabulary)
+    ids = {v: i for i, v in enumerate(vocabulary)}
+    p = np.random.default_rng(0).random((len(vocabulary) + 1, 2)) * 1e-9
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abbx") for _ in range(n)) for n in (1, 2, 15, 16, 17, 33, 33, 500)] + ["bba" * 40]
+
+    def plain(w, k):
+        total, log = [1.0] + [0.0] * len(w), [0.0]
+        for i in range(len(w)):
+            for n in range(1, min(11, len(w) - i) + 1):
+                piece = ids.get(w[i:i + n], len(vocabulary) if n == 1 else None)
+                if piece is not None:
+                    total[i + n] += total[i] * p[piece, k]
+            top = total[i + 1]
+            log.append(np.log(top))
+            total = [t / top if j > i else 0.0 for j, t in enumerate(total)]
+        return sum(log) + np.log(total[-1])
+
+    wanted = [[plain("▁" + w, k) for k in (0, 1)] for w in words]
+    start = langid.neutral_start(pieces)
+    counts = []
+    for block, rescale in ((4096, 16), (1, 1), (3, 2), (16, 5), (4096, 16)):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "RESCALE", rescale)
+        assert langid.word_scores(pieces, words, p) == pytest.approx(np.array(wanted))
+        counts.append(langid.expected_counts(pieces, words, np.ones((len(words), 1)), start))
+        assert counts[-1] == pytest.approx(counts[0])
+    sizes = np.array([len(v) for v in vocabulary] + [1])
+    assert sizes @ counts[0][:, 0] == pytest.approx(sum(len(w) + 1 for w in words))  # pieces cover each word once
+    assert counts[0][ids["bbabbabbabb"], 0] > 0
+
+
 def test_language_rows(make_docs, clash, monkeypatch):
     monkeypatch.setattr(langid, "WORD_MEMO", 4)
     en, fr = "the thing with other words and that", "une chose avec des mots autres et que"
