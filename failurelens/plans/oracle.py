@@ -330,6 +330,7 @@ sc AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(qv, ev), lambda
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id ASC) AS rank FROM sc)
 SELECT query_id, vec_id, rank, round(sim, 6) AS similarity FROM rk WHERE rank <= 5
 """)
+register("similar_vectors_indexed", ORACLE["similar_vectors"])
 
 
 # ---------------------------------------------------------------------------

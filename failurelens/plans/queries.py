@@ -128,6 +128,15 @@ def similar_vectors_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), r6("similarity").alias("similarity"))
 
 
+@query("similar_vectors_indexed")
+def similar_vectors_indexed_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``similar_vectors``, found through a pivot index of all vectors."""
+    from failurelens.operators import pivot_index
+    index = pivot_index.build_index(fixtures.vectors(spark, sf_dir), id_col="vec_id", vec_col="embedding")
+    out, _ = pivot_index.search(index, fixtures.label_query_vectors(spark, sf_dir), k=5, id_col="vec_id")
+    return out.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), r6("similarity").alias("similarity"))
+
+
 @query("cluster_assign")
 def cluster_assign_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from failurelens.operators import cluster
