@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from failurelens.llm.common import prepare, text_slices
 
 UNKNOWN = "und"
+#: Bits of a hash that rule out most substrings before the search.
+MAYBE_BITS = 18
 #: Places of a word whose pieces are looked up at once.
 BLOCK = 4096
 #: Sums are rescaled at every place that is a multiple of this.
@@ -68,13 +70,15 @@ class Pieces:
         by_length: dict[int, list[tuple[str, int]]] = {}
         for i, p in enumerate(vocabulary):
             by_length.setdefault(len(p), []).append((p, i))
-        self.keys, self.ids = {}, {}
+        self.keys, self.ids, self.maybe = {}, {}, {}
         for n, held in by_length.items():
-            keys = self.hashes(self.codes([p for p, _ in held], n), n)[:, 0]
+            keys = next(h for k, h in self.hashes(self.codes([p for p, _ in held], n), 1) if k == n)[:, 0]
             order = np.argsort(keys)
             self.keys[n], self.ids[n] = keys[order], np.array([i for _, i in held], np.int32)[order]
             if len(np.unique(keys)) != len(keys):
                 raise ValueError("two pieces share a hash")
+            self.maybe[n] = np.zeros(1 << MAYBE_BITS, bool)
+            self.maybe[n][keys >> np.uint64(64 - MAYBE_BITS)] = True
         self.texts = dict(enumerate(vocabulary))
         self.longest = max(by_length, default=1)
 
@@ -83,23 +87,30 @@ class Pieces:
         return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
 
     @staticmethod
-    def hashes(codes: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the substrings of length ``n`` at each start."""
-        width = codes.shape[1] - n + 1
-        h = np.full((len(codes), width), np.uint64(n))
-        for k in range(n):
-            h = h * _BASE + codes[:, k:k + width].astype(np.uint64) + np.uint64(1)
-        return _mix(h)
+    def hashes(codes: np.ndarray, places: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, hashes of the substrings of that length at the first ``places`` starts) in turn."""
+        longer = np.zeros((len(codes), min(places, codes.shape[1])), np.uint64)
+        for n in range(1, codes.shape[1] + 1):
+            longer = longer[:, :codes.shape[1] - n + 1]
+            width = longer.shape[1]
+            longer = longer * _BASE + codes[:, n - 1:n - 1 + width].astype(np.uint64) + np.uint64(1)
+            yield n, _mix(longer + np.uint64(n))
 
     def at(self, codes: np.ndarray, places: int) -> list[tuple[int, int, np.ndarray]]:
         """(start, length, piece ids or -1 by word) at the first ``places`` starts, in order."""
         out = {}
-        for n, keys in self.keys.items():
-            if n > codes.shape[1]:
+        for n, h in self.hashes(codes, places):
+            if n > self.longest:
+                break
+            if n not in self.keys:
                 continue
-            h = self.hashes(codes[:, :places + n - 1], n)
-            where = np.minimum(np.searchsorted(keys, h.ravel()), len(keys) - 1).reshape(h.shape)
-            ids = np.where(keys[where] == h, self.ids[n][where], -1)
+            keys = self.keys[n]
+            rows, starts = np.nonzero(self.maybe[n][h >> np.uint64(64 - MAYBE_BITS)])  # few others pass
+            asked = h[rows, starts]
+            where = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            right = keys[where] == asked
+            ids = np.full(h.shape, -1, np.int32)
+            ids[rows[right], starts[right]] = self.ids[n][where[right]]
             for start in np.flatnonzero((ids >= 0).any(0)).tolist():
                 out[start, n] = ids[:, start]
         for start in range(places):  # a character that is no piece
@@ -176,7 +187,8 @@ def expected_counts(pieces: Pieces, words: list[str], weights: np.ndarray, start
         alpha = np.zeros((length + ahead, n_words, 1))
         alpha[0] = 1
         log, scales = np.zeros((n_words, 1)), [np.zeros((n_words, 1))]
-        for first, found in pieces.blocks(codes):
+        held = list(pieces.blocks(codes)) if length <= BLOCK else None
+        for first, found in held or pieces.blocks(codes):
             last = -1
             for begin, n, ids in found:
                 here = first + begin
@@ -190,7 +202,7 @@ def expected_counts(pieces: Pieces, words: list[str], weights: np.ndarray, start
         beta = np.zeros((ahead, n_words, 1))  # beta[i]: the place i behind the present one
         beta[1] = 1
         back = np.zeros((n_words, 1))
-        for first, found in pieces.blocks(codes, backward=True):
+        for first, found in held or pieces.blocks(codes, backward=True):
             last = None
             for begin, n, ids in reversed(found):
                 here = first + begin
