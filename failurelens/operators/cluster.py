@@ -7,7 +7,10 @@ update share one Arrow path; embeddings move through partial aggregates only.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -25,6 +28,7 @@ from failurelens.schemas import CENTROIDS, CLUSTER_NAMES, UNKNOWN_CLUSTER
 from failurelens.session import ship_package, small_frame
 
 MAX_K = 1024
+TIE = 1e-12
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
 # ---------------------------------------------------------------------------
@@ -103,13 +107,15 @@ def unit_rows(v: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest_rows(v: pd.Series, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each vector the first best row of ``matrix`` and its cosine; -1 and NaN without one."""
+    """For each vector the first best row of ``matrix`` and its cosine; -1 and NaN without one.
+
+    Cosines closer than rounding (TIE) count as equal, so the order of sums decides nothing."""
     j, s = np.full(len(v), -1, dtype=np.int32), np.full(len(v), np.nan)
     if len(matrix):
         ok, x = unit_rows(v, matrix.shape[1])
         sims = x @ matrix.T
-        best = np.argmax(sims, axis=1)
-        j[ok], s[ok] = best, sims[np.arange(len(best)), best]
+        top = sims.max(axis=1)
+        j[ok], s[ok] = np.argmax(sims >= top[:, None] - TIE, axis=1), top
     return j, s
 
 
@@ -423,6 +429,49 @@ def hashing_encoder(df: DataFrame, text_col: str, out_col: str = "embedding", di
     return out.withColumn(out_col, vector_to_array("_nv", dtype="float32")).drop("_txt", "_tok", "_tf", "_nv")
 
 
+#: Terms of ``term_encoder``: runs of ASCII letters, digits and underscores, lower-cased.
+TERM = r"[A-Za-z0-9_]+"
+TERM_MEMO = 200_000  # terms kept with their hash by a Python worker
+
+
+def term_place(term: str, dim: int) -> tuple[int, int]:
+    """(place, sign) of a term: the first six hex digits of its md5 modulo ``dim``, + if the seventh is below 8."""
+    digest = hashlib.md5(term.encode(), usedforsecurity=False).hexdigest()
+    return int(digest[:6], 16) % dim, 1 if digest[6] < "8" else -1
+
+
+def term_encoder(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 256,
+                 with_prefix: bool = True) -> DataFrame:
+    """Encoder defined by arithmetic alone: signed counts of md5-hashed terms, as a unit vector.
+
+    Equal in any engine that has md5. A text without terms gets the zero vector, a null text a
+    null one. A batch's counts are one bincount; each worker hashes a term once.
+    """
+    from pyspark.sql.functions import pandas_udf
+    ship_package(df.sparkSession)
+
+    @pandas_udf(T.ArrayType(T.DoubleType()))
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find, memo = re.compile(TERM).findall, {}
+        for texts in batches:
+            if len(memo) > TERM_MEMO:
+                memo = {}
+            cells, signs = [], []
+            for row, text in enumerate(texts):
+                for term in find(text) if text is not None else ():
+                    at = memo.get(term)
+                    if at is None:
+                        at = memo[term] = term_place(term.lower(), dim)
+                    cells.append(row * dim + at[0])
+                    signs.append(at[1])
+            sums = np.bincount(np.array(cells, np.int64), np.array(signs, np.float64), len(texts) * dim).reshape(-1, dim)
+            norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            unit = sums / np.where(norm > 0, norm, 1)
+            yield pd.Series([None if t is None else v for t, v in zip(texts, unit, strict=True)], dtype=object)
+
+    return df.withColumn(out_col, enc(embed_input(text_col) if with_prefix else F.col(text_col)))
+
+
 _MODEL_CACHE: dict = {}
 
 
@@ -433,10 +482,10 @@ def model_encoder(df: DataFrame, text_col: str, load_model: Callable[[], Callabl
     ``spark.sql.execution.arrow.maxRecordsPerBatch``); outputs are unit-normalised."""
     from pyspark.sql.functions import pandas_udf
     ship_package(df.sparkSession)
+    key = uuid.uuid4().hex  # a worker serves many calls, whose objects may share an id
 
     @pandas_udf(T.ArrayType(T.FloatType()))
     def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = id(load_model)
         if key not in _MODEL_CACHE:
             _MODEL_CACHE[key] = load_model()
         model = _MODEL_CACHE[key]

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import re
 
+from failurelens.operators.cluster import ANCHOR_EXEMPLARS
+from failurelens.schemas import CLUSTER_NAMES
+
 NL = "chr(10)"
 
 # ---------------------------------------------------------------------------
@@ -184,6 +187,36 @@ SELECT doc_id, code AS failing_code,
 FROM ft2
 """)
 
+#: Texts that the clusters are anchored by (fixed values, as in the library).
+ANCHOR_TEXTS = ", ".join("(%d, '%s', '%s')" % (i, name, text.replace("'", "''"))
+                         for i, (name, text) in enumerate(zip(CLUSTER_NAMES, ANCHOR_EXEMPLARS, strict=True)))
+
+register("failure_embedding", f"""
+WITH {FAILURE_TEXT_INPUTS.strip()},
+anchors(idx, name, t) AS (VALUES {ANCHOR_TEXTS}),
+texts AS (
+  SELECT 'd' AS kind, doc_id AS id, '{EMBED_PREFIX}' || {_failure_text_expr(200, 500, 300, 300)} AS t FROM ft2
+  UNION ALL SELECT 'a', idx, '{EMBED_PREFIX}' || t FROM anchors
+),
+terms AS (SELECT kind, id, md5(lower(unnest(regexp_extract_all(t, '[A-Za-z0-9_]+')))) AS h FROM texts),
+sums AS (
+  SELECT kind, id, CAST('0x' || substr(h, 1, 6) AS BIGINT) % 256 AS place,
+    sum(CASE WHEN substr(h, 7, 1) < '8' THEN 1 ELSE -1 END) AS v
+  FROM terms GROUP BY ALL
+),
+units AS (SELECT kind, id, place, v / sqrt(sum(v * v) OVER (PARTITION BY kind, id)) AS x FROM sums),
+dots AS (
+  SELECT d.id, a.id AS idx, sum(d.x * a.x) AS sim
+  FROM units d JOIN units a ON a.place = d.place AND a.kind = 'a' WHERE d.kind = 'd' GROUP BY ALL
+),
+scored AS (
+  SELECT f.doc_id, a.idx, a.name, coalesce(s.sim, 0) AS sim, max(coalesce(s.sim, 0)) OVER (PARTITION BY f.doc_id) AS best
+  FROM ft2 f CROSS JOIN anchors a LEFT JOIN dots s ON s.id = f.doc_id AND s.idx = a.idx
+)
+SELECT doc_id, name AS cluster_name, round(best, 6) AS similarity FROM scored
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim < best - 1e-12, idx) = 1
+""")
+
 # ---------------------------------------------------------------------------
 # failure store
 # ---------------------------------------------------------------------------

@@ -434,14 +434,14 @@ def kmeans_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("failure_embedding")
 def failure_embedding_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failure texts -> default encoder -> anchored centroids -> cluster (hashing encoder: no SQL twin)."""
+    """Failure texts -> md5 term encoder -> anchored centroids in the same space -> cluster."""
     from failurelens.functions import text as tx
     from failurelens.operators import cluster
     d = fixtures.failure_text_inputs(spark, sf_dir)
     texts = d.select("doc_id", tx.failure_text("task", tx.failing_code("repaired_code", "student_code"),
                                                "error_type", "stderr", "traceback").alias("failure_text"))
-    emb = cluster.hashing_encoder(texts, "failure_text", dim=1024)
-    anchors = cluster.anchored_centroids(spark, k=6)
+    emb = cluster.term_encoder(texts, "failure_text")
+    anchors = cluster.anchored_centroids(spark, k=6, encoder=lambda d: cluster.term_encoder(d, "text"))
     a = cluster.assign(emb, anchors, "embedding")
     return a.select("doc_id", "cluster_name", r6("similarity").alias("similarity"))
 

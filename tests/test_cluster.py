@@ -142,6 +142,24 @@ def test_hashing_encoder_and_anchors(spark):
     assert len(rows) == 7 and all(abs(np.linalg.norm(r.centroid) - 1) < 1e-9 for r in rows)
 
 
+def test_term_encoder_against_plain_counts(spark):
+    import hashlib
+    texts = ["Key error: KEY, key_1", "", None, "é!", "a b a " * 5000, "Key error: KEY, key_1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    got = {r.id: r.embedding for r in cluster.term_encoder(df, "text", dim=16, with_prefix=False).collect()}
+    for i, text in enumerate(texts):
+        if text is None:
+            assert got[i] is None
+            continue
+        want = [0.0] * 16
+        for term in "".join(c if c.isascii() and (c.isalnum() or c == "_") else " " for c in text).lower().split():
+            h = hashlib.md5(term.encode()).hexdigest()
+            want[int(h[:6], 16) % 16] += 1 if int(h[6], 16) < 8 else -1
+        norm = sum(x * x for x in want) ** 0.5
+        assert got[i] == pytest.approx([x / (norm or 1) for x in want])
+    assert cluster.term_encoder(df.limit(0), "text").count() == 0
+
+
 def test_model_encoder_pandas_udf(spark):
     def load():
         return lambda texts: [[float(len(t)), 1.0] for t in texts]

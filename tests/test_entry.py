@@ -14,8 +14,8 @@ def test_entry_smoke(spark):
     assert len(rows) > 0 and set(df.columns) == {"benchmark", "metric", "value"}
 
 
-# iterative / hash-encoded queries: rows-only checks by design
-NO_ORACLE = {"kmeans_fit", "failure_embedding"}
+# iterative queries: rows-only checks by design
+NO_ORACLE = {"kmeans_fit"}
 
 
 def test_every_query_has_an_oracle():
