@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -226,16 +227,20 @@ def fit(df: DataFrame, centroids: DataFrame | None = None, k: int = 6, names: Se
     * given centroids: Lloyd iterations from them (Euclidean), until the total
       squared centre shift is within ``tol`` x mean feature variance;
     * no centroids: Spark ML k-means (k-means|| start), best of ``n_init`` seeds.
-    Each iteration is one distributed aggregate; only k x dim numbers return to
-    the driver between iterations.
+    Rows without a vector (null, or with a null element) move no centroid.
+    Each iteration is one distributed aggregate over the unit vectors, packed and
+    persisted once; only k x dim numbers return to the driver between iterations.
     """
     spark = df.sparkSession
     names = list(names)[:k] + [f"cluster_{i}" for i in range(len(names), k)]
-    n = df.count()
-    if n < min_samples:
+    whole = whole_vector(F.col(vec_col))
+    n, n_whole = df.agg(F.count(F.lit(1)), F.count(F.when(whole, 1))).first()
+    df = df.where(whole)
+    if n < min_samples or not n_whole:
         return heuristic_init(df, k, names, vec_col, order_col, seed)
     unit = df.select(l2_normalize(vec_col).alias("_u")).where(F.size("_u") > 0)
-    if centroids is None:
+    cur = _collect_centroids(centroids) if centroids is not None and _check_k(centroids) else []
+    if not cur:
         from pyspark.ml.clustering import KMeans
         feats = unit.select(_vec(F.col("_u")).alias("features")).persist()
         best, best_cost = None, math.inf
@@ -250,42 +255,69 @@ def fit(df: DataFrame, centroids: DataFrame | None = None, k: int = 6, names: Se
             pad = np.random.default_rng(seed).standard_normal((k - len(centres), len(centres[0])))
             centres += [[float(x) for x in p] for p in pad]
         return normalize_centroids(centroids_frame(spark, [(i, names[i], c) for i, c in enumerate(centres)]))
-    _check_k(centroids)
-    var = unit.select(Summarizer.variance(_vec(F.col("_u"))).alias("v")).first()["v"]
-    tol_abs = float(np.mean(var.toArray())) * tol if var is not None else 0.0
-    cur = _collect_centroids(centroids)
-    # each pass reads the vector column anew: a copy of all vectors is not kept
-    vectors = df.select(F.col(vec_col).cast("array<double>").alias("_v"))
-    for _ in range(max_iter):
-        nxt = _lloyd_iteration(vectors, cur)
-        shift = float(np.sum((_matrix(cur) - _matrix(nxt)) ** 2))
-        cur = nxt
-        if shift <= tol_abs:
-            break
+    fits = unit.where(F.size("_u") == len(cur[0][2]))  # one group, or none
+    var = fits.groupBy(F.size("_u")).agg(Summarizer.variance(_vec(F.col("_u"))).alias("v")).first()
+    tol_abs = float(np.mean(var["v"].toArray())) * tol if var is not None else 0.0
+    packed = _packed_units(df, vec_col, len(cur[0][2])).persist()
+    try:
+        for _ in range(max_iter):
+            nxt = _lloyd_iteration(packed, cur)
+            shift = float(np.sum((_matrix(cur) - _matrix(nxt)) ** 2))
+            cur = nxt
+            if shift <= tol_abs:
+                break
+    finally:
+        packed.unpersist()
     return normalize_centroids(centroids_frame(spark, cur))
 
 
-def _lloyd_iteration(vectors: DataFrame, cur: list[tuple[int, str, list[float]]]):
+def whole_vector(v: Column) -> Column:
+    """Whether a row has a vector: not null, and no null among its elements."""
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull()), F.lit(False))
+
+
+def _packed_units(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
+    """(u): each vector of length ``dim`` normalised, its doubles as one binary value.
+
+    A pass over binary values costs a small part of a pass over arrays, which go to Python
+    element by element."""
+    ship_package(df.sparkSession)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            _, x = unit_rows(pdf["_v"], dim)
+            yield pd.DataFrame({"u": pd.Series([row.tobytes() for row in x], dtype=object)})
+
+    return df.select(F.col(vec_col).cast("array<double>").alias("_v")).mapInPandas(pack, "u binary")
+
+
+def _lloyd_iteration(packed: DataFrame, cur: list[tuple[int, str, list[float]]]):
     """One Lloyd step as a single aggregate job: each partition sends one (sum, count) row for
     each cluster it has rows of; k rows return to the driver."""
-    spark = vectors.sparkSession
-    ship_package(spark)
+    spark = packed.sparkSession
     bc = spark.sparkContext.broadcast(_matrix(cur))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bc.value
         sums, counts = np.zeros(m.shape), np.zeros(len(m), dtype=np.int64)
-        for pdf in batches:
-            _, x = unit_rows(pdf["_v"], m.shape[1])
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, m.shape[1])
             j = np.argmax(x @ m.T, axis=1)
-            np.add.at(sums, j, x)
+            order = np.argsort(j, kind="stable")
+            found, first = np.unique(j[order], return_index=True)
+            sums[found] += np.add.reduceat(x[order], first, axis=0)
             counts += np.bincount(j, minlength=len(m))
         has = np.flatnonzero(counts)
-        yield pd.DataFrame({"j": has.astype(np.int32), "s": list(sums[has]), "n": counts[has]})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(has, pa.int32()), pa.array(list(sums[has]), pa.list_(pa.float64())), pa.array(counts[has], pa.int64())],
+            ["j", "s", "n"])
 
-    rows = (vectors.mapInPandas(partial, "j int, s array<double>, n bigint").groupBy("j")
+    rows = (packed.mapInArrow(partial, "j int, s array<double>, n bigint").groupBy("j")
             .agg(Summarizer.sum(_vec(F.col("s"))).alias("s"), F.sum("n").alias("n"))
             .select("j", vector_to_array("s").alias("s"), "n").collect())  # k rows
+    bc.destroy()
     means = {r["j"]: [x / r["n"] for x in r["s"]] for r in rows}
     return [(i, name, means.get(j, c)) for j, (i, name, c) in enumerate(cur)]
 

@@ -112,12 +112,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_anchor_centroids(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
     """Anchored start centroids from data: cluster j = unit mean of the unit
-    vectors whose ``label mod k == j`` (one partial aggregate, k rows out)."""
+    vectors whose ``label mod k == j`` (one partial aggregate, k rows out). Rows
+    without a label or a vector belong to no cluster."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     from failurelens.functions.vectors import l2_normalize
-    v = vectors(spark, sf_dir)
+    from failurelens.operators.cluster import whole_vector
+    v = vectors(spark, sf_dir).where(F.col("label").isNotNull() & whole_vector(F.col("embedding")))
     g = (v.select((F.col("label") % k).cast("int").alias("cluster_idx"),
                   array_to_vector(l2_normalize("embedding")).alias("_u"))
          .groupBy("cluster_idx").agg(Summarizer.mean(F.col("_u")).alias("_m")))

@@ -182,3 +182,57 @@ def test_wide_vectors(spark):
         sims = m @ (x / n if n > 0 else x)
         assert got[i][0] == int(np.argmax(sims))
         assert abs(got[i][1] - sims.max()) < 1e-9
+
+
+def _lloyd_loop(x, start, tol=1e-4, max_iter=300):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c, limit = np.array(start, dtype=float), x.var(axis=0, ddof=1).mean() * tol
+    for _ in range(max_iter):
+        j = np.argmax(x @ c.T, axis=1)
+        nxt = np.array([x[j == i].mean(axis=0) if (j == i).any() else c[i] for i in range(len(c))])
+        shift, c = ((nxt - c) ** 2).sum(), nxt
+        if shift <= limit:
+            break
+    return c / np.linalg.norm(c, axis=1, keepdims=True)
+
+
+def test_lloyd_fit_equals_loop_over_rows_with_vectors(spark):
+    """Rows without a vector, or with one of another length, move no centroid; empty partitions do no harm."""
+    rng = np.random.default_rng(12)
+    xs = rng.standard_normal((200, 5)).astype(np.float32).astype(np.float64)
+    odd = spark.createDataFrame([(900, None), (901, [1.0, None, 0.0, 0.0, 0.0]), (902, [1.0, 2.0]), (903, [])],
+                                "seq long, embedding array<float>")
+    start = np.eye(5)[:3]
+    cf = cluster.centroids_frame(spark, [(i, n, list(start[i])) for i, n in enumerate(NAMES)])
+    df = _vecs(spark, xs).union(odd).repartition(16, F.col("seq") % 5)
+    got = sorted(cluster.fit(df, cf, k=3, names=NAMES).collect(), key=lambda r: r.cluster_idx)
+    assert [r.cluster_name for r in got] == NAMES
+    assert np.allclose([r.centroid for r in got], _lloyd_loop(xs, start), atol=1e-9)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_kmeans_fit_takes_rows_without_label_or_vector(spark, tmp_dir):
+    """Null labels belong to no start cluster, null vectors to none at all; every other row is counted."""
+    from failurelens.plans.queries import QUERIES
+    rng = np.random.default_rng(13)
+    rows = [(i, None if i % 10 == 3 else [float(x) for x in rng.standard_normal(4)], None if i % 7 == 2 else i % 10)
+            for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_dir}/embeddings.parquet")
+    xs = np.array([v for _, v, _ in rows if v is not None], dtype=np.float32).astype(np.float64)
+    xs /= np.linalg.norm(xs, axis=1, keepdims=True)
+    group = np.array([-1 if lab is None else lab % 6 for _, v, lab in rows if v is not None])
+    start = np.array([xs[group == g].mean(axis=0) for g in range(6)])
+    c = _lloyd_loop(xs, start / np.linalg.norm(start, axis=1, keepdims=True))
+    want = np.bincount(np.argmax(xs @ c.T, axis=1), minlength=6)
+    got = {r.cluster_name: r.total_failures for r in QUERIES["kmeans_fit"](spark, tmp_dir).collect()}
+    assert got == dict(zip(cluster.CLUSTER_NAMES, want.tolist(), strict=True))
+
+
+def test_kmeans_fit_without_any_label_or_vector(spark, tmp_dir):
+    """No labels: the fit starts by itself. No vectors: no row has a cluster."""
+    from failurelens.plans.queries import QUERIES
+    vecs = [[1.0, float(i % 12)] for i in range(40)]
+    for name, rows, total in (("labels", [(i, v, None) for i, v in enumerate(vecs)], 40), ("vectors", [(i, None, 1) for i in range(40)], 0)):
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_dir}/{name}/embeddings.parquet")
+        got = QUERIES["kmeans_fit"](spark, f"{tmp_dir}/{name}").collect()
+        assert len(got) == 6 and sum(r.total_failures for r in got) == total
