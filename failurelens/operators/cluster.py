@@ -29,6 +29,7 @@ from failurelens.schemas import CENTROIDS, CLUSTER_NAMES, UNKNOWN_CLUSTER
 from failurelens.session import ship_package, small_frame
 
 MAX_K = 1024
+PACK_ROWS, STEP_ROWS = 128, 8192  # vectors in one packed block; vectors compared at once
 TIE = 1e-12
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
@@ -277,16 +278,16 @@ def whole_vector(v: Column) -> Column:
 
 
 def _packed_units(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
-    """(u): each vector of length ``dim`` normalised, its doubles as one binary value.
+    """(u): the vectors of length ``dim`` normalised, the doubles of up to PACK_ROWS as one binary value.
 
-    A pass over binary values costs a small part of a pass over arrays, which go to Python
-    element by element."""
+    A pass over blocks costs a small part of a pass over arrays, which go to Python element by element."""
     ship_package(df.sparkSession)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             _, x = unit_rows(pdf["_v"], dim)
-            yield pd.DataFrame({"u": pd.Series([row.tobytes() for row in x], dtype=object)})
+            yield pd.DataFrame({"u": pd.Series([x[i:i + PACK_ROWS].tobytes() for i in range(0, len(x), PACK_ROWS)],
+                                               dtype=object)})
 
     return df.select(F.col(vec_col).cast("array<double>").alias("_v")).mapInPandas(pack, "u binary")
 
@@ -301,14 +302,14 @@ def _lloyd_iteration(packed: DataFrame, cur: list[tuple[int, str, list[float]]])
         m = bc.value
         sums, counts = np.zeros(m.shape), np.zeros(len(m), dtype=np.int64)
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, m.shape[1])
-            j = np.argmax(x @ m.T, axis=1)
-            order = np.argsort(j, kind="stable")
-            found, first = np.unique(j[order], return_index=True)
-            sums[found] += np.add.reduceat(x[order], first, axis=0)
-            counts += np.bincount(j, minlength=len(m))
+            vectors = np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, m.shape[1])
+            for i in range(0, len(vectors), STEP_ROWS):
+                x = vectors[i:i + STEP_ROWS]
+                j = np.argmax(x @ m.T, axis=1)
+                order = np.argsort(j, kind="stable")
+                found, first = np.unique(j[order], return_index=True)
+                sums[found] += np.add.reduceat(x[order], first, axis=0)
+                counts += np.bincount(j, minlength=len(m))
         has = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(has, pa.int32()), pa.array(list(sums[has]), pa.list_(pa.float64())), pa.array(counts[has], pa.int64())],
