@@ -15,6 +15,11 @@ from failurelens.session import scratch_path, ship_package
 #: worker's memory does not depend on the size of an Arrow batch.
 SLICE_BYTES = 2 << 20
 
+#: An Arrow batch of rows goes to Python with about this many bytes. It is held whole by the
+#: executor, outside its heap, and again by the worker, for each running task.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, whole."""
@@ -38,8 +43,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Executors get the package's code once per application."""
+    """Executors get the package's code once per application, and rows in batches of BATCH_BYTES
+    unless the session sets a size of its own."""
     ship_package(spark)
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
 def unused(df: DataFrame, name: str) -> str:

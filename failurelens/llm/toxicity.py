@@ -67,6 +67,13 @@ def find_words(text: str) -> list[str]:
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word buckets, n-gram buckets, word of each n-gram) of distinct words; an n-gram counts once for each place."""
+    parts = [_features(words[i:i + CHUNK]) for i in range(0, max(1, len(words)), CHUNK)]  # hashing takes much more room
+    for i, (_, _, owners) in enumerate(parts):
+        owners += i * CHUNK
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out_word = np.zeros(len(words), np.int64)
     grams, owners = [], []
     by_length: dict[int, list[int]] = {}

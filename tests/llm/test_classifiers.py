@@ -1,13 +1,15 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from failurelens.llm import langid, quality, toxicity
-from failurelens.llm.common import held_out, read_table
+from failurelens.llm.common import BATCH_BYTES, BATCH_CONF, held_out, read_table
 
 SF = "/root/testdata/sf0.01"
 
@@ -309,3 +311,45 @@ def test_fit_takes_pieces_of_long_texts_where_no_short_ones_are(spark, make_docs
     with pytest.raises(ValueError, match="wordless"):
         toxicity.fit(make_docs([(1, "..."), (2, "some words")]),
                      spark.createDataFrame([(1, 1), (2, 0)], labels.schema), F.lit(True))
+
+
+def test_features_of_many_words_take_little_room_besides_their_result():
+    random.seed(5)
+    words = list({"".join(random.choices("abcdefghijé", k=random.randint(2, 24))) for _ in range(60_000)})
+    toxicity.features(words[:10])
+    tracemalloc.start()
+    found = toxicity.features(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * sum(a.nbytes for a in found)
+    some = list(range(0, len(words), 997))
+    for i in some:
+        bucket, grams, owner = toxicity.features([words[i]])
+        assert bucket[0] == found[0][i] and (owner == 0).all()
+        assert (grams == found[1][found[2] == i]).all()
+
+
+def test_rows_go_to_the_network_in_small_batches(spark):
+    before = spark.conf.get(BATCH_CONF, None)
+    spark.conf.unset(BATCH_CONF)
+    try:
+        docs = spark.range(0, 3000, numPartitions=1).select(
+            F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+        none = toxicity.Network()
+        none.ready = False
+        seen = toxicity.with_score(docs, none)
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+        got = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) < 2 * BATCH_BYTES
+        assert seen.filter("score = 0").count() == 3000
+        spark.conf.set(BATCH_CONF, "1m")
+        toxicity.with_score(docs, none)
+        assert spark.conf.get(BATCH_CONF) == "1m"  # the session's own size stays
+    finally:
+        spark.conf.unset(BATCH_CONF)
+        if before is not None:
+            spark.conf.set(BATCH_CONF, before)
